@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+from swissline.llm.lines import op6_line_dedup
+from swissline.llm.media import op10_media_sequences
+from swissline.llm.mixing import op1_pfair_mixing
+from swissline.llm.packing import op8_deficit_packing
+from swissline.llm.quality import op5_quality_repetition
 from swissline.llm.substring import op3_substring_dedup
 from swissline.llm.suffix_dedup import op7_suffix_dedup
 
 QUERIES = {
+    "op1_pfair_mixing": op1_pfair_mixing,
     "op3_substring_dedup": op3_substring_dedup,
+    "op5_quality_repetition": op5_quality_repetition,
+    "op6_line_dedup": op6_line_dedup,
     "op7_suffix_dedup": op7_suffix_dedup,
+    "op8_deficit_packing": op8_deficit_packing,
+    "op10_media_sequences": op10_media_sequences,
 }
 ORACLES: dict[str, str] = {}
