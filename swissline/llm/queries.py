@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from swissline.llm.jaccard import op9_jaccard_groups
 from swissline.llm.lines import op6_line_dedup
 from swissline.llm.media import op10_media_sequences
 from swissline.llm.mixing import op1_pfair_mixing
@@ -17,6 +18,7 @@ QUERIES = {
     "op6_line_dedup": op6_line_dedup,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_deficit_packing": op8_deficit_packing,
+    "op9_jaccard_groups": op9_jaccard_groups,
     "op10_media_sequences": op10_media_sequences,
 }
 ORACLES: dict[str, str] = {}
