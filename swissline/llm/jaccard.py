@@ -3,7 +3,8 @@
 A document's set are its distinct word shingles (64-bit hashes). Sets that reach
 the threshold share one of their prefix shingles: the first n - ceil(t * n) + 1 in
 an order that all share (very common shingles last, then by hash). A count-min
-sketch drops prefix shingles that occur once, so most documents leave here.
+sketch drops prefix shingles that occur once, and of shingles found in the same
+documents one is kept.
 
 Documents that share a prefix shingle meet sorted by set size; a tile is the run
 whose sizes are within the threshold of each other. In a tile, bitmaps bound the
@@ -25,7 +26,8 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from swissline.llm.common import Poly, keyed, lower_ascii, materialize, mix, parallelism, rows_of, slices, table, text_bytes, words
@@ -35,7 +37,7 @@ from swissline.llm.sketch import bits_for, repeated
 
 _LETTERS, _WORDS = Poly(901), Poly(902)
 MOST_COMMON = 1 << 20
-_SETS = "doc_id long, n long, d1 long, d2 long, tokens array<bigint>, bits binary, items binary"
+_SETS = "doc_id long, n long, d1 long, d2 long, tokens array<bigint>, shared double, bits binary"
 
 
 def shingle_sets(buf: np.ndarray, offs: np.ndarray, k: int):
@@ -51,7 +53,12 @@ def shingle_sets(buf: np.ndarray, offs: np.ndarray, k: int):
     few = np.flatnonzero((count > 0) & (count < k))
     grams = mix(np.concatenate([grams, _WORDS.spans(prefix, bounds[few], bounds[few + 1])]))
     rows = np.concatenate([rows, few])
-    s = np.lexsort((grams, rows))
+    if len(offs) <= 4096:  # one key: row and the hash's upper bits; lower bits only differ by rare accident
+        s = np.argsort(rows.astype(np.uint64) << np.uint64(52) | grams >> np.uint64(12))
+        wrong = (grams[s][1:] < grams[s][:-1]) & (rows[s][1:] == rows[s][:-1])
+        s = np.lexsort((grams, rows)) if wrong.any() else s
+    else:
+        s = np.lexsort((grams, rows))
     grams, rows = grams[s], rows[s]
     new = np.ones(len(s), bool)
     new[1:] = (grams[1:] != grams[:-1]) | (rows[1:] != rows[:-1])
@@ -87,7 +94,7 @@ def _prefixes(items, at, t, common, factor=1):
 
 
 def _bitmap(items: np.ndarray) -> bytes:
-    width = min(4096, max(64, 1 << int(len(items)).bit_length()))
+    width = min(1 << 17, max(64, (4 if len(items) <= 1024 else 2) << int(len(items) - 1).bit_length()))  # two to eight bits a shingle
     flags = np.zeros(width, np.uint8)
     flags[((items >> np.uint64(24)) & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(flags, bitorder="little").tobytes()
@@ -109,14 +116,15 @@ class _Fits:
     def need(self, n: int, m: int) -> int:
         return -(-self.p * (n + m) // (self.p + self.q))
 
-    def __call__(self, n: int, x: bytes, m: int, y: bytes) -> bool:
+    def __call__(self, n: int, x: tuple[int, int], m: int, y: tuple[int, int]) -> bool:
+        """x, y: bitmaps as (number, width)."""
         if self.q * min(n, m) < self.p * max(n, m):
             return False
-        wx, wy = 8 * len(x), 8 * len(y)
-        w = min(wx, wy)
-        a, b = _fold(int.from_bytes(x, "little"), wx, w), _fold(int.from_bytes(y, "little"), wy, w)
-        need = self.need(n, m)
-        return n - (a & ~b).bit_count() >= need and m - (b & ~a).bit_count() >= need
+        (a, wa), (b, wb) = x, y
+        if wa != wb:
+            a, b = _fold(a, wa, min(wa, wb)), _fold(b, wb, min(wa, wb))
+        both, need = (a & b).bit_count(), self.need(n, m)
+        return n - a.bit_count() + both >= need and m - b.bit_count() + both >= need
 
 
 def _tiles(batches):
@@ -128,6 +136,7 @@ def _tiles(batches):
                 if len(rows) > 1:
                     yield rows
                 token, rows = t, []
+            row[-1] = int.from_bytes(row[-1], "little"), 8 * len(row[-1])
             rows.append(row)
     if len(rows) > 1:
         yield rows
@@ -202,41 +211,63 @@ def similar_groups(docs: DataFrame, shingle: int = 5, threshold: str = "0.8") ->
             first = _prefixes(items, at, t, common.value) & keep[rows_of(at)]
             first[first] = twice.value(items[first])
             some = np.add.reduceat(np.append(first, False).astype(np.int64), at[:-1]) * (np.diff(at) > 0) if len(at) > 1 else np.zeros(0)
-            tokens, bits, sets = [], [], []
+            tokens, bits, shared, most = [], [], [], _prefix_sizes(np.diff(at), t)
             for i in range(len(ids)):
                 a, b = at[i], at[i + 1]
                 if some[i]:
                     own = items[a:b]
                     tokens.append(own[first[a:b]].view(np.int64).tolist())
                     bits.append(_bitmap(own))
-                    sets.append(own.tobytes())
+                    shared.append(float(some[i] / most[i]))
                 else:
-                    tokens.append(None), bits.append(None), sets.append(None)
+                    tokens.append(None), bits.append(None), shared.append(None)
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(np.diff(at)), pa.array(d1), pa.array(d2), pa.array(tokens, pa.list_(pa.int64())), pa.array(bits, pa.binary()), pa.array(sets, pa.binary())],
-                ["doc_id", "n", "d1", "d2", "tokens", "bits", "items"],
+                [ids, pa.array(np.diff(at)), pa.array(d1), pa.array(d2), pa.array(tokens, pa.list_(pa.int64())), pa.array(shared, pa.float64()), pa.array(bits, pa.binary())],
+                ["doc_id", "n", "d1", "d2", "tokens", "shared", "bits"],
             )
 
     rows = materialize(docs.mapInArrow(features, _SETS), "sets")
     kind = ["n", "d1", "d2"]
     classes = materialize(rows.filter("n > 0 and doc_id is not null").groupBy(*kind).agg(F.min("doc_id").alias("v"), F.min(F.when(F.col("tokens").isNotNull(), F.col("doc_id"))).alias("doc_id")), "classes")
     # one row for each different set that can have a partner
-    vertices = materialize(rows.filter("tokens is not null").join(classes, ["doc_id", *kind]).select("v", "n", "tokens", "bits", "items").dropDuplicates(["v"]), "vertices")
+    known = rows.filter("tokens is not null").join(classes, ["doc_id", *kind]).select("v", *kind, "tokens", "shared", "bits").dropDuplicates(["v", *kind])
+    known = materialize(known, "vertices")
+    vertices = known.drop("tokens")
+    # of shingles with the same documents one is enough; those of one document are none
+    each = known.select(F.explode("tokens").alias("token"), "v", "n", "shared")
+    same = each.groupBy("token").agg(F.count("v").alias("c"), F.bit_xor(F.xxhash64("v")).alias("x"), F.bit_xor(F.xxhash64("v", F.lit(1))).alias("y"))
+    one = same.filter("c > 1").groupBy("c", "x", "y").agg(F.min("token").alias("token")).select("token")
+    # nor are rows whose neighbours by size are too small or too large
+    w = Window.partitionBy("token").orderBy("n", "v")
+    p, q = F.lit(t.numerator), F.lit(t.denominator)
+    near = (q * F.lag("n").over(w) >= p * F.col("n")) | (q * F.col("n") >= p * F.lead("n").over(w))
+    lead = F.max(F.struct("shared", (-F.col("v")).alias("v"), "n")).over(Window.partitionBy("token"))
+    sized = each.join(one, "token").withColumns({"near": near, "lead": lead}).filter("near")
+    postings = materialize(sized.select("token", "v", "n", (-F.col("lead.v")).alias("first"), F.col("lead.n").alias("m")), "postings")
     fits = _Fits(t)
 
-    def meet(labelled: DataFrame, pairs) -> DataFrame:
-        each = labelled.select(F.explode("tokens").alias("token"), "n", "v", "part", "bits")
-        ordered = each.repartition(max(8, parallelism(spark)), "token").sortWithinPartitions("token", "n", "v")
-        return ordered.mapInArrow(lambda batches: _emit(pairs(batches)), "a long, b long").distinct()
+    def with_first() -> DataFrame:
+        """Every vertex with the one of its tile that shares the largest part of its prefix."""
+        sizes = (q * F.col("n") >= p * F.col("m")) & (q * F.col("m") >= p * F.col("n"))
+        pairs = postings.filter((F.col("v") != F.col("first")) & sizes).select(F.least("v", "first").alias("a"), F.greatest("v", "first").alias("b")).distinct()
+        for side in ("a", "b"):
+            pairs = pairs.join(vertices.select(F.col("v").alias(side), F.col("n").alias("n" + side), F.col("bits").alias("x" + side)), side)
 
-    def with_first(batches):
-        for rows in _tiles(batches):
-            n0, v0, _, bits0 = rows[0]
-            for n, v, _, bits in rows[1:]:
-                if fits.q * n0 < fits.p * n:
-                    n0, v0, bits0 = n, v, bits
-                elif v != v0 and fits(n0, bits0, n, bits):
-                    yield v0, v
+        def run(batches):
+            for rows in batches:
+                x, y = ([(int.from_bytes(z, "little"), 8 * len(z)) for z in rows.column(c).to_pylist()] for c in ("xa", "xb"))
+                ok = pa.array([fits(*r) for r in zip(rows.column("na").to_pylist(), x, rows.column("nb").to_pylist(), y)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([rows.column("a").filter(ok), rows.column("b").filter(ok)], ["a", "b"])
+
+        return materialize(pairs.mapInArrow(run, "a long, b long"), "pairs")
+
+    def meet(labels: DataFrame) -> DataFrame:
+        """Pairs of different components that share a prefix shingle and pass the bounds."""
+        met = postings.select("token", "v").join(labels, "v", "left").withColumn("part", F.coalesce("label", "v")).drop("label")
+        several = met.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo <> hi").select("token")
+        met = met.join(several, "token").join(vertices.select("v", "n", "bits"), "v").select("token", "n", "v", "part", "bits")
+        ordered = met.repartition(max(8, parallelism(spark)), "token").sortWithinPartitions("token", "n", "v")
+        return materialize(ordered.mapInArrow(lambda batches: _emit(across(batches)), "a long, b long").distinct(), "pairs")
 
     def across(batches):
         for rows in _tiles(batches):
@@ -249,8 +280,33 @@ def similar_groups(docs: DataFrame, shingle: int = 5, threshold: str = "0.8") ->
                     if part != other and fits(n, bits, m, more):
                         yield v, w
 
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        """v, items: the sorted sets of what is in pairs; a bitmap of their ids spares the others' texts."""
+        need = materialize(pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct(), "need")
+
+        def ids(batches):
+            for b in batches:
+                yield mix(b.column(0).to_numpy().view(np.uint64))
+
+        wanted = sc.broadcast(repeated(need, ids, bits_for(need.count()), 1))
+
+        def run(batches):
+            for b in batches:
+                v = pc.fill_null(b.column("doc_id"), 0).to_numpy()
+                b = b.filter(pc.and_(pa.array(wanted.value(mix(v.view(np.uint64)))), pc.is_valid(b.column("doc_id"))))
+                for lo, hi, buf, offs in slices(b.column("text")):
+                    items, at = shingle_sets(buf, offs, shingle)
+                    d1, d2 = _digests(items, at)
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column("doc_id").slice(lo, hi - lo), pa.array(d1), pa.array(d2), pa.array([items[x:y].tobytes() for x, y in zip(at[:-1], at[1:])], pa.binary())],
+                        ["v", "d1", "d2", "items"],
+                    )
+
+        sets = docs.mapInArrow(run, "v long, d1 long, d2 long, items binary")
+        return materialize(sets.join(vertices.join(need, "v").select("v", "d1", "d2"), ["v", "d1", "d2"]).select("v", "items").dropDuplicates(["v", "items"]), "items")
+
     def verify(pairs: DataFrame) -> DataFrame:
-        sets = vertices.select("v", "items")
+        sets = sets_of(pairs)
         met = pairs.join(sets.select(F.col("v").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("v").alias("b"), F.col("items").alias("y")), "b")
 
         def run(batches):
@@ -266,10 +322,9 @@ def similar_groups(docs: DataFrame, shingle: int = 5, threshold: str = "0.8") ->
 
         return materialize(met.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
 
-    links = verify(meet(vertices.withColumn("part", F.col("v")), with_first))
+    links = verify(with_first())
     labels = components(links)
-    labelled = vertices.select("v", "n", "tokens", "bits").join(labels, "v", "left").withColumn("part", F.coalesce("label", "v"))
-    more = verify(meet(labelled, across))
+    more = verify(meet(labels))
     if not more.isEmpty():
         labels = components(links.union(more))
 

@@ -47,7 +47,7 @@ def _decode(blob: bytes) -> np.ndarray:
 
 
 class Repeated:
-    """Tells which hashes were counted twice or more, by both rows of cells."""
+    """Tells which hashes were counted often enough, by both rows of cells."""
 
     def __init__(self, bits: int, rows: list[np.ndarray]):
         self.bits, self.rows = bits, rows
@@ -60,8 +60,8 @@ class Repeated:
         return out
 
 
-def repeated(docs: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], bits: int) -> Repeated:
-    """Sketch what ``hashes`` yields for the batches of each partition of ``docs``."""
+def repeated(docs: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], bits: int, least: int = 2) -> Repeated:
+    """Sketch what ``hashes`` yields for the batches of each partition of ``docs``; least: 1 or 2 counts."""
     shard_cells = bits - SHARD_BITS
 
     def build(batches):
@@ -104,7 +104,7 @@ def repeated(docs: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Itera
                 n[c] = np.minimum(n[c] + 1, 2)
                 n[_decode(two.tobytes())] = 2
         for s, n in counts.items():
-            yield batch(_OUT, [s], [np.packbits(n >= 2).tobytes()])
+            yield batch(_OUT, [s], [np.packbits(n >= least).tobytes()])
 
     merged = (
         docs.mapInArrow(build, "shard long, blob binary")
