@@ -51,13 +51,10 @@ def text_bytes(docs: DataFrame) -> int:
     return int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, rid, text; whatever else the table holds is left out."""
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.xxhash64("doc_id", "text").alias("rid"),
-        F.col("text"),
-    )
+def keyed(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """doc_id, rid, text; all columns of the table as ``_rest`` if carried, else whatever else it holds is left out."""
+    out = [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("rid"), F.col("text")]
+    return docs.select(*out, *([F.struct(*(c for c in docs.columns if c != "text")).alias("_rest")] if carry else []))
 
 
 def fan_out(spark: SparkSession, total_bytes: int, per: int, most: int = 1 << 16) -> int:

@@ -118,11 +118,18 @@ def cover_rows(ids, rids, start, end, groups: int, buckets: int):
 def find_repeats(
     docs: DataFrame, total_bytes: int, items: Callable, resolve: Callable, finish: Callable, schema: str, bucket_bytes: int = 2 << 20
 ) -> DataFrame:
-    """items(batches, groups, buckets) -> rows (bucket, kind, blob); resolve(blobs) -> (ids, rids, start, end) covered;
-    finish(ids, rids, texts, spans) -> columns of ``schema`` after doc_id."""
-    spark = docs.sparkSession
+    """Of rows (doc_id, rid, text) and perhaps _rest, which is handed through.
+
+    items(batches, groups, buckets) -> rows (bucket, kind, blob); resolve(blobs) -> (ids, rids, start, end) covered;
+    finish(ids, rids, texts, spans) -> columns of ``schema`` after doc_id.
+    """
+    spark, carry = docs.sparkSession, "_rest" in docs.columns
+    if carry:
+        schema += f", _rest {docs.schema['_rest'].dataType.simpleString()}"
     buckets, groups = fan_out(spark, total_bytes, bucket_bytes), fan_out(spark, total_bytes, 1 << 20)
 
+    names = [x.split()[0] for x in schema.split(", _rest")[0].split(",")]
+
     def send(batches):
         rows, size = [], 0
         for row in items(batches, groups, buckets):
@@ -160,12 +167,11 @@ def find_repeats(
         lo, hi = np.searchsorted(key, want, "left"), np.searchsorted(key, want, "right")
         texts = [x.as_py() or "" for x in d.column("text")]
         cols = [finish(t, start[a:b].astype(np.int64), end[a:b].astype(np.int64)) for t, a, b in zip(texts, lo, hi)]
-        names = [x.split()[0] for x in schema.split(",")]
         data = {"doc_id": d.column("doc_id")} | {n: [c[i] for c in cols] for i, n in enumerate(names[1:])}
-        return pa.table(data)
+        return pa.table(data | ({"_rest": d.column("_rest")} if carry else {}))
 
     covered = (
-        docs.mapInArrow(send, "bucket long, kind byte, blob binary")
+        docs.select("doc_id", "rid", "text").mapInArrow(send, "bucket long, kind byte, blob binary")
         .groupBy("bucket")
         .applyInArrow(settle, "grp long, blob binary")
     )

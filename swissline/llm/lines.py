@@ -56,9 +56,9 @@ def _chunks(buf, offs, roll, divisor):
     return mix(_LINES.spans(_LINES.prefix(h), at, to)), rows[at], line[at], line[at] + to - at, starts[at], ends[to - 1]
 
 
-def dedup_lines(docs: DataFrame, roll: int = 3, divisor: int = 4) -> DataFrame:
-    """doc_id, n_lines, n_removed, kept_text of each row of ``docs`` (doc_id, text)."""
-    docs = keyed(docs)
+def dedup_lines(docs: DataFrame, roll: int = 3, divisor: int = 4, carry: bool = False) -> DataFrame:
+    """doc_id, n_lines, n_removed, kept_text of each row of ``docs`` (doc_id, text); carry: also its other columns, in ``_rest``."""
+    docs = keyed(docs, carry)
     total = text_bytes(docs)
 
     def hashes(batches):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from swissline.llm.jaccard import op9_jaccard_groups
+from swissline.llm.language_model import op4_recurrent_scores
 from swissline.llm.lines import op6_line_dedup
 from swissline.llm.media import op10_media_sequences
 from swissline.llm.mixing import op1_pfair_mixing
@@ -10,10 +11,13 @@ from swissline.llm.packing import op8_deficit_packing
 from swissline.llm.quality import op5_quality_repetition
 from swissline.llm.substring import op3_substring_dedup
 from swissline.llm.suffix_dedup import op7_suffix_dedup
+from swissline.llm.toxicity import op2_toxicity_lexicon
 
 QUERIES = {
     "op1_pfair_mixing": op1_pfair_mixing,
+    "op2_toxicity_lexicon": op2_toxicity_lexicon,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_recurrent_scores": op4_recurrent_scores,
     "op5_quality_repetition": op5_quality_repetition,
     "op6_line_dedup": op6_line_dedup,
     "op7_suffix_dedup": op7_suffix_dedup,
