@@ -157,9 +157,8 @@ add("bt_theta", on_matches(ratings.bradley_terry))
 add("bt_theta_by_map", on_matches(lambda m: ratings.bradley_terry(m, "map", ridge=4.0)))
 
 # ---------------------------------------------------------------- market
-O1, O2 = F.col("odds1"), F.col("odds2")
-add("devig_multiplicative", on_matches(lambda m: m.select("match_id", market.devig_multiplicative(O1, O2).alias("p1"), (1 / O1 + 1 / O2 - 1).alias("overround"))), "SELECT match_id, (1 / odds1) / (1 / odds1 + 1 / odds2) AS p1, 1 / odds1 + 1 / odds2 - 1 AS overround FROM m", "p1 overround", MATCH_SQL)
-add("devig_shin", on_matches(lambda m: m.select("match_id", market.devig_shin(O1, O2).alias("p1"))), """
+add("devig_multiplicative", on_matches(lambda m: m.select("match_id", market.devig_multiplicative(F.col("odds1"), F.col("odds2")).alias("p1"), (1 / F.col("odds1") + 1 / F.col("odds2") - 1).alias("overround"))), "SELECT match_id, (1 / odds1) / (1 / odds1 + 1 / odds2) AS p1, 1 / odds1 + 1 / odds2 - 1 AS overround FROM m", "p1 overround", MATCH_SQL)
+add("devig_shin", on_matches(lambda m: m.select("match_id", market.devig_shin(F.col("odds1"), F.col("odds2")).alias("p1"))), """
     SELECT match_id, CASE WHEN z > 0 AND z < 1 THEN p / (p + q) ELSE a / s END AS p1 FROM (
       SELECT *, (sqrt(z * z + 4 * (1 - z) * a * a / s) - z) / (2 * (1 - z)) AS p, (sqrt(z * z + 4 * (1 - z) * b * b / s) - z) / (2 * (1 - z)) AS q FROM (
         SELECT match_id, a, b, a + b AS s, CASE WHEN ((a + b - 1) * ((a - b) * (a - b) - (a + b))) / ((a + b) * ((a - b) * (a - b) - 1)) BETWEEN 0 AND 0.999999 THEN ((a + b - 1) * ((a - b) * (a - b) - (a + b))) / ((a + b) * ((a - b) * (a - b) - 1)) ELSE 0 END AS z FROM (SELECT match_id, 1 / odds1 AS a, 1 / odds2 AS b FROM m)))""", "p1", MATCH_SQL)
@@ -173,7 +172,7 @@ add("series_win_prob", on_forecasts(lambda f: f.select("match_id", market.series
 add("score_distribution", on_forecasts(lambda f: market.score_distribution(f, "p", "match_id")), """
     SELECT match_id, '2-0' AS score, p * p AS probability FROM f UNION ALL SELECT match_id, '2-1', 2 * p * p * (1 - p) FROM f UNION ALL SELECT match_id, '1-2', 2 * p * (1 - p) * (1 - p) FROM f UNION ALL SELECT match_id, '0-2', (1 - p) * (1 - p) FROM f""", "probability", F_SQL)
 add("american_odds", lambda s, d: read(s, d, "customer").select("c_custkey", keys.american_to_decimal((F.col("c_custkey") % 7 - 3) * 110).alias("odds")), "SELECT c_custkey, CASE WHEN a > 0 THEN 1 + a / 100 WHEN a < 0 THEN 1 + 100 / abs(a) END AS odds FROM (SELECT c_custkey, ((c_custkey % 7 - 3) * 110)::DOUBLE AS a FROM customer)", "odds")
-add("kelly_exposure_cap", lambda s, d: market.exposure_cap(match_view(s, d).selectExpr("match_id", "day", "odds1", "0.05D + 0.9D * ((match_id * 37) % 101) / 101D as p").withColumn("stake", market.kelly(F.col("p"), O1)), "stake", 0.25, "day").select("match_id", "stake", "capped"), """
+add("kelly_exposure_cap", lambda s, d: market.exposure_cap(match_view(s, d).selectExpr("match_id", "day", "odds1", "0.05D + 0.9D * ((match_id * 37) % 101) / 101D as p").withColumn("stake", market.kelly(F.col("p"), F.col("odds1"))), "stake", 0.25, "day").select("match_id", "stake", "capped"), """
     SELECT match_id, stake, CASE WHEN t > 0.25 THEN stake * 0.25 / t ELSE stake END AS capped FROM (SELECT *, sum(stake) OVER (PARTITION BY day) AS t FROM (
       SELECT m.match_id, m.day, greatest((p * odds1 - 1) / (odds1 - 1), 0) * 0.5 AS stake FROM m JOIN f USING (match_id)))""", "stake capped", F_SQL)
 add("candidate_maps", on_matches(lambda m: market.candidate_maps(form.team_profile(long_form(m)), m.select("match_id", "team1", "team2"))), """
