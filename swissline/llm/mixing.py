@@ -9,7 +9,8 @@ many slots repeats, and a source that has run out leaves its share to the
 others: no row is dropped or doubled.
 
 Defined cases: a null source is a source of its own; repeated rows are placed
-each; null ids and texts are kept; further columns are carried along.
+each; null ids and texts are kept; further columns are carried along, but for
+ones named like the three that are added, which are replaced.
 """
 
 from __future__ import annotations
@@ -50,12 +51,12 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, smoothing: float =
 
     weights: target of each source; None: its number of rows to the power ``smoothing``.
     """
-    spark, columns = docs.sparkSession, docs.columns
-    keyed = docs.withColumns({"_source": source_key(), "_order": F.xxhash64(F.lit(seed), "doc_id")})
+    spark, added = docs.sparkSession, ("mix_block", "mix_slot", "mix_position")
+    docs = docs.drop(*added)
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), source_key().alias("_source"), F.xxhash64(F.lit(seed), "doc_id").alias("_order"))
     ordered = keyed.repartitionByRange(2 * parallelism(spark), "_source", "_order").sortWithinPartitions("_source", "_order")
-    schema = T.StructType([*docs.schema.fields, T.StructField("_source", T.StringType()), T.StructField("_task", T.IntegerType()), T.StructField("_local", T.LongType()), T.StructField("_one", T.LongType())])
-
-    names_out = schema.names
+    row = keyed.schema["_row"]
+    schema = T.StructType([row, T.StructField("_source", T.StringType()), T.StructField("_task", T.IntegerType()), T.StructField("_local", T.LongType()), T.StructField("_one", T.LongType())])
 
     def number(batches):
         task, seen = TaskContext.get().partitionId(), {}
@@ -66,8 +67,7 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, smoothing: float =
                 seen[s] = local[-1] + 1
             n = b.num_rows
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(c) for c in columns), b.column("_source"), pa.array([task] * n, pa.int32()), pa.array(local, pa.int64()), pa.array([1] * n, pa.int64())],
-                names_out,
+                [b.column("_row"), b.column("_source"), pa.array([task] * n, pa.int32()), pa.array(local, pa.int64()), pa.array([1] * n, pa.int64())], ["_row", "_source", "_task", "_local", "_one"]
             )
 
     rows, totals = offsets(materialize(ordered.mapInArrow(number, schema), "mixing"), "_one")
@@ -89,7 +89,7 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, smoothing: float =
 
     short = sorted((int(slot_of(i, np.array([blocks[i] - 1]))[0]), int(blocks[i] * block - amount[i])) for i in range(len(names)))
     short_at, short_by = np.array([x[0] for x in short]), np.cumsum([0, *(x[1] for x in short)])
-    final = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in ("mix_block", "mix_slot", "mix_position"))])
+    final = T.StructType([row, *(T.StructField(c, T.LongType()) for c in added)])
 
     def place(batches):
         for b in batches:
@@ -99,9 +99,9 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, smoothing: float =
             for i in np.unique(s):
                 slot[s == i] = slot_of(int(i), number[s == i])
             position = slot * block + rank % block - short_by[np.searchsorted(short_at, slot)]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), *map(pa.array, (number, slot, position))], [*columns, "mix_block", "mix_slot", "mix_position"])
+            yield pa.RecordBatch.from_arrays([b.column("_row"), *map(pa.array, (number, slot, position))], ["_row", *added])
 
-    return rows.mapInArrow(place, final)
+    return rows.mapInArrow(place, final).select("_row.*", *added)
 
 
 def op1_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

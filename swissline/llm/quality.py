@@ -10,8 +10,8 @@ from ``least`` words on, are united. A text fails if they cover more than
 and than ``longest_share`` of the text.
 
 Defined cases: a null text has no words; texts without words fail by the base
-rule; repeated rows and a null doc_id are kept as they are; columns other than
-doc_id and text are ignored.
+rule; repeated rows and a null doc_id are kept as they are; other columns are
+carried along, but for _q, _base_failed and _kept, which are replaced.
 """
 
 from __future__ import annotations
@@ -125,7 +125,7 @@ def measure(docs: DataFrame, least: int = 6) -> DataFrame:
 
 def judged(docs: DataFrame, least: int = 6, most_covered: float = 0.3, longest: int = 40, longest_share: float = 0.1) -> DataFrame:
     """``docs`` with the struct ``_q`` of figures, base_failed and kept."""
-    q = measure(docs, least)
+    q = measure(docs.drop("_q", "_base_failed", "_kept"), least)
     base = (F.col("_q.n_words") < 50) | (100 * F.col("_q.n_repeat_words") > 50 * F.col("_q.n_words"))
     repetitive = (F.col("_q.n_covered_words") > most_covered * F.col("_q.n_words")) | (
         (F.col("_q.longest_repeat") > longest) & (F.col("_q.longest_repeat") > longest_share * F.col("_q.n_words"))
