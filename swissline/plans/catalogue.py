@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from swissline.functions import keys
-from swissline.operators import backtest, cleaning, evaluate, form, joins, market, ratings, splits, store, swiss
+from swissline.operators import backtest, cleaning, evaluate, features, form, joins, market, ratings, splits, store, swiss
+from swissline.plans import forecast
 from swissline.plans.registry import register
 from swissline.sources import pages
 from swissline.sources.matches import LONG_SQL, MATCH_SQL, long_form, match_view, read
@@ -257,3 +258,22 @@ add("upsert_last_wins", on_matches(lambda m: store.upsert(_versions(m)).select("
 add("dataset_manifest", on_matches(store.manifest), "SELECT count(*) AS n_rows, min(day) AS first_day, max(day) AS last_day, (SELECT count(DISTINCT team) FROM l) AS n_teams FROM m", "", LONG_SQL)
 add("page_links", lambda s, d: pages.links(read(s, d, "pages")), "SELECT page_id, len(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS n_links, md5(url) AS url_md5 FROM pages")
 add("event_props", lambda s, d: pages.props(read(s, d, "events"), "k long").select("event_id", F.col("props.k").alias("k")), "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+
+# ---------------------------------------------------------------- features, models, reports
+add("feature_differences", on_matches(lambda m: features.differences(m, ["v", "odds", "score"])), "SELECT match_id, v1 - v2 AS v_diff, odds1 - odds2 AS odds_diff, (score1 - score2)::DOUBLE AS score_diff FROM m", "v_diff odds_diff score_diff", MATCH_SQL)
+add("aligned_rows", on_matches(lambda m: features.swapped(m.selectExpr("match_id", "team1", "team2", "odds1", "odds2", "1 / odds1 as p"), ["team", "odds"], F.col("team1") > F.col("team2"))), """
+    SELECT match_id, least(team1, team2) AS team1, greatest(team1, team2) AS team2, CASE WHEN team1 > team2 THEN odds2 ELSE odds1 END AS odds1, CASE WHEN team1 > team2 THEN odds1 ELSE odds2 END AS odds2, CASE WHEN team1 > team2 THEN 1 - 1 / odds1 ELSE 1 / odds1 END AS p FROM m""", "odds1 odds2 p", MATCH_SQL)
+add("veto_features", on_matches(lambda m: m.withColumns({"a": keys.split_list(F.lit("click|view;De_error")), "b": keys.split_list(F.concat(F.col("map"), F.lit(",view")))}).select("match_id", *(v.alias(k) for k, v in features.veto_features(F.col("a"), F.col("b"), F.col("b"), F.col("a"), F.col("map"), F.col("match_id") % 2 == 0).items()))), """
+    SELECT match_id, CASE WHEN e THEN 5.0::DOUBLE ELSE 0 END AS n_bans, CASE WHEN e THEN len(list_distinct(list_intersect(a, b)))::DOUBLE ELSE 0 END AS shared_bans, CASE WHEN e THEN 1.0::DOUBLE ELSE 0 END AS picked, CASE WHEN e THEN 1.0::DOUBLE - list_contains(a, map)::INT ELSE 0 END AS own_pick
+    FROM (SELECT match_id, map, match_id % 2 = 0 AS e, ['click', 'view', 'error'] AS a, [map, 'view'] AS b FROM m)""", "n_bans shared_bans picked own_pick", MATCH_SQL)
+add("probability_bins", on_forecasts(lambda f: f.groupBy(F.least(F.lit(9), F.floor(F.col("p") * 10)).cast("long").alias("bin")).agg(F.count("*").alias("n"))), "SELECT CAST(least(9, floor(p * 10)) AS BIGINT) AS bin, count(*) AS n FROM f GROUP BY bin", "", F_SQL)
+add("market_fusion_report", on_forecasts(lambda f: f.withColumn("fused", market.logit_pool(F.col("p"), F.col("market"), 0.3)).agg(*(F.avg(evaluate.log_loss(F.col(c), F.col("label"))).alias(c) for c in ("p", "market", "fused")), F.count("*").alias("n"))), """
+    SELECT avg(-CASE WHEN label = 1 THEN ln(p) ELSE ln(1 - p) END) AS p, avg(-CASE WHEN label = 1 THEN ln(market) ELSE ln(1 - market) END) AS market, avg(-CASE WHEN label = 1 THEN ln(u) ELSE ln(1 - u) END) AS fused, count(*) AS n
+    FROM (SELECT *, 1 / (1 + exp(-(0.3 * ln(p / (1 - p)) + 0.7 * ln(market / (1 - market))))) AS u FROM f)""", "p market fused", F_SQL)
+add("profit_loss", on_matches(lambda m: m.agg(F.sum(F.when(F.col("winner") == F.col("team1"), F.col("odds1") - 1).otherwise(F.lit(-1.0))).alias("profit"), F.count("*").alias("bets"))), "SELECT sum(CASE WHEN winner = team1 THEN odds1 - 1 ELSE -1 END) AS profit, count(*) AS bets FROM m", "profit", MATCH_SQL)
+add("pair_probability_grid", lambda s, d: s.createDataFrame([(i, x) for i, x in enumerate(STRENGTHS)], "a long, x double").join(s.createDataFrame([(i, x) for i, x in enumerate(STRENGTHS)], "b long, y double"), F.col("a") != F.col("b")).select("a", "b", F.least(F.greatest(0.5 + (F.col("x") - F.col("y")) * 0.8, F.lit(0.06)), F.lit(0.94)).alias("p")),
+    "SELECT a, b, least(greatest(0.5 + (b - a) / 16.0::DOUBLE * 0.8, 0.06), 0.94) AS p FROM range(16) s(a), range(16) t(b) WHERE a <> b", "p")
+add("match_types", on_matches(lambda m: m.selectExpr("match_id", "match_id % 4 as wins1", "match_id % 3 as wins2", "(match_id div 5) % 3 as losses1", "(match_id div 7) % 3 as losses2").select("match_id", swiss.match_type().alias("kind"))), """
+    SELECT match_id, CASE WHEN match_id % 4 = 2 AND match_id % 3 = 2 THEN 'advancement' WHEN (match_id // 5) % 3 = 2 AND (match_id // 7) % 3 = 2 THEN 'elimination' ELSE 'standard' END AS kind FROM m""", "", MATCH_SQL)
+add("decision_summary", on_forecasts(lambda f: f.groupBy(backtest.pick(0.05).alias("pick")).agg(F.count("*").alias("n"), F.avg(backtest.margin()).alias("margin"))), "SELECT CASE WHEN greatest(p, 1 - p) <= 0.55::DOUBLE THEN 'avoid' WHEN p > 0.5 THEN 'team1' ELSE 'team2' END AS pick, count(*) AS n, avg(abs(p - 0.5)) AS margin FROM f GROUP BY pick", "margin", F_SQL)
+add("forecast_decisions", forecast.decisions)

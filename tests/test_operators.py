@@ -64,3 +64,36 @@ def test_version_log_and_text(spark):
     lines = spark.createDataFrame([("2024-01-02,v1",), ("# note",), ("2024-02-03 v2 # x",), ("bad",)], "value string")
     assert [(str(r.date), r.tag) for r in pages.version_log(lines).orderBy("date").collect()] == [("2024-01-02", "v1"), ("2024-02-03", "v2")]
     assert spark.range(1).select(pages.strip_tags(F.lit("<p>A &amp; <b>B</b>\n</p>")).alias("x")).first().x == "A & B"
+
+
+def test_csv_feed_and_sinks(spark, tmp_path):
+    from swissline.sources import feeds
+
+    (tmp_path / "t.csv").write_text("team,rank,rating\nA,12.7,1.5\nB,,x\n")
+    got = {r.team: (r["rank"], r.rating, r._corrupt) for r in feeds.read_csv(spark, str(tmp_path / "t.csv"), ["team", "rank", "rating"]).collect()}
+    assert got == {"A": (12, 1.5, 0), "B": (None, None, 1)}
+    seeded = feeds.with_seeds(spark.createDataFrame([("A",), ("B",)], "team string"), "team").collect()
+    assert [(r.team, r.seed, r.strength) for r in seeded] == [("A", 1, 1.0), ("B", 2, 0.5)]
+    feeds.write_csv(spark.createDataFrame([(1, ["a", "b"])], "i int, l array<string>"), str(tmp_path / "out"))
+    assert spark.read.csv(str(tmp_path / "out"), header=True).first().l == "a|b"
+
+
+def test_platt_undoes_a_distortion(spark):
+    from swissline.operators import model
+
+    rng = np.random.default_rng(2)
+    z = rng.normal(0, 1.5, 6000)
+    y = (rng.random(6000) < 1 / (1 + np.exp(-z))).astype(int)
+    df = spark.createDataFrame([(float(1 / (1 + np.exp(-2 * x - 0.5))), int(k)) for x, k in zip(z, y)], "p double, label int")
+    a, b = model.platt(df)
+    assert abs(a - 0.5) < 0.07 and abs(b + 0.25) < 0.12 and abs(model.temperature(df) - 0.5) < 0.1
+
+
+def test_stream_drops_repeats(spark, tmp_path):
+    from swissline.streaming import ingest
+
+    rows = spark.createDataFrame([("2024-01-01 00:00:00", "u1", 1, 2, "m", 1, 1), ("2024-01-01 01:00:00", "u1", 1, 2, "m", 1, 1), ("2024-01-02 00:00:00", None, 2, 1, "m", 1, 2)], "t string, url string, team1 int, team2 int, map string, best_of int, day int")
+    rows.withColumn("ts", F.to_timestamp("t")).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(spark.read.parquet(str(tmp_path / "in")).schema).parquet(str(tmp_path / "in"))
+    ingest.upsert_into(ingest.first_seen(stream), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(60)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
