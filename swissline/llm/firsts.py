@@ -20,12 +20,52 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from swissline.llm.common import batch, by_key, fan_out, ids_of, pack, slices, unpack, unpack_all
+from swissline.llm.common import batch, by_key, fan_out, ids_of, pack, slices, unpack_all
 from swissline.llm.sketch import Repeated
 
 CHUNK = 24 << 20
 _ROW = pa.schema([("bucket", pa.int64()), ("kind", pa.int8()), ("blob", pa.binary())])
-_COVER = (np.int64, np.int64, np.uint32, np.uint32)
+
+
+def pack_runs(ids: np.ndarray, rids: np.ndarray, *others: np.ndarray) -> bytes:
+    """Arrays whose neighbours are mostly of one row: ids once for each run."""
+    new = np.ones(len(ids), bool)
+    new[1:] = (ids[1:] != ids[:-1]) | (rids[1:] != rids[:-1])
+    at = np.flatnonzero(new)
+    return pack(ids[at], rids[at], np.diff(np.append(at, len(ids))).astype(np.uint32), *others)
+
+
+def unpack_runs(blobs, *kinds) -> list[np.ndarray]:
+    """ids, rids and the other arrays of many blobs."""
+    ids, rids, n, *others = unpack_all(blobs, np.int64, np.int64, np.uint32, *kinds)
+    return [np.repeat(ids, n), np.repeat(rids, n), *others]
+
+
+def _pack_cover(ids, rids, start, end) -> bytes:
+    s = np.lexsort((start, rids, ids))
+    return pack_runs(ids[s], rids[s], start[s].astype(np.uint32), (end[s] - start[s]).astype(np.uint32))
+
+
+def _unpack_cover(blobs):
+    ids, rids, start, size = unpack_runs(blobs, np.uint32, np.uint32)
+    return ids, rids, start.astype(np.int64), start.astype(np.int64) + size
+
+
+def joined(ids, rids, start, end):
+    """Overlapping and touching stretches of a row as one."""
+    s = np.lexsort((end, start, rids, ids))
+    ids, rids, start, end = ids[s], rids[s], start[s].astype(np.int64), end[s].astype(np.int64)
+    if not len(s):
+        return ids, rids, start, end
+    row = np.ones(len(s), bool)
+    row[1:] = (ids[1:] != ids[:-1]) | (rids[1:] != rids[:-1])
+    n = np.cumsum(row) << 33
+    reach = np.maximum.accumulate(n + end)
+    new = row.copy()
+    new[1:] |= (n + start)[1:] > reach[:-1]
+    at = np.flatnonzero(new)
+    last = np.append(at[1:], len(s)) - 1
+    return ids[at], rids[at], start[at], reach[last] - n[last]
 
 
 def inside(n: int, bounds: np.ndarray, k: int) -> np.ndarray:
@@ -89,7 +129,7 @@ class Chunk:
         # repeated rows are one document
         same = np.zeros(self.rows, bool)
         same[1:] = (self.ids[order][1:] == self.ids[order][:-1]) & (self.rids[order][1:] == self.rids[order][:-1])
-        self.rank[order] -= np.maximum.accumulate(np.where(same, 0, np.arange(self.rows))) * 0 + np.cumsum(same)
+        self.rank[order] -= np.cumsum(same)
 
 
 def chunks(batches, work: Callable):
@@ -111,8 +151,9 @@ def chunks(batches, work: Callable):
 
 def cover_rows(ids, rids, start, end, groups: int, buckets: int):
     """Rows that carry covered stretches through the buckets."""
+    ids, rids, start, end = joined(ids, rids, start, end)
     for bucket, p in by_key((rids % groups) % buckets):
-        yield int(bucket), 1, pack(ids[p], rids[p], start[p].astype(np.uint32), end[p].astype(np.uint32))
+        yield int(bucket), 1, _pack_cover(ids[p], rids[p], start[p], end[p])
 
 
 def find_repeats(
@@ -145,17 +186,17 @@ def find_repeats(
         kinds = t.column("kind").to_pylist()
         blobs = [x.as_buffer() for x in t.column("blob")]
         own = resolve([b for b, k in zip(blobs, kinds) if k == 0])
-        passed = unpack_all([b for b, k in zip(blobs, kinds) if k == 1], *_COVER)
-        ids, rids, start, end = (np.concatenate([x, y.astype(x.dtype)]) for x, y in zip(passed, own))
+        passed = _unpack_cover([b for b, k in zip(blobs, kinds) if k == 1])
+        ids, rids, start, end = joined(*(np.concatenate([x, y.astype(x.dtype)]) for x, y in zip(passed, own)))
         groups_, out = [], []
         for g, p in by_key(rids % groups):
             groups_.append(int(g))
-            out.append(pack(ids[p], rids[p], start[p], end[p]))
+            out.append(_pack_cover(ids[p], rids[p], start[p], end[p]))
         return pa.table({"grp": pa.array(groups_, pa.int64()), "blob": pa.array(out, pa.binary())})
 
     def last(d: pa.Table, c: pa.Table) -> pa.Table:
         d = d.combine_chunks()
-        cover = unpack_all([x.as_buffer() for x in c.column("blob")], *_COVER)
+        cover = _unpack_cover([x.as_buffer() for x in c.column("blob")])
         order = np.lexsort((cover[1], cover[0]))
         ids, rids, start, end = (x[order] for x in cover)
         own = ids_of(d)

@@ -21,12 +21,12 @@ from itertools import compress
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from swissline.llm.common import Poly, by_key, keyed, mix, pack, rows_of, slices, table, text_bytes, unpack_all, words
-from swissline.llm.firsts import chunks, cover_rows, find_repeats, inside, mask, minima
+from swissline.llm.common import Poly, by_key, keyed, mix, rows_of, slices, table, text_bytes, words
+from swissline.llm.firsts import chunks, cover_rows, find_repeats, inside, mask, minima, pack_runs, unpack_runs
 from swissline.llm.sketch import bits_for, repeated
 
 _LETTERS, _WORDS, _LETTERS2, _WORDS2 = (Poly(s) for s in (301, 302, 303, 304))
-_ITEM = (np.uint64, np.uint64, np.int64, np.int64, np.uint32)
+_ITEM = (np.uint64, np.uint64, np.uint32)
 
 
 def _signatures(buf, offs, window, gram):
@@ -91,10 +91,10 @@ def dedup_windows(docs: DataFrame, window: int = 20, gram: int = 10) -> DataFram
             keep = np.sort(s[new])
             for bucket, p in by_key((f1[keep] >> np.uint64(20)) % np.uint64(buckets)):
                 p = keep[p]
-                yield int(bucket), 0, pack(f1[p], f2[p], chunk.ids[row[p]], chunk.rids[row[p]], pos[p].astype(np.uint32))
+                yield int(bucket), 0, pack_runs(chunk.ids[row[p]], chunk.rids[row[p]], f1[p], f2[p], pos[p].astype(np.uint32))
 
     def resolve(blobs):
-        f1, f2, ids, rids, pos = unpack_all(blobs, *_ITEM)
+        ids, rids, f1, f2, pos = unpack_runs(blobs, *_ITEM)
         s = np.lexsort((pos, rids, ids))
         order = np.empty(len(s), np.int64)
         new = np.ones(len(s), bool)
@@ -114,7 +114,7 @@ def dedup_windows(docs: DataFrame, window: int = 20, gram: int = 10) -> DataFram
             kept = list(compress(w, ~m))
         return len(w), removed, b" ".join(kept).decode()
 
-    return find_repeats(docs, total, items, resolve, finish, "doc_id long, n_words long, n_removed long, kept_text string")
+    return find_repeats(docs, total, items, resolve, finish, "doc_id long, n_words long, n_removed long, kept_text string", 8 << 20)
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
