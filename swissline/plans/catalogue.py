@@ -15,6 +15,7 @@ from swissline.plans.registry import register
 from swissline.sources import pages
 from swissline.sources.matches import LONG_SQL, MATCH_SQL, long_form, match_view, read
 
+TIE = 1e-9  # the engines round exact ties apart
 REFERENCE_DAY = 19_740  # 2024-01-18
 #: Forecasts of the match view: any smooth function of the row that both engines compute alike.
 FORECAST = (
@@ -32,7 +33,7 @@ def forecasts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rounded(df: DataFrame) -> DataFrame:
-    return df.select(*((F.round(c.name, 6) + 0.0).alias(c.name) if isinstance(c.dataType, DoubleType) else F.col(c.name) for c in df.schema))
+    return df.select(*((F.round(F.col(c.name) + TIE, 6) + 0.0).alias(c.name) if isinstance(c.dataType, DoubleType) else F.col(c.name) for c in df.schema))
 
 
 def _counts(sql: str) -> str:
@@ -49,7 +50,7 @@ def _counts(sql: str) -> str:
 def add(name: str, query: Callable, sql: str | None = None, doubles: str = "", base: str = "") -> None:
     """doubles: names of the result's double columns, rounded on both sides."""
     if sql:
-        replace = ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in doubles.split())
+        replace = ", ".join(f"round({c} + {TIE}, 6) + 0.0 AS {c}" for c in doubles.split())
         sql = (f"WITH {base} " if base else "") + f"SELECT * {f'REPLACE ({replace}) ' if replace else ''}FROM ({_counts(sql)}) q"
     register(name, sql)(lambda spark, d: rounded(query(spark, d)))
 
