@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from swissline.functions import keys
-from swissline.operators import backtest, cleaning, evaluate, features, form, joins, market, ratings, splits, store, swiss
+from swissline.operators import backtest, cleaning, evaluate, features, form, joins, market, ratings, readiness, splits, store, swiss
 from swissline.plans import forecast
 from swissline.plans.registry import register
 from swissline.sources import pages
@@ -278,3 +278,18 @@ add("match_types", on_matches(lambda m: m.selectExpr("match_id", "match_id % 4 a
     SELECT match_id, CASE WHEN match_id % 4 = 2 AND match_id % 3 = 2 THEN 'advancement' WHEN (match_id // 5) % 3 = 2 AND (match_id // 7) % 3 = 2 THEN 'elimination' ELSE 'standard' END AS kind FROM m""", "", MATCH_SQL)
 add("decision_summary", on_forecasts(lambda f: f.groupBy(backtest.pick(0.05).alias("pick")).agg(F.count("*").alias("n"), F.avg(backtest.margin()).alias("margin"))), "SELECT CASE WHEN greatest(p, 1 - p) <= 0.55::DOUBLE THEN 'avoid' WHEN p > 0.5 THEN 'team1' ELSE 'team2' END AS pick, count(*) AS n, avg(abs(p - 0.5)) AS margin FROM f GROUP BY pick", "margin", F_SQL)
 add("forecast_decisions", forecast.decisions)
+
+
+# ---------------------------------------------------------------- readiness and tickets
+def _shares(s: SparkSession) -> DataFrame:
+    return s.range(16).selectExpr("id as seed_no", "((id * 7) % 16) / 16D as p_30", "((id * 5) % 16) / 16D as p_03", "((id * 3) % 16) / 16D as p_advance")
+
+
+add("readiness_audit", on_matches(lambda m: readiness.audit(m, 400, 10, ("map", "tier"), 19_745)), """
+    SELECT 'rows' AS name, CAST(count(*) >= 400 AS INT) AS passed, CAST(count(*) AS VARCHAR) AS detail FROM m UNION ALL SELECT 'teams', CAST(count(DISTINCT team) >= 10 AS INT), CAST(count(DISTINCT team) AS VARCHAR) FROM l
+    UNION ALL SELECT 'winners', 1, '0' UNION ALL SELECT 'field_map', 1, '0' UNION ALL SELECT 'field_tier', 1, '0' UNION ALL SELECT 'recent', CAST(max(day) >= 19745 AS INT), CAST(max(day) AS VARCHAR) FROM m""", "", LONG_SQL)
+add("greedy_ticket", lambda s, d: readiness.ticket(_shares(s)), """
+    SELECT '3-0' AS category, id AS seed_no, p_30 AS p FROM a UNION ALL SELECT '0-3', id, p_03 FROM b UNION ALL SELECT 'advance', id, p_advance FROM c""", "p",
+    """s AS (SELECT id, ((id * 7) % 16) / 16.0::DOUBLE AS p_30, ((id * 5) % 16) / 16.0::DOUBLE AS p_03, ((id * 3) % 16) / 16.0::DOUBLE AS p_advance FROM range(16) t(id)),
+    a AS (SELECT * FROM s ORDER BY p_30 DESC, id LIMIT 2), b AS (SELECT * FROM s WHERE id NOT IN (SELECT id FROM a) ORDER BY p_03 DESC, id LIMIT 2),
+    c AS (SELECT * FROM s WHERE id NOT IN (SELECT id FROM a) AND id NOT IN (SELECT id FROM b) ORDER BY p_advance DESC, id LIMIT 6)""")
