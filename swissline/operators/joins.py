@@ -30,16 +30,48 @@ def merge_last(fixtures: DataFrame, intel: DataFrame, keys: list[str], order: st
 
 
 def player_window(long: DataFrame, players: DataFrame, days: int = 15) -> DataFrame:
-    """Players of the team with match day - days <= day < match day; an equal join on team and block of days, then the exact range."""
-    p = players.withColumn("_block", F.explode(F.array(F.expr(f"day div {days}"), F.expr(f"day div {days} + 1"))))
+    """Players of the team with match day - days <= day < match day. Rows are added up by team and day first, so a match meets
+    at most ``days`` of them, by an equal join on team and block of days and then the exact range."""
+    day = players.groupBy("team", "day").agg(
+        F.count("*").alias("n"), F.count("rating").alias("nr"), F.sum("rating").alias("sr"), F.max("rating").alias("star"), F.max("is_sub").alias("sub"), F.max_by("rating", "pid").alias("last")
+    )
+    p = day.withColumn("_block", F.explode(F.array(F.expr(f"day div {days}"), F.expr(f"day div {days} + 1"))))
     m = long.select("match_id", "side", "team", F.col("day").alias("on"), F.expr(f"day div {days}").alias("_block"))
     met = m.join(p, ["team", "_block"]).filter(f"day < on and day >= on - {days}")
     each = met.groupBy("match_id", "side").agg(
-        F.count("*").alias("n_players"), F.avg("rating").alias("rating"), F.max("rating").alias("star"), F.max("is_sub").alias("any_sub"), F.max_by("rating", F.struct("day", "pid")).alias("last_rating")
+        F.sum("n").alias("n_players"), (F.sum("sr") / F.nullif(F.sum("nr"), F.lit(0))).alias("rating"), F.max("star").alias("star"), F.max("sub").alias("any_sub"), F.max_by("last", "day").alias("last_rating")
     )
     return long.select("match_id", "side").join(each, ["match_id", "side"], "left").fillna({"n_players": 0})
 
 
+def merge_standings(fixtures: DataFrame, standings: DataFrame) -> DataFrame:
+    """Both sides' records of the stage, none played where there is no row; the round is one more than the longer record."""
+    side = lambda n: standings.select("stage", F.col("team").alias(f"team{n}"), F.col("wins").alias(f"wins{n}"), F.col("losses").alias(f"losses{n}"))
+    met = fixtures.join(side(1), ["stage", "team1"], "left").join(side(2), ["stage", "team2"], "left")
+    cells = {c: F.coalesce(c, F.lit(0)).cast("long") for c in ("wins1", "losses1", "wins2", "losses2")}
+    return met.withColumns(cells).select("match_id", *cells, (1 + F.greatest(F.col("wins1") + F.col("losses1"), F.col("wins2") + F.col("losses2"))).alias("swiss_round"))
+
+
+def merge_metadata(fixtures: DataFrame, teams: DataFrame, columns: list[str]) -> DataFrame:
+    """A team's columns onto both sides where the fixture has none of its own."""
+    out = fixtures
+    for n in (1, 2):
+        out = out.join(teams.select(F.col("team").alias(f"team{n}"), *(F.col(c).alias(f"_{c}{n}") for c in columns)), f"team{n}", "left")
+    fill = {f"{c}{n}": F.coalesce(f"{c}{n}", f"_{c}{n}") if f"{c}{n}" in fixtures.columns else F.col(f"_{c}{n}") for c in columns for n in (1, 2)}
+    return out.select(*(c for c in fixtures.columns if c not in fill), *(v.alias(k) for k, v in fill.items()))
+
+
+def pair_means(signals: DataFrame) -> DataFrame:
+    """Mean value of each pair, seen from its lower team."""
+    return oriented(signals).groupBy("lo", "hi").agg(F.avg("_v").alias("p_lo"), F.count("*").alias("n"))
+
+
+def market_strength(signals: DataFrame) -> DataFrame:
+    """Mean implied probability of each team over both sides."""
+    side = F.explode(F.array(F.struct(F.col("team1").alias("team"), F.col("p1").alias("p")), F.struct(F.col("team2").alias("team"), (1 - F.col("p1")).alias("p")))).alias("s")
+    return signals.select(side).groupBy("s.team").agg(F.avg("s.p").alias("strength"), F.count("*").alias("n"))
+
+
 def as_of(matches: DataFrame, versions: DataFrame) -> DataFrame:
     """The latest version at or before each day: one sorted pass over the union by day, no range join."""
     days = matches.select("day").distinct().select("day", F.lit(None).cast("string").alias("tag"), F.lit(1).alias("_o")).unionByName(versions.select("day", "tag", F.lit(0).alias("_o")))

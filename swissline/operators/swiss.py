@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def standings(results: DataFrame) -> DataFrame:
+def standings(results: DataFrame, *keys: str) -> DataFrame:
+    """Wins and losses of each team, in each group of ``keys``."""
     side = lambda me, won: F.struct(F.col(me).alias("team"), won.cast("int").alias("w"))
-    each = results.select(F.explode(F.array(side("team1", F.col("winner") == F.col("team1")), side("team2", F.col("winner") == F.col("team2")))).alias("s")).select("s.*")
-    return each.groupBy("team").agg(F.sum("w").alias("wins"), F.sum(1 - F.col("w")).alias("losses"))
+    each = results.select(*keys, F.explode(F.array(side("team1", F.col("winner") == F.col("team1")), side("team2", F.col("winner") == F.col("team2")))).alias("s")).select(*keys, "s.*")
+    return each.groupBy(*keys, "team").agg(F.sum("w").alias("wins"), F.sum(1 - F.col("w")).alias("losses"))
 
 
 def buchholz(results: DataFrame) -> DataFrame:

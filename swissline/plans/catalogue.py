@@ -55,6 +55,23 @@ def add(name: str, query: Callable, sql: str | None = None, doubles: str = "", b
     register(name, sql)(lambda spark, d: rounded(query(spark, d)))
 
 
+STAGE_SQL = LONG_SQL + ", st AS (SELECT match_id // 60 AS stage, team, CAST(sum(won) AS BIGINT) AS wins, CAST(count(*) - sum(won) AS BIGINT) AS losses FROM l GROUP BY ALL)"
+PICK_SQL = STAGE_SQL + ", k AS (SELECT *, ['3-0', 'advance', '0-3'][team % 3 + 1] AS category FROM st)"
+STATE = """CASE category WHEN '3-0' THEN CASE WHEN wins >= 3 AND losses = 0 THEN 'locked' WHEN losses > 0 THEN 'broken' ELSE 'alive' END WHEN '0-3' THEN CASE WHEN losses >= 3 AND wins = 0 THEN 'locked' WHEN wins > 0 THEN 'broken' ELSE 'alive' END
+      ELSE CASE WHEN wins >= 3 AND losses = 0 THEN 'broken' WHEN wins >= 3 THEN 'locked' WHEN losses >= 3 THEN 'broken' ELSE 'alive' END END"""
+
+
+def in_stages(m: DataFrame) -> DataFrame:
+    """Sixty matches make a stage."""
+    return m.withColumn("stage", F.expr("match_id div 60"))
+
+
+def stage_picks(m: DataFrame) -> DataFrame:
+    """A pick for each team of each stage."""
+    return swiss.standings(in_stages(m), "stage").withColumn("category", F.element_at(F.array(F.lit("3-0"), F.lit("advance"), F.lit("0-3")), (F.col("team") % 3 + 1).cast("int")))
+
+
+
 def on_long(f: Callable) -> Callable:
     return lambda s, d: f(long_form(match_view(s, d)))
 
@@ -71,10 +88,10 @@ def on_forecasts(f: Callable) -> Callable:
 for n in (5, 10):
     add(f"recent_winrate_{n}", on_long(lambda x, n=n: form.recent_winrate(x, n)),
         f"SELECT match_id, side, team, coalesce(avg(won) OVER (PARTITION BY team ORDER BY day, match_id ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING), 0.5) AS winrate FROM l", "winrate", LONG_SQL)
-add("matches_30d", on_long(lambda x: form.matches_since(x, 7)),
-    "SELECT x.match_id, x.side, x.team, (SELECT count(*) FROM l y WHERE y.team = x.team AND y.day >= x.day - 7 AND (y.day < x.day OR y.day = x.day AND y.match_id < x.match_id)) AS n_matches FROM l x", "", LONG_SQL)
-add("mode_winrate_182d", on_long(lambda x: form.mode_winrate(x, 10)),
-    """SELECT x.match_id, x.side, x.team, coalesce(avg(y.won), 0.5) AS winrate FROM l x LEFT JOIN l y ON y.team = x.team AND y.best_of = x.best_of AND y.day >= x.day - 10 AND (y.day < x.day OR y.day = x.day AND y.match_id < x.match_id)
+add("matches_30d", on_long(lambda x: form.matches_since(x)),
+    "SELECT x.match_id, x.side, x.team, (SELECT count(*) FROM l y WHERE y.team = x.team AND y.day >= x.day - 30 AND (y.day < x.day OR y.day = x.day AND y.match_id < x.match_id)) AS n_matches FROM l x", "", LONG_SQL)
+add("mode_winrate_182d", on_long(lambda x: form.mode_winrate(x)),
+    """SELECT x.match_id, x.side, x.team, coalesce(avg(y.won), 0.5) AS winrate FROM l x LEFT JOIN l y ON y.team = x.team AND y.best_of = x.best_of AND y.day >= x.day - 182 AND (y.day < x.day OR y.day = x.day AND y.match_id < x.match_id)
     GROUP BY ALL""", "winrate", LONG_SQL)
 add("map_winrate", on_long(form.map_winrate), "SELECT match_id, side, team, coalesce(avg(won) OVER (PARTITION BY team, map ORDER BY day, match_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.5) AS winrate FROM l", "winrate", LONG_SQL)
 add("streak", on_long(form.streak), """
@@ -111,28 +128,29 @@ add("coerce_dialects", lambda s, d: read(s, d, "customer").select("c_custkey", *
 # ---------------------------------------------------------------- joins
 def _odds(m: DataFrame) -> DataFrame:
     provider = F.explode(F.sequence(F.lit(0), F.lit(1)))
-    o = m.filter("match_id % 3 > 0").withColumn("k", provider)
-    return o.selectExpr("day", "team2 as team1", "team1 as team2", "1 / odds2 / (1 / odds1 + 1 / odds2) * (1 - 0.01 * k) as p1", "case when match_id % 2 = 0 then match_id end as link")
+    o = m.withColumn("k", provider)
+    return o.selectExpr("day + if(match_id % 3 = 0, 400, 0) as day", "team2 as team1", "team1 as team2", "1 / odds2 / (1 / odds1 + 1 / odds2) * (1 - 0.01 * k) as p1", "case when match_id % 2 = 0 and match_id % 3 > 0 then match_id end as link")
 
 
 add("odds_merge", on_matches(lambda m: joins.merge_odds(m.withColumn("link", F.col("match_id")), _odds(m))), """
     SELECT match_id, CASE WHEN team1 < team2 THEN coalesce(a, b) ELSE 1 - coalesce(a, b) END AS p1, CASE WHEN a IS NOT NULL THEN 'link' WHEN b IS NOT NULL THEN 'pair' ELSE 'none' END AS basis FROM m
     LEFT JOIN (SELECT link, avg(v) AS a FROM o WHERE link IS NOT NULL GROUP BY link) ON link = match_id
     LEFT JOIN (SELECT day AS d, lo, hi, avg(v) AS b FROM o GROUP BY ALL) ON d = day AND lo = least(team1, team2) AND hi = greatest(team1, team2)""", "p1",
-    MATCH_SQL + """, o AS (SELECT day, least(team1, team2) AS lo, greatest(team1, team2) AS hi, CASE WHEN match_id % 2 = 0 THEN match_id END AS link, CASE WHEN team2 > team1 THEN 1 - p ELSE p END AS v
-      FROM (SELECT *, 1 / odds2 / (1 / odds1 + 1 / odds2) * (1 - 0.01 * k) AS p FROM m, range(2) t(k) WHERE match_id % 3 > 0))""")
+    MATCH_SQL + """, o AS (SELECT day + CASE WHEN match_id % 3 = 0 THEN 400 ELSE 0 END AS day, least(team1, team2) AS lo, greatest(team1, team2) AS hi, CASE WHEN match_id % 2 = 0 AND match_id % 3 > 0 THEN match_id END AS link, CASE WHEN team2 > team1 THEN 1 - p ELSE p END AS v
+      FROM (SELECT *, 1 / odds2 / (1 / odds1 + 1 / odds2) * (1 - 0.01 * k) AS p FROM m, range(2) t(k)))""")
 
 
 def _players(s: SparkSession, d: str) -> DataFrame:
-    return read(s, d, "orders").selectExpr("o_orderkey as pid", "o_custkey % 150 as team", "19723 + o_orderkey % 30 as day", "o_totalprice / 100000 as rating", "cast(o_orderkey % 9 = 0 as int) as is_sub").filter("pid % 20 = 1")
+    return read(s, d, "orders").selectExpr("o_orderkey as pid", "o_custkey % 150 as team", "19723 + o_orderkey % 30 as day", "o_totalprice / 100000 as rating", "cast(o_orderkey % 9 = 0 as int) as is_sub")
 
 
-PLAYER_SQL = LONG_SQL + ", p AS (SELECT o_orderkey AS pid, o_custkey % 150 AS team, 19723 + o_orderkey % 30 AS day, o_totalprice / 100000 AS rating, CAST(o_orderkey % 9 = 0 AS INT) AS is_sub FROM orders WHERE o_orderkey % 20 = 1)"
+PLAYER_SQL = LONG_SQL + ", p AS (SELECT o_orderkey AS pid, o_custkey % 150 AS team, 19723 + o_orderkey % 30 AS day, o_totalprice / 100000 AS rating, CAST(o_orderkey % 9 = 0 AS INT) AS is_sub FROM orders)"
 add("player_window_15d", lambda s, d: joins.player_window(long_form(match_view(s, d)), _players(s, d)), """
     SELECT match_id, side, count(pid) AS n_players, avg(rating) AS rating, max(rating) AS star, max(is_sub) AS any_sub, arg_max(rating, (p.day, pid)) AS last_rating
     FROM l LEFT JOIN p ON p.team = l.team AND p.day < l.day AND p.day >= l.day - 15 GROUP BY match_id, side""", "rating star last_rating", PLAYER_SQL)
-add("standings_merge", on_matches(lambda m: m.join(t := swiss.standings(m.filter("match_id % 50 = 0")), m.team1 == t.team, "left").select("match_id", "team1", F.coalesce("wins", F.lit(0)).alias("wins1"), F.coalesce("losses", F.lit(0)).alias("losses1"))), """
-    SELECT match_id, team1, CAST(coalesce(w, 0) AS BIGINT) AS wins1, CAST(coalesce(n - w, 0) AS BIGINT) AS losses1 FROM m LEFT JOIN (SELECT team, sum(won) AS w, count(*) AS n FROM l WHERE match_id % 50 = 0 GROUP BY team) ON team = team1""", "", LONG_SQL)
+add("standings_merge", on_matches(lambda m: joins.merge_standings(in_stages(m), swiss.standings(in_stages(m), "stage").withColumn("stage", F.col("stage") + 1))), """
+    SELECT match_id, CAST(coalesce(a.wins, 0) AS BIGINT) AS wins1, CAST(coalesce(a.losses, 0) AS BIGINT) AS losses1, CAST(coalesce(b.wins, 0) AS BIGINT) AS wins2, CAST(coalesce(b.losses, 0) AS BIGINT) AS losses2, CAST(1 + greatest(coalesce(a.wins + a.losses, 0), coalesce(b.wins + b.losses, 0)) AS BIGINT) AS swiss_round
+    FROM m LEFT JOIN st a ON a.stage = match_id // 60 - 1 AND a.team = team1 LEFT JOIN st b ON b.stage = match_id // 60 - 1 AND b.team = team2""", "", STAGE_SQL)
 add("version_asof", on_matches(lambda m: joins.as_of(m, m.sparkSession.createDataFrame([(19_728, "v1"), (19_735, "v2"), (19_742, "v3")], "day long, tag string"))),
     "SELECT match_id, CASE WHEN day >= 19742 THEN 'v3' WHEN day >= 19735 THEN 'v2' WHEN day >= 19728 THEN 'v1' ELSE 'unknown' END AS version FROM m", "", MATCH_SQL)
 
@@ -141,11 +159,11 @@ def _sided(m: DataFrame) -> DataFrame:
     return m.withColumns({"lo": F.least("team1", "team2"), "hi": F.greatest("team1", "team2")})
 
 
-add("result_lookup_fallback", on_matches(lambda m: joins.lookup_unique(_sided(m), _sided(m.filter("match_id % 4 < 2").withColumn("day", F.col("day") + F.col("match_id") % 2)).withColumn("rid", F.col("match_id")))), """
+add("result_lookup_fallback", on_matches(lambda m: joins.lookup_unique(_sided(m), _sided(m.withColumn("day", F.col("day") + F.col("match_id") % 2)).withColumns({"rid": F.col("match_id"), "lo": F.when(F.col("match_id") % 4 < 2, F.col("lo")).otherwise(-1 - F.col("lo"))}))), """
     SELECT match_id, coalesce(e, k) AS rid, CASE WHEN e IS NOT NULL THEN 'exact' WHEN k IS NOT NULL THEN 'loose' ELSE 'none' END AS basis FROM s
     LEFT JOIN (SELECT day AS d, lo AS a, hi AS b, max(match_id) AS e FROM r GROUP BY ALL HAVING count(*) = 1) ON d = day AND a = lo AND b = hi
     LEFT JOIN (SELECT lo AS a2, hi AS b2, max(match_id) AS k FROM r GROUP BY ALL HAVING count(*) = 1) ON a2 = lo AND b2 = hi""", "",
-    MATCH_SQL + ", s AS (SELECT *, least(team1, team2) AS lo, greatest(team1, team2) AS hi FROM m), r AS (SELECT match_id, day + match_id % 2 AS day, lo, hi FROM s WHERE match_id % 4 < 2)")
+    MATCH_SQL + ", s AS (SELECT *, least(team1, team2) AS lo, greatest(team1, team2) AS hi FROM m), r AS (SELECT match_id, day + match_id % 2 AS day, CASE WHEN match_id % 4 < 2 THEN lo ELSE -1 - lo END AS lo, hi FROM s)")
 add("anti_missing_teams", lambda s, d: store.missing(read(s, d, "customer").select(F.col("c_custkey").alias("team")), match_view(s, d)), "SELECT c_custkey AS team FROM customer WHERE c_custkey NOT IN (SELECT team FROM l)", "", LONG_SQL)
 add("best_signal", on_matches(lambda m: joins.best_signal(m.selectExpr("team1", "team2", "1 / odds1 / (1 / odds1 + 1 / odds2) as p1", "match_id % 3 as priority", "map as source", "match_id % 3 = 2 as proxy"))), """
     SELECT lo, hi, avg(v) AS p_lo, min(k) AS priority, array_to_string(list_sort(list(DISTINCT map)), '+') AS sources, CAST(min(CAST(k = 2 AS INT)) AS INT) AS proxy FROM (
@@ -238,24 +256,20 @@ add("suite_pass_rate", on_forecasts(lambda f: backtest.suite_pass_rate(f.select(
 # ---------------------------------------------------------------- swiss
 add("standings", on_matches(swiss.standings), "SELECT team, CAST(sum(won) AS BIGINT) AS wins, CAST(count(*) - sum(won) AS BIGINT) AS losses FROM l GROUP BY team", "", LONG_SQL)
 add("buchholz", on_matches(swiss.buchholz), "SELECT l.team, CAST(sum(net) AS BIGINT) AS buchholz FROM l JOIN (SELECT team AS o, 2 * sum(won) - count(*) AS net FROM l GROUP BY team) ON o = opp GROUP BY l.team", "", LONG_SQL)
-add("record_status", on_matches(lambda m: swiss.standings(m.filter("match_id % 60 = 0")).withColumn("status", swiss.record_status())), "SELECT team, w AS wins, n AS losses, CASE WHEN w >= 3 THEN 'advanced' WHEN n >= 3 THEN 'eliminated' ELSE 'alive' END AS status FROM (SELECT team, CAST(sum(won) AS BIGINT) AS w, CAST(count(*) - sum(won) AS BIGINT) AS n FROM l WHERE match_id % 60 = 0 GROUP BY team)", "", LONG_SQL)
-add("checkpoint_status", on_matches(lambda m: swiss.standings(m.filter("match_id % 60 = 0")).withColumn("category", F.element_at(F.array(F.lit("3-0"), F.lit("advance"), F.lit("0-3")), (F.col("team") % 3 + 1).cast("int"))).withColumn("state", swiss.checkpoint()).select("team", "category", "state")), """
-    SELECT team, c AS category, CASE c WHEN '3-0' THEN CASE WHEN w >= 3 AND n = 0 THEN 'locked' WHEN n > 0 THEN 'broken' ELSE 'alive' END WHEN '0-3' THEN CASE WHEN n >= 3 AND w = 0 THEN 'locked' WHEN w > 0 THEN 'broken' ELSE 'alive' END
-      ELSE CASE WHEN w >= 3 AND n = 0 THEN 'broken' WHEN w >= 3 THEN 'locked' WHEN n >= 3 THEN 'broken' ELSE 'alive' END END AS state
-    FROM (SELECT team, ['3-0', 'advance', '0-3'][team % 3 + 1] AS c, sum(won) AS w, count(*) - sum(won) AS n FROM l WHERE match_id % 60 = 0 GROUP BY team)""", "", LONG_SQL)
+add("record_status", on_matches(lambda m: swiss.standings(in_stages(m), "stage").withColumn("status", swiss.record_status())), "SELECT stage, team, wins, losses, CASE WHEN wins >= 3 THEN 'advanced' WHEN losses >= 3 THEN 'eliminated' ELSE 'alive' END AS status FROM st", "", STAGE_SQL)
+add("checkpoint_status", on_matches(lambda m: stage_picks(m).withColumn("state", swiss.checkpoint()).select("stage", "team", "category", "state")), f"SELECT stage, team, category, {STATE} AS state FROM k", "", PICK_SQL)
 STRENGTHS = [1 - i / 16 for i in range(16)]
 add("swiss_mc", lambda s, d: swiss.outcome_shares(swiss.simulate(s, STRENGTHS, 4_000)))
 add("ticket_distribution", lambda s, d: swiss.ticket_hits(swiss.simulate(s, STRENGTHS, 4_000), s.createDataFrame([("3-0", 0), ("3-0", 1), ("0-3", 14), ("0-3", 15), *(("advance", i) for i in range(2, 8))], "category string, seed_no long")))
 
 # ---------------------------------------------------------------- store and sources
 def _versions(m: DataFrame) -> DataFrame:
-    one = m.select("team1", "team2", "day", "map", "best_of", F.when(F.col("match_id") % 2 == 0, F.concat(F.lit("U"), F.col("match_id") % 1000)).alias("url"), F.lit(1).alias("batch"), F.col("match_id").alias("seq"))
-    return one.unionByName(one.filter("seq % 10 = 0").withColumn("batch", F.lit(2)))
+    return m.select("team1", "team2", "day", "map", "best_of", F.when(F.col("match_id") % 2 == 0, F.concat(F.lit("U"), F.col("match_id") % 1000)).alias("url"), (F.col("match_id") % 3).alias("batch"), F.col("match_id").alias("seq"))
 
 
 add("upsert_last_wins", on_matches(lambda m: store.upsert(_versions(m)).select("identity", "batch", "seq")), """
-    SELECT identity, CAST(max(batch) AS INT) AS batch, arg_max(seq, (batch, seq)) AS seq FROM (SELECT CASE WHEN match_id % 2 = 0 THEN 'url::u' || (match_id % 1000) ELSE concat_ws('::', 'match', day, least(team1, team2), greatest(team1, team2), map, best_of) END AS identity, b AS batch, match_id AS seq
-      FROM m, (SELECT unnest([1, 2]) AS b) WHERE b = 1 OR match_id % 10 = 0) GROUP BY identity""", "", MATCH_SQL)
+    SELECT identity, max(batch) AS batch, arg_max(seq, (batch, seq)) AS seq FROM (SELECT CASE WHEN match_id % 2 = 0 THEN 'url::u' || (match_id % 1000) ELSE concat_ws('::', 'match', day, least(team1, team2), greatest(team1, team2), map, best_of) END AS identity, match_id % 3 AS batch, match_id AS seq
+      FROM m) GROUP BY identity""", "", MATCH_SQL)
 add("dataset_manifest", on_matches(store.manifest), "SELECT count(*) AS n_rows, min(day) AS first_day, max(day) AS last_day, (SELECT count(DISTINCT team) FROM l) AS n_teams FROM m", "", LONG_SQL)
 add("page_links", lambda s, d: pages.links(read(s, d, "pages")), "SELECT page_id, len(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS n_links, md5(url) AS url_md5 FROM pages")
 add("event_props", lambda s, d: pages.props(read(s, d, "events"), "k long").select("event_id", F.col("props.k").alias("k")), "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
