@@ -97,3 +97,35 @@ def test_stream_drops_repeats(spark, tmp_path):
     stream = spark.readStream.schema(spark.read.parquet(str(tmp_path / "in")).schema).parquet(str(tmp_path / "in"))
     ingest.upsert_into(ingest.first_seen(stream), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_swap_search_finds_the_best_ticket_of_one_swap_each(spark):
+    """Against brute force over the same samples: no single swap is better at the end, and the figure is that of the ticket."""
+    from swissline.operators import tickets
+
+    strengths = [1 - i / 16 for i in range(16)]
+    samples = swiss.simulate(spark, strengths, 400)
+    data = {}
+    for r in samples.collect():
+        data.setdefault(r.sim, {})[r.seed_no] = "3-0" if (r.wins, r.losses) == (3, 0) else "0-3" if (r.wins, r.losses) == (0, 3) else "advance" if r.wins == 3 else ""
+    score = lambda t: sum(sum(s[seed] == k for k, seed in t) >= 5 for s in data.values()) / len(data)
+    start = [("3-0", 14), ("3-0", 1), ("0-3", 15), ("0-3", 0), *(("advance", i) for i in (2, 3, 4, 5, 12, 13))]
+    pool = [(k, i) for k in ("3-0", "advance") for i in range(16)] + [("0-3", i) for i in reversed(range(16))]
+    ticket, p = tickets.swap_search(samples, start, pool)
+    assert abs(p - score(ticket)) < 1e-9 and p > score(start) and len({s for _, s in ticket}) == 10
+    taken = {s for _, s in ticket}
+    for i, (k, _) in enumerate(ticket):
+        for c, s in pool:
+            if c == k and s not in taken:
+                assert score([*ticket[:i], (c, s), *ticket[i + 1 :]]) <= p + 1e-9
+    assert tickets.swap_search(samples.filter("sim < 0"), start, pool)[1] == 0
+
+
+def test_scores_and_sheet_without_known_features(spark):
+    from swissline.operators import tickets
+
+    teams = spark.range(4).selectExpr("id as seed_no", "0.5D as p_30", "cast(null as double) as p_03", "0.25D as p_advance")
+    got = {(r.category, r.seed_no): r.score for r in tickets.risk_scores(teams).collect()}
+    assert got["3-0", 0] == 0.5 and got["0-3", 1] == 0 and got["advance", 2] == 0.25
+    sheet = {r.category: r for r in tickets.answer_sheet(spark.createDataFrame([("3-0", 1, 0.1), ("3-0", 2, None), ("0-3", 1, 0.01)], "category string, seed_no long, margin double")).collect()}
+    assert sheet["3-0"].warnings == "repeated,unknown_margin" and sheet["0-3"].warnings == "slots,repeated,narrow" and sheet["advance"].warnings == "slots" and sheet["advance"].picks == 0
