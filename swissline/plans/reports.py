@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from swissline.operators import policies, swiss, tickets
-from swissline.plans.catalogue import F_SQL, PICK_SQL, STATE, add, on_forecasts, on_matches, stage_picks
+from swissline.plans.catalogue import F_SQL, MATCH_SQL, PICK_SQL, STATE, add, on_forecasts, on_matches, stage_picks
+from swissline.sources import pages, results_api
 
 # ---------------------------------------------------------------- policies
 R_SQL = F_SQL + """, r AS (SELECT *, CAST(match_id % 9 = 0 AS INT) AS substitute, (p >= 0.5) = (label = 1) AS hit, abs(p - 0.5) AS gap, abs(p - 0.5) >= 0.02::DOUBLE AS act,
@@ -107,3 +108,32 @@ add("leveraged_reward", on_matches(lambda m: tickets.leveraged_reward(stage_samp
 add("most_likely_record", on_matches(lambda m: tickets.outcomes(stage_samples(m).groupBy("seed_no", F.concat_ws("-", "wins", "losses").alias("record")).agg((F.count("*") / 100).alias("p")))), """
     SELECT seed_no, arg_max(record, (p, record)) AS record, max(p) AS p, sum(CASE WHEN record LIKE '3-%' THEN p ELSE 0 END) AS advance, 1 - sum(CASE WHEN record LIKE '3-%' THEN p ELSE 0 END) AS eliminate
     FROM (SELECT seed_no, wins || '-' || losses AS record, count(*) / 100.0::DOUBLE AS p FROM g GROUP BY ALL) GROUP BY seed_no""", "p advance eliminate", SAMPLE_SQL)
+
+# ---------------------------------------------------------------- pages and payloads, written from the match view and read back
+CARD = """concat('<div class="result-con"><a class="a-reset" href="/matches/', match_id, '"><span class="team1">Team ', team1, '</span> <div class="team2"><b>Team &amp; ', team2, '</b></div><span class="score-won">', score1, '</span> - <span class="score-lost">', score2,
+  '</span>', if(match_id % 5 = 0, '', concat('<span class="event-name">', element_at(array('IEM Cup', 'CCT Cup', 'Open Cup'), cast(match_id % 3 + 1 as int)), '</span>')), '<span class="map-text">', upper(map), '</span>',
+  if(match_id % 2 = 0, concat('<span class="date">', date_from_unix_date(cast(day as int)), ' 18:00</span>'), concat('<span data-unix="', day * 86400000 + 3600000, '">x</span>')), '<i> bo', best_of, ' </i></a></div>') as card"""
+PAYLOAD = """to_json(named_struct('data', named_struct('matches', array(named_struct('mc_info', named_struct('id', match_id, 't1_info', named_struct('disp_name', concat(' Team ', team1, ' ')), 't2_info', named_struct('name', concat('Team ', team2)),
+  'plan_ts', day * 86400 + 60000, 'format', match_id % 7, 'round_name', 'R1'), 'state', named_struct('t1_score', score1, 't2_score', score2, 't1_odds', odds1, 'status', match_id % 5, 'bout_states', array(named_struct('bout_num', 1, 'map_name', map, 't1_score', score1, 't2_score', score2, 'result', 't2', 'status', 2),
+  named_struct('bout_num', 2, 'map_name', 'x', 't1_score', cast(null as bigint), 't2_score', score2, 'result', if(match_id % 3 = 0, '', 't1'), 'status', 9))), 'tt_info', named_struct('disp_name', 'Cup', 'grade', '1')))))) as payload"""
+
+
+def result_pages(m: DataFrame) -> DataFrame:
+    return m.selectExpr("match_id div 20 as page_id", "match_id", CARD).groupBy("page_id").agg(F.concat(F.lit('<html class="page">'), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("match_id", "card"))), lambda x: x.card), "\n"), F.lit("</html>")).alias("html"))
+
+
+def service_rows(m: DataFrame) -> DataFrame:
+    return results_api.parsed(m.selectExpr(PAYLOAD))
+
+
+add("result_cards", on_matches(lambda m: pages.match_cards(result_pages(m)).withColumn("date", F.unix_date("date").cast("long")).select("page_id", "date", "event", "tier", "team1", "team2", "score1", "score2", "best_of", "map", "link", "winner")), """
+    SELECT match_id // 20 AS page_id, day AS date, coalesce(e, 'unknown') AS event, CASE e WHEN 'IEM Cup' THEN 'S' WHEN 'CCT Cup' THEN 'A' ELSE 'B' END AS tier, 'Team ' || team1 AS team1, 'Team & ' || team2 AS team2, score1, score2, best_of, map, '/matches/' || match_id AS link,
+      CASE WHEN score1 >= score2 THEN 'Team ' || team1 ELSE 'Team & ' || team2 END AS winner FROM (SELECT *, CASE WHEN match_id % 5 > 0 THEN ['IEM Cup', 'CCT Cup', 'Open Cup'][match_id % 3 + 1] END AS e FROM m)""", "", MATCH_SQL)
+add("service_matches", on_matches(lambda m: results_api.matches(service_rows(m)).withColumn("date", F.unix_date("date").cast("long")).select("match_id", "date", "event", "grade", "best_of", "status", "team1", "team2", "score1", "score2", "winner", "odds1", "n_maps")), """
+    SELECT CAST(match_id AS VARCHAR) AS match_id, day + 1 AS date, 'Cup' AS event, '1' AS grade, CAST([1, 1, 3, 3, 5, 5, 2][match_id % 7 + 1] AS BIGINT) AS best_of, ['upcoming', 'live', 'completed', 'cancelled', '4'][match_id % 5 + 1] AS status, 'Team ' || team1 AS team1, 'Team ' || team2 AS team2,
+      score1, score2, CASE WHEN score1 > score2 THEN 'Team ' || team1 WHEN score2 > score1 THEN 'Team ' || team2 END AS winner, odds1, CAST(2 AS BIGINT) AS n_maps FROM m""", "odds1", MATCH_SQL)
+add("service_maps", on_matches(lambda m: results_api.maps(service_rows(m))), """
+    SELECT CAST(match_id AS VARCHAR) AS match_id, CAST(1 AS BIGINT) AS bout_num, map, score1, score2, CASE WHEN score1 > score2 THEN 'Team ' || team1 ELSE 'Team ' || team2 END AS winner, 'completed' AS status FROM m
+    UNION ALL SELECT CAST(match_id AS VARCHAR), 2, 'x', NULL, score2, CASE WHEN match_id % 3 > 0 THEN 'Team ' || team1 END, '9' FROM m""", "", MATCH_SQL)
+add("service_page_token", on_matches(lambda m: results_api.page_token(service_rows(m)).select("ts", F.array_join("ids", ",").alias("ids"))),
+    "SELECT min(day) * 86400 + 60000 AS ts, (SELECT string_agg(CAST(match_id AS VARCHAR), ',' ORDER BY CAST(match_id AS VARCHAR)) FROM m WHERE day = (SELECT min(day) FROM m)) AS ids FROM m", "", MATCH_SQL)

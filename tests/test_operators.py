@@ -129,3 +129,25 @@ def test_scores_and_sheet_without_known_features(spark):
     assert got["3-0", 0] == 0.5 and got["0-3", 1] == 0 and got["advance", 2] == 0.25
     sheet = {r.category: r for r in tickets.answer_sheet(spark.createDataFrame([("3-0", 1, 0.1), ("3-0", 2, None), ("0-3", 1, 0.01)], "category string, seed_no long, margin double")).collect()}
     assert sheet["3-0"].warnings == "repeated,unknown_margin" and sheet["0-3"].warnings == "slots,repeated,narrow" and sheet["advance"].warnings == "slots" and sheet["advance"].picks == 0
+
+
+def test_ranking_and_player_pages(spark):
+    ranking = """<div class="ranked-team standard-box"><span class="position">#1</span><a href="/team/1/alpha"><span class="name">Alpha</span></a><span class="points">1,927 points</span><span class="country">Europe</span></div>
+      <div class="ranked-team"><a href="/team/2/bravo">Bravo  #7 now</a></div><div class="ranked-team"><a href="/team/1/alpha">ALPHA</a></div><div class="ranked-team">no team</div>"""
+    players = """<table><tr class="player-row"><td class="player"><a href="/player/11/a">a_w</a></td><td class="team">Alpha</td><td class="rating">1.34</td><td class="opening-success">61%</td><td class="clutch">0.4</td><td class="role">stand-in</td></tr>
+      <tr><td><a href="/player/12/b">b</a></td></tr><tr><td class="team">Alpha</td></tr></table>"""
+    df = spark.createDataFrame([(1, ranking), (2, players), (3, ""), (4, None)], "page_id long, html string")
+    assert [(r.team, r.rank, r.points, r.region, r.link) for r in pages.ranking_rows(df).orderBy("place").collect()] == [("Alpha", 1, 1927, "Europe", "/team/1/alpha"), ("Bravo", 7, 0, "", "/team/2/bravo")]
+    (r,) = pages.player_rows(df, "2026-01-01").collect()
+    assert (r.player, r.team, r.date, r.rating, r.kd, r.opening_success, r.clutch_winrate, r.is_substitute) == ("a_w", "Alpha", "2026-01-01", 1.34, 1.0, 0.61, 0.4, 1)
+    assert pages.match_cards(df).count() == 0
+
+
+def test_payloads_of_other_shapes(spark):
+    from swissline.sources import results_api
+
+    good = '{"data": {"list": [{"mc_info": {"id": 5, "t1_info": {"name": "A"}, "t2_info": {"team_name": "B"}, "format": "x"}, "state": {"t1_score": "2", "t2_score": 1}}, {"mc_info": {"id": 6, "t1_info": {"name": "A"}}}]}}'
+    rows = results_api.parsed(spark.createDataFrame([(good,), ("not json",), ("[]",), (None,), ('{"data": {}}',)], "payload string"))
+    (r,) = results_api.matches(rows).collect()
+    assert (r.match_id, r.winner, r.best_of, r.n_maps, r.date, r.status) == ("5", "A", None, 0, None, None)
+    assert results_api.maps(rows).count() == 0 and results_api.page_token(rows).count() == 0
