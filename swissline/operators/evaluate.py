@@ -50,18 +50,32 @@ def ece_equal_mass(rows: DataFrame, key: str, bins: int = 10) -> DataFrame:
     return gaps.agg((F.sum(F.col("n") * F.col("gap")) / F.sum("n")).alias("ece"), F.max("gap").alias("mce"))
 
 
-def bootstrap(rows: DataFrame, key: str, samples: int, value: Column, alpha: float = 0.05) -> DataFrame:
-    """Percentile interval of a mean. Counts of each row in a sample are drawn from md5(sample | key), so no row moves: each task adds up its part of all samples."""
+def _drawn(rows: DataFrame, key: str, samples: int, values: dict[str, Column]) -> DataFrame:
+    """Means of the values in each sample. Counts of each row in a sample are drawn from md5(sample | key), so no row moves: each task adds up its part of all samples."""
     u = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("sample").cast("string"), F.col(key).cast("string"))), 1, 8), 16, 10).cast("double") / 4294967296.0
     # Poisson(1) by inversion
-    times, at = F.lit(0), 0.0
+    times = F.lit(0)
     for c in (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183):
         times = times + F.when(u >= c, 1).otherwise(0)
-    drawn = rows.select(key, value.alias("_x"), F.explode(F.sequence(F.lit(1), F.lit(samples))).alias("sample")).withColumn("_k", times)
-    means = drawn.groupBy("sample").agg((F.sum(F.col("_x") * F.col("_k")) / F.sum("_k")).alias("mean"))
+    drawn = rows.select(key, *(v.alias(k) for k, v in values.items()), F.explode(F.sequence(F.lit(1), F.lit(samples))).alias("sample")).withColumn("_k", times)
+    return drawn.groupBy("sample").agg(*((F.sum(F.col(k) * F.col("_k")) / F.sum("_k")).alias(k) for k in values))
+
+
+def bootstrap(rows: DataFrame, key: str, samples: int, value: Column, alpha: float = 0.05) -> DataFrame:
+    """Percentile interval of a mean; ``key`` may name a cluster, whose rows are then drawn together."""
+    means = _drawn(rows, key, samples, {"mean": value})
     return means.agg(F.avg("mean").alias("mean"), F.stddev_pop("mean").alias("std"), F.percentile("mean", F.lit(alpha / 2)).alias("low"), F.percentile("mean", F.lit(1 - alpha / 2)).alias("high"))
 
 
+def paired_bootstrap(rows: DataFrame, key: str, samples: int, a: Column, b: Column, alpha: float = 0.05) -> DataFrame:
+    """Difference of two mean losses on the same samples, its interval, a two-sided p and which is better: a, b or tie."""
+    d = _drawn(rows, key, samples, {"d": a - b})
+    share = lambda on: F.avg(on.cast("double"))
+    found = d.agg(F.percentile("d", F.lit(alpha / 2)).alias("low"), F.percentile("d", F.lit(1 - alpha / 2)).alias("high"), F.least(F.lit(1.0), 2 * F.least(share(F.col("d") <= 0), share(F.col("d") >= 0))).alias("p_value"))
+    out = rows.agg(F.avg(a - b).alias("delta")).join(F.broadcast(found))  # one row each
+    return out.withColumn("better", F.when((F.col("low") <= 0) & (F.col("high") >= 0), "tie").when(F.col("delta") < 0, "a").otherwise("b"))
+
+
 def diebold_mariano(rows: DataFrame, key: str, lag: int = 1) -> DataFrame:
     """Statistic of loss differences of p and p2 with Newey-West variance of the given lag and small-sample correction."""
     d = rows.select(key, (F.pow(F.col("p") - F.col("label"), F.lit(2.0)) - F.pow(F.col("p2") - F.col("label"), F.lit(2.0))).alias("d"))

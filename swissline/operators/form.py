@@ -76,7 +76,15 @@ def opponent_weight(elo: Column, scale: float = 400.0) -> Column:
 
 
 def team_profile(long: DataFrame) -> DataFrame:
-    """Over the whole history: each map's matches and win rate, most played first (ties: first seen), least played by (n, map)."""
+    """Over the whole history: each map's matches and win rate, 3, 2, 1 points for the most played (ties: first seen), the three least played by (n, map) banned."""
     by_map = long.groupBy("team", "map").agg(F.count("*").alias("n"), F.avg("won").alias("winrate"), F.min(F.struct("day", "match_id")).alias("seen"))
     most, least = Window.partitionBy("team").orderBy(F.desc("n"), "seen"), Window.partitionBy("team").orderBy("n", "map")
-    return by_map.select("team", "map", F.col("n").cast("long").alias("n"), "winrate", (F.row_number().over(most) <= 3).cast("int").alias("preferred"), (F.row_number().over(least) <= 3).cast("int").alias("banned"))
+    return by_map.select("team", "map", F.col("n").cast("long").alias("n"), "winrate", F.greatest(4 - F.row_number().over(most), F.lit(0)).cast("int").alias("preferred"), (F.row_number().over(least) <= 3).cast("int").alias("banned"))
+
+
+def opponent_winrate(long: DataFrame, elo: DataFrame, limit: int = 10, pseudocount: float = 0.0) -> DataFrame:
+    """Win rate of the last matches, each weighted by the opponent's rating before it. elo: match_id, elo1, elo2."""
+    met = long.join(elo, "match_id").withColumn("_w", opponent_weight(F.when(F.col("side") == 1, F.col("elo2")).otherwise(F.col("elo1"))))
+    last = Window.partitionBy("team").orderBy("day", "match_id").rowsBetween(-limit, -1)
+    won, total = F.sum(F.col("won") * F.col("_w")).over(last), F.sum("_w").over(last)
+    return met.select("match_id", "side", "team", F.coalesce((won + 0.5 * pseudocount) / F.nullif(total + pseudocount, F.lit(0.0)), F.lit(0.5)).alias("winrate"))

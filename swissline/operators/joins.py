@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from swissline.functions.keys import map_key
+
 
 def oriented(df: DataFrame, value: str = "p1") -> DataFrame:
     """lo, hi and the value seen from the lower team."""
@@ -29,6 +31,19 @@ def merge_last(fixtures: DataFrame, intel: DataFrame, keys: list[str], order: st
     return fixtures.join(last, keys, "left").select(*fixtures.columns, *(F.col(f"_last.{c}").alias(c) for c in columns))
 
 
+def merge_veto(fixtures: DataFrame, intel: DataFrame, order: str = "seq") -> DataFrame:
+    """The last veto row of each (day, pair), its columns turned to the fixture's team1; a known map replaces the fixture's.
+    intel: day, team1, team2, map, source, confidence, bans1, bans2 and the order column."""
+    fields = {"map": "map", "source": "source", "confidence": "confidence", "bans_a": "bans1", "bans_b": "bans2", "first": "team1"}
+    sided = lambda df: df.withColumns({"lo": F.least("team1", "team2"), "hi": F.greatest("team1", "team2")})
+    last = sided(intel).groupBy("day", "lo", "hi").agg(F.max_by(F.struct(*(F.col(c).alias(k) for k, c in fields.items())), order).alias("v"))
+    met, v = sided(fixtures).join(last, ["day", "lo", "hi"], "left"), lambda c: F.col(f"v.{c}")
+    same, named = v("first") == F.col("team1"), map_key(v("map"))
+    known = F.when(~named.isin("", "unknown", "tbd", "none"), named)
+    turned = {"map": F.coalesce(known, F.col("map")), "veto_applied": F.col("v").isNotNull().cast("int"), "veto_source": v("source"), "veto_confidence": v("confidence"), "bans1": F.when(same, v("bans_a")).otherwise(v("bans_b")), "bans2": F.when(same, v("bans_b")).otherwise(v("bans_a"))}
+    return met.withColumns(turned).select(*fixtures.columns, *(c for c in turned if c not in fixtures.columns))
+
+
 def player_window(long: DataFrame, players: DataFrame, days: int = 15) -> DataFrame:
     """Players of the team with match day - days <= day < match day. Rows are added up by team and day first, so a match meets
     at most ``days`` of them, by an equal join on team and block of days and then the exact range."""

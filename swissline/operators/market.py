@@ -64,9 +64,33 @@ def exposure_cap(stakes: DataFrame, stake: str, most: float, *keys: str) -> Data
     return stakes.withColumn("capped", F.when(total > most, F.col(stake) * most / total).otherwise(F.col(stake)))
 
 
-def candidate_maps(profiles: DataFrame, fixtures: DataFrame, top: int = 3) -> DataFrame:
-    """Maps no side bans, by preferences, then balance of win rates, then name. profiles: team, map, winrate, preferred, banned."""
+def map_probability(p: str, best_of: int, steps: int = 60) -> Column:
+    """The map probability whose series probability is ``p``, by ``steps`` halvings of [0, 1]."""
+    series = {1: "{x}", 3: "{x} * {x} * (3 - 2 * {x})", 5: "pow({x}, 3) * (10 - 15 * {x} + 6 * {x} * {x})", 7: "pow({x}, 4) * (35 - 84 * {x} + 70 * {x} * {x} - 20 * pow({x}, 3))"}[best_of].replace("{x}", "((s.lo + s.hi) / 2)")
+    search = f"aggregate(sequence(1, {steps}), struct(0D AS lo, 1D AS hi), (s, i) -> if({series} < {p}, struct((s.lo + s.hi) / 2 AS lo, s.hi AS hi), struct(s.lo AS lo, (s.lo + s.hi) / 2 AS hi)), s -> (s.lo + s.hi) / 2)"
+    return F.expr(search)
+
+
+def _pool_scores(profiles: DataFrame, fixtures: DataFrame, pool: list[str]) -> DataFrame:
+    """A row for each fixture and map of the pool that no side bans; a map without history has win rate 0.5 and no preference."""
     side = lambda n: profiles.select(F.col("team").alias(f"team{n}"), "map", *(F.col(c).alias(f"{c}{n}") for c in ("winrate", "preferred", "banned")))
-    met = fixtures.join(side(1), "team1").join(side(2), ["team2", "map"]).filter("banned1 = 0 and banned2 = 0")
-    w = Window.partitionBy("match_id").orderBy(F.desc(F.col("preferred1") + F.col("preferred2")), F.abs(F.round(F.col("winrate1") - F.col("winrate2"), 9)), "map")
-    return met.withColumn("place", F.row_number().over(w).cast("long")).filter(F.col("place") <= top).select("match_id", "place", "map")
+    met = fixtures.withColumn("map", F.explode(F.array(*map(F.lit, pool)))).join(side(1), ["team1", "map"], "left").join(side(2), ["team2", "map"], "left")
+    met = met.fillna({"winrate1": 0.5, "winrate2": 0.5, "preferred1": 0, "preferred2": 0, "banned1": 0, "banned2": 0}).filter("banned1 = 0 and banned2 = 0")
+    likely = F.col("preferred1") + F.col("preferred2") + 1 - F.least(F.lit(1.0), F.abs(F.col("winrate1") - F.col("winrate2")))
+    return met.withColumns({"likely": likely, "score": F.round(likely + (F.col("winrate1") + F.col("winrate2")) / 2, 9)})
+
+
+def candidate_maps(profiles: DataFrame, fixtures: DataFrame, pool: list[str], top: int = 3) -> DataFrame:
+    """The maps that may be played, by preferences, balance and strength, then name, and the weight of each among them.
+    profiles: team, map, winrate, preferred (points), banned; fixtures: match_id, team1, team2."""
+    w = Window.partitionBy("match_id").orderBy(F.desc("score"), "map")
+    best = _pool_scores(profiles, fixtures, pool).withColumn("place", F.row_number().over(w).cast("long")).filter(F.col("place") <= top)
+    all_of = Window.partitionBy("match_id")
+    total = F.sum("likely").over(all_of)
+    return best.select("match_id", "place", "map", F.when(total > 0, F.col("likely") / total).otherwise(1 / F.count("*").over(all_of)).alias("weight"))
+
+
+def unknown_map_average(candidates: DataFrame, forecasts: DataFrame, weighted: bool = False) -> DataFrame:
+    """The mean forecast over a fixture's candidate maps, plain or by weight. forecasts: match_id, map, p."""
+    p = F.sum(F.col("p") * F.col("weight")) / F.sum("weight") if weighted else F.avg("p")
+    return candidates.join(forecasts, ["match_id", "map"]).groupBy("match_id").agg(p.alias("p"), F.count("*").alias("n_maps"))

@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # fixed values: K by tier
@@ -39,6 +39,39 @@ def pair_games(matches: DataFrame, *keys: str) -> DataFrame:
 
 def bradley_terry(matches: DataFrame, *keys: str, ridge: float = 1.0, sweeps: int = 200, tolerance: float = 1e-6) -> DataFrame:
     """Mean-centred log strengths, of each group of ``keys``; only pair counts reach the iteration."""
+    return fit_pairs(pair_games(matches, *keys), *keys, ridge=ridge, sweeps=sweeps, tolerance=tolerance)
+
+
+def rolling_bradley_terry(matches: DataFrame, ridge: float = 1.0) -> DataFrame:
+    """Strengths of both teams before each match, fitted on the days before: one fit for each day, all days at once. Pair counts are
+    summed up over days first; a sum stands from the day after it changed to the day of the next change. Unknown teams are 0."""
+    days = matches.select("day").distinct().withColumn("k", F.row_number().over(Window.orderBy("day")))  # distinct days only
+    pair = Window.partitionBy("lo", "hi").orderBy("k")
+    sums = pair_games(matches, "day").join(days, "day").select("lo", "hi", "k", F.sum("games").over(pair).alias("games"), F.sum("lo_wins").over(pair).alias("lo_wins"), F.lead("k").over(pair).alias("until"))
+    last = days.agg(F.max("k").alias("end"))
+    held = sums.join(F.broadcast(last)).withColumn("until", F.coalesce("until", "end")).filter("until > k")  # one row
+    before = held.select("lo", "hi", "games", "lo_wins", F.explode(F.sequence(F.col("k") + 1, "until")).alias("k")).join(days, "k").drop("k")
+    theta = fit_pairs(before, "day", ridge=ridge)
+    out = matches.select("match_id", "day", "team1", "team2")
+    for n in (1, 2):
+        out = out.join(theta.select("day", F.col("team").alias(f"team{n}"), F.col("theta").alias(f"theta{n}")), ["day", f"team{n}"], "left")
+    return out.fillna(0.0, ["theta1", "theta2"]).select("match_id", "theta1", "theta2", (F.col("theta1") - F.col("theta2")).alias("theta_diff"))
+
+
+def final_elo(matches: DataFrame, before: DataFrame, base: float = 1500.0) -> DataFrame:
+    """Each team's rating after its last match, from the ratings before it. before: match_id, elo1, elo2."""
+    k = F.lit(OTHER_K)
+    for tier, x in TIER_K.items():
+        k = F.when(F.col("tier") == tier, x).otherwise(k)
+    first = F.when(F.col("winner") == F.col("team1"), 1.0).when(F.col("winner") == F.col("team2"), 0.0)
+    move = F.coalesce(k * (first - 1 / (1 + F.pow(F.lit(10.0), (F.col("elo2") - F.col("elo1")) / 400))), F.lit(0.0))
+    after = matches.join(before, "match_id").withColumn("_m", move)
+    side = F.array(F.struct(F.col("team1").alias("team"), (F.col("elo1") + F.col("_m")).alias("elo")), F.struct(F.col("team2").alias("team"), (F.col("elo2") - F.col("_m")).alias("elo")))
+    return after.select("day", "match_id", F.inline(side)).groupBy("team").agg(F.max_by("elo", F.struct("day", "match_id")).alias("elo"))
+
+
+def fit_pairs(pairs: DataFrame, *keys: str, ridge: float = 1.0, sweeps: int = 200, tolerance: float = 1e-6) -> DataFrame:
+    """Strengths from the counts of each pair (lo, hi, games, lo_wins), of each group of ``keys``."""
 
     def fit(e: pd.DataFrame) -> pd.DataFrame:
         teams, at = np.unique(np.concatenate([e.lo, e.hi]), return_inverse=True)
@@ -59,7 +92,6 @@ def bradley_terry(matches: DataFrame, *keys: str, ridge: float = 1.0, sweeps: in
             out[k] = e[k].iloc[0]
         return out[[*keys, "team", "theta"]]
 
-    pairs = pair_games(matches, *keys)
     kinds = "".join(f"{k} {pairs.schema[k].dataType.simpleString()}, " for k in keys)
     grouped = pairs.groupBy(*keys) if keys else pairs.withColumn("g", F.lit(1)).groupBy("g")
     return grouped.applyInPandas(fit, f"{kinds}team long, theta double")

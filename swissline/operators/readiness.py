@@ -40,3 +40,21 @@ def ticket_faults(picks: DataFrame, teams: DataFrame) -> DataFrame:
     """Teams picked twice and teams that are not in the stage."""
     twice = picks.groupBy("seed_no").agg(F.count("*").alias("n")).filter("n > 1").select("seed_no", F.lit("twice").alias("fault"))
     return twice.unionByName(picks.join(teams, "seed_no", "left_anti").select("seed_no", F.lit("unknown").alias("fault")))
+
+
+def freshness(manifests: DataFrame, required: DataFrame, now: str, most_hours: int) -> DataFrame:
+    """Each source's state: fresh, stale, invalid (no readable time) or missing, and its age in hours. manifests: source, stamp (text)."""
+    stamp = F.col("stamp").try_cast("timestamp")
+    age = F.round((F.to_timestamp(F.lit(now)).cast("double") - stamp.cast("double")) / 3600, 3)
+    known = manifests.select("source", age.alias("age_hours"), F.when(stamp.isNull(), "invalid").when(age <= most_hours, "fresh").otherwise("stale").alias("state"))
+    absent = required.join(manifests.select("source"), "source", "left_anti").distinct().select("source", F.lit(None).cast("double").alias("age_hours"), F.lit("missing").alias("state"))
+    return known.unionByName(absent)
+
+
+def coverage(matches: DataFrame, required: DataFrame, minimum_rows: int = 8000, minimum_teams: int = 80) -> DataFrame:
+    """Rows and teams so far and still needed, and how many of the required teams are covered."""
+    teams = matches.select(F.explode(F.array("team1", "team2")).alias("team")).distinct()
+    size = matches.agg(F.count("*").alias("n_rows"))
+    met = required.select("team").distinct().join(teams.withColumn("seen", F.lit(1)), "team", "left").agg(F.count("*").alias("required"), F.count("seen").alias("covered"))
+    out = size.join(F.broadcast(teams.agg(F.count("*").alias("n_teams")))).join(F.broadcast(met))  # one row each
+    return out.withColumns({"rows_remaining": F.greatest(F.lit(0), minimum_rows - F.col("n_rows")).cast("long"), "teams_remaining": F.greatest(F.lit(0), minimum_teams - F.col("n_teams")).cast("long")})

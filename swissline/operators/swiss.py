@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -112,3 +114,25 @@ def ticket_hits(samples: DataFrame, ticket: DataFrame, needed: int = 5) -> DataF
     hit = F.when(F.col("category") == "3-0", (w == 3) & (n == 0)).when(F.col("category") == "0-3", (n == 3) & (w == 0)).otherwise((w == 3) & (n > 0))
     hits = samples.join(F.broadcast(ticket), "seed_no").groupBy("sim").agg(F.count_if(hit).alias("hits"))  # a ticket has ten rows
     return hits.groupBy("hits").agg(F.count("*").alias("n")).withColumn("passes", (F.col("hits") >= needed).cast("int"))
+
+
+def playoff(teams: DataFrame, picks: DataFrame, rounds: int = 3) -> DataFrame:
+    """Knockout brackets filled from picks: each slot's two teams and winner. The last pick of a slot counts, and only if it names one of
+    the slot's teams; what follows from no valid pick is null. teams: bracket, place from 0, team; picks: bracket, round from 1, slot, winner, seq."""
+    last = picks.groupBy("bracket", "round", "slot").agg(F.max_by("winner", "seq").alias("picked"))
+    now, out = teams.select("bracket", "place", "team"), []
+    for r in range(1, rounds + 1):
+        side = lambda n: F.max(F.when(F.col("place") % 2 == n, F.col("team")))
+        games = now.groupBy("bracket", F.expr("place div 2").alias("slot")).agg(side(0).alias("team1"), side(1).alias("team2"))
+        met = games.join(last.filter(F.col("round") == r).drop("round"), ["bracket", "slot"], "left")
+        valid = (F.col("picked") == F.col("team1")) | (F.col("picked") == F.col("team2"))
+        met = met.select("bracket", F.lit(r).cast("long").alias("round"), "slot", "team1", "team2", F.when(valid, F.col("picked")).alias("winner"))
+        out.append(met)
+        now = met.select("bracket", F.col("slot").alias("place"), F.col("winner").alias("team"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def pruned_picks(bracket: DataFrame, picks: DataFrame) -> DataFrame:
+    """The picks that the filled bracket has no use for."""
+    used = bracket.filter("winner is not null").select("bracket", "round", "slot", "winner")
+    return picks.join(used, ["bracket", "round", "slot", "winner"], "left_anti")

@@ -108,7 +108,7 @@ add("decayed_winrate", on_long(lambda x: form.decayed_winrate(x, 30.0, 2.0)), ""
       sum(won * pow(2.0, (day - 19000) / 30.0)) OVER (PARTITION BY team ORDER BY day, match_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS w,
       sum(pow(2.0, (day - 19000) / 30.0)) OVER (PARTITION BY team ORDER BY day, match_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS t FROM l)""", "winrate", LONG_SQL)
 add("team_profile", on_long(form.team_profile), """
-    SELECT team, map, n, winrate, CAST(row_number() OVER (PARTITION BY team ORDER BY n DESC, d, i) <= 3 AS INT) AS preferred, CAST(row_number() OVER (PARTITION BY team ORDER BY n, map) <= 3 AS INT) AS banned FROM (
+    SELECT team, map, n, winrate, CAST(greatest(4 - row_number() OVER (PARTITION BY team ORDER BY n DESC, d, i), 0) AS INT) AS preferred, CAST(row_number() OVER (PARTITION BY team ORDER BY n, map) <= 3 AS INT) AS banned FROM (
       SELECT team, map, count(*) AS n, avg(won) AS winrate, min(day) AS d, arg_min(match_id, (day, match_id)) AS i FROM l GROUP BY ALL)""", "winrate", LONG_SQL)
 
 # ---------------------------------------------------------------- cleaning
@@ -195,10 +195,12 @@ add("american_odds", lambda s, d: read(s, d, "customer").select("c_custkey", key
 add("kelly_exposure_cap", lambda s, d: market.exposure_cap(match_view(s, d).selectExpr("match_id", "day", "odds1", "0.05D + 0.9D * ((match_id * 37) % 101) / 101D as p").withColumn("stake", market.kelly(F.col("p"), F.col("odds1"))), "stake", 0.25, "day").select("match_id", "stake", "capped"), """
     SELECT match_id, stake, CASE WHEN t > 0.25 THEN stake * 0.25 / t ELSE stake END AS capped FROM (SELECT *, sum(stake) OVER (PARTITION BY day) AS t FROM (
       SELECT m.match_id, m.day, greatest((p * odds1 - 1) / (odds1 - 1), 0) * 0.5 AS stake FROM m JOIN f USING (match_id)))""", "stake capped", F_SQL)
-add("candidate_maps", on_matches(lambda m: market.candidate_maps(form.team_profile(long_form(m)), m.select("match_id", "team1", "team2"))), """
-    SELECT match_id, k AS place, map FROM (SELECT match_id, a.map, row_number() OVER (PARTITION BY match_id ORDER BY a.preferred + b.preferred DESC, abs(round(a.winrate - b.winrate, 9)), a.map) AS k
-      FROM m JOIN t a ON a.team = team1 JOIN t b ON b.team = team2 AND b.map = a.map WHERE a.banned = 0 AND b.banned = 0) WHERE k <= 3""", "",
-    LONG_SQL + """, t AS (SELECT team, map, winrate, CAST(row_number() OVER (PARTITION BY team ORDER BY n DESC, d, i) <= 3 AS INT) AS preferred, CAST(row_number() OVER (PARTITION BY team ORDER BY n, map) <= 3 AS INT) AS banned FROM (
+POOL = ["click", "error", "purchase", "signup", "train"]
+add("candidate_maps", on_matches(lambda m: market.candidate_maps(form.team_profile(long_form(m)), m.select("match_id", "team1", "team2"), POOL)), """
+    SELECT match_id, place, map, likely / sum(likely) OVER (PARTITION BY match_id) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY round(likely + (w1 + w2) / 2, 9) DESC, map) AS place FROM (
+      SELECT match_id, g.map, coalesce(a.winrate, 0.5) AS w1, coalesce(b.winrate, 0.5) AS w2, coalesce(a.preferred, 0) + coalesce(b.preferred, 0) + 1 - abs(coalesce(a.winrate, 0.5) - coalesce(b.winrate, 0.5)) AS likely
+      FROM m CROSS JOIN (SELECT unnest(['click', 'error', 'purchase', 'signup', 'train']) AS map) g LEFT JOIN t a ON a.team = team1 AND a.map = g.map LEFT JOIN t b ON b.team = team2 AND b.map = g.map WHERE coalesce(a.banned, 0) + coalesce(b.banned, 0) = 0) QUALIFY place <= 3)""", "weight",
+    LONG_SQL + """, t AS (SELECT team, map, winrate, CAST(greatest(4 - row_number() OVER (PARTITION BY team ORDER BY n DESC, d, i), 0) AS INT) AS preferred, CAST(row_number() OVER (PARTITION BY team ORDER BY n, map) <= 3 AS INT) AS banned FROM (
       SELECT team, map, count(*) AS n, avg(won) AS winrate, min(day) AS d, arg_min(match_id, (day, match_id)) AS i FROM l GROUP BY ALL))""")
 
 # ---------------------------------------------------------------- splits and features
