@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from swissline.operators import policies, swiss, tickets
-from swissline.plans.catalogue import F_SQL, MATCH_SQL, PICK_SQL, STATE, add, on_forecasts, on_matches, stage_picks
+from swissline.operators import evaluate, form, joins, market, policies, ratings, readiness, swiss, tickets
+from swissline.plans.catalogue import F_SQL, LONG_SQL, LOSS, MATCH_SQL, PICK_SQL, POOL, STATE, add, on_forecasts, on_matches, stage_picks
 from swissline.sources import pages, results_api
+from swissline.sources.matches import long_form, match_view, read
 
 # ---------------------------------------------------------------- policies
 R_SQL = F_SQL + """, r AS (SELECT *, CAST(match_id % 9 = 0 AS INT) AS substitute, (p >= 0.5) = (label = 1) AS hit, abs(p - 0.5) AS gap, abs(p - 0.5) >= 0.02::DOUBLE AS act,
@@ -137,3 +138,69 @@ add("service_maps", on_matches(lambda m: results_api.maps(service_rows(m))), """
     UNION ALL SELECT CAST(match_id AS VARCHAR), 2, 'x', NULL, score2, CASE WHEN match_id % 3 > 0 THEN 'Team ' || team1 END, '9' FROM m""", "", MATCH_SQL)
 add("service_page_token", on_matches(lambda m: results_api.page_token(service_rows(m)).select("ts", F.array_join("ids", ",").alias("ids"))),
     "SELECT min(day) * 86400 + 60000 AS ts, (SELECT string_agg(CAST(match_id AS VARCHAR), ',' ORDER BY CAST(match_id AS VARCHAR)) FROM m WHERE day = (SELECT min(day) FROM m)) AS ids FROM m", "", MATCH_SQL)
+
+
+# ---------------------------------------------------------------- further joins
+def _intel(m: DataFrame) -> DataFrame:
+    return m.filter("tier <> 'C'").selectExpr("day", "team2 as team1", "team1 as team2", "case when match_id % 3 = 0 then 'de_Nuke' when match_id % 3 = 1 then 'TBD' end as map", "concat('s', match_id % 4) as source", "(match_id % 10) / 10D as confidence", "cast(match_id as string) as bans1", "cast(-match_id as string) as bans2", "match_id as seq")
+
+
+add("veto_intel_merge", on_matches(lambda m: joins.merge_veto(m.select("match_id", "day", "team1", "team2", "map"), _intel(m)).drop("day", "team1", "team2")), """
+    SELECT m.match_id, CASE WHEN q % 3 = 0 THEN 'nuke' ELSE map END AS map, CAST(q IS NOT NULL AS INT) AS veto_applied, 's' || (q % 4) AS veto_source, (q % 10) / 10.0::DOUBLE AS veto_confidence,
+      CASE WHEN m.team1 = first THEN CAST(q AS VARCHAR) ELSE CAST(-q AS VARCHAR) END AS bans1, CASE WHEN m.team1 = first THEN CAST(-q AS VARCHAR) ELSE CAST(q AS VARCHAR) END AS bans2
+    FROM m LEFT JOIN (SELECT day, least(team1, team2) AS lo, greatest(team1, team2) AS hi, max(match_id) AS q, arg_max(team2, match_id) AS first FROM m WHERE tier <> 'C' GROUP BY ALL) v ON v.day = m.day AND lo = least(m.team1, m.team2) AND hi = greatest(m.team1, m.team2)""", "veto_confidence", MATCH_SQL)
+add("team_metadata", lambda s, d: joins.merge_metadata(_own(s, d), read(s, d, "customer").selectExpr("c_custkey as team", "c_acctbal as balance"), ["balance"]).select("match_id", "balance1", "balance2"), """
+    SELECT match_id, coalesce(CASE WHEN match_id % 3 = 0 THEN v1 END, a.c_acctbal) AS balance1, b.c_acctbal AS balance2 FROM m LEFT JOIN customer a ON a.c_custkey = team1 LEFT JOIN customer b ON b.c_custkey = team2""", "balance1 balance2", MATCH_SQL)
+
+
+def _own(s, d) -> DataFrame:
+    return match_view(s, d).selectExpr("match_id", "team1", "team2", "if(match_id % 3 = 0, v1, null) as balance1", "cast(null as double) as balance2")
+
+
+IMPLIED = "1 / odds1 / (1 / odds1 + 1 / odds2)"
+add("pair_odds_lookup", on_matches(lambda m: joins.pair_means(m.selectExpr("team1", "team2", f"{IMPLIED} as p1"))), f"SELECT least(team1, team2) AS lo, greatest(team1, team2) AS hi, avg(CASE WHEN team1 > team2 THEN 1 - {IMPLIED} ELSE {IMPLIED} END) AS p_lo, count(*) AS n FROM m GROUP BY ALL", "p_lo", MATCH_SQL)
+add("market_strength", on_matches(lambda m: joins.market_strength(m.selectExpr("team1", "team2", f"{IMPLIED} as p1"))), f"SELECT team, avg(p) AS strength, count(*) AS n FROM (SELECT team1 AS team, {IMPLIED} AS p FROM m UNION ALL SELECT team2, 1 - {IMPLIED} FROM m) GROUP BY team", "strength", MATCH_SQL)
+add("dataset_coverage", lambda s, d: readiness.coverage(_own(s, d), read(s, d, "customer").selectExpr("c_custkey as team"), 600, 40), """
+    SELECT (SELECT count(*) FROM m) AS n_rows, (SELECT count(DISTINCT team) FROM l) AS n_teams, count(*) AS required, count_if(c_custkey IN (SELECT team FROM l)) AS covered, greatest(0, 600 - (SELECT count(*) FROM m)) AS rows_remaining, greatest(0, 40 - (SELECT count(DISTINCT team) FROM l)) AS teams_remaining FROM customer""", "", LONG_SQL)
+add("source_freshness", lambda s, d: readiness.freshness(read(s, d, "nation").selectExpr("n_name as source", "case when n_nationkey % 5 = 0 then 'soon' else concat('2024-01-', lpad(cast(n_nationkey + 1 as string), 2, '0'), ' 06:30:00') end as stamp"), read(s, d, "region").selectExpr("r_name as source"), "2024-01-20 00:00:00", 240), """
+    SELECT n_name AS source, CASE WHEN n_nationkey % 5 > 0 THEN (18 - n_nationkey) * 24 + 17.5 END::DOUBLE AS age_hours, CASE WHEN n_nationkey % 5 = 0 THEN 'invalid' WHEN (18 - n_nationkey) * 24 + 17.5 <= 240 THEN 'fresh' ELSE 'stale' END AS state FROM nation
+    UNION ALL SELECT r_name, NULL, 'missing' FROM region WHERE r_name NOT IN (SELECT n_name FROM nation)""", "age_hours")
+
+# ---------------------------------------------------------------- further statistics and ratings
+DRAWN_SQL = f"""dr AS (SELECT s, sum(v * k) / sum(k) AS x FROM (
+      SELECT s, v, CAST(u >= 0.36787944117144233 AS INT) + CAST(u >= 0.7357588823428847 AS INT) + CAST(u >= 0.9196986029286058 AS INT) + CAST(u >= 0.9810118431238462 AS INT) + CAST(u >= 0.9963401531726563 AS INT) + CAST(u >= 0.9994058151824183 AS INT) AS k
+      FROM (SELECT s, {LOSS} - ({LOSS.replace('(p)', '(p2)').replace('1 - p)', '1 - p2)')}) AS v, CAST(('0x' || substr(md5(s || '|' || match_id), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM f, range(1, 51) t(s))) GROUP BY s)"""
+add("paired_bootstrap", on_forecasts(lambda f: evaluate.paired_bootstrap(f, "match_id", 50, evaluate.log_loss(F.col("p"), F.col("label")), evaluate.log_loss(F.col("p2"), F.col("label")))), f"""
+    SELECT *, CASE WHEN low <= 0 AND high >= 0 THEN 'tie' WHEN delta < 0 THEN 'a' ELSE 'b' END AS better FROM (SELECT (SELECT avg({LOSS} - ({LOSS.replace('(p)', '(p2)').replace('1 - p)', '1 - p2)')})) FROM f) AS delta, quantile_cont(x, 0.025) AS low, quantile_cont(x, 0.975) AS high,
+      least(1, 2 * least(avg((x <= 0)::INT), avg((x >= 0)::INT)))::DOUBLE AS p_value FROM dr)""", "delta low high p_value", F_SQL + ", " + DRAWN_SQL)
+add("diebold_mariano_lag3", on_forecasts(lambda f: evaluate.diebold_mariano(f, "match_id", 3)), """
+    SELECT n, mean AS mean_difference, mean / sqrt((g0 + 2 * (2.0::DOUBLE / 3 * g1 + 1.0::DOUBLE / 3 * g2)) / n) * sqrt((n - 5 + 6.0::DOUBLE / n) / n) AS statistic FROM (SELECT count(*) AS n, max(mean) AS mean, avg(c * c) AS g0, sum(c * c1) / count(*) AS g1, sum(c * c2) / count(*) AS g2
+      FROM (SELECT mean, c, lag(c, 1) OVER (ORDER BY match_id) AS c1, lag(c, 2) OVER (ORDER BY match_id) AS c2 FROM (SELECT match_id, avg(d) OVER () AS mean, d - avg(d) OVER () AS c FROM (SELECT match_id, pow(p - label, 2) - pow(p2 - label, 2) AS d FROM f))))""", "mean_difference statistic", F_SQL)
+add("map_prob_from_series", on_forecasts(lambda f: f.selectExpr("match_id", "p * p * (3 - 2 * p) as s3", "pow(p, 3) * (10 - 15 * p + 6 * p * p) as s5").select("match_id", market.map_probability("s3", 3).alias("p3"), market.map_probability("s5", 5).alias("p5"))), "SELECT match_id, p AS p3, p AS p5 FROM f", "p3 p5", F_SQL)
+add("unknown_map_average", on_matches(lambda m: market.unknown_map_average(market.candidate_maps(form.team_profile(long_form(m)), m.select("match_id", "team1", "team2"), POOL), m.select("match_id", F.explode(F.array(*map(F.lit, POOL))).alias("map")).withColumn("p", (F.col("match_id") * 7 + F.length("map")) % 10 / 10.0), weighted=True)))
+add("rolling_bt", on_matches(ratings.rolling_bradley_terry))
+add("elo_final", on_matches(lambda m: ratings.final_elo(m, ratings.elo(m))))
+add("opponent_weighted_winrate", on_matches(lambda m: form.opponent_winrate(long_form(m), ratings.elo(m))))
+
+# ---------------------------------------------------------------- playoff brackets
+def entrants(s, d) -> DataFrame:
+    return read(s, d, "customer").selectExpr("c_custkey div 8 as bracket", "c_custkey % 8 as place", "c_custkey as team")
+
+
+def slot_picks(s, d) -> DataFrame:
+    """Every team is picked up to a round that its key gives; later keys are later picks."""
+    e = entrants(s, d).withColumn("round", F.explode(F.sequence(F.lit(1).cast("long"), 1 + (F.col("team") * 5) % 3)))
+    return e.select("bracket", "round", F.expr("place div cast(pow(2, round) as bigint)").alias("slot"), F.col("team").alias("winner"), ((F.col("team") * 7) % 5 * 1_000_000_000 + F.col("team")).alias("seq"))
+
+
+PLAYOFF_SQL = """e AS (SELECT c_custkey // 8 AS bracket, c_custkey % 8 AS place, c_custkey AS team FROM customer),
+  pk AS (SELECT bracket, r AS round, place // CAST(2 ** r AS BIGINT) AS slot, team AS winner, (team * 7) % 5 * 1000000000 + team AS seq FROM e, range(1, 4) t(r) WHERE r <= 1 + (team * 5) % 3),
+  lp AS (SELECT bracket, round, slot, arg_max(winner, seq) AS picked FROM pk GROUP BY ALL),
+  r1 AS (SELECT bracket, 1::BIGINT AS round, place // 2 AS slot, max(CASE WHEN place % 2 = 0 THEN team END) AS team1, max(CASE WHEN place % 2 = 1 THEN team END) AS team2 FROM e GROUP BY ALL),
+  w1 AS (SELECT r1.*, CASE WHEN picked IN (team1, team2) THEN picked END AS winner FROM r1 LEFT JOIN lp USING (bracket, round, slot)),
+  r2 AS (SELECT bracket, 2::BIGINT AS round, slot // 2 AS slot, max(CASE WHEN slot % 2 = 0 THEN winner END) AS team1, max(CASE WHEN slot % 2 = 1 THEN winner END) AS team2 FROM w1 GROUP BY bracket, slot // 2),
+  w2 AS (SELECT r2.*, CASE WHEN picked IN (team1, team2) THEN picked END AS winner FROM r2 LEFT JOIN lp USING (bracket, round, slot)),
+  r3 AS (SELECT bracket, 3::BIGINT AS round, slot // 2 AS slot, max(CASE WHEN slot % 2 = 0 THEN winner END) AS team1, max(CASE WHEN slot % 2 = 1 THEN winner END) AS team2 FROM w2 GROUP BY bracket, slot // 2),
+  w3 AS (SELECT r3.*, CASE WHEN picked IN (team1, team2) THEN picked END AS winner FROM r3 LEFT JOIN lp USING (bracket, round, slot)), w AS (SELECT * FROM w1 UNION ALL SELECT * FROM w2 UNION ALL SELECT * FROM w3)"""
+add("playoff_bracket", lambda s, d: swiss.playoff(entrants(s, d), slot_picks(s, d)), "SELECT * FROM w", "", PLAYOFF_SQL)
+add("pruned_picks", lambda s, d: swiss.pruned_picks(swiss.playoff(entrants(s, d), slot_picks(s, d)), slot_picks(s, d)), "SELECT * FROM pk WHERE (bracket, round, slot, winner) NOT IN (SELECT (bracket, round, slot, winner) FROM w WHERE winner IS NOT NULL)", "", PLAYOFF_SQL)

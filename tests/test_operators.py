@@ -151,3 +151,41 @@ def test_payloads_of_other_shapes(spark):
     (r,) = results_api.matches(rows).collect()
     assert (r.match_id, r.winner, r.best_of, r.n_maps, r.date, r.status) == ("5", "A", None, 0, None, None)
     assert results_api.maps(rows).count() == 0 and results_api.page_token(rows).count() == 0
+
+
+def test_rolling_strengths_are_those_of_the_days_before(spark):
+    m = match_view(spark, SF).cache()
+    got = {r.match_id: r for r in ratings.rolling_bradley_terry(m).collect()}
+    days = sorted({r.day for r in m.select("day").distinct().collect()})
+    assert len(got) == m.count()
+    for day in (days[0], days[len(days) // 2], days[-1]):
+        theta = {r.team: r.theta for r in ratings.bradley_terry(m.filter(F.col("day") < day)).collect()}
+        for r in m.filter(F.col("day") == day).collect():
+            assert abs(got[r.match_id].theta1 - theta.get(r.team1, 0.0)) < 1e-9 and abs(got[r.match_id].theta2 - theta.get(r.team2, 0.0)) < 1e-9
+
+
+def test_final_elo_and_opponent_weights(spark):
+    m = match_view(spark, SF).cache()
+    before = {r.match_id: r for r in ratings.elo(m).collect()}
+    now, history, want = {}, {}, {}
+    for r in sorted(m.collect(), key=lambda r: (r.day, r.match_id)):
+        a, b = before[r.match_id].elo1, before[r.match_id].elo2
+        assert abs(now.get(r.team1, 1500.0) - a) < 1e-9 and abs(now.get(r.team2, 1500.0) - b) < 1e-9
+        for side, (t, opp, won) in enumerate(((r.team1, b, r.winner == r.team1), (r.team2, a, r.winner == r.team2)), 1):
+            past = history.setdefault(t, [])[-10:]
+            want[r.match_id, side] = sum(w * x for x, w in past) / sum(w for _, w in past) if past else 0.5
+        for t, opp, won in ((r.team1, b, r.winner == r.team1), (r.team2, a, r.winner == r.team2)):
+            history[t].append((float(won), 2 / (1 + math.exp(-(opp - 1500) / 400))))
+        move = ratings.TIER_K[r.tier] * ((r.winner == r.team1) - 1 / (1 + 10 ** ((b - a) / 400)))
+        now[r.team1], now[r.team2] = a + move, b - move
+    assert all(abs(r.elo - now[r.team]) < 1e-9 for r in ratings.final_elo(m, ratings.elo(m)).collect())
+    assert all(abs(r.winrate - want[r.match_id, r.side]) < 1e-9 for r in form.opponent_winrate(long_form(m), ratings.elo(m)).collect())
+
+
+def test_candidate_maps_without_history_or_with_all_banned(spark):
+    from swissline.operators import market
+
+    profiles = spark.createDataFrame([(1, m, 0.5, 0, 1) for m in "ab"], "team long, map string, winrate double, preferred int, banned int")
+    fixtures = spark.createDataFrame([(1, 1, 2), (2, 3, 4)], "match_id long, team1 long, team2 long")
+    got = sorted((r.match_id, r.place, r.map, round(r.weight, 6)) for r in market.candidate_maps(profiles, fixtures, ["a", "b"]).collect())
+    assert got == [(2, 1, "a", 0.5), (2, 2, "b", 0.5)]
