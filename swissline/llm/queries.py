@@ -7,6 +7,7 @@ from swissline.llm.language_model import op4_recurrent_scores
 from swissline.llm.lines import op6_line_dedup
 from swissline.llm.media import op10_media_sequences
 from swissline.llm.mixing import op1_pfair_mixing
+from swissline.llm.oracles import ORACLES  # noqa: F401
 from swissline.llm.packing import op8_deficit_packing
 from swissline.llm.quality import op5_quality_repetition
 from swissline.llm.substring import op3_substring_dedup
@@ -25,4 +26,3 @@ QUERIES = {
     "op9_jaccard_groups": op9_jaccard_groups,
     "op10_media_sequences": op10_media_sequences,
 }
-ORACLES: dict[str, str] = {}
