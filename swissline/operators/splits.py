@@ -71,3 +71,30 @@ def minority_rows(rows: DataFrame, label: str, minority: int, columns: list[str]
     b = own.select((F.col("k")).alias("kb"), *(F.col(c).alias(f"b_{c}") for c in columns))
     met = ids.withColumns({"ka": F.col("i") % max(1, m), "kb": (F.col("i") + 1) % max(1, m), "alpha": (F.col("i") + 1) / F.lit(float(needed + 1))}).join(a, "ka").join(b, "kb")
     return met.select("i", *((F.col(f"a_{c}") * (1 - F.col("alpha")) + F.col(f"b_{c}") * F.col("alpha")).alias(c) for c in columns))
+
+
+def selected_features(rows: DataFrame, columns: list[str], label: str, top: int = 25, required: tuple[str, ...] = (), excluded: tuple[str, ...] = (), least_variance: float = 0.01, most_correlation: float = 0.8) -> DataFrame:
+    """Features in the order of use: (place, feature, importance). Low variance and excluded ones go; in column order one that correlates
+    with a kept one goes, but for required ones; the rest go by correlation with the label, optional ones before required ones.
+    All variances and correlations come from one aggregation; the driver sees a number for each pair of columns."""
+    corr = lambda a, b: F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))
+    named = [c for c in columns if c not in excluded]
+    stats = rows.agg(*(F.var_pop(c).alias(f"v_{c}") for c in named), *(corr(c, label).alias(f"r_{c}") for c in named)).first()
+    alive = [c for c in named if (stats[f"v_{c}"] or 0.0) >= least_variance]
+    must, may = [c for c in alive if c in required], [c for c in alive if c not in required]
+    pairs = [(a, b) for i, a in enumerate(may) for b in may[:i]]
+    near = rows.agg(*(corr(a, b).alias(f"p{k}") for k, (a, b) in enumerate(pairs))).first() if pairs else ()
+    between, kept = {pair: abs(near[k] or 0.0) for k, pair in enumerate(pairs)}, []
+    for c in may:
+        if all(between[c, b] <= most_correlation for b in kept):
+            kept.append(c)
+    score = {c: abs(stats[f"r_{c}"] or 0.0) for c in [*must, *kept]}
+    best = lambda names: sorted(names, key=lambda c: (-score[c], columns.index(c)))
+    chosen = best(must)[:top] if len(must) >= top else best(kept)[: top - len(must)] + best(must)
+    return rows.sparkSession.createDataFrame([(i, c, score[c]) for i, c in enumerate(chosen, 1)], "place long, feature string, importance double")
+
+
+def category_codes(rows: DataFrame, column: str, *order: str) -> DataFrame:
+    """A code for each value, by first appearance from 0; there are as many rows as values."""
+    seen = rows.filter(F.col(column).isNotNull()).groupBy(column).agg(F.min(F.struct(*order)).alias("_seen"))
+    return seen.select(column, (F.row_number().over(Window.orderBy("_seen", column)) - 1).cast("long").alias("code"))

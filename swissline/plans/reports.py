@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from swissline.operators import evaluate, form, joins, market, policies, ratings, readiness, swiss, tickets
+from swissline.operators import evaluate, form, joins, market, model, policies, ratings, readiness, splits, swiss, tickets
 from swissline.plans.catalogue import F_SQL, LONG_SQL, LOSS, MATCH_SQL, PICK_SQL, POOL, STATE, add, on_forecasts, on_matches, stage_picks
 from swissline.sources import pages, results_api
 from swissline.sources.matches import long_form, match_view, read
@@ -204,3 +204,9 @@ PLAYOFF_SQL = """e AS (SELECT c_custkey // 8 AS bracket, c_custkey % 8 AS place,
   w3 AS (SELECT r3.*, CASE WHEN picked IN (team1, team2) THEN picked END AS winner FROM r3 LEFT JOIN lp USING (bracket, round, slot)), w AS (SELECT * FROM w1 UNION ALL SELECT * FROM w2 UNION ALL SELECT * FROM w3)"""
 add("playoff_bracket", lambda s, d: swiss.playoff(entrants(s, d), slot_picks(s, d)), "SELECT * FROM w", "", PLAYOFF_SQL)
 add("pruned_picks", lambda s, d: swiss.pruned_picks(swiss.playoff(entrants(s, d), slot_picks(s, d)), slot_picks(s, d)), "SELECT * FROM pk WHERE (bracket, round, slot, winner) NOT IN (SELECT (bracket, round, slot, winner) FROM w WHERE winner IS NOT NULL)", "", PLAYOFF_SQL)
+
+# ---------------------------------------------------------------- selection and calibration
+SELECTABLE = {"v1": "v1", "v2": "v2", "odds1": "odds1", "gap": "v1 - v2", "one": "1D", "best_of": "cast(best_of as double)", "noise": "cast(match_id % 13 as double)"}
+add("feature_selection", on_matches(lambda m: splits.selected_features(m.selectExpr("cast(winner = team1 as double) as label", *(f"{x} as {c}" for c, x in SELECTABLE.items())), list(SELECTABLE), "label", 4, ("best_of",))))
+add("category_codes", on_matches(lambda m: splits.category_codes(m, "map", "day", "match_id")), "SELECT map, row_number() OVER (ORDER BY d, i) - 1 AS code FROM (SELECT map, min(day) AS d, arg_min(match_id, (day, match_id)) AS i FROM m GROUP BY map)", "", MATCH_SQL)
+add("calibration_choice", on_forecasts(model.calibration_losses))

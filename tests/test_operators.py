@@ -189,3 +189,35 @@ def test_candidate_maps_without_history_or_with_all_banned(spark):
     fixtures = spark.createDataFrame([(1, 1, 2), (2, 3, 4)], "match_id long, team1 long, team2 long")
     got = sorted((r.match_id, r.place, r.map, round(r.weight, 6)) for r in market.candidate_maps(profiles, fixtures, ["a", "b"]).collect())
     assert got == [(2, 1, "a", 0.5), (2, 2, "b", 0.5)]
+
+
+def test_feature_selection_against_numpy(spark):
+    from swissline.operators import splits
+
+    rnd = np.random.default_rng(5)
+    x = rnd.normal(size=(300, 5))
+    x[:, 1] = x[:, 0] + rnd.normal(size=300) * 0.1
+    x[:, 3] *= 0.01
+    label = (x[:, 2] + 0.3 * x[:, 0] > 0).astype(float)
+    df = spark.createDataFrame([(*map(float, r), float(y)) for r, y in zip(x, label)], "a double, b double, c double, d double, e double, label double")
+    got = [(r.feature, r.importance) for r in splits.selected_features(df, list("abcde"), "label", 3, ("e",)).orderBy("place").collect()]
+    r = {c: abs(np.corrcoef(x[:, i], label)[0, 1]) for i, c in enumerate("abcde")}
+    assert [c for c, _ in got] == ["c", "a", "e"] and all(abs(s - r[c]) < 1e-9 for c, s in got)
+    assert splits.selected_features(df.limit(0), list("ab"), "label").count() == 0
+
+
+def test_calibrations_recover_their_own_curve(spark):
+    from swissline.operators import model
+
+    rnd = np.random.default_rng(7)
+    p = rnd.uniform(0.02, 0.98, 6000)
+    sigmoid = lambda z: 1 / (1 + np.exp(-z))
+    label = (rnd.uniform(size=6000) < sigmoid(2.0 * np.log(p) - 0.5 * np.log(1 - p) + 0.7)).astype(int)
+    df = spark.createDataFrame([(i // 20, float(a), int(y)) for i, (a, y) in enumerate(zip(p, label))], "day long, p double, label int").cache()
+    a, b, c = model.beta(df, ridge=0.0)
+    assert abs(a - 2.0) < 0.25 and abs(b - 0.5) < 0.2 and abs(c - 0.7) < 0.3
+    losses = {r.method: r.loss for r in model.calibration_losses(df).collect()}
+    assert min(losses, key=losses.get) == "beta" and losses["platt"] < losses["raw"]
+    flat = df.withColumn("label", (F.col("p") < 0.5).cast("int"))
+    assert min(model.beta(flat)[:2]) >= 0
+    assert model.platt(df.limit(0)) == (1.0, 0.0) and model.calibration_losses(df.limit(0)).count() == 0
