@@ -94,11 +94,12 @@ def calibration_losses(rows: DataFrame, time: str = "day", folds: int = 2) -> Da
     """Log loss of each method on rows after those it was fitted on, over expanding folds by time; the least first. Folds end at
     percentiles of ``time``, so rows of one time are never split."""
     cuts = rows.agg(F.percentile(time, F.array(*(F.lit(k / (folds + 1)) for k in range(1, folds + 2))))).first()[0]
-    parts = []
+    parts, held = [], rows.select(time, "p", "label").persist()  # while fitting only
     for k in range(folds) if cuts else []:
-        before, after = rows.filter(F.col(time) <= cuts[k]), rows.filter((F.col(time) > cuts[k]) & (F.col(time) <= cuts[k + 1]))
+        before, after = held.filter(F.col(time) <= cuts[k]), rows.filter((F.col(time) > cuts[k]) & (F.col(time) <= cuts[k + 1]))
         tried = {"raw": F.col("p"), "platt": calibrated(F.col("p"), *platt(before)), "temperature": calibrated(F.col("p"), temperature(before)), "beta": beta_calibrated(F.col("p"), *beta(before))}
         parts.append(after.select(F.inline(F.array(*(F.struct(F.lit(m).alias("method"), log_loss(q, F.col("label")).alias("loss")) for m, q in tried.items())))))
+    held.unpersist()
     if not parts:
         return rows.sparkSession.createDataFrame([], "method string, loss double, n long")
     return reduce(DataFrame.unionByName, parts).groupBy("method").agg(F.avg("loss").alias("loss"), F.count("*").alias("n")).orderBy("loss", "method")
