@@ -2,12 +2,16 @@
 
 A rolling hash over the last ``roll`` line hashes ends a chunk where it is
 divisible by ``divisor``; a boundary depends only on the lines just before it,
-so an inserted line shifts no later boundary. Chunks of two lines or more that
-start earlier elsewhere (smaller doc_id, or earlier in the same document) are
-removed, after their bytes were compared with the first chunk of that hash.
-
-Defined cases: null and empty texts have no lines; single-line chunks and
-chunks of blank lines stay; repeated rows (same id, same text) count as one
+so an inserted line shifts no later boundary. Boundaries alone miss passages
+that hold no whole chunk, so every pair of neighbouring lines (blank ones
+between them skipped and included) is a chunk too: any repeated run of two
+lines that aren't blank is covered, wherever it stands. Chunks of two lines or
+more that start earlier elsewhere (smaller doc_id, or earlier in the same
+document, overlaps included) are removed, after their bytes were compared with
+the first chunk of that hash.
+
+Defined cases: null and empty texts have no lines; a line that repeats without
+its neighbours and chunks of blank lines stay; repeated rows (same id, same text) count as one
 document; a null doc_id comes after all others; columns other than doc_id and
 text are ignored.
 """
@@ -18,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swissline.llm.common import Poly, by_key, keyed, mix, pack, slices, table, text_bytes, unpack_all
+from swissline.llm.common import _WS, Poly, by_key, keyed, mix, pack, slices, table, text_bytes, unpack_all
 from swissline.llm.firsts import chunks, cover_rows, find_repeats, mask, same_bytes
 from swissline.llm.sketch import bits_for, repeated
 
@@ -27,7 +31,7 @@ _ITEM = (np.uint64, np.int64, np.int64, np.uint32, np.uint32, np.uint32, np.uint
 
 
 def _chunks(buf, offs, roll, divisor):
-    """Of each chunk of lines: hash, row, number of first line, end line, first byte, end byte."""
+    """Of each chunk and pair of lines, by first line: hash, row, number of first line, end line, first byte, end byte."""
     empty = np.diff(offs) == 0
     breaks = np.flatnonzero(buf == 10)
     row_of_break = np.searchsorted(offs, breaks, "right") - 1
@@ -53,6 +57,18 @@ def _chunks(buf, offs, roll, divisor):
     at = np.append(0, to[:-1])
     several = (to - at >= 2) & (ends[to - 1] - starts[at] > to - at - 1)
     at, to = at[several], to[several]
+    inked = np.zeros(len(buf) + 1, np.int64)
+    np.cumsum(~_WS[buf], out=inked[1:])
+    full = np.flatnonzero(inked[ends] > inked[starts])
+    one, two = full[:-1], full[1:]
+    near = rows[one] == rows[two]
+    one, two = one[near], two[near]
+    partner = np.full(len(rows), -1)
+    partner[one] = two
+    more = partner[at] != to - 1  # a chunk that is a pair counts once
+    at, to = np.concatenate([at[more], one]), np.concatenate([to[more], two + 1])
+    s = np.argsort(at, kind="stable")
+    at, to = at[s], to[s]
     return mix(_LINES.spans(_LINES.prefix(h), at, to)), rows[at], line[at], line[at] + to - at, starts[at], ends[to - 1]
 
 
@@ -66,7 +82,7 @@ def dedup_lines(docs: DataFrame, roll: int = 3, divisor: int = 4, carry: bool =
             for _, _, buf, offs in slices(b.column("text")):
                 yield _chunks(buf, offs, roll, divisor)[0]
 
-    seen = docs.sparkSession.sparkContext.broadcast(repeated(docs, hashes, bits_for(total // 200)))
+    seen = docs.sparkSession.sparkContext.broadcast(repeated(docs, hashes, bits_for(total // 120)))
 
     def items(batches, groups, buckets):
         def work(row, byte, buf, offs):
