@@ -46,6 +46,22 @@ def pfair_table(slots: int):
     return table_of
 
 
+def order_key(seed: int = 11):
+    """The fixed random order of the rows of a source."""
+    return F.xxhash64(F.lit(seed), "doc_id")
+
+
+def in_queues(docs: DataFrame) -> DataFrame:
+    """``docs`` with the rows of each source together, in the order in which ``mix_sources`` takes them; rows that share an id go by text."""
+    keys = (source_key(), order_key(), F.xxhash64("text"))
+    return docs.repartitionByRange(2 * parallelism(docs.sparkSession), *keys).sortWithinPartitions(*keys)
+
+
+def target_rates(docs: DataFrame, smoothing: float = 0.5) -> dict:
+    """By source key, the part of its rows that ``mix_sources`` takes in a unit of time by its default target."""
+    return {s: n ** (smoothing - 1) for s, n in docs.groupBy(source_key().alias("_source")).count().collect()}
+
+
 def mix_sources(docs: DataFrame, weights: dict | None = None, smoothing: float = 0.5, block: int = 32, slots: int = 1024, seed: int = 11) -> DataFrame:
     """``docs`` with ``mix_block`` (number of the block in its source), ``mix_slot`` and ``mix_position`` (from 0, no gaps).
 
@@ -53,7 +69,7 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, smoothing: float =
     """
     spark, added = docs.sparkSession, ("mix_block", "mix_slot", "mix_position")
     docs = docs.drop(*added)
-    keyed = docs.select(F.struct(*docs.columns).alias("_row"), source_key().alias("_source"), F.xxhash64(F.lit(seed), "doc_id").alias("_order"))
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), source_key().alias("_source"), order_key(seed).alias("_order"))
     ordered = keyed.repartitionByRange(2 * parallelism(spark), "_source", "_order").sortWithinPartitions("_source", "_order")
     row = keyed.schema["_row"]
     schema = T.StructType([row, T.StructField("_source", T.StringType()), T.StructField("_task", T.IntegerType()), T.StructField("_local", T.LongType()), T.StructField("_one", T.LongType())])

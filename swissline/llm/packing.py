@@ -3,7 +3,8 @@
 Each source is a queue of tokens. Every window gives each source its quantum
 (window size times its target share) and takes what its deficit counter allows;
 what rounding leaves goes to the largest deficits, and deficits are carried to
-the next window. Over a period of windows the takes are whole, so the schedule
+the next window. Rates say how fast the queues empty against each other, so that
+a mixture by rows can set the takes in tokens. Over a period of windows the takes are whole, so the schedule
 repeats and every task can place its pieces from totals by task and source:
 deficits carry over task boundaries as they do over windows. When a queue runs
 dry its share goes to the others. What is less than a window at the very end
@@ -101,11 +102,13 @@ def deficit_table(window: int, least_period: int = 64):
     return table_of
 
 
-def plan(totals: dict, window: int, weights: dict | None) -> tuple[dict, list[Phase], list[tuple[np.ndarray, int]]]:
+def plan(totals: dict, window: int, weights: dict | None, rates: dict | None = None) -> tuple[dict, list[Phase], list[tuple[np.ndarray, int]]]:
     """Number of each source, the phases, and for each short sequence at the end its takes and length."""
     names = sorted(totals)
     amount = np.array([totals[s] for s in names], np.int64)
     weight = amount.astype(float) if weights is None else np.array([weights.get(s[1:] if s[0] == "s" else None, 0.0) for s in names]) + 1e-9
+    if rates is not None:
+        weight = amount * np.array([rates[s] for s in names])
     made, got, rounds = phases(amount, weight, window, deficit_table(window))
     while (rest := amount - got).sum():
         size = 1 << (int(rest.sum()).bit_length() - 1)
@@ -118,10 +121,13 @@ def plan(totals: dict, window: int, weights: dict | None) -> tuple[dict, list[Ph
     return {s: i for i, s in enumerate(names)}, made
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, weights: dict | None = None) -> DataFrame:
-    """Pieces of ``docs`` (doc_id, text, source). weights: target share of each source; None: as in ``docs``."""
+def pack_documents(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, weights: dict | None = None, rates: dict | None = None) -> DataFrame:
+    """Pieces of ``docs`` (doc_id, text, source), queues in the order of the partitions and the rows in them.
+
+    weights: target share of each source; None: as in ``docs``. rates: in their place, the part of each queue (by source key) that goes in a unit of time.
+    """
     rows, totals = offsets(tokenized(docs, tokenizer, end_id), "n")
-    number, made = plan(totals, window, weights)
+    number, made = plan(totals, window, weights, rates)
     # places of a source within a round: after the takes of the sources before it
     inner = [np.hstack([np.zeros((p.period, 1), np.int64), np.cumsum(np.diff(p.got, axis=0), 1)[:, :-1]]) for p in made]
     ends = np.array([p.base + p.all_before(p.rounds) for p in made]).reshape(len(made), len(number))

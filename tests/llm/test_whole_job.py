@@ -1,8 +1,10 @@
 """Inputs on which an operator once did less than the whole job."""
 
 import random
+from collections import Counter
 
-from swissline.llm import lines
+import corpus_pipeline
+from swissline.llm import lines, mixing
 
 
 def test_op6_short_passages_go_in_any_context(spark):
@@ -20,3 +22,31 @@ def test_op6_short_passages_go_in_any_context(spark):
         own, p = text.split("\n"), passages[i % 100]
         at = next(j for j in range(len(own)) if own[j : j + len(p)] == p)
         assert got[i].kept_text.split("\n") == (own if i < 100 else own[:at] + own[at + len(p) :]), i
+
+
+def test_pipeline_sequences_follow_the_mixture(spark):
+    """Shares of sources in the first sequences, and which documents come first, are those of stage 4."""
+    rnd = random.Random(6)
+    rows = []
+    for i in range(4000):
+        source = "hot" if i % 10 else f"s{i // 10 % 3}"
+        rows.append((i, " ".join(rnd.choice(("river", "stone", "walk", "green")) for _ in range(90 if source == "s0" else 40)), "en", source, 1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(7)
+    source = {r[0]: r[3] for r in rows}
+    place = {r.doc_id: r.mix_position for r in mixing.mix_sources(docs).collect()}
+    pieces = corpus_pipeline.packing(spark, docs, "").collect()
+    size = {r.doc_id: r.doc_tokens for r in pieces}
+    assert sum(r.length for r in pieces) == sum(size.values()) and len(size) == len(rows)
+    first = [r for r in pieces if r.sequence_id < 12]
+    got = Counter()
+    for r in first:
+        got[source[r.doc_id]] += r.length
+    want, left = Counter(), sum(got.values())
+    for i in sorted(place, key=place.get):
+        want[source[i]] += (n := min(left, size[i]))
+        left -= n
+    assert all(abs(got[s] - want[s]) < 0.03 * sum(got.values()) for s in want), (got, want)
+    assert got["hot"] < 0.75 * sum(got.values())  # nine tenths of the rows
+    for s in want:  # each queue begins with the rows that the mixture places first
+        n = len(own := {r.doc_id for r in first if source[r.doc_id] == s})
+        assert own == set(sorted((i for i in place if source[i] == s), key=place.get)[:n])
