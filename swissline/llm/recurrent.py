@@ -123,27 +123,31 @@ def log_probability(m: Model, inputs: np.ndarray, klass: np.ndarray, within: np.
     return out
 
 
+def _softmax(x):
+    x = np.exp(x - x.max(1, keepdims=True))
+    x /= x.sum(1, keepdims=True)
+    return x
+
+
 class Trainer:
-    """Truncated backpropagation with Adam; states are carried through all windows, gradients taken in every ``every``-th."""
+    """Truncated backpropagation with Adam; states are carried through all windows, gradients taken in each."""
 
     def __init__(self, m: Model, rate: float = 0.01):
         self.m, self.rate, self.t = m, rate, 0
         self.m1, self.m2 = np.zeros(m.size, np.float32), np.zeros(m.size, np.float32)
 
-    def fit(self, inputs, klass, within, bounds, width: int = 256, window: int = 16, updates: int = 80) -> int:
+    def fit(self, inputs, klass, within, bounds, width: int = 256, window: int = 16) -> int:
         if not len(inputs):
             return 0
         m, k = self.m, self.m.hidden
         width = busy(bounds, width)
         place, first = grid(inputs, bounds, width)
-        windows = -(-len(place) // window)
-        every = max(1, min(12, windows // updates))
         h = np.zeros((place.shape[1], k), np.float32)
         done = 0
-        for w, at in enumerate(range(0, len(place), window)):
+        for at in range(0, len(place), window):
             p, f = place[at : at + window], first[at : at + window]
             x = m.x[inputs[p]]
-            learn = w % every == every - 1 and 2 * (p >= 0).sum() >= window * width  # not from a few documents alone
+            learn = 2 * (p >= 0).sum() >= window * width  # not from a few documents alone
             kept = []
             for t in range(len(p)):
                 h = h * ~f[t, :, None]
@@ -157,51 +161,64 @@ class Trainer:
         return done
 
     def _update(self, p, f, inputs, klass, within, kept):
+        g, n = self._gradients(p, f, inputs, klass, within, kept)
+        self._move(g / np.float32(max(1, n)))
+
+    def _gradients(self, p, f, inputs, klass, within, kept):
+        """Sum over the tokens of a window, and their number."""
         m, k = self.m, self.m.hidden
         g = Model(m.inputs, m.classes, m.tails, k)
         flat = p.ravel()
         live = np.flatnonzero(flat >= 0)
+        live = live[np.argsort(klass[flat[live]], kind="stable")]
         tokens = flat[live]
         states = np.stack([x[-1] for x in kept]).reshape(-1, k)[live]
-        n = np.float32(1 / max(1, len(tokens)))
         c = klass[tokens]
-        dl = np.exp(_log_softmax(states @ m.wc + m.bc))
+        dl = _softmax(states @ m.wc + m.bc)
         dl[np.arange(len(c)), c] -= 1
-        dl *= n
         g.wc[:], g.bc[:] = states.T @ dl, dl.sum(0)
         ds = dl @ m.wc.T
-        order = np.argsort(c, kind="stable")
-        edges = np.searchsorted(c[order], np.arange(m.classes + 1))
+        edges = np.searchsorted(c, np.arange(m.classes + 1))
+        word = within[tokens]
         for j in range(m.classes):
-            i = order[edges[j] : edges[j + 1]]
-            if len(i):
-                d = np.exp(_log_softmax(states[i] @ m.wi[j] + m.bi[j]))
-                d[np.arange(len(i)), within[tokens[i]]] -= 1
-                d *= n
+            i = slice(edges[j], edges[j + 1])
+            if edges[j] < edges[j + 1]:
+                d = _softmax(states[i] @ m.wi[j] + m.bi[j])
+                d[np.arange(len(d)), word[i]] -= 1
                 g.wi[j], g.bi[j] = states[i].T @ d, d.sum(0)
                 ds[i] += d @ m.wi[j].T
         dstate = np.zeros((flat.shape[0], k), np.float32)
         dstate[live] = ds
         dstate = dstate.reshape(*p.shape, k)
         dh = np.zeros_like(dstate[0])
+        backs, dxs = (np.empty((*p.shape, 3 * k), np.float32) for _ in range(2))
         for t in range(len(p) - 1, -1, -1):
             before, r, z, nn, hn, _ = kept[t]
             dh = dh + dstate[t]
             dn = dh * (1 - z) * (1 - nn * nn)
-            dz = dh * (before - nn) * z * (1 - z)
-            dr = dn * hn * r * (1 - r)
-            back = np.concatenate([dr, dz, dn * r], 1)
-            g.u[:] += before.T @ back
-            dx = np.concatenate([dr, dz, dn], 1)
-            own = p[t] >= 0
-            np.add.at(g.x, inputs[p[t][own]], dx[own])
+            back, dx = backs[t], dxs[t]
+            dx[:, :k] = dn * hn * r * (1 - r)
+            dx[:, k : 2 * k] = dh * (before - nn) * z * (1 - z)
+            dx[:, 2 * k :] = dn
+            back[:, : 2 * k] = dx[:, : 2 * k]
+            back[:, 2 * k :] = dn * r
             dh = (dh * z + back @ m.u.T) * ~f[t, :, None]
-        v = g.vector
+        g.u[:] = np.stack([x[0] for x in kept]).reshape(-1, k).T @ backs.reshape(-1, 3 * k)
+        if len(live):
+            word = inputs[flat[live]]
+            s = np.argsort(word, kind="stable")
+            word = word[s]
+            new = np.flatnonzero(np.diff(word, prepend=-1))
+            g.x[word[new]] = np.add.reduceat(dxs.reshape(-1, 3 * k)[live[s]], new)
+        return g.vector, len(live)
+
+    def _move(self, v, share: float = 1.0):
+        """A step of Adam against ``v``; share: the part of a step to take."""
         norm = float(np.sqrt((v * v).sum()))
         if norm > 1:
-            v /= norm
+            v = v / np.float32(norm)
         self.t += 1
         self.m1 += 0.1 * (v - self.m1)
         self.m2 += 0.01 * (v * v - self.m2)
-        scale = self.rate * np.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t)
-        m.vector -= (scale * self.m1 / (np.sqrt(self.m2) + 1e-6)).astype(np.float32)
+        scale = share * self.rate * np.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t)
+        self.m.vector -= (scale * self.m1 / (np.sqrt(self.m2) + 1e-6)).astype(np.float32)

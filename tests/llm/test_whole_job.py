@@ -3,8 +3,10 @@
 import random
 from collections import Counter
 
+import numpy as np
+
 import corpus_pipeline
-from swissline.llm import lines, mixing
+from swissline.llm import lines, mixing, recurrent
 
 
 def test_op6_short_passages_go_in_any_context(spark):
@@ -50,3 +52,26 @@ def test_pipeline_sequences_follow_the_mixture(spark):
     for s in want:  # each queue begins with the rows that the mixture places first
         n = len(own := {r.doc_id for r in first if source[r.doc_id] == s})
         assert own == set(sorted((i for i in place if source[i] == s), key=place.get)[:n])
+
+
+def learned(sizes, monkeypatch):
+    """How often each token of documents of these sizes gives a gradient."""
+    m = recurrent.Model(8, 2, 2, 4)
+    m.start(np.ones(4), np.ones((2, recurrent.PER_CLASS)))
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    rng, seen = np.random.default_rng(0), np.zeros(bounds[-1], int)
+    gradients = recurrent.Trainer._gradients
+
+    def watch(self, p, *others):
+        np.add.at(seen, p[p >= 0], 1)
+        return gradients(self, p, *others)
+
+    monkeypatch.setattr(recurrent.Trainer, "_gradients", watch)
+    before = m.vector.copy()
+    done = recurrent.Trainer(m).fit(rng.integers(0, 8, bounds[-1]), rng.integers(0, 4, bounds[-1]), rng.integers(0, 32, bounds[-1]), bounds)
+    assert done > 0 and (m.vector != before).any()
+    return seen
+
+
+def test_op4_every_window_is_learned_at_every_size(monkeypatch):
+    assert (learned([5000] * 256, monkeypatch) == 1).all()  # 313 windows: once every third
