@@ -212,7 +212,7 @@ def score_documents(docs: DataFrame, frequent: int = 1 << 16, classes: int = 32,
         before[bounds[:-1]] = short + TAILS
         return before, klass, number % PER_CLASS, at, there, listed
 
-    # 4. training in every task, then the mean of the tasks' models by share of updates
+    # 4. training in every task, then the mean of the tasks' models by share of tokens (in units of 1,024)
     chunk = 1 << 13
 
     def train(batches):
@@ -224,7 +224,7 @@ def score_documents(docs: DataFrame, frequent: int = 1 << 16, classes: int = 32,
             done += trainer.fit(before, klass, within, bounds)
         if done:
             for i, a in enumerate(range(0, own.size, chunk)):
-                yield batch(_ROW, [i], [done], [own.vector[a : a + chunk].astype(np.float64).tobytes()])
+                yield batch(_ROW, [i], [-(-done // 1024)], [own.vector[a : a + chunk].astype(np.float64).tobytes()])
 
     def mean(t: pa.Table) -> pa.Table:
         weight = np.array(t.column("kind").to_pylist(), float)

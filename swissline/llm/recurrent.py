@@ -136,29 +136,34 @@ class Trainer:
         self.m, self.rate, self.t = m, rate, 0
         self.m1, self.m2 = np.zeros(m.size, np.float32), np.zeros(m.size, np.float32)
 
-    def fit(self, inputs, klass, within, bounds, width: int = 256, window: int = 16) -> int:
+    def fit(self, inputs, klass, within, bounds, width: int = 256, window: int = 16, least: int = 1024) -> int:
+        """Learns all tokens and returns their number; a step is made from ``least`` tokens on, the last one in proportion to what is left."""
         if not len(inputs):
             return 0
         m, k = self.m, self.m.hidden
-        width = busy(bounds, width)
-        place, first = grid(inputs, bounds, width)
+        place, first = grid(inputs, bounds, busy(bounds, width))
         h = np.zeros((place.shape[1], k), np.float32)
-        done = 0
+        total, n = np.zeros(m.size, np.float32), 0
         for at in range(0, len(place), window):
             p, f = place[at : at + window], first[at : at + window]
+            live = p[0] >= 0  # lanes only end
+            if not live.all():
+                keep = np.flatnonzero(live)
+                place, first, h, p, f = place[:, keep], first[:, keep], h[keep], p[:, keep], f[:, keep]
             x = m.x[inputs[p]]
-            learn = 2 * (p >= 0).sum() >= window * width  # not from a few documents alone
             kept = []
             for t in range(len(p)):
                 h = h * ~f[t, :, None]
                 before = h
-                h, r, z, n, hn = _step(m, x[t], h)
-                if learn:
-                    kept.append((before, r, z, n, hn, h))
-            if learn:
-                self._update(p, f, inputs, klass, within, kept)
-                done += 1
-        return done
+                h, r, z, n_, hn = _step(m, x[t], h)
+                kept.append((before, r, z, n_, hn, h))
+            g, more = self._gradients(p, f, inputs, klass, within, kept)
+            total += g
+            n += more
+            if n >= least or at + window >= len(place):
+                self._move(total / np.float32(n), min(1.0, n / least))
+                total[:], n = 0, 0
+        return len(inputs)
 
     def _update(self, p, f, inputs, klass, within, kept):
         g, n = self._gradients(p, f, inputs, klass, within, kept)

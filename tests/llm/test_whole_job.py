@@ -75,3 +75,9 @@ def learned(sizes, monkeypatch):
 
 def test_op4_every_window_is_learned_at_every_size(monkeypatch):
     assert (learned([5000] * 256, monkeypatch) == 1).all()  # 313 windows: once every third
+
+
+def test_op4_few_and_very_long_documents_are_learned_whole(monkeypatch):
+    for sizes in ([40], [3000], [7, 500, 1], [20000, *[30] * 200], [200] * 7):
+        assert (learned(sizes, monkeypatch) == 1).all(), sizes
+        monkeypatch.undo()
