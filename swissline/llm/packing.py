@@ -36,7 +36,7 @@ _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 
 
 def encoder(path: str):
-    """text -> uint32 ids, from a byte-level BPE file; special tokens in a text are ordinary text."""
+    """text -> uint32 ids, from a byte-level BPE file; the added tokens of the file take their ids wherever they stand in a text."""
     import json
 
     import public_tokenizers
@@ -44,17 +44,24 @@ def encoder(path: str):
     from tokenizers import Tokenizer
 
     with open(path, encoding="utf-8") as f:
-        vocab = json.load(f)["model"]["vocab"]
+        spec = json.load(f)
+    vocab, added = spec["model"]["vocab"], spec.get("added_tokens") or []
     # the byte alphabet of byte-level BPE: printable characters stand for themselves, the others follow from 256 on
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
     ranks = {bytes(byte_of[c] for c in word): i for word, i in vocab.items() if not (word.startswith("<|") and word.endswith("|>"))}
-    fast = tiktoken.Encoding("byte-level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    fast = tiktoken.Encoding("byte-level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={t["content"]: t["id"] for t in added})
     slow = Tokenizer.from_file(path)
-    slow.encode_special_tokens = True
+    names = [t["content"] for t in added]
+    # tokens that take in what is around them are left to tokenizers
+    wide = [t["content"] for t in added if any(t.get(k) for k in ("lstrip", "rstrip", "single_word", "normalized"))]
 
     def encode(text: str) -> np.ndarray:
+        if any(x in text for x in wide):
+            return np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
         try:
+            if any(x in text for x in names):
+                return np.array(fast.encode(text, allowed_special="all"), np.uint32)
             return np.array(fast.encode_ordinary(text), np.uint32)
         except Exception:  # texts its pattern engine gives up on
             return np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)

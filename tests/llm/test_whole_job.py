@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 
 import corpus_pipeline
-from swissline.llm import lines, mixing, recurrent
+from swissline.llm import lines, mixing, packing, recurrent
 
 
 def test_op6_short_passages_go_in_any_context(spark):
@@ -81,3 +81,13 @@ def test_op4_few_and_very_long_documents_are_learned_whole(monkeypatch):
     for sizes in ([40], [3000], [7, 500, 1], [20000, *[30] * 200], [200] * 7):
         assert (learned(sizes, monkeypatch) == 1).all(), sizes
         monkeypatch.undo()
+
+
+def test_op8_added_tokens_take_their_ids():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encode, plain = packing.encoder(path), Tokenizer.from_file(path)
+    for t in ("a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n\ny <|endof", "é <|endoftext|>  it's", "none"):
+        assert encode(t).tolist() == plain.encode(t, add_special_tokens=False).ids, t
