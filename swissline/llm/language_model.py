@@ -1,18 +1,24 @@
 """Scoring documents with a gated recurrent language model (operator 4).
 
-Word counts over all training rows are exact: those of the ``frequent`` most
+Word counts over all training rows are exact: those of the ``FREQUENT`` most
 common words as sums of task vectors, all others in buckets by word hash, which
-also return to each document its part of the scores. The most common words of
-these form the shortlist, in classes by frequency; the rest is in tail groups by
-their last letters, where a word's share is (c + 0.5) / (N + 0.5 (V + 1)) with
-the group's N and V. Every task trains the model on all its training rows, with
-states carried through each whole document; the tasks' models are averaged.
-Scoring carries the state over each whole document.
+also return to each document its part of the scores. The shortlist holds the
+most common words, a 256th of the distinct training words, 4,096 to 32,768 of
+them, in classes by frequency; the rest is in tail groups by last letters, where
+a word's share is (c + 0.5) / (N + 0.5 (V + 1)) with the group's N and V.
+
+Training rows are dealt by hash of id and text to trainers of about
+``trainer_tokens`` tokens and to ``rounds``. In a round every trainer starts
+from the mean model of the round before and learns its rows of this round in
+the order of their hashes, a gradient from every token; the models are averaged
+by tokens. So neither the model nor a score depends on how the input is
+partitioned. Scoring carries the state over each whole document.
 
 Defined cases: null and empty texts are one end token; without training rows all
-words are unknown and the model is untrained; repeated rows (same id, same
-text) are scored alike and counted each; a null doc_id counts as the text ""
-for held_out; further columns are ignored.
+words are unknown and the model is untrained; very long texts are scored in one
+lane each, and learned in pieces of 1,024 tokens; repeated rows (same id, same
+text) are scored alike and counted each; a null doc_id counts as the text "" for
+held_out; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,13 +29,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from swissline.llm.common import NULL_ID, Poly, batch, by_key, fan_out, ids_of, keyed, lower_ascii, materialize, mix, pack, rows_of, slices, table, text_bytes, unpack, unpack_all, words
-from swissline.llm.recurrent import PER_CLASS, Model, Trainer, log_probability
+from swissline.llm.recurrent import Model, Trainer, class_bounds, log_probability
 
 _LETTERS = Poly(401)
 END = np.uint64(0x5EED0E4D5EED0E4D)
 TAILS = 32
+FREQUENT = (1 << 16) - TAILS  # with the tail groups, codes of 16 bits
 CHUNK_TOKENS = 2_000_000
 _ROW = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("blob", pa.binary())])
+_CODED = pa.schema([("trainer", pa.int32()), ("key", pa.int64()), ("codes", pa.binary())])
+_MOVES = pa.schema([("piece", pa.int32()), ("grp", pa.int32()), ("weight", pa.int64()), ("blob", pa.binary()), ("unit", pa.float64())])
+_MOVES_OF = "piece int, grp int, weight long, blob binary, unit double"
+MERGED = 256  # models in a step of averaging
 _RARE = (np.uint64, np.int64, np.int64, np.uint32, np.uint8, np.uint8)
 
 
@@ -51,8 +62,8 @@ def tokens_of(buf: np.ndarray, offs: np.ndarray):
     return out, group, bounds + np.arange(rows + 1)
 
 
-def token_chunks(batches, most: int = CHUNK_TOKENS):
-    """(ids, rids, held out, hashes, groups, bounds) of some rows at a time."""
+def token_chunks(batches, most: int = CHUNK_TOKENS, keys: tuple[str, str] | None = None):
+    """(ids, rids, held out, hashes, groups, bounds) of some rows at a time; keys: columns to take in place of the ids."""
 
     def joined():
         sizes = np.concatenate([np.diff(p[5]) for p in parts])
@@ -60,7 +71,7 @@ def token_chunks(batches, most: int = CHUNK_TOKENS):
 
     parts, n = [], 0
     for b in batches:
-        ids, rids = ids_of(b)
+        ids, rids = (b.column(k).to_numpy(zero_copy_only=False) for k in keys) if keys else ids_of(b)
         held = b.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
         for lo, hi, buf, offs in slices(b.column("text")):
             h, g, bounds = tokens_of(buf, offs)
@@ -87,7 +98,53 @@ class Vocabulary:
         return at, self.words[at] == h
 
 
-def score_documents(docs: DataFrame, frequent: int = 1 << 16, classes: int = 32, hidden: int = 24, rounds: int = 1) -> DataFrame:
+class Codes(Vocabulary):
+    """16-bit codes, one for each frequent word and one for each tail group, and what the model has to know of each code."""
+
+    def __init__(self, vocabulary, counts, tail_of, rank, at, n_tail, v_tail):
+        super().__init__(vocabulary.words)
+        short, groups = int(at[-1]), np.append(tail_of, np.arange(TAILS))
+        rank = np.append(rank, np.full(TAILS, short))
+        listed = rank < short
+        own = np.searchsorted(at, np.minimum(rank, short - 1), "right") - 1
+        self.klass = np.where(listed, own, groups + len(at) - 1).astype(np.int16)
+        self.within = np.where(listed, rank - at[own], 0).astype(np.int32)
+        self.input = np.where(listed, rank, groups + short).astype(np.int32)
+        self.first = np.int32(short + TAILS)
+        self.logs = np.append(np.log10(counts + 0.5), np.zeros(TAILS))
+        self.share = np.where(listed, 0.0, self.logs - np.log10(n_tail + 0.5 * (v_tail + 1))[groups])
+        self.met = np.append(counts > 0, np.zeros(TAILS, bool)).astype(np.int64)
+
+    def of(self, h: np.ndarray, g: np.ndarray) -> np.ndarray:
+        at, there = self.find(h)
+        return np.where(there, at, g + np.int32(len(self.words))).astype(np.uint16)
+
+    def before(self, codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Number of the token before each, a number of its own where a document begins."""
+        out = np.empty(len(codes), np.int32)
+        out[1:] = self.input[codes[:-1]]
+        out[bounds[:-1]] = self.first
+        return out
+
+
+def coded_chunks(batches, most: int = CHUNK_TOKENS):
+    """(trainer, codes of documents) for runs of rows of one trainer, some tokens at a time."""
+    now, blobs, size = None, [], 0
+    for b in batches:
+        for trainer, codes in zip(b.column("trainer").to_pylist(), b.column("codes").to_pylist()):
+            if blobs and (trainer != now or size >= 2 * most):
+                yield now, blobs
+                blobs, size = [], 0
+            now = trainer
+            blobs.append(codes)
+            size += len(codes)
+    if blobs:
+        yield now, blobs
+
+
+def score_documents(
+    docs: DataFrame, hidden: int = 24, rounds: int = 4, trainer_tokens: int = 4_000_000, least_short: int = 1 << 12, most_short: int = 1 << 15, frequent: int = FREQUENT
+) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of ``docs`` (doc_id, text)."""
     spark, sc = docs.sparkSession, docs.sparkSession.sparkContext
     docs = keyed(docs).withColumn("held_out", is_held_out())
@@ -186,8 +243,8 @@ def score_documents(docs: DataFrame, frequent: int = 1 << 16, classes: int = 32,
     n_all, v_all = int(counts.sum() + n_tail.sum()), int((counts > 0).sum() + v_tail.sum())
 
     # 3. the shortlist, its classes, and the tail groups
-    short = classes * PER_CLASS
-    rank = np.full(len(counts), short, np.int32)
+    short = max(1, min(len(counts), max(least_short, min(most_short, 1 << max(1, v_all // 256).bit_length() - 1))))
+    rank = np.full(len(counts), short, np.int64)
     best = np.argsort(-counts, kind="stable")[:short]
     rank[best] = np.arange(len(best))
     rest = rank == short
@@ -195,63 +252,78 @@ def score_documents(docs: DataFrame, frequent: int = 1 << 16, classes: int = 32,
     v_tail += np.bincount(tail_of[rest], counts[rest] > 0, TAILS).astype(np.int64)
     mass = np.full(short, 0.5)
     mass[: len(best)] += counts[best]
-    mass = mass.reshape(classes, PER_CLASS)
-    model = Model(short + TAILS + 1, classes, TAILS, hidden)
-    model.start(np.concatenate([mass.sum(1), n_tail + 0.5 * (v_tail + 1)]), mass)
-    tables = sc.broadcast((vocabulary, counts, rank, n_tail, v_tail))
-
-    def encode(h, g, bounds):
-        """Number of the token before, class, word in class, and place among the frequent words."""
-        vocabulary, _, rank, _, _ = tables.value
-        at, there = vocabulary.find(h)
-        number = np.where(there, rank[at] if len(rank) else short, short).astype(np.int32)
-        listed = number < short
-        klass = np.where(listed, number // PER_CLASS, g + np.int32(classes))
-        before = np.empty(len(h), np.int32)
-        before[1:] = np.where(listed, number, g + np.int32(short))[:-1]
-        before[bounds[:-1]] = short + TAILS
-        return before, klass, number % PER_CLASS, at, there, listed
-
-    # 4. training in every task, then the mean of the tasks' models by share of tokens (in units of 1,024)
+    at = class_bounds(mass, max(32, 1 << (short.bit_length() - 1) // 2))
+    model = Model(short + TAILS + 1, at, TAILS, hidden)
+    model.start(np.concatenate([np.add.reduceat(mass, at[:-1]), n_tail + 0.5 * (v_tail + 1)]), mass)
+    tables = sc.broadcast(Codes(vocabulary, counts, tail_of, rank, at, n_tail, v_tail))
+
+    # 4. rounds of training, each from the mean of the models of the round before, by tokens (in units of 1,024)
+    trainers = max(1, n_all // max(trainer_tokens, 8 * model.size))
+    dealt = training.withColumn("key", F.xxhash64(F.lit(4), "doc_id", "rid")).withColumn("trainer", F.pmod("key", F.lit(trainers)).cast("int"))
     chunk = 1 << 13
 
+    def encode(batches):
+        for trainer, key, _, h, g, bounds in token_chunks(batches, 1 << 18, ("trainer", "key")):
+            codes = tables.value.of(h, g).tobytes()
+            yield batch(_CODED, trainer, key, [codes[2 * a : 2 * b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())])
+
     def train(batches):
-        own = Model(short + TAILS + 1, classes, TAILS, hidden)
-        own.view(current.value.copy())
-        trainer, done = Trainer(own), 0
-        for _, _, _, h, g, bounds in token_chunks(batches):
-            before, klass, within, _, _, _ = encode(h, g, bounds)
-            done += trainer.fit(before, klass, within, bounds)
-        if done:
+        """Each trainer's move of the parameters, in pieces."""
+        known = tables.value
+
+        def learned():
+            own, done, trainer, now = None, 0, None, None
+            for now, blobs in coded_chunks(batches):
+                if now != trainer:
+                    if done:
+                        yield trainer, done, own
+                    own, done, trainer = model_of(current.value.copy()), 0, now
+                    teacher = Trainer(own)
+                codes = np.frombuffer(b"".join(blobs), np.uint16)
+                bounds = np.concatenate([[0], np.cumsum([len(x) // 2 for x in blobs])])
+                done += teacher.fit(known.before(codes, bounds), known.klass[codes], known.within[codes], bounds)
+            if done:
+                yield trainer, done, own
+
+        for trainer, done, own in learned():
+            moved = own.vector - current.value
             for i, a in enumerate(range(0, own.size, chunk)):
-                yield batch(_ROW, [i], [-(-done // 1024)], [own.vector[a : a + chunk].astype(np.float64).tobytes()])
+                part = moved[a : a + chunk]
+                unit = max(float(np.abs(part).max()), 1e-30) / 32767
+                yield batch(_MOVES, [i], [trainer // MERGED], [-(-done // 1024)], [np.rint(part / unit).astype(np.int16).tobytes()], [unit])
 
     def mean(t: pa.Table) -> pa.Table:
-        weight = np.array(t.column("kind").to_pylist(), float)
-        vectors = np.stack([np.frombuffer(x.as_buffer(), np.float64) for x in t.column("blob")])
-        return pa.table({"bucket": [t.column("bucket")[0].as_py()], "blob": pa.array([(weight @ vectors / weight.sum()).astype(np.float32).tobytes()], pa.binary())})
+        """Means of up to MERGED moves, the heaviest first so that their order doesn't matter."""
+        rows = sorted(zip(t.column("weight").to_pylist(), t.column("unit").to_pylist(), t.column("blob").to_pylist()))
+        total, weight = 0.0, sum(r[0] for r in rows)
+        for w, unit, blob in rows:
+            total = total + np.frombuffer(blob, np.int16) * (w * unit / weight)
+        unit = max(float(np.abs(total).max()), 1e-30) / 32767
+        return pa.Table.from_batches([batch(_MOVES, t.column("piece")[:1], [t.column("grp")[0].as_py() // MERGED], [weight], [np.rint(total / unit).astype(np.int16).tobytes()], [unit])])
+
+    def model_of(vector):
+        return Model(short + TAILS + 1, at, TAILS, hidden).view(vector)
 
     current = sc.broadcast(model.vector)
-    for _ in range(rounds):
-        averaged = training.mapInArrow(train, "bucket long, kind int, blob binary").groupBy("bucket").applyInArrow(mean, "bucket long, blob binary").collect()
-        vector = model.vector.copy()
-        for i, blob in averaged:  # the parameters, once
-            vector[i * chunk : (i + 1) * chunk] = np.frombuffer(blob, np.float32)
+    for r in range(rounds):
+        rows = dealt.filter(F.pmod(F.shiftright("key", 20), F.lit(rounds)) == r).select("doc_id", "rid", "text", "held_out", "key", "trainer")
+        coded = rows.mapInArrow(encode, "trainer int, key long, codes binary").repartitionById(trainers, F.col("trainer")).sortWithinPartitions("trainer", "key")
+        moves, left = coded.mapInArrow(train, _MOVES_OF), trainers
+        while left:
+            moves = moves.groupBy("piece", "grp").applyInArrow(mean, _MOVES_OF)
+            left = (left - 1) // MERGED
+        vector = current.value.copy()
+        for piece, _, _, blob, unit in moves.collect():  # the parameters, once
+            vector[piece * chunk : (piece + 1) * chunk] += np.frombuffer(blob, np.int16) * np.float32(unit)
         current = sc.broadcast(vector)
 
     # 5. scores; what rare words add comes from their buckets
     def score(batches):
-        own = Model(short + TAILS + 1, classes, TAILS, hidden)
-        own.view(current.value)
-        _, counts, _, n_tail, v_tail = tables.value
-        scale = np.log10(n_tail + 0.5 * (v_tail + 1))
+        own, known = model_of(current.value), tables.value
         for ids, rids, held, h, g, bounds in token_chunks(batches):
-            before, klass, within, at, there, listed = encode(h, g, bounds)
-            lp = log_probability(own, before, klass, within, bounds) / np.log(10)
-            c = np.where(there, counts[at] if len(counts) else 0, 0)
-            logs = np.where(there, np.log10(c + 0.5), 0.0)
-            lp += np.where(listed, 0.0, logs - scale[g])
-            sums = [np.add.reduceat(x, bounds[:-1]) for x in (lp, logs, (c > 0).astype(np.int64))]
+            codes = known.of(h, g)
+            lp = log_probability(own, known.before(codes, bounds), known.klass[codes], known.within[codes], bounds) / np.log(10) + known.share[codes]
+            sums = [np.add.reduceat(x, bounds[:-1]) for x in (lp, known.logs[codes], known.met[codes])]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids), pa.array(rids), pa.array(held), pa.array(np.diff(bounds)), *map(pa.array, sums)], ["id", "rid", "held_out", "n_tokens", "lp", "logs", "seen"]
             )

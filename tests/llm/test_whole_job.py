@@ -56,8 +56,8 @@ def test_pipeline_sequences_follow_the_mixture(spark):
 
 def learned(sizes, monkeypatch):
     """How often each token of documents of these sizes gives a gradient."""
-    m = recurrent.Model(8, 2, 2, 4)
-    m.start(np.ones(4), np.ones((2, recurrent.PER_CLASS)))
+    m = recurrent.Model(8, np.array([0, 4, 36]), 2, 4)
+    m.start(np.ones(4), np.ones(36))
     bounds = np.concatenate([[0], np.cumsum(sizes)])
     rng, seen = np.random.default_rng(0), np.zeros(bounds[-1], int)
     gradients = recurrent.Trainer._gradients
@@ -68,7 +68,7 @@ def learned(sizes, monkeypatch):
 
     monkeypatch.setattr(recurrent.Trainer, "_gradients", watch)
     before = m.vector.copy()
-    done = recurrent.Trainer(m).fit(rng.integers(0, 8, bounds[-1]), rng.integers(0, 4, bounds[-1]), rng.integers(0, 32, bounds[-1]), bounds)
+    done = recurrent.Trainer(m).fit(rng.integers(0, 8, bounds[-1]), rng.integers(0, 4, bounds[-1]), rng.integers(0, 4, bounds[-1]), bounds)
     assert done > 0 and (m.vector != before).any()
     return seen
 
