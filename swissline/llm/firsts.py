@@ -157,11 +157,11 @@ def cover_rows(ids, rids, start, end, groups: int, buckets: int):
 
 
 def find_repeats(
-    docs: DataFrame, total_bytes: int, items: Callable, resolve: Callable, finish: Callable, schema: str, bucket_bytes: int = 2 << 20
+    docs: DataFrame, total_bytes: int, items: Callable, resolve: Callable, finish: Callable, schema: str, bucket_bytes: int = 2 << 20, resolve_crowded: Callable | None = None
 ) -> DataFrame:
     """Of rows (doc_id, rid, text) and perhaps _rest, which is handed through.
 
-    items(batches, groups, buckets) -> rows (bucket, kind, blob); resolve(blobs) -> (ids, rids, start, end) covered;
+    items(batches, groups, buckets) -> rows (bucket, kind, blob); resolve(blobs of kind 0) and resolve_crowded(blobs of kind 2) -> (ids, rids, start, end) covered;
     finish(ids, rids, texts, spans) -> columns of ``schema`` after doc_id.
     """
     spark, carry = docs.sparkSession, "_rest" in docs.columns
@@ -186,8 +186,10 @@ def find_repeats(
         kinds = t.column("kind").to_pylist()
         blobs = [x.as_buffer() for x in t.column("blob")]
         own = resolve([b for b, k in zip(blobs, kinds) if k == 0])
-        passed = _unpack_cover([b for b, k in zip(blobs, kinds) if k == 1])
-        ids, rids, start, end = joined(*(np.concatenate([x, y.astype(x.dtype)]) for x, y in zip(passed, own)))
+        found = [_unpack_cover([b for b, k in zip(blobs, kinds) if k == 1]), own]
+        if resolve_crowded:
+            found.append(resolve_crowded([b for b, k in zip(blobs, kinds) if k == 2]))
+        ids, rids, start, end = joined(*(np.concatenate([y.astype(x[0].dtype) for y in x]) for x in zip(*found)))
         groups_, out = [], []
         for g, p in by_key(rids % groups):
             groups_.append(int(g))

@@ -9,6 +9,12 @@ them as suffixes (``suffix.Suffixes``): first whole contexts, then, where an
 anchor has several, all their strings. Of equal strings, all but the earliest
 are covered; equality is verified on bytes.
 
+The group of an anchor that the sketch counts ``crowd`` times or more would be
+too much for one task. Its strings are settled inside a chunk (bytes compared),
+and the first of each goes to the bucket of its own 128-bit hash (two
+polynomials), so that a bucket gets a string once from each chunk at most; there
+equal hashes count as equal strings.
+
 Defined cases: null text is empty; texts shorter than ``length`` keep
 everything; matches never cross documents; repeated rows (same id, same text)
 count as one document; a null doc_id comes after all others; columns other than
@@ -22,11 +28,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from swissline.llm.common import Poly, by_key, keyed, mix, pack, slices, table, text_bytes, unpack_all
-from swissline.llm.firsts import chunks, cover_rows, find_repeats, inside, mask, minima, same_bytes
+from swissline.llm.firsts import chunks, cover_rows, find_repeats, inside, mask, minima, pack_runs, same_bytes, unpack_runs
 from swissline.llm.sketch import bits_for, repeated
 from swissline.llm.suffix import Suffixes
 
-_BYTES = Poly(702)
+_BYTES, _OTHER = Poly(702), Poly(703)
 _ITEM = (np.uint64, np.int64, np.int64, np.uint32, np.uint8, np.uint8, np.uint8)
 
 
@@ -70,7 +76,7 @@ def _contexts(buf, offs, length, gram, twice):
     return g, at, x0, x1, whole
 
 
-def dedup_bytes(docs: DataFrame, length: int = 100, gram: int = 48) -> DataFrame:
+def dedup_bytes(docs: DataFrame, length: int = 100, gram: int = 48, crowd: int = 4096) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary) of each row of ``docs`` (doc_id, text). 100 <= length < 256 + gram."""
     docs = keyed(docs)
     total = text_bytes(docs)
@@ -81,7 +87,7 @@ def dedup_bytes(docs: DataFrame, length: int = 100, gram: int = 48) -> DataFrame
             for _, _, buf, offs in slices(b.column("text")):
                 yield _anchors(buf, offs, length, gram)[-1]
 
-    seen = docs.sparkSession.sparkContext.broadcast(repeated(docs, hashes, bits_for(total // spacing)))
+    seen = docs.sparkSession.sparkContext.broadcast(repeated(docs, hashes, bits_for(total // spacing), crowd=crowd))
 
     def items(batches, groups, buckets):
         def work(row, byte, buf, offs):
@@ -111,6 +117,10 @@ def dedup_bytes(docs: DataFrame, length: int = 100, gram: int = 48) -> DataFrame
             yield from cover_rows(chunk.ids[row[a]], chunk.rids[row[a]], pos[a], pos[a] + more[a] + length, groups, buckets)
             keep = s[new]
             keep = keep[np.argsort(order[keep])]
+            many = seen.value.crowded(g[keep])
+            for lo in range(0, int(many.sum()), 20_000):
+                yield from crowded_strings(chunk, *(x[keep[many][lo : lo + 20_000]] for x in (row, pos, place, more)), groups, buckets)
+            keep = keep[~many]
             for bucket, p in by_key((g[keep] >> np.uint64(20)) % np.uint64(buckets)):
                 p = keep[p]
                 size = more[p] + length
@@ -119,6 +129,41 @@ def dedup_bytes(docs: DataFrame, length: int = 100, gram: int = 48) -> DataFrame
                     g[p], chunk.ids[row[p]], chunk.rids[row[p]], pos[p].astype(np.uint32), back[p].astype(np.uint8), more[p].astype(np.uint8), chunk.text[at]
                 )
 
+    def crowded_strings(chunk, row, pos, place, more, groups, buckets):
+        """Settles the strings of some contexts among each other; the first of each goes on."""
+        size = more + length
+        start = np.cumsum(size) - size
+        text = chunk.text[np.arange(int(size.sum())) + np.repeat(place - start, size)]
+        n = more + 1
+        item = np.repeat(np.arange(len(n)), n)
+        shift = np.arange(len(item)) - np.repeat(np.cumsum(n) - n, n)
+        at = start[item] + shift
+        one, two = (mix(poly.spans(poly.prefix(text), at, at + length)) for poly in (_BYTES, _OTHER))
+        row, pos = row[item], pos[item] + shift
+        order = chunk.rank[row] << 32 | pos
+        s = np.lexsort((order, two, one))
+        new = np.ones(len(s), bool)
+        new[1:] = (one[s][1:] != one[s][:-1]) | (two[s][1:] != two[s][:-1])
+        first = s[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        late = order[s] > order[first]
+        alike = same_bytes(text, at[s[late]], at[first[late]], np.full(int(late.sum()), length))
+        a = s[late][alike]
+        yield from cover_rows(chunk.ids[row[a]], chunk.rids[row[a]], pos[a], pos[a] + length, groups, buckets)
+        new[np.flatnonzero(late)[~alike]] = True
+        keep = np.sort(s[new])
+        for bucket, p in by_key((one[keep] >> np.uint64(20)) % np.uint64(buckets)):
+            p = keep[p]
+            yield int(bucket), 2, pack_runs(chunk.ids[row[p]], chunk.rids[row[p]], pos[p].astype(np.uint32), one[p], two[p])
+
+    def resolve_crowded(blobs):
+        ids, rids, pos, one, two = unpack_runs(blobs, np.uint32, np.uint64, np.uint64)
+        s = np.lexsort((pos, rids, ids, two, one))
+        new = np.ones(len(s), bool)
+        new[1:] = (one[s][1:] != one[s][:-1]) | (two[s][1:] != two[s][:-1])
+        first = s[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        late = s[(ids[s] != ids[first]) | (rids[s] != rids[first]) | (pos[s] != pos[first])]
+        return ids[late], rids[late], pos[late].astype(np.int64), pos[late].astype(np.int64) + length
+
     def resolve(blobs):
         g, ids, rids, pos, back, more, text = unpack_all(blobs, *_ITEM)
         back, more, pos = (x.astype(np.int64) for x in (back, more, pos))
@@ -166,7 +211,7 @@ def dedup_bytes(docs: DataFrame, length: int = 100, gram: int = 48) -> DataFrame
         edge = np.diff(m.astype(np.int8), prepend=0)
         return len(raw), int(m.sum()), int((edge == 1).sum()), np.frombuffer(raw, np.uint8)[~m].tobytes()
 
-    return find_repeats(docs, total, items, resolve, finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary", 1 << 20)
+    return find_repeats(docs, total, items, resolve, finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary", 1 << 20, resolve_crowded)
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

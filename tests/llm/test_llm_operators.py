@@ -84,6 +84,9 @@ def test_op7_strings(docs, empty):
     got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, brute.sha(bytes(r.kept))) for r in suffix_dedup.dedup_bytes(docs).collect()]
     same(by_id(got), expected(brute.strings(ROWS)))
     assert suffix_dedup.dedup_bytes(empty).count() == 0
+    for crowd in (2, 6):  # all groups, and the larger ones, go by the hashes of their strings
+        got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, brute.sha(bytes(r.kept))) for r in suffix_dedup.dedup_bytes(docs, crowd=crowd).collect()]
+        same(by_id(got), expected(brute.strings(ROWS)))
 
 
 def test_suffix_sort_and_its_collision_path():
