@@ -6,13 +6,15 @@ an order that all share (very common shingles last, then by hash). A count-min
 sketch drops prefix shingles that occur once, and of shingles found in the same
 documents one is kept.
 
-Documents that share a prefix shingle meet sorted by set size; a tile is the run
-whose sizes are within the threshold of each other. In a tile, bitmaps bound the
-overlap from above (each bit one has and the other lacks is a shingle not
-shared), and only pairs that pass meet as sorted arrays. Two rounds keep the
-pairs few without losing a link: first every document is held against the first
-of its tile; of the components this gives, only pairs of different components
-are held against each other. Equal sets are one vertex throughout.
+Documents that share a prefix shingle meet in tiles by bands of set sizes: sizes
+within the threshold of each other are in the same band or in neighbouring ones,
+so a document is at home in its band and a visitor in the next. A tile of more
+than ``tile`` documents is cut into blocks that meet two at a time. In a tile,
+bitmaps bound the overlap from above (each bit one has and the other lacks is a
+shingle not shared), and only pairs that pass meet as sorted arrays. Two rounds
+keep the pairs few without losing a link: first every document is held against
+the first of its tile; of the components this gives, only pairs of different
+components are held against each other. Equal sets are one vertex throughout.
 
 Defined cases: null, empty and blank texts have no shingles and are linked with
 nothing; with fewer words than a shingle the whole sequence is the one shingle;
@@ -22,12 +24,13 @@ columns other than doc_id and text are ignored.
 
 from __future__ import annotations
 
+import math
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from swissline.llm.common import Poly, keyed, lower_ascii, materialize, mix, parallelism, rows_of, slices, table, text_bytes, words
@@ -128,14 +131,14 @@ class _Fits:
 
 
 def _tiles(batches):
-    """The rows of each token, across batches, as lists of (n, v, part, bits)."""
-    token, rows = None, []
+    """The rows of each tile, across batches, as lists of (n, v, part, home, block, bits)."""
+    tile, rows = None, []
     for b in batches:
-        for t, *row in zip(*(b.column(c).to_pylist() for c in ("token", "n", "v", "part", "bits"))):
-            if t != token:
+        for t, *row in zip(*(b.column(c).to_pylist() for c in ("tile", "n", "v", "part", "home", "block", "bits"))):
+            if t != tile:
                 if len(rows) > 1:
                     yield rows
-                token, rows = t, []
+                tile, rows = t, []
             row[-1] = int.from_bytes(row[-1], "little"), 8 * len(row[-1])
             rows.append(row)
     if len(rows) > 1:
@@ -154,7 +157,7 @@ def _emit(pairs):
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*seen)], ["a", "b"])
 
 
-def similar_groups(docs: DataFrame, shingle: int = 5, threshold: str = "0.8") -> DataFrame:
+def similar_groups(docs: DataFrame, shingle: int = 5, threshold: str = "0.8", tile: int = 1024) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of ``docs`` (doc_id, text)."""
     spark, t = docs.sparkSession, Fraction(threshold)
     docs = keyed(docs)
@@ -237,13 +240,18 @@ def similar_groups(docs: DataFrame, shingle: int = 5, threshold: str = "0.8") ->
     each = known.select(F.explode("tokens").alias("token"), "v", "n", "shared")
     same = each.groupBy("token").agg(F.count("v").alias("c"), F.bit_xor(F.xxhash64("v")).alias("x"), F.bit_xor(F.xxhash64("v", F.lit(1))).alias("y"))
     one = same.filter("c > 1").groupBy("c", "x", "y").agg(F.min("token").alias("token")).select("token")
-    # nor are rows whose neighbours by size are too small or too large
-    w = Window.partitionBy("token").orderBy("n", "v")
+    # nor are rows without others in their band of sizes and its neighbours; the bands are a little wider than the threshold, so that rounding loses none
     p, q = F.lit(t.numerator), F.lit(t.denominator)
-    near = (q * F.lag("n").over(w) >= p * F.col("n")) | (q * F.col("n") >= p * F.lead("n").over(w))
-    lead = F.max(F.struct("shared", (-F.col("v")).alias("v"), "n")).over(Window.partitionBy("token"))
-    sized = each.join(one, "token").withColumns({"near": near, "lead": lead}).filter("near")
-    postings = materialize(sized.select("token", "v", "n", (-F.col("lead.v")).alias("first"), F.col("lead.n").alias("m")), "postings")
+    band = F.floor(F.ln("n") / F.lit(math.log(float(1 / t)) * (1 + 1e-9))) if t < 1 else F.col("n")
+    banded = each.join(one, "token").withColumn("band", band.cast("long"))
+    tiles = banded.groupBy("token", "band").agg(F.count("v").alias("c"), F.max(F.struct("shared", (-F.col("v")).alias("v"), "n")).alias("lead"))
+    step = F.explode(F.array(*(F.lit(x) for x in (-1, 0, 1)))).alias("step")
+    around = tiles.select("token", "band", "c", "lead", step).groupBy("token", (F.col("band") + F.col("step")).alias("band")).agg(
+        F.sum("c").alias("c"), F.max(F.when(F.col("step") == 0, F.col("lead"))).alias("own"), F.max(F.when(F.col("step") != 0, F.col("lead"))).alias("other")
+    )
+    first = F.when(-F.col("own.v") != F.col("v"), F.col("own")).otherwise(F.col("other"))  # the first of a tile meets that of the next
+    sized = banded.join(around.filter("c > 1 and own is not null"), ["token", "band"]).withColumn("first", first)
+    postings = materialize(sized.select("token", "band", "v", "n", (-F.col("first.v")).alias("first"), F.col("first.n").alias("m")), "postings")
     fits = _Fits(t)
 
     def with_first() -> DataFrame:
@@ -263,21 +271,29 @@ def similar_groups(docs: DataFrame, shingle: int = 5, threshold: str = "0.8") ->
 
     def meet(labels: DataFrame) -> DataFrame:
         """Pairs of different components that share a prefix shingle and pass the bounds."""
-        met = postings.select("token", "v").join(labels, "v", "left").withColumn("part", F.coalesce("label", "v")).drop("label")
-        several = met.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo <> hi").select("token")
-        met = met.join(several, "token").join(vertices.select("v", "n", "bits"), "v").select("token", "n", "v", "part", "bits")
-        ordered = met.repartition(max(8, parallelism(spark)), "token").sortWithinPartitions("token", "n", "v")
+        own = postings.select("token", "band", "v").join(labels, "v", "left").withColumn("part", F.coalesce("label", "v")).drop("label")
+        met = own.select("token", "v", "part", F.explode(F.array(F.struct("band", F.lit(True).alias("home")), F.struct((F.col("band") + 1).alias("band"), F.lit(False).alias("home")))).alias("at"))
+        met = met.select("token", "at.band", "at.home", "v", "part")
+        several = met.groupBy("token", "band").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("v").alias("c"), F.max("home").alias("any"))
+        several = several.filter("lo <> hi and any").select("token", "band", F.ceil(F.col("c") / tile).alias("blocks"))
+        met = met.join(several, ["token", "band"]).join(vertices.select("v", "n", "bits"), "v").withColumn("block", F.pmod(F.xxhash64("v"), "blocks"))
+        met = met.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        key = F.xxhash64("token", "band", F.least("block", "with"), F.greatest("block", "with"))
+        met = met.select(key.alias("tile"), "n", "v", "part", "home", F.when(F.col("blocks") > 1, F.struct("block", (F.col("block") == F.col("with")).alias("same"))).alias("b"), "bits")
+        met = met.select("tile", "n", "v", "part", "home", F.when(~F.col("b.same"), F.col("b.block")).alias("block"), "bits")
+        ordered = met.repartition(max(8, parallelism(spark)), "tile").sortWithinPartitions("tile", "n", "v")
         return materialize(ordered.mapInArrow(lambda batches: _emit(across(batches)), "a long, b long").distinct(), "pairs")
 
     def across(batches):
+        """block is set where two blocks meet: pairs inside a block are met elsewhere."""
         for rows in _tiles(batches):
             if all(r[2] == rows[0][2] for r in rows):
                 continue
-            for i, (n, v, part, bits) in enumerate(rows):
-                for m, w, other, more in rows[i + 1 :]:
+            for i, (n, v, part, home, block, bits) in enumerate(rows):
+                for m, w, other, at_home, its, more in rows[i + 1 :]:
                     if fits.q * n < fits.p * m:
                         break
-                    if part != other and fits(n, bits, m, more):
+                    if part != other and (home or at_home) and (block is None or block != its) and fits(n, bits, m, more):
                         yield v, w
 
     def sets_of(pairs: DataFrame) -> DataFrame:

@@ -149,6 +149,26 @@ def test_op9_groups(docs, empty):
         else:
             assert (r.n_shingles, r.component_id) == want[r.doc_id], r
     assert jaccard.similar_groups(empty).count() == 0
+    small = {r.doc_id: r.component_id for r in jaccard.similar_groups(docs, tile=3).collect()}  # tiles cut into blocks
+    assert small == {r.doc_id: r.component_id for r in got}
+
+
+def test_op9_links_over_bands_and_blocks(spark):
+    """Chains of texts, each at or just under the threshold from the next, of many sizes, all of common shingles."""
+    rnd = random.Random(9)
+    rows, k = [], 0
+    for size in (9, 14, 29, 44, 104, 129, 204):
+        for _ in range(6):
+            words = [f"w{rnd.randrange(10**6)}" for _ in range(size)]
+            for cut in (0, 0, 1, 2, size // 10, size // 5, size // 4):
+                rows.append((k, " ".join(words[: size - cut])))
+                k += 1
+                rows.append((k, " ".join(words[cut:] + [f"x{i}" for i in range(cut // 2)])))
+                k += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = brute.groups(rows)
+    for tile in (2, 1024):
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_groups(docs, tile=tile).collect()} == want
 
 
 def test_op1_positions_and_deviation(docs, empty):
