@@ -30,11 +30,11 @@ def shared_dir(spark: SparkSession) -> str:
     return d.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str, keep_order: bool = False) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back; cuts the lineage."""
+def materialize(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """Write ``df`` to the shared folder, in a folder for each value of ``by``, and read it back; cuts the lineage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -36,8 +36,9 @@ END = np.uint64(0x5EED0E4D5EED0E4D)
 TAILS = 32
 FREQUENT = (1 << 16) - TAILS  # with the tail groups, codes of 16 bits
 CHUNK_TOKENS = 2_000_000
-_ROW = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("blob", pa.binary())])
-_CODED = pa.schema([("trainer", pa.int32()), ("key", pa.int64()), ("codes", pa.binary())])
+_CODED = pa.schema([("part", pa.int32()), ("bucket", pa.int64()), ("kind", pa.int32()), ("blob", pa.binary()), *((n, pa.int64()) for n in ("id", "rid", "key")), ("held_out", pa.bool_())])
+_CODED_OF = "part int, bucket long, kind int, blob binary, id long, rid long, key long, held_out boolean"
+COUNTS, HELD_OUT = -2, -1  # parts of the table of codes that belong to no round
 _MOVES = pa.schema([("piece", pa.int32()), ("grp", pa.int32()), ("weight", pa.int64()), ("blob", pa.binary()), ("unit", pa.float64())])
 _MOVES_OF = "piece int, grp int, weight long, blob binary, unit double"
 MERGED = 256  # models in a step of averaging
@@ -62,8 +63,8 @@ def tokens_of(buf: np.ndarray, offs: np.ndarray):
     return out, group, bounds + np.arange(rows + 1)
 
 
-def token_chunks(batches, most: int = CHUNK_TOKENS, keys: tuple[str, str] | None = None):
-    """(ids, rids, held out, hashes, groups, bounds) of some rows at a time; keys: columns to take in place of the ids."""
+def token_chunks(batches, most: int = CHUNK_TOKENS):
+    """(ids, rids, held out, hashes, groups, bounds) of some rows at a time."""
 
     def joined():
         sizes = np.concatenate([np.diff(p[5]) for p in parts])
@@ -71,7 +72,7 @@ def token_chunks(batches, most: int = CHUNK_TOKENS, keys: tuple[str, str] | None
 
     parts, n = [], 0
     for b in batches:
-        ids, rids = (b.column(k).to_numpy(zero_copy_only=False) for k in keys) if keys else ids_of(b)
+        ids, rids = ids_of(b)
         held = b.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
         for lo, hi, buf, offs in slices(b.column("text")):
             h, g, bounds = tokens_of(buf, offs)
@@ -98,11 +99,10 @@ class Vocabulary:
         return at, self.words[at] == h
 
 
-class Codes(Vocabulary):
-    """16-bit codes, one for each frequent word and one for each tail group, and what the model has to know of each code."""
+class Codes:
+    """What the model has to know of each 16-bit code: one for each frequent word, then one for each tail group."""
 
-    def __init__(self, vocabulary, counts, tail_of, rank, at, n_tail, v_tail):
-        super().__init__(vocabulary.words)
+    def __init__(self, counts, tail_of, rank, at, n_tail, v_tail):
         short, groups = int(at[-1]), np.append(tail_of, np.arange(TAILS))
         rank = np.append(rank, np.full(TAILS, short))
         listed = rank < short
@@ -115,10 +115,6 @@ class Codes(Vocabulary):
         self.share = np.where(listed, 0.0, self.logs - np.log10(n_tail + 0.5 * (v_tail + 1))[groups])
         self.met = np.append(counts > 0, np.zeros(TAILS, bool)).astype(np.int64)
 
-    def of(self, h: np.ndarray, g: np.ndarray) -> np.ndarray:
-        at, there = self.find(h)
-        return np.where(there, at, g + np.int32(len(self.words))).astype(np.uint16)
-
     def before(self, codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Number of the token before each, a number of its own where a document begins."""
         out = np.empty(len(codes), np.int32)
@@ -127,19 +123,25 @@ class Codes(Vocabulary):
         return out
 
 
-def coded_chunks(batches, most: int = CHUNK_TOKENS):
-    """(trainer, codes of documents) for runs of rows of one trainer, some tokens at a time."""
-    now, blobs, size = None, [], 0
+def coded_chunks(batches, columns: tuple[str, ...], split: str | None = None, most: int = CHUNK_TOKENS):
+    """(values of ``columns``, codes, bounds) of some rows at a time, rows of different ``split`` apart."""
+
+    def joined():
+        return [list(x) for x in zip(*rows)], np.frombuffer(b"".join(blobs), np.uint16), np.concatenate([[0], np.cumsum([len(x) // 2 for x in blobs])])
+
+    now, rows, blobs, size = None, [], [], 0
     for b in batches:
-        for trainer, codes in zip(b.column("trainer").to_pylist(), b.column("codes").to_pylist()):
-            if blobs and (trainer != now or size >= 2 * most):
-                yield now, blobs
-                blobs, size = [], 0
-            now = trainer
-            blobs.append(codes)
-            size += len(codes)
+        of = b.column(split).to_pylist() if split else [None] * b.num_rows
+        for s, blob, *row in zip(of, b.column("blob").to_pylist(), *(b.column(c).to_pylist() for c in columns)):
+            if blobs and (s != now or size >= 2 * most):
+                yield joined()
+                rows, blobs, size = [], [], 0
+            now = s
+            rows.append(row)
+            blobs.append(blob)
+            size += len(blob)
     if blobs:
-        yield now, blobs
+        yield joined()
 
 
 def score_documents(
@@ -148,7 +150,6 @@ def score_documents(
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of ``docs`` (doc_id, text)."""
     spark, sc = docs.sparkSession, docs.sparkSession.sparkContext
     docs = keyed(docs).withColumn("held_out", is_held_out())
-    training = docs.filter(~F.col("held_out"))
     total = text_bytes(docs)
     buckets, groups = fan_out(spark, total, 2 << 20), fan_out(spark, total, 1 << 20)
 
@@ -159,20 +160,30 @@ def score_documents(
             top = np.argsort(-n, kind="stable")[:frequent]
             yield pa.RecordBatch.from_arrays([pa.array(value[top].view(np.int64)), pa.array(n[top].astype(np.int64))], ["word", "n"])
 
-    listed = training.mapInArrow(common, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(frequent)
+    listed = docs.filter(~F.col("held_out")).mapInArrow(common, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(frequent)
     vocabulary = Vocabulary(np.sort(np.array([r[0] for r in listed.select("word").collect()], np.int64).view(np.uint64)))
     known = sc.broadcast(vocabulary)
 
-    # 2. exact counts: vectors of the frequent words by shard, all other words to buckets
+    # 2. exact counts: vectors of the frequent words by shard, all other words to buckets; and the codes of each row, by round
     shards = 64
     step = -(-max(1, len(vocabulary.words)) // shards)
 
+    def counted_row(bucket, kind, blob):
+        return batch(_CODED, [COUNTS], [bucket], [kind], [blob], [None], [None], [None], [None])
+
     def count(batches):
         vector, tail = np.zeros(step * shards, np.int64), np.zeros(step * shards, np.int64)
         for ids, rids, held, h, g, bounds in token_chunks(batches):
             row = rows_of(bounds)
             at, there = known.value.find(h)
             learn = ~held[row]
+            codes = np.where(there, at, g + np.int32(len(known.value.words))).astype(np.uint16).tobytes()
+            key = mix(mix(ids.view(np.uint64)) ^ rids.view(np.uint64))
+            parts = np.where(held, HELD_OUT, (key >> np.uint64(40)) % np.uint64(rounds)).astype(np.int32)
+            for lo in range(0, len(ids), 2000):
+                own = slice(lo, lo + 2000)
+                blobs = [codes[2 * a : 2 * b] for a, b in zip(bounds[:-1][own].tolist(), bounds[1:][own].tolist())]
+                yield batch(_CODED, parts[own], [None] * len(blobs), [None] * len(blobs), blobs, ids[own], rids[own], key.view(np.int64)[own], held[own])
             np.add.at(vector, at[there & learn], 1)
             tail[at[there]] = g[there]
             rare = np.flatnonzero(~there)
@@ -184,11 +195,11 @@ def score_documents(
                 n, s = np.diff(np.append(first, len(s))), s[first]
                 for bucket, p in by_key((h[s] >> np.uint64(16)) % np.uint64(buckets)):
                     q = s[p]
-                    yield batch(_ROW, [int(bucket)], [0], [pack(h[q], ids[row[q]], rids[row[q]], n[p].astype(np.uint32), g[q].astype(np.uint8), learn[q].astype(np.uint8))])
+                    yield counted_row(int(bucket), 0, pack(h[q], ids[row[q]], rids[row[q]], n[p].astype(np.uint32), g[q].astype(np.uint8), learn[q].astype(np.uint8)))
         for i in range(shards):
             part = slice(i * step, (i + 1) * step)
             if vector[part].any() or tail[part].any():
-                yield batch(_ROW, [-1 - i], [1], [pack(vector[part], tail[part])])
+                yield counted_row(-1 - i, 1, pack(vector[part], tail[part]))
 
     def gather(t: pa.Table) -> pa.Table:
         blobs = [x.as_buffer() for x in t.column("blob")]
@@ -222,7 +233,8 @@ def score_documents(
             out.append(pack(ids[p], rids[p], logs[p], seen[p]))
         return pa.table({"grp": pa.array(grp, pa.int64()), "blob": pa.array(out, pa.binary())})
 
-    counted = materialize(docs.mapInArrow(count, "bucket long, kind int, blob binary").groupBy("bucket").applyInArrow(gather, "grp long, blob binary"), "counts")
+    coded = materialize(docs.mapInArrow(count, _CODED_OF), "codes", "part")
+    counted = materialize(coded.filter(F.col("part") == COUNTS).select("bucket", "kind", "blob").groupBy("bucket").applyInArrow(gather, "grp long, blob binary"), "counts")
     counts, tail_of = np.zeros(step * shards, np.int64), np.zeros(step * shards, np.int64)
     for grp, blob in counted.filter((F.col("grp") < 0) & (F.col("grp") >= -shards)).collect():  # one row for each shard
         at = (-1 - grp) * step
@@ -255,32 +267,24 @@ def score_documents(
     at = class_bounds(mass, max(32, 1 << (short.bit_length() - 1) // 2))
     model = Model(short + TAILS + 1, at, TAILS, hidden)
     model.start(np.concatenate([np.add.reduceat(mass, at[:-1]), n_tail + 0.5 * (v_tail + 1)]), mass)
-    tables = sc.broadcast(Codes(vocabulary, counts, tail_of, rank, at, n_tail, v_tail))
+    tables = sc.broadcast(Codes(counts, tail_of, rank, at, n_tail, v_tail))
 
     # 4. rounds of training, each from the mean of the models of the round before, by tokens (in units of 1,024)
     trainers = max(1, n_all // max(trainer_tokens, 8 * model.size))
-    dealt = training.withColumn("key", F.xxhash64(F.lit(4), "doc_id", "rid")).withColumn("trainer", F.pmod("key", F.lit(trainers)).cast("int"))
     chunk = 1 << 13
 
-    def encode(batches):
-        for trainer, key, _, h, g, bounds in token_chunks(batches, 1 << 18, ("trainer", "key")):
-            codes = tables.value.of(h, g).tobytes()
-            yield batch(_CODED, trainer, key, [codes[2 * a : 2 * b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())])
-
     def train(batches):
         """Each trainer's move of the parameters, in pieces."""
         known = tables.value
 
         def learned():
-            own, done, trainer, now = None, 0, None, None
-            for now, blobs in coded_chunks(batches):
-                if now != trainer:
+            own, done, trainer = None, 0, None
+            for (of,), codes, bounds in coded_chunks(batches, ("trainer",), "trainer"):
+                if of[0] != trainer:
                     if done:
                         yield trainer, done, own
-                    own, done, trainer = model_of(current.value.copy()), 0, now
+                    own, done, trainer = model_of(current.value.copy()), 0, of[0]
                     teacher = Trainer(own)
-                codes = np.frombuffer(b"".join(blobs), np.uint16)
-                bounds = np.concatenate([[0], np.cumsum([len(x) // 2 for x in blobs])])
                 done += teacher.fit(known.before(codes, bounds), known.klass[codes], known.within[codes], bounds)
             if done:
                 yield trainer, done, own
@@ -306,9 +310,9 @@ def score_documents(
 
     current = sc.broadcast(model.vector)
     for r in range(rounds):
-        rows = dealt.filter(F.pmod(F.shiftright("key", 20), F.lit(rounds)) == r).select("doc_id", "rid", "text", "held_out", "key", "trainer")
-        coded = rows.mapInArrow(encode, "trainer int, key long, codes binary").repartitionById(trainers, F.col("trainer")).sortWithinPartitions("trainer", "key")
-        moves, left = coded.mapInArrow(train, _MOVES_OF), trainers
+        rows = coded.filter(F.col("part") == r).select(F.pmod("key", F.lit(trainers)).cast("int").alias("trainer"), "key", "blob")
+        dealt = rows.repartitionById(trainers, F.col("trainer")).sortWithinPartitions("trainer", "key")
+        moves, left = dealt.mapInArrow(train, _MOVES_OF), trainers
         while left:
             moves = moves.groupBy("piece", "grp").applyInArrow(mean, _MOVES_OF)
             left = (left - 1) // MERGED
@@ -320,12 +324,11 @@ def score_documents(
     # 5. scores; what rare words add comes from their buckets
     def score(batches):
         own, known = model_of(current.value), tables.value
-        for ids, rids, held, h, g, bounds in token_chunks(batches):
-            codes = known.of(h, g)
+        for (ids, rids, held), codes, bounds in coded_chunks(batches, ("id", "rid", "held_out")):
             lp = log_probability(own, known.before(codes, bounds), known.klass[codes], known.within[codes], bounds) / np.log(10) + known.share[codes]
             sums = [np.add.reduceat(x, bounds[:-1]) for x in (lp, known.logs[codes], known.met[codes])]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids), pa.array(rids), pa.array(held), pa.array(np.diff(bounds)), *map(pa.array, sums)], ["id", "rid", "held_out", "n_tokens", "lp", "logs", "seen"]
+                [pa.array(ids, pa.int64()), pa.array(rids, pa.int64()), pa.array(held, pa.bool_()), pa.array(np.diff(bounds)), *map(pa.array, sums)], ["id", "rid", "held_out", "n_tokens", "lp", "logs", "seen"]
             )
 
     def rare(t: pa.Table) -> pa.Table:
@@ -337,7 +340,7 @@ def score_documents(
         at = np.flatnonzero(new)
         return pa.table({"id": ids[at], "rid": rids[at], "more": np.add.reduceat(logs, at), "known": np.add.reduceat(seen, at)})
 
-    scored = docs.mapInArrow(score, "id long, rid long, held_out boolean, n_tokens long, lp double, logs double, seen long")
+    scored = coded.filter(F.col("part") >= HELD_OUT).select("id", "rid", "held_out", "blob").mapInArrow(score, "id long, rid long, held_out boolean, n_tokens long, lp double, logs double, seen long")
     # repeated rows are in the buckets each, so their part is the mean over them
     parts = counted.filter("grp >= 0").groupBy("grp").applyInArrow(rare, "id long, rid long, more double, known long")
     copies = docs.groupBy(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), "rid").agg(F.count(F.lit(1)).alias("k"))

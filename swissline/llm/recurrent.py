@@ -45,6 +45,10 @@ class Model:
             at += n
         return self
 
+    def large(self) -> bool:
+        """Whether a logit may exceed MOST: states are within -1 and 1."""
+        return max(float((np.abs(self.wc).sum(0) + self.bc).max()), float((np.abs(self.wi).sum(1) + self.bi).max(initial=0))) > MOST
+
     def start(self, class_mass: np.ndarray, word_mass: np.ndarray, seed: int = 4) -> None:
         rng = np.random.default_rng(seed)
         self.vector[:] = rng.normal(0, 0.08, self.size)
@@ -126,8 +130,9 @@ def _reset(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return h * ~first[:, None] if first.any() else h
 
 
-def _exp(x: np.ndarray) -> np.ndarray:
-    np.minimum(x, MOST, out=x)
+def _exp(x: np.ndarray, large: bool) -> np.ndarray:
+    if large:
+        np.minimum(x, MOST, out=x)
     return np.exp(x, out=x)
 
 
@@ -135,19 +140,18 @@ def _sums(x: np.ndarray) -> np.ndarray:
     return x @ np.ones(x.shape[1], np.float32)
 
 
-def log_probability(m: Model, inputs: np.ndarray, klass: np.ndarray, within: np.ndarray, bounds: np.ndarray, width: int = 256, window: int = 16) -> np.ndarray:
-    """Natural log probability of each token: class and, on the shortlist, word in class. inputs: the token before."""
+def log_probability(m: Model, inputs: np.ndarray, klass: np.ndarray, within: np.ndarray, bounds: np.ndarray, width: int = 256, block: int = 1 << 14) -> np.ndarray:
+    """Natural log probability of each token: class and, on the shortlist, word in class. inputs: the token before. block: tokens of a window."""
     out = np.zeros(len(inputs))
     if not len(inputs):
         return out
-    klass = klass.astype(np.int16)
+    klass, large = klass.astype(np.int16), m.large()
     h = None
-    for p, f, keep in windows(bounds, width, window):
+    for p, f, keep in windows(bounds, width, max(16, block // busy(bounds, width))):
         h = np.zeros((p.shape[1], m.hidden), np.float32) if h is None else h if keep is None else h[keep]
         states = np.empty((*p.shape, m.hidden), np.float32)
-        x = m.x[inputs[p]]
         for t in range(len(p)):
-            h = _step(m, x[t], _reset(h, f[t]))[0]
+            h = _step(m, m.x[inputs[p[t]]], _reset(h, f[t]))[0]
             states[t] = h
         flat = p.ravel()
         ok = np.flatnonzero(flat >= 0)
@@ -157,7 +161,7 @@ def log_probability(m: Model, inputs: np.ndarray, klass: np.ndarray, within: np.
         logits = s @ m.wc
         logits += m.bc
         lp = np.minimum(logits[np.arange(len(c)), c], MOST).astype(float)
-        lp -= np.log(_sums(_exp(logits)))
+        lp -= np.log(_sums(_exp(logits, large)))
         edges, word = np.searchsorted(c, np.arange(m.classes + 1)), within[tokens]
         for k in range(m.classes):
             a, b = edges[k], edges[k + 1]
@@ -166,7 +170,7 @@ def log_probability(m: Model, inputs: np.ndarray, klass: np.ndarray, within: np.
                 logits = s[a:b] @ m.wi[lo:hi].T
                 logits += m.bi[lo:hi]
                 own = np.minimum(logits[np.arange(b - a), word[a:b]], MOST)
-                lp[a:b] += own - np.log(_sums(_exp(logits)))
+                lp[a:b] += own - np.log(_sums(_exp(logits, large)))
         out[tokens] = lp
     return out
 
@@ -239,7 +243,8 @@ class Trainer:
         c = klass[tokens]
         d = s @ m.wc
         d += m.bc
-        _exp(d)
+        large = m.large()
+        _exp(d, large)
         d /= _sums(d)[:, None]
         d[np.arange(len(c)), c] -= 1
         g.wc += s.T @ d
@@ -253,7 +258,7 @@ class Trainer:
                 own = s[a:b]
                 d = own @ m.wi[lo:hi].T
                 d += m.bi[lo:hi]
-                _exp(d)
+                _exp(d, large)
                 d /= _sums(d)[:, None]
                 d[np.arange(b - a), word[a:b]] -= 1
                 g.wi[lo:hi] += d.T @ own
