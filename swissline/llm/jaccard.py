@@ -236,22 +236,25 @@ def similar_groups(docs: DataFrame, shingle: int = 5, threshold: str = "0.8", ti
     known = rows.filter("tokens is not null").join(classes, ["doc_id", *kind]).select("v", *kind, "tokens", "shared", "bits").dropDuplicates(["v", *kind])
     known = materialize(known, "vertices")
     vertices = known.drop("tokens")
-    # of shingles with the same documents one is enough; those of one document are none
-    each = known.select(F.explode("tokens").alias("token"), "v", "n", "shared")
-    same = each.groupBy("token").agg(F.count("v").alias("c"), F.bit_xor(F.xxhash64("v")).alias("x"), F.bit_xor(F.xxhash64("v", F.lit(1))).alias("y"))
-    one = same.filter("c > 1").groupBy("c", "x", "y").agg(F.min("token").alias("token")).select("token")
-    # nor are rows without others in their band of sizes and its neighbours; the bands are a little wider than the threshold, so that rounding loses none
+    # the bands are a little wider than the threshold, so that rounding loses no pair; what is in one band fits
     p, q = F.lit(t.numerator), F.lit(t.denominator)
     band = F.floor(F.ln("n") / F.lit(math.log(float(1 / t)) * (1 + 1e-9))) if t < 1 else F.col("n")
-    banded = each.join(one, "token").withColumn("band", band.cast("long"))
-    tiles = banded.groupBy("token", "band").agg(F.count("v").alias("c"), F.max(F.struct("shared", (-F.col("v")).alias("v"), "n")).alias("lead"))
-    step = F.explode(F.array(*(F.lit(x) for x in (-1, 0, 1)))).alias("step")
-    around = tiles.select("token", "band", "c", "lead", step).groupBy("token", (F.col("band") + F.col("step")).alias("band")).agg(
-        F.sum("c").alias("c"), F.max(F.when(F.col("step") == 0, F.col("lead"))).alias("own"), F.max(F.when(F.col("step") != 0, F.col("lead"))).alias("other")
+    each = known.select(F.explode("tokens").alias("token"), "v", "n", "shared").withColumn("band", band.cast("long"))
+    tiles = each.groupBy("token", "band").agg(
+        F.count("v").alias("c"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.struct("shared", (-F.col("v")).alias("v"), "n")).alias("lead"),
+        F.bit_xor(F.xxhash64("v")).alias("x"), F.bit_xor(F.xxhash64("v", F.lit(1))).alias("y"),
     )
-    first = F.when(-F.col("own.v") != F.col("v"), F.col("own")).otherwise(F.col("other"))  # the first of a tile meets that of the next
-    sized = banded.join(around.filter("c > 1 and own is not null"), ["token", "band"]).withColumn("first", first)
-    postings = materialize(sized.select("token", "band", "v", "n", (-F.col("first.v")).alias("first"), F.col("first.n").alias("m")), "postings")
+    # of shingles with the same documents one is enough; those of one document are none. A shingle has a band for each quarter of size, some dozens at most
+    same = tiles.groupBy("token").agg(F.sum("c").alias("c"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"), F.collect_list(F.struct("band", "c", "lo", "hi", "lead")).alias("bands"))
+    one = same.filter("c > 1").groupBy("c", "x", "y").agg(F.min_by("bands", "token").alias("bands"), F.min("token").alias("token")).select("token", "bands")
+    at = lambda step: F.get(F.filter("bands", lambda s: s.band == F.col("band") + step), 0)
+    met = each.join(one, "token").withColumns({"own": at(0), "up": at(1), "down": at(-1)})
+    # a row is at home where others of its band or smaller ones from the band below fit, and visits the band above if one there fits
+    visits = F.coalesce(p * F.col("up.lo") <= q * F.col("n"), F.lit(False))
+    home = (F.col("own.c") > 1) | F.coalesce(q * F.col("down.hi") >= p * F.col("n"), F.lit(False))
+    first = F.when(-F.col("own.lead.v") != F.col("v"), F.col("own.lead")).otherwise(F.coalesce("up.lead", "down.lead"))  # the first of a tile meets that of the next
+    sized = met.withColumns({"home": home, "visits": visits, "first": first}).filter("home or visits")
+    postings = materialize(sized.select("token", "band", "v", "n", "home", "visits", (-F.col("first.v")).alias("first"), F.col("first.n").alias("m")), "postings")
     fits = _Fits(t)
 
     def with_first() -> DataFrame:
@@ -271,11 +274,11 @@ def similar_groups(docs: DataFrame, shingle: int = 5, threshold: str = "0.8", ti
 
     def meet(labels: DataFrame) -> DataFrame:
         """Pairs of different components that share a prefix shingle and pass the bounds."""
-        own = postings.select("token", "band", "v").join(labels, "v", "left").withColumn("part", F.coalesce("label", "v")).drop("label")
-        met = own.select("token", "v", "part", F.explode(F.array(F.struct("band", F.lit(True).alias("home")), F.struct((F.col("band") + 1).alias("band"), F.lit(False).alias("home")))).alias("at"))
-        met = met.select("token", "at.band", "at.home", "v", "part")
-        several = met.groupBy("token", "band").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("v").alias("c"), F.max("home").alias("any"))
-        several = several.filter("lo <> hi and any").select("token", "band", F.ceil(F.col("c") / tile).alias("blocks"))
+        own = postings.select("token", "band", "v", "home", "visits").join(labels, "v", "left").withColumn("part", F.coalesce("label", "v")).drop("label")
+        stays, goes = F.when(F.col("home"), F.struct("band", F.lit(True).alias("home"))), F.when(F.col("visits"), F.struct((F.col("band") + 1).alias("band"), F.lit(False).alias("home")))
+        met = own.select("token", "v", "part", F.explode(F.array_compact(F.array(stays, goes))).alias("at")).select("token", "at.band", "at.home", "v", "part")
+        several = met.groupBy("token", "band").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("v").alias("c")).filter("lo <> hi")
+        several = several.select("token", "band", F.ceil(F.col("c") / tile).alias("blocks"))
         met = met.join(several, ["token", "band"]).join(vertices.select("v", "n", "bits"), "v").withColumn("block", F.pmod(F.xxhash64("v"), "blocks"))
         met = met.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         key = F.xxhash64("token", "band", F.least("block", "with"), F.greatest("block", "with"))
