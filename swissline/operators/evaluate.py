@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from swissline.operators.splits import before_ranges, in_ranges, ranked
+
 
 def log_loss(p: Column, label: Column) -> Column:
     q = F.least(F.greatest(p, F.lit(1e-6)), F.lit(1 - 1e-6))
@@ -20,8 +22,9 @@ def by_segment(rows: DataFrame, segment: str) -> DataFrame:
 
 def auc(rows: DataFrame) -> DataFrame:
     """By ranks with ties at one half: counts by distinct p, then running sums over those."""
-    each = rows.groupBy("p").agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
-    before = F.coalesce(F.sum("neg").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    each = in_ranges(rows.groupBy("p").agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg")), "p")
+    inner = F.sum("neg").over(Window.partitionBy("_part").orderBy("p").rowsBetween(Window.unboundedPreceding, -1))
+    before = F.coalesce(inner, F.lit(0)) + before_ranges(each, F.sum("neg"))
     total = each.withColumn("won", F.col("pos") * (before + F.col("neg") / 2.0)).agg(F.sum("won").alias("won"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     return total.select(F.when((F.col("pos") > 0) & (F.col("neg") > 0), F.col("won") / (F.col("pos") * F.col("neg"))).otherwise(F.lit(0.5)).alias("auc"))
 
@@ -45,7 +48,7 @@ def murphy(rows: DataFrame, bins: int = 10) -> DataFrame:
 def ece_equal_mass(rows: DataFrame, key: str, bins: int = 10) -> DataFrame:
     """Bins by place in the order of (p, label): place * bins div n."""
     n = rows.count()
-    placed = rows.withColumn("bin", F.expr(f"(row_number() over (order by p, label, {key}) - 1) * {bins} div {max(1, n)}"))
+    placed = ranked(rows, "p", "label", key).withColumn("bin", F.expr(f"(place - 1) * {bins} div {max(1, n)}"))
     gaps = placed.groupBy("bin").agg(F.count("*").alias("n"), F.abs(F.avg("p") - F.avg("label")).alias("gap"))
     return gaps.agg((F.sum(F.col("n") * F.col("gap")) / F.sum("n")).alias("ece"), F.max("gap").alias("mce"))
 
@@ -79,8 +82,23 @@ def paired_bootstrap(rows: DataFrame, key: str, samples: int, a: Column, b: Colu
 def diebold_mariano(rows: DataFrame, key: str, lag: int = 1) -> DataFrame:
     """Statistic of loss differences of p and p2 with Newey-West variance of the given lag and small-sample correction."""
     d = rows.select(key, (F.pow(F.col("p") - F.col("label"), F.lit(2.0)) - F.pow(F.col("p2") - F.col("label"), F.lit(2.0))).alias("d"))
-    w = Window.orderBy(key)
-    e = d.select("d", *(F.lag("d", k).over(w).alias(f"d{k}") for k in range(1, lag)))
+    # the rows before the first ones of a range are the last ones of the range before
+    ranges = in_ranges(d, key)
+    w = Window.partitionBy("_part").orderBy(key)
+    if lag > 1:
+        tail = ranges.withColumn("_back", F.row_number().over(Window.partitionBy("_part").orderBy(F.desc(key)))).filter(F.col("_back") < lag)
+        edges: dict[int, list[float]] = {}
+        for part, x in tail.orderBy(key).select("_part", "d").collect():  # lag - 1 numbers for each range
+            edges.setdefault(part, []).append(x)
+        parts, last, before = sorted(edges), [], {}
+        for k in parts:
+            before[k] = last[::-1]  # the nearest first
+            last = (last + edges[k])[-(lag - 1) :]
+        carried = F.element_at(F.create_map(*(x for k in parts for x in (F.lit(k), F.array(*map(F.lit, before[k])).cast("array<double>")))), F.col("_part")) if parts else F.array().cast("array<double>")
+        place = F.row_number().over(w)
+        ranges = ranges.withColumns({"_place": place, "_before": carried})
+        of = lambda k: F.when(F.col("_place") > k, F.lag("d", k).over(w)).otherwise(F.get("_before", k - F.col("_place")))
+    e = ranges.select("d", *(of(k).alias(f"d{k}") for k in range(1, lag)))
     mean = e.agg(F.avg("d").alias("mean"), F.count("*").alias("n"))
     e = e.join(F.broadcast(mean))  # one row
     gamma0 = F.avg(F.pow(F.col("d") - F.col("mean"), F.lit(2.0)))

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from swissline.functions import keys
@@ -221,3 +222,24 @@ def test_calibrations_recover_their_own_curve(spark):
     flat = df.withColumn("label", (F.col("p") < 0.5).cast("int"))
     assert min(model.beta(flat)[:2]) >= 0
     assert model.platt(df.limit(0)) == (1.0, 0.0) and model.calibration_losses(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("partitions", ["4", "8", "200"])
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_places_in_a_total_order_with_carried_columns(spark, sf, partitions):
+    from swissline.operators import splits
+    from swissline.sources.matches import match_view
+
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        m = match_view(spark, f"/root/testdata/sf{sf}")
+        wide = splits.ranked(m.select("match_id", "day", "v1", "v2", "tier"), "day", "match_id").select("place", "match_id", "v1", "v2", "tier").toPandas()
+        plain = m.select("match_id", "day", "v1", "v2", "tier").toPandas().sort_values(["day", "match_id"]).reset_index(drop=True)
+        wide = wide.sort_values("place").reset_index(drop=True)
+        assert (wide.place == range(1, len(plain) + 1)).all() and (wide.match_id == plain.match_id).all() and (wide.v1 == plain.v1).all()
+        parts = splits.ratio_split(m, 0.8, 0.1, "day", "match_id").groupBy("part").count().collect()
+        n = len(plain)
+        assert {r[0]: r[1] for r in parts} == {"train": int(n * 0.8), "validation": int(n * 0.1), "test": n - int(n * 0.8) - int(n * 0.1)}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
