@@ -29,6 +29,14 @@ def auc(rows: DataFrame) -> DataFrame:
     return total.select(F.when((F.col("pos") > 0) & (F.col("neg") > 0), F.col("won") / (F.col("pos") * F.col("neg"))).otherwise(F.lit(0.5)).alias("auc"))
 
 
+def brier_skill(rows: DataFrame, baseline: Column) -> DataFrame:
+    """1 - Brier / Brier of the baseline, and of the constant rate of label 1; 0 where that is 0."""
+    square = lambda x: F.avg(F.pow(x - F.col("label"), F.lit(2.0)))
+    a = rows.agg(square(F.col("p")).alias("own"), square(baseline).alias("other"), F.avg("label").alias("rate"))
+    skill = lambda b: F.when(b == 0, 0.0).otherwise(1 - F.col("own") / F.nullif(b, F.lit(0.0)))
+    return a.select(skill(F.col("other")).alias("skill"), skill(F.col("rate") * (1 - F.col("rate"))).alias("over_rate"))
+
+
 def calibration_bins(rows: DataFrame, bins: int = 10) -> DataFrame:
     each = rows.groupBy(F.least(F.lit(bins - 1), F.floor(F.col("p") * bins)).cast("long").alias("bin")).agg(F.count("*").alias("n"), F.avg("p").alias("mean_p"), F.avg("label").alias("rate"))
     return rows.sparkSession.range(bins).withColumnRenamed("id", "bin").join(each, "bin", "left").fillna({"n": 0})

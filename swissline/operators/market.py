@@ -59,6 +59,17 @@ def kelly(p: Column, odds: Column, fraction: float = 0.5) -> Column:
     return F.when(odds > 1, F.greatest((p * odds - 1) / (odds - 1), F.lit(0.0)) * min(max(fraction, 0.0), 0.5)).otherwise(F.lit(0.0))
 
 
+def kelly_audit(bets: DataFrame, p: str, odds: Column, key: str, fraction: float = 0.5) -> DataFrame:
+    """Why a stake has its size: edge for each unit, full and fractional Kelly."""
+    raw, part = kelly(F.col(p), F.col("odds"), 0.5) / 0.5, F.lit(min(max(fraction, 0.0), 0.5))
+    edge = (F.col("odds") - 1) * F.col(p) - (1 - F.col(p))
+    return bets.withColumn("odds", odds).select(key, p, "odds", edge.alias("edge"), raw.alias("raw_kelly"), part.alias("fraction"), (part * raw).alias("fractional_kelly"))
+
+
+def linear_blend(p: Column, market: Column, weight: float) -> Column:
+    return F.least(F.greatest((1 - weight) * p + weight * market, F.lit(EPS)), F.lit(1 - EPS))
+
+
 def exposure_cap(stakes: DataFrame, stake: str, most: float, *keys: str) -> DataFrame:
     total = F.sum(stake).over(Window.partitionBy(*keys))
     return stakes.withColumn("capped", F.when(total > most, F.col(stake) * most / total).otherwise(F.col(stake)))

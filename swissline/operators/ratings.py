@@ -1,34 +1,89 @@
-"""Ratings of teams. Elo and Glicko-2 depend on the order of all matches and run as one grouped fold over narrow rows."""
+"""Ratings of teams.
+
+Elo and Glicko-2 depend on the order of all matches. They run as a fold over stretches of whole days of about ``stretch`` matches each: a
+stretch is one task that gets its own narrow rows and the state the stretch before has written (a row for each team). The order forbids
+more parallelism; a task never holds more than a stretch, or one day if that has more matches, and the teams.
+"""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from swissline.operators.durable import written
+
 # fixed values: K by tier
 TIER_K = {"S": 32.0, "A": 20.0, "B": 14.0, "C": 10.0}
 OTHER_K = 24.0
 
 
-def elo(matches: DataFrame, base: float = 1500.0) -> DataFrame:
+def stretches(matches: DataFrame, most: int) -> list[tuple[int, int]]:
+    """First and last day of runs of days with about ``most`` matches. The driver holds a number for each day."""
+    out, n = [], 0
+    for day, count in matches.groupBy("day").count().orderBy("day").collect():
+        if out and n + count <= most:
+            out[-1] = out[-1][0], day
+            n += count
+        else:
+            out.append((day, day))
+            n = count
+    return out
+
+
+def folded(narrow: DataFrame, fold: Callable, outputs: list[str], state: list[str], stretch: int) -> DataFrame:
+    """match_id and outputs from ``fold(state, rows)``, which takes {team: state} and the rows of a stretch in order, and returns rows and the state after them."""
+    kind = narrow.schema["team1"].dataType.simpleString()
+    schema = f"match_id {narrow.schema['match_id'].dataType.simpleString()}, {', '.join(f'{c} double' for c in outputs)}, team {kind}, {', '.join(f'{c} double' for c in state)}"
+
+    def run(rows: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        now = {r[0]: r[1:] for r in before[["team", *state]].itertuples(index=False, name=None)}
+        out, now = fold(now, rows.sort_values(["day", "match_id"]))
+        done = pd.DataFrame(out, columns=["match_id", *outputs])
+        after = pd.DataFrame([(t, *v) for t, v in now.items()], columns=["team", *state])
+        return pd.concat([done.assign(team=None, **dict.fromkeys(state)), after.assign(match_id=None, **dict.fromkeys(outputs))])[["match_id", *outputs, "team", *state]].astype(dict.fromkeys([*outputs, *state], float))
+
+    spans, found = stretches(narrow, stretch), []
+    state_rows = narrow.sparkSession.createDataFrame([], f"team {kind}, {', '.join(f'{c} double' for c in state)}")
+    keyed = narrow.withColumn("g", F.lit(1))
+    for lo, hi in spans or [(0, 0)]:
+        step = keyed.filter(F.col("day").between(lo, hi)).groupBy("g").cogroup(state_rows.withColumn("g", F.lit(1)).groupBy("g")).applyInPandas(run, schema)
+        if len(spans) > 1:
+            step = written(step)
+        found.append(step.filter("match_id is not null").select("match_id", *outputs))
+        state_rows = step.filter("match_id is null").select("team", *state)
+    return reduce(DataFrame.union, found)
+
+
+def elo(matches: DataFrame, base: float = 1500.0, stretch: int = 2_000_000) -> DataFrame:
     """Ratings of both teams before each match."""
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        now, out = {}, []
-        for r in rows.sort_values(["day", "match_id"]).itertuples():
-            a, b = now.get(r.team1, base), now.get(r.team2, base)
+    def fold(now, rows):
+        out = []
+        for r in rows.itertuples():
+            a, b = now.get(r.team1, (base,))[0], now.get(r.team2, (base,))[0]
             out.append((r.match_id, a, b))
             if r.winner in (r.team1, r.team2):
                 move = TIER_K.get(r.tier, OTHER_K) * ((r.winner == r.team1) - 1 / (1 + 10 ** ((b - a) / 400)))
-                now[r.team1], now[r.team2] = a + move, b - move
-        return pd.DataFrame(out, columns=["match_id", "elo1", "elo2"])
+                now[r.team1], now[r.team2] = (a + move,), (b - move,)
+        return out, now
+
+    return folded(matches.select("match_id", "day", "team1", "team2", "winner", "tier"), fold, ["elo1", "elo2"], ["elo"], stretch)
+
+
+def margin_weight(difference: Column, gap: Column, alpha: float = 1.0, beta: float = 2.2, gamma: float = 0.001) -> Column:
+    """Weight of a result by its margin, less the larger the rating gap was; 1 without a margin."""
+    return F.when(difference > 0, alpha * F.log1p(difference) * beta / (beta + gamma * F.abs(gap))).otherwise(F.lit(1.0))
 
-    narrow = matches.select("match_id", "day", "team1", "team2", "winner", "tier", F.lit(1).alias("g"))
-    return narrow.groupBy("g").applyInPandas(fold, "match_id long, elo1 double, elo2 double")
+
+def round_difference(score1: Column, score2: Column) -> Column:
+    """Null where a score is missing or nothing was played."""
+    return F.when(score1 + score2 != 0, F.abs(score1 - score2))
 
 
 def pair_games(matches: DataFrame, *keys: str) -> DataFrame:
@@ -70,17 +125,35 @@ def final_elo(matches: DataFrame, before: DataFrame, base: float = 1500.0) -> Da
     return after.select("day", "match_id", F.inline(side)).groupBy("team").agg(F.max_by("elo", F.struct("day", "match_id")).alias("elo"))
 
 
-def fit_pairs(pairs: DataFrame, *keys: str, ridge: float = 1.0, sweeps: int = 200, tolerance: float = 1e-6) -> DataFrame:
-    """Strengths from the counts of each pair (lo, hi, games, lo_wins), of each group of ``keys``."""
+def bradley_terry_by_map(matches: DataFrame, ridge: float = 4.0, pool: tuple[str, ...] = ()) -> DataFrame:
+    """Strengths on each map, drawn to the strengths over all maps; a map of the pool without games has those."""
+    whole = bradley_terry(matches)
+    own = fit_pairs(pair_games(matches, "map"), "map", ridge=ridge, prior=whole)
+    if not pool:
+        return own
+    unplayed = whole.withColumn("map", F.explode(F.array(*map(F.lit, pool)))).join(matches.select("map").distinct(), "map", "left_anti")
+    return own.unionByName(unplayed)
+
+
+def fit_pairs(pairs: DataFrame, *keys: str, ridge: float = 1.0, sweeps: int = 200, tolerance: float = 1e-6, prior: DataFrame | None = None) -> DataFrame:
+    """Strengths from the counts of each pair (lo, hi, games, lo_wins), of each group of ``keys``; prior: log strengths (team, theta) to draw to, else 0."""
+    if prior is None:
+        pairs = pairs.withColumns({"lo_prior": F.lit(0.0), "hi_prior": F.lit(0.0)})
+    else:
+        for side in ("lo", "hi"):
+            pairs = pairs.join(prior.select(F.col("team").alias(side), F.col("theta").alias(f"{side}_prior")), side, "left")
+        pairs = pairs.fillna(0.0, ["lo_prior", "hi_prior"])
 
     def fit(e: pd.DataFrame) -> pd.DataFrame:
         teams, at = np.unique(np.concatenate([e.lo, e.hi]), return_inverse=True)
         i, j, n = at[: len(e)], at[len(e) :], e.games.to_numpy(float)
         wins = np.bincount(i, e.lo_wins, len(teams)) + np.bincount(j, n - e.lo_wins, len(teams))
-        pi = np.ones(len(teams))
+        prior = np.zeros(len(teams))
+        prior[i], prior[j] = e.lo_prior, e.hi_prior
+        pi = prior = np.exp(prior)
         for _ in range(sweeps):
             share = n / (pi[i] + pi[j])
-            new = (wins + ridge) / (ridge + np.bincount(i, share, len(teams)) + np.bincount(j, share, len(teams)))
+            new = (wins + ridge * prior) / (ridge + np.bincount(i, share, len(teams)) + np.bincount(j, share, len(teams)))
             new /= np.exp(np.log(new).mean())
             done = np.abs(np.log(new / pi)).max() < tolerance
             pi = new
@@ -133,26 +206,31 @@ def glicko_period(mu, phi, sigma, opponents, tau: float):
     return mu + phi * phi * gain, phi, sigma
 
 
-def glicko(matches: DataFrame, rd: float = 350.0, sigma: float = 0.06, tau: float = 0.5, scale: float = 173.7178) -> DataFrame:
-    """Rating, deviation of both teams before each match; a period is a day, idle teams widen each period."""
+def glicko(matches: DataFrame, rd: float = 350.0, sigma: float = 0.06, tau: float = 0.5, scale: float = 173.7178, margin: tuple[float, float, float] | None = None, stretch: int = 2_000_000) -> DataFrame:
+    """Rating, deviation of both teams before each match; a period is a day, idle teams widen each period. margin: alpha, beta and gamma of
+    the weight of a result by its round difference (score1, score2)."""
+
+    def weight(r, a, b):
+        d = abs(r.score1 - r.score2) if margin and r.score1 + r.score2 else 0
+        return margin[0] * math.log1p(d) * margin[1] / (margin[1] + margin[2] * scale * abs(a[0] - b[0])) if d > 0 else 1.0
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        state, out = {}, []
-        for _, day in rows.sort_values(["day", "match_id"]).groupby("day", sort=True):
+    def fold(state, rows):
+        out = []
+        for _, day in rows.groupby("day", sort=True):
             games = {}
             snap = lambda t: state.get(t, (0.0, rd / scale, sigma))
             for r in day.itertuples():
                 a, b = snap(r.team1), snap(r.team2)
                 out.append((r.match_id, 1500 + scale * a[0], scale * a[1], 1500 + scale * b[0], scale * b[1]))
-                s = 1.0 if r.winner == r.team1 else 0.0
-                games.setdefault(r.team1, []).append((b[0], b[1], s, 1.0))
-                games.setdefault(r.team2, []).append((a[0], a[1], 1 - s, 1.0))
+                s, w = 1.0 if r.winner == r.team1 else 0.0, weight(r, a, b)
+                games.setdefault(r.team1, []).append((b[0], b[1], s, w))
+                games.setdefault(r.team2, []).append((a[0], a[1], 1 - s, w))
             new = {t: glicko_period(*snap(t), g, tau) for t, g in games.items()}
             for t, (m, p, v) in state.items():
                 if t not in new:
                     new[t] = m, min(rd / scale, math.sqrt(p * p + v * v)), v
             state = new
-        return pd.DataFrame(out, columns=["match_id", "mu1", "rd1", "mu2", "rd2"])
+        return out, state
 
-    narrow = matches.select("match_id", "day", "team1", "team2", "winner", F.lit(1).alias("g"))
-    return narrow.groupBy("g").applyInPandas(fold, "match_id long, mu1 double, rd1 double, mu2 double, rd2 double")
+    scores = ["score1", "score2"] if margin else []
+    return folded(matches.select("match_id", "day", "team1", "team2", "winner", *scores), fold, ["mu1", "rd1", "mu2", "rd2"], ["mu", "phi", "sigma"], stretch)

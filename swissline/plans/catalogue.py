@@ -174,7 +174,10 @@ add("elo_pre", on_matches(ratings.elo))
 add("glicko_pre", on_matches(ratings.glicko))
 add("bt_pair_counts", on_matches(lambda m: ratings.pair_games(m, "map")), "SELECT map, least(team1, team2) AS lo, greatest(team1, team2) AS hi, count(*) AS games, count_if(winner = least(team1, team2)) AS lo_wins FROM m GROUP BY ALL", "", MATCH_SQL)
 add("bt_theta", on_matches(ratings.bradley_terry))
-add("bt_theta_by_map", on_matches(lambda m: ratings.bradley_terry(m, "map", ridge=4.0)))
+add("bt_theta_by_map", on_matches(lambda m: ratings.bradley_terry_by_map(m, 4.0)))
+add("glicko_margin_pre", on_matches(lambda m: ratings.glicko(m, margin=(1.0, 2.2, 0.001))))
+add("margin_weights", on_matches(lambda m: m.select("match_id", ratings.margin_weight(ratings.round_difference(F.col("score1"), F.col("score2")), F.col("v1") - F.col("v2")).alias("weight"))), """
+    SELECT match_id, CASE WHEN score1 + score2 <> 0 AND score1 <> score2 THEN ln(1 + abs(score1 - score2)) * 2.2 / (2.2 + 0.001 * abs(v1 - v2)) ELSE 1.0 END::DOUBLE AS weight FROM m""", "weight", MATCH_SQL)
 
 # ---------------------------------------------------------------- market
 add("devig_multiplicative", on_matches(lambda m: m.select("match_id", market.devig_multiplicative(F.col("odds1"), F.col("odds2")).alias("p1"), (1 / F.col("odds1") + 1 / F.col("odds2") - 1).alias("overround"))), "SELECT match_id, (1 / odds1) / (1 / odds1 + 1 / odds2) AS p1, 1 / odds1 + 1 / odds2 - 1 AS overround FROM m", "p1 overround", MATCH_SQL)
@@ -283,6 +286,11 @@ add("aligned_rows", on_matches(lambda m: features.swapped(m.selectExpr("match_id
 add("veto_features", on_matches(lambda m: m.withColumns({"a": keys.split_list(F.lit("click|view;De_error")), "b": keys.split_list(F.concat(F.col("map"), F.lit(",view")))}).select("match_id", *(v.alias(k) for k, v in features.veto_features(F.col("a"), F.col("b"), F.col("b"), F.col("a"), F.col("map"), F.col("match_id") % 2 == 0).items()))), """
     SELECT match_id, CASE WHEN e THEN 5.0::DOUBLE ELSE 0 END AS n_bans, CASE WHEN e THEN len(list_distinct(list_intersect(a, b)))::DOUBLE ELSE 0 END AS shared_bans, CASE WHEN e THEN 1.0::DOUBLE ELSE 0 END AS picked, CASE WHEN e THEN 1.0::DOUBLE - list_contains(a, map)::INT ELSE 0 END AS own_pick
     FROM (SELECT match_id, map, match_id % 2 = 0 AS e, ['click', 'view', 'error'] AS a, [map, 'view'] AS b FROM m)""", "n_bans shared_bans picked own_pick", MATCH_SQL)
+add("brier_skill", on_forecasts(lambda f: evaluate.brier_skill(f, F.col("market"))), """
+    SELECT CASE WHEN b = 0 THEN 0 ELSE 1 - a / b END AS skill, CASE WHEN r * (1 - r) = 0 THEN 0 ELSE 1 - a / (r * (1 - r)) END AS over_rate FROM (SELECT avg((p - label) * (p - label)) AS a, avg((market - label) * (market - label)) AS b, avg(label::DOUBLE) AS r FROM f)""", "skill over_rate", F_SQL)
+add("kelly_audit", on_forecasts(lambda f: market.kelly_audit(f, "p", F.lit(1.0) / F.col("market"), "match_id")), """
+    SELECT match_id, p, o AS odds, (o - 1) * p - (1 - p) AS edge, greatest((p * o - 1) / (o - 1), 0) AS raw_kelly, 0.5::DOUBLE AS fraction, 0.5 * greatest((p * o - 1) / (o - 1), 0) AS fractional_kelly FROM (SELECT match_id, p, 1 / market AS o FROM f)""", "p odds edge raw_kelly fraction fractional_kelly", F_SQL)
+add("linear_blend", on_forecasts(lambda f: f.select("match_id", market.linear_blend(F.col("p"), F.col("market"), 0.35).alias("fused"))), "SELECT match_id, least(greatest(0.65 * p + 0.35 * market, 1e-6), 1 - 1e-6) AS fused FROM f", "fused", F_SQL)
 add("probability_bins", on_forecasts(lambda f: f.groupBy(F.least(F.lit(9), F.floor(F.col("p") * 10)).cast("long").alias("bin")).agg(F.count("*").alias("n"))), "SELECT CAST(least(9, floor(p * 10)) AS BIGINT) AS bin, count(*) AS n FROM f GROUP BY bin", "", F_SQL)
 add("market_fusion_report", on_forecasts(lambda f: f.withColumn("fused", market.logit_pool(F.col("p"), F.col("market"), 0.3)).agg(*(F.avg(evaluate.log_loss(F.col(c), F.col("label"))).alias(c) for c in ("p", "market", "fused")), F.count("*").alias("n"))), """
     SELECT avg(-CASE WHEN label = 1 THEN ln(p) ELSE ln(1 - p) END) AS p, avg(-CASE WHEN label = 1 THEN ln(market) ELSE ln(1 - market) END) AS market, avg(-CASE WHEN label = 1 THEN ln(u) ELSE ln(1 - u) END) AS fused, count(*) AS n

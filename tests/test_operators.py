@@ -243,3 +243,22 @@ def test_places_in_a_total_order_with_carried_columns(spark, sf, partitions):
         assert {r[0]: r[1] for r in parts} == {"train": int(n * 0.8), "validation": int(n * 0.1), "test": n - int(n * 0.8) - int(n * 0.1)}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_stretches_of_days_give_the_ratings_of_one_fold(spark):
+    m = match_view(spark, SF)
+    for f in (ratings.elo, ratings.glicko, lambda x, **k: ratings.glicko(x, margin=(1.0, 2.2, 0.001), **k)):
+        whole, parts = ({r.match_id: tuple(r) for r in f(m, **k).collect()} for k in ({}, {"stretch": 40}))
+        assert whole.keys() == parts.keys() and all(np.allclose(whole[i], parts[i], atol=1e-9) for i in whole)
+    assert len(ratings.stretches(m, 40)) > 3 and ratings.elo(m.limit(0)).isEmpty()
+
+
+def test_strengths_by_map_are_drawn_to_the_whole(spark):
+    m = match_view(spark, SF)
+    whole = {r.team: r.theta for r in ratings.bradley_terry(m).collect()}
+    near = ratings.bradley_terry_by_map(m, ridge=1e6, pool=("unplayed",)).collect()
+    for name in {r["map"] for r in near}:
+        own = {r.team: r.theta for r in near if r["map"] == name}
+        mean = sum(whole[t] for t in own) / len(own)
+        assert all(abs(own[t] - (whole[t] - mean)) < 1e-3 for t in own)
+    assert {r.team for r in near if r["map"] == "unplayed"} == set(whole)
