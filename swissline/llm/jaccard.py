@@ -236,19 +236,18 @@ def similar_groups(docs: DataFrame, shingle: int = 5, threshold: str = "0.8", ti
     known = rows.filter("tokens is not null").join(classes, ["doc_id", *kind]).select("v", *kind, "tokens", "shared", "bits").dropDuplicates(["v", *kind])
     known = materialize(known, "vertices")
     vertices = known.drop("tokens")
+    # of shingles with the same documents one is enough; those of one document are none
+    each = known.select(F.explode("tokens").alias("token"), "v", "n", "shared")
+    same = each.groupBy("token").agg(F.count("v").alias("c"), F.bit_xor(F.xxhash64("v")).alias("x"), F.bit_xor(F.xxhash64("v", F.lit(1))).alias("y"))
+    one = same.filter("c > 1").groupBy("c", "x", "y").agg(F.min("token").alias("token")).select("token")
     # the bands are a little wider than the threshold, so that rounding loses no pair; what is in one band fits
     p, q = F.lit(t.numerator), F.lit(t.denominator)
     band = F.floor(F.ln("n") / F.lit(math.log(float(1 / t)) * (1 + 1e-9))) if t < 1 else F.col("n")
-    each = known.select(F.explode("tokens").alias("token"), "v", "n", "shared").withColumn("band", band.cast("long"))
-    tiles = each.groupBy("token", "band").agg(
-        F.count("v").alias("c"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.struct("shared", (-F.col("v")).alias("v"), "n")).alias("lead"),
-        F.bit_xor(F.xxhash64("v")).alias("x"), F.bit_xor(F.xxhash64("v", F.lit(1))).alias("y"),
-    )
-    # of shingles with the same documents one is enough; those of one document are none. A shingle has a band for each quarter of size, some dozens at most
-    same = tiles.groupBy("token").agg(F.sum("c").alias("c"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"), F.collect_list(F.struct("band", "c", "lo", "hi", "lead")).alias("bands"))
-    one = same.filter("c > 1").groupBy("c", "x", "y").agg(F.min_by("bands", "token").alias("bands"), F.min("token").alias("token")).select("token", "bands")
+    banded = materialize(each.join(one, "token").withColumn("band", band.cast("long")), "banded")
+    tiles = banded.groupBy("token", "band").agg(F.count("v").alias("c"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.struct("shared", (-F.col("v")).alias("v"), "n")).alias("lead"))
+    bands = tiles.groupBy("token").agg(F.collect_list(F.struct("band", "c", "lo", "hi", "lead")).alias("bands"))  # some dozens at most: each stands for a quarter more shingles
     at = lambda step: F.get(F.filter("bands", lambda s: s.band == F.col("band") + step), 0)
-    met = each.join(one, "token").withColumns({"own": at(0), "up": at(1), "down": at(-1)})
+    met = banded.join(bands, "token").withColumns({"own": at(0), "up": at(1), "down": at(-1)})
     # a row is at home where others of its band or smaller ones from the band below fit, and visits the band above if one there fits
     visits = F.coalesce(p * F.col("up.lo") <= q * F.col("n"), F.lit(False))
     home = (F.col("own.c") > 1) | F.coalesce(q * F.col("down.hi") >= p * F.col("n"), F.lit(False))
