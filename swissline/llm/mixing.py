@@ -5,8 +5,9 @@ of a source with share w may not be scheduled before slot floor(i / w) and has
 to be by slot ceil((i + 1) / w); of the released blocks the one with the
 earliest deadline goes next, so that at any slot a source is less than one block
 away from its share. Shares are multiples of 1 / ``slots``, the schedule of that
-many slots repeats, and a source that has run out leaves its share to the
-others: no row is dropped or doubled.
+many slots repeats (more, up to 64 times as many, where a target is smaller than
+that), and a source that has run out leaves its share to the others: no row is
+dropped or doubled. A source with a target of 0, or none, comes after all others.
 
 Defined cases: a null source is a source of its own; repeated rows are placed
 each; null ids and texts are kept; further columns are carried along, but for
@@ -23,14 +24,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from swissline.llm.common import materialize, parallelism, table
-from swissline.llm.schedule import offsets, phases, quotas, source_key
+from swissline.llm.schedule import offsets, period, phases, quotas, source_key
 
 
 def pfair_table(slots: int):
     """One slot a row: which source's block is scheduled."""
 
     def table_of(weights: np.ndarray) -> np.ndarray:
-        n = max(slots, int((weights > 0).sum()))
+        n = period(weights, slots, 64 * slots)
         k = quotas(weights, n)
         nxt, takes = np.zeros(len(k), np.int64), np.zeros((n, len(k)), np.int64)
         live = k > 0
@@ -90,7 +91,7 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, smoothing: float =
     names = sorted(totals)
     amount = np.array([totals[s] for s in names], np.int64)
     blocks = -(-amount // block)
-    weight = amount**smoothing if weights is None else np.array([weights.get(s[1:] if s[0] == "s" else None, 0.0) for s in names]) + 1e-9
+    weight = amount**smoothing if weights is None else np.array([weights.get(s[1:] if s[0] == "s" else None, 0.0) for s in names], float)
     made, _, _ = phases(blocks, weight, 1, pfair_table(slots))
     ends = np.array([p.base + p.all_before(p.rounds) for p in made]).reshape(len(made), len(names))
     which = {s: i for i, s in enumerate(names)}

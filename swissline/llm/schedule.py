@@ -52,13 +52,22 @@ def quotas(weights: np.ndarray, total: int) -> np.ndarray:
     k = np.where(live, np.maximum(1, np.floor(ideal)), 0).astype(np.int64)
     while (d := total - int(k.sum())) != 0:
         if d > 0:
-            k[np.argsort(-(ideal - k), kind="stable")[: min(d, int(live.sum()))]] += 1
+            k[np.argsort(-np.where(live, ideal - k, -np.inf), kind="stable")[: min(d, int(live.sum()))]] += 1
         else:
             can = np.flatnonzero(k > 1)
             k[can[np.argsort((ideal - k)[can], kind="stable")[: min(-d, len(can))]]] -= 1
     return k
 
 
+def period(weights: np.ndarray, least: int, most: int) -> int:
+    """Slots of a schedule in which the smallest positive share is one slot or more, a power of two times ``least``, up to ``most``."""
+    share = weights[weights > 0].min(initial=weights.sum()) / weights.sum()
+    n = least
+    while n < most and n * share < 1:
+        n *= 2
+    return max(n, int((weights > 0).sum()))
+
+
 def phases(totals: np.ndarray, weights: np.ndarray, capacity: int, table) -> tuple[list[Phase], np.ndarray, int]:
     """Phases until no full round is left; also what each source has got by then, and the number of rounds.
 
@@ -69,7 +78,8 @@ def phases(totals: np.ndarray, weights: np.ndarray, capacity: int, table) -> tup
         rest = totals - got
         if rest.sum() < capacity:
             return out, got, first
-        takes = table(np.where(rest > 0, weights, 0.0))
+        live = np.where(rest > 0, weights, 0.0)
+        takes = table(live if live.any() else (rest > 0).astype(float))  # sources without a target come when all others have run out
         phase = Phase(first, 0, got.copy(), np.vstack([np.zeros(len(totals), np.int64), np.cumsum(takes, 0)]))
         lo, hi = 0, int(rest.sum() // capacity)
         while lo < hi:
