@@ -8,7 +8,8 @@ a mixture by rows can set the takes in tokens. Over a period of windows the take
 repeats and every task can place its pieces from totals by task and source:
 deficits carry over task boundaries as they do over windows. When a queue runs
 dry its share goes to the others. What is less than a window at the very end
-becomes sequences whose lengths are powers of two, so nothing is padded.
+becomes sequences whose lengths are powers of two, filled by the same shares, so
+nothing is padded. A source with a target of 0 comes after all others.
 
 Texts are encoded once, with tiktoken over the vocabulary of the tokenizer file
 (the same ids as tokenizers gives, which is the fallback), and kept as 16-bit
@@ -113,16 +114,21 @@ def plan(totals: dict, window: int, weights: dict | None, rates: dict | None = N
     """Number of each source, the phases, and for each short sequence at the end its takes and length."""
     names = sorted(totals)
     amount = np.array([totals[s] for s in names], np.int64)
-    weight = amount.astype(float) if weights is None else np.array([weights.get(s[1:] if s[0] == "s" else None, 0.0) for s in names]) + 1e-9
+    weight = amount.astype(float) if weights is None else np.array([weights.get(s[1:] if s[0] == "s" else None, 0.0) for s in names], float)
     if rates is not None:
         weight = amount * np.array([rates[s] for s in names])
     made, got, rounds = phases(amount, weight, window, deficit_table(window))
     while (rest := amount - got).sum():
         size = 1 << (int(rest.sum()).bit_length() - 1)
+        share = np.where(rest > 0, weight, 0.0)
+        share = share if share.any() else rest.astype(float)
         take, left = np.zeros(len(names), np.int64), size
-        for s in range(len(names)):
-            take[s] = min(left, int(rest[s]))
-            left -= take[s]
+        while left:  # by target shares; what a queue doesn't hold goes round the others
+            open_ = np.where(rest > take, share, 0.0)
+            part = quotas(open_ if open_.any() else (rest > take).astype(float), left) if left >= int((rest > take).sum()) else np.eye(len(names), dtype=np.int64)[np.argmax(np.where(rest > take, share, -1.0))]
+            more = np.minimum(part, rest - take)
+            take += more
+            left -= int(more.sum())
         made.append(Phase(rounds, 1, got.copy(), np.vstack([np.zeros_like(take), take])))
         got, rounds = got + take, rounds + 1
     return {s: i for i, s in enumerate(names)}, made
