@@ -2,22 +2,26 @@
 
 Texts are folded first: lower case, homoglyphs and digit substitutions to the
 letters they stand for, zero-width characters away, punctuation to spaces. The
-lexicon holds whole words and word beginnings with their log odds, learned from
-at most ``most_labelled`` labelled rows (those with the least hash of doc_id,
-held-out rows left out). At each word only the longest entry counts, and none
+lexicon holds whole words and word beginnings with their log odds, the
+``most_terms`` surest of them, learned from at most ``most_labelled`` labelled
+rows (those with the least hash of doc_id, held-out rows left out). At each word only the longest entry counts, and none
 inside an exception phrase: given ones, and pairs of words learned as harmless.
 The sum of weights, its share of the text's length, the largest weight and the
 number of matches give a score by a logistic fit on the same rows.
 
 Defined cases: null and empty texts have no matches and get the score of none;
 without labels of both kinds the score is 0; repeated rows are scored each; a
-null doc_id counts as the text "" for held_out; further columns are ignored.
+null doc_id counts as the text "" for held_out; of labels that differ for one id
+the larger counts; of terms that are equally sure the first in the alphabet is
+kept; very long texts are scored whole; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -25,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swissline.llm.common import table
+from swissline.llm.common import materialize, table
 
 # fixed values: letters that look like Latin ones, and what stands for letters
 HOMOGLYPHS = dict(zip("аеорсухіјѕԁһӏкмнтвαεορτυνκιη", "aeopcyxijsdhlkmhtbaeoptuvkin"))
@@ -72,7 +76,12 @@ class Lexicon:
                     spared.append((at, end))
                 elif size > best.get(at, (0, 0))[0]:
                     best[at] = size, w
-        hits = [w for at, (_, w) in best.items() if not any(s <= at < e for s, e in spared)]
+        if spared:  # ends ascend; of overlapping phrases the reach counts
+            starts, reach = zip(*sorted(spared))
+            reach = list(accumulate(reach, max))
+            hits = [w for at, (_, w) in best.items() if not ((k := bisect_right(starts, at)) and at < reach[k - 1])]
+        else:
+            hits = [w for _, w in best.values()]
         n = folded.count(" ") - 1
         total = sum(hits)
         return [1.0, np.log1p(total), 10 * total / (n + 20), max(hits, default=0.0), np.log1p(len(hits))]
@@ -95,7 +104,7 @@ def learn(docs: DataFrame, labels: DataFrame, most_labelled: int = 20_000, most_
     """Lexicon and fit from labelled rows that are not held out. All that reaches the driver is bounded by the two limits."""
     known = labels.filter("toxic is not null and doc_id is not null").filter(~is_held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled))
-    rows = docs.select("doc_id", "text").join(sample, "doc_id").select("text", "toxic")
+    rows = materialize(docs.select("doc_id", "text").join(sample, "doc_id").select("text", "toxic"), "labelled")  # read four times
     sizes = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
     if not bad or not good:
