@@ -22,9 +22,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 # ---------------------------------------------------------------- storage
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one only where none is set (tests)."""
+    """The folder all executors share; one of this machine only where none is set and Spark runs on this machine alone (tests)."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         d = "file://" + tempfile.mkdtemp(prefix="llm-shared-")
         spark.conf.set("spark.checkpoint.dir", d)
     return d.rstrip("/")

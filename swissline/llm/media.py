@@ -7,7 +7,9 @@ join; payloads with the same digest are stored, read back and measured once.
 Positions are places in the array, so captions and payloads stay aligned.
 
 Defined cases: a null text is empty (its payload is one row of 255); null html
-is an empty sequence; references without a digest or with one that is not stored
+is an empty sequence; a caption that isn't closed ends with its figure or at the
+next block, and is text where its figure holds no media; tags that don't match
+are ignored; very long texts are one payload; references without a digest or with one that is not stored
 keep null payload columns; repeated rows and null ids are kept; further columns
 are ignored.
 """
@@ -31,6 +33,7 @@ from swissline.llm.common import parallelism, table
 WIDTH = 576
 PAD = 255
 _PNG = b"\x89PNG\r\n\x1a\n"
+_BLOCKS = ("p", "div", "li", "td", "h1", "h2", "h3", "h4", "article", "section")
 _MEDIA_TAGS = ("img", "video", "audio", "source")
 _DIGEST = re.compile(r"(?:sha256[:/-]|media:)([0-9a-f]{64})")
 SEQUENCE = "array<struct<position:int,kind:string,text:string,ref:string,digest:string,caption:string>>"
@@ -92,7 +95,7 @@ def sample_features(payload: bytes) -> str:
 class _Sequence(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.items, self.buffer, self.hidden, self.figure, self.caption = [], [], 0, None, None
+        self.items, self.buffer, self.hidden, self.figure, self.caption, self.early = [], [], 0, None, None, None
 
     def flush(self):
         text = " ".join("".join(self.buffer).split())
@@ -102,12 +105,18 @@ class _Sequence(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
+        if tag == "figure":
+            self.end_figure()
+        elif tag in _BLOCKS and "".join(self.caption or ()).strip():
+            self.end_caption()
         if tag in ("script", "style"):
             self.hidden += 1
         elif tag == "figure":
             self.flush()
             self.figure = len(self.items)
         elif tag == "figcaption":
+            self.end_caption()
+            self.flush()
             self.caption = []
         elif tag in _MEDIA_TAGS and (a.get("src") or a.get("data-digest")):
             self.flush()
@@ -120,16 +129,38 @@ class _Sequence(HTMLParser):
     def handle_endtag(self, tag):
         if tag in ("script", "style"):
             self.hidden = max(0, self.hidden - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            text = " ".join("".join(self.caption).split())
-            self.caption = None
-            for item in self.items[self.figure if self.figure is not None else len(self.items) :]:
-                if item["kind"] == "media" and text:
-                    item["caption"] = text
-        elif tag == "figure":
-            self.figure = None
-        if tag in ("p", "div", "li", "td", "h1", "h2", "h3", "h4", "article", "section", "figure"):
+        elif tag == "figcaption" or tag in _BLOCKS and "".join(self.caption or ()).strip():
+            self.end_caption()
+        if tag == "figure":
+            self.end_figure()
+        if tag in _BLOCKS or tag == "figure":
+            self.flush()
+
+    def end_caption(self):
+        """Gives an open caption to the media of its figure; before any it waits for them."""
+        if self.caption is None:
+            return
+        text, self.caption = " ".join("".join(self.caption).split()), None
+        if self.figure is None:
+            self.buffer = [text]
+            self.flush()
+        elif text and not self.give(text):
+            self.early = text
+
+    def give(self, text):
+        media = [x for x in self.items[self.figure :] if x["kind"] == "media"]
+        for item in media:
+            item["caption"] = text
+        return bool(media)
+
+    def end_figure(self):
+        """What has waited for media is text where none came."""
+        self.end_caption()
+        self.flush()
+        if self.early is not None and not self.give(self.early):
+            self.buffer = [self.early]
             self.flush()
+        self.figure = self.early = None
 
     def handle_data(self, data):
         if not self.hidden:
@@ -140,7 +171,7 @@ def parse_page(page: str | None) -> list[dict]:
     p = _Sequence()
     p.feed(page or "")
     p.close()
-    p.flush()
+    p.end_figure()
     return [{"position": i, **x} for i, x in enumerate(p.items)]
 
 

@@ -181,13 +181,27 @@ def test_op1_positions_and_deviation(docs, empty):
         assert (takes.sum(1) == 1).all() and np.abs(got - got[-1] / len(takes) * np.arange(1, len(takes) + 1)[:, None]).max() < 1
 
 
+def test_op1_small_and_zero_targets(spark):
+    rows = [(i, "a" if i < 20_000 else "b" if i < 20_300 else "c") for i in range(20_320)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string").repartition(6)
+    got = sorted(mixing.mix_sources(docs, {"a": 1.0, "b": 0.0004, "c": 0.0}, block=1).collect(), key=lambda r: r.mix_position)
+    first = Counter(r.source for r in got[:18_000])
+    assert [r.mix_position for r in got] == list(range(len(rows))) and abs(first["b"] - 18_000 * 0.0004) < 1.5 and not first["c"]
+    assert {r.source for r in got[-20:]} == {"c"}  # no target: after all others
+
+
+def test_op8_the_tail_keeps_the_shares():
+    number, made = packing.plan({"sa": 70_000, "sb": 30_000}, 2048, {"a": 0.7, "b": 0.3})
+    tail = [np.diff(p.got, axis=0)[0] for p in made if p.rounds == 1 and p.got[-1].sum() < 2048]
+    assert tail and all(abs(t[0] - 0.7 * t.sum()) <= 2 for t in tail if t.sum() > 64) and sum(p.all_before(p.rounds).sum() for p in made) == 100_000
+
+
 def test_op8_pieces(docs, empty):
     import public_tokenizers
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     pieces = packing.pack_documents(docs, path).collect()
     fill = Counter()
     for r in sorted(pieces, key=lambda r: (r.sequence_id, r.offset)):
@@ -215,12 +229,46 @@ def test_op10_round_trip(docs, empty, spark):
     page = "<p>a &amp; b</p><figure><img src='media:" + "0" * 64 + "' alt='no'><figcaption>cap</figcaption></figure><p>c</p><img src='u.png' alt='alt'>"
     got = [(x["position"], x["kind"], x["text"], x["caption"]) for x in media.parse_page(page)]
     assert got == [(0, "text", "a & b", None), (1, "media", None, "cap"), (2, "text", "c", None), (3, "media", None, "alt")] and media.parse_page(None) == []
+    kinds = lambda page: [(x["kind"], x["text"], x["caption"]) for x in media.parse_page(page)]
+    img = "<img src='a.png'>"
+    assert kinds(f"<figure>{img}<figcaption>cap</figure><p>one</p><p>two</p>") == [("media", None, "cap"), ("text", "one", None), ("text", "two", None)]
+    assert kinds(f"<p>a</p><figure>{img}<figcaption>cap<p>one</p>") == [("text", "a", None), ("media", None, "cap"), ("text", "one", None)]
+    assert kinds(f"<figure>before<figcaption><p>cap</p></figcaption>{img}</figure>after") == [("text", "before", None), ("media", None, "cap"), ("text", "after", None)]
+    assert kinds("<figure><figcaption>no media</figcaption></figure><figcaption>loose") == [("text", "no media", None), ("text", "loose", None)]
     from pyspark.sql import functions as F
 
     pages = media.document_pages(docs).select(F.struct("doc_id", "n_bytes").alias("page"), "html")
     out = media.resolve(media.references(media.page_sequences(pages, "page"), "page"), media.document_media(docs)).collect()
     assert sorted((r.page.n_bytes, r.payload_sha256) for r in out) == sorted((len((t or "").encode()), brute.sha(media.payload_of(t))) for _, t in ROWS)
     assert media.document_pages(empty).count() == 0 and media.document_media(empty).count() == 0
+    stored = {r.digest: bytes(r.media) for r in media.document_media(docs).collect()}
+    for r in out:  # columns of the query from the stored bytes, read by another decoder
+        x = stored[r.payload_sha256]
+        at, data = 8, b""
+        while at < len(x):
+            n, kind = int.from_bytes(x[at : at + 4], "big"), x[at + 4 : at + 8]
+            data += x[at + 8 : at + 8 + n] if kind == b"IDAT" else b""
+            at += n + 12
+        raw = zlib.decompress(data)
+        payload = b"".join(raw[i + 1 : i + 577] for i in range(0, len(raw), 577))
+        assert (r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256) == (len(payload), brute.sha(payload), zlib.crc32(payload[-32:]), len(x), brute.sha(x))
+
+
+def test_op2_features_are_those_of_a_plain_search():
+    rnd = random.Random(4)
+    weights = {" ab": 1.0, " ab ": 2.5, " abc": 1.5, " b": 0.3, " c a": 0.7, " bca ": 3.0}
+    lexicon = toxicity.Lexicon(weights, ("ab c", "c ab", "b"), np.zeros(0))
+    a = lexicon.automaton()
+    for size in (0, 1, 5, 40, 3000):
+        text = toxicity.fold(" ".join("".join(rnd.choice("abc") for _ in range(rnd.randint(1, 3))) for _ in range(size)))
+        spared = [(m.start(), m.start() + len(x) + 1) for x in lexicon.exceptions for m in re.finditer(f"(?= {x} )", text)]
+        hits = []
+        for at in range(len(text)):
+            found = max((x for x in weights if text.startswith(x, at)), key=len, default=None)
+            if found and not any(s <= at < e for s, e in spared):
+                hits.append(weights[found])
+        n = len(text.split())
+        assert np.allclose(lexicon.features(a, text), [1, math.log1p(sum(hits)), 10 * sum(hits) / (n + 20), max(hits, default=0), math.log1p(len(hits))]), size
 
 
 def test_op2_learns_and_folds(spark, docs, empty):

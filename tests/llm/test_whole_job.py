@@ -26,6 +26,23 @@ def test_op6_short_passages_go_in_any_context(spark):
         assert got[i].kept_text.split("\n") == (own if i < 100 else own[:at] + own[at + len(p) :]), i
 
 
+def test_op6_removes_the_pairs_of_lines_that_start_earlier(spark):
+    """Without knowledge of chunks: all repeated pairs of neighbouring lines go, and nothing else."""
+    rnd = random.Random(8)
+    pool = [f"line {i} " + "x" * (i % 5) for i in range(60)]
+    rows = [(i, "\n".join(rnd.choice(pool) if rnd.random() < 0.6 else str(rnd.random()) for _ in range(rnd.randint(0, 40)))) for i in range(150)]
+    rows += [(200, rows[3][1]), (201, "\n".join(pool * 3)), (202, "\n".join(str(rnd.random()) for _ in range(30_000)))]
+    seen, want = set(), {}
+    for i, text in rows:
+        own, gone = text.split("\n") if text else [], set()
+        for k in range(len(own) - 1):
+            gone |= {k, k + 1} if (own[k], own[k + 1]) in seen else set()
+            seen.add((own[k], own[k + 1]))
+        want[i] = "\n".join(x for k, x in enumerate(own) if k not in gone)
+    got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert {r.doc_id: r.kept_text for r in got} == want
+
+
 def test_pipeline_sequences_follow_the_mixture(spark):
     """Shares of sources in the first sequences, and which documents come first, are those of stage 4."""
     rnd = random.Random(6)
