@@ -245,7 +245,8 @@ def similar_groups(docs: DataFrame, shingle: int = 5, threshold: str = "0.8", ti
     band = F.floor(F.ln("n") / F.lit(math.log(float(1 / t)) * (1 + 1e-9))) if t < 1 else F.col("n")
     banded = materialize(each.join(one, "token").withColumn("band", band.cast("long")), "banded")
     tiles = banded.groupBy("token", "band").agg(F.count("v").alias("c"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.struct("shared", (-F.col("v")).alias("v"), "n")).alias("lead"))
-    bands = tiles.groupBy("token").agg(F.collect_list(F.struct("band", "c", "lo", "hi", "lead")).alias("bands"))  # some dozens at most: each stands for a quarter more shingles
+    # some dozens of bands at most, as each stands for a quarter more shingles; written, so that the join below can split a common shingle's rows
+    bands = materialize(tiles.groupBy("token").agg(F.collect_list(F.struct("band", "c", "lo", "hi", "lead")).alias("bands")), "bands")
     at = lambda step: F.get(F.filter("bands", lambda s: s.band == F.col("band") + step), 0)
     met = banded.join(bands, "token").withColumns({"own": at(0), "up": at(1), "down": at(-1)})
     # a row is at home where others of its band or smaller ones from the band below fit, and visits the band above if one there fits
