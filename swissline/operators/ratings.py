@@ -44,9 +44,9 @@ def folded(narrow: DataFrame, fold: Callable, outputs: list[str], state: list[st
     def run(rows: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
         now = {r[0]: r[1:] for r in before[["team", *state]].itertuples(index=False, name=None)}
         out, now = fold(now, rows.sort_values(["day", "match_id"]))
-        done = pd.DataFrame(out, columns=["match_id", *outputs])
-        after = pd.DataFrame([(t, *v) for t, v in now.items()], columns=["team", *state])
-        return pd.concat([done.assign(team=None, **dict.fromkeys(state)), after.assign(match_id=None, **dict.fromkeys(outputs))])[["match_id", *outputs, "team", *state]].astype(dict.fromkeys([*outputs, *state], float))
+        none = [None] * (1 + len(state)), [None] * (1 + len(outputs))
+        both = [(*r, *none[0]) for r in out] + [(*none[1], t, *v) for t, v in now.items()]
+        return pd.DataFrame(both, columns=["match_id", *outputs, "team", *state], dtype=object).astype(dict.fromkeys([*outputs, *state], float))
 
     spans, found = stretches(narrow, stretch), []
     state_rows = narrow.sparkSession.createDataFrame([], f"team {kind}, {', '.join(f'{c} double' for c in state)}")
