@@ -44,3 +44,12 @@ def missing_fields(rows: DataFrame, fields: list[str]) -> DataFrame:
     """Name of each field that any row lacks."""
     gaps = rows.agg(*(F.max((F.col(c).isNull() | (F.trim(F.col(c).cast("string")) == "")).cast("int")).alias(c) for c in fields))
     return gaps.unpivot([], fields, "field", "lacks").select("field", F.col("lacks").cast("int").alias("lacks"))
+
+
+def in_dates(rows: DataFrame, column: str, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Rows whose text date lies within the bounds, both included; a text that is no date goes."""
+    day = F.col(column).cast("string").try_cast("date")
+    kept = rows.filter(day.isNotNull())
+    for on in ([day >= F.lit(start).cast("date")] if start else []) + ([day <= F.lit(end).cast("date")] if end else []):
+        kept = kept.filter(on)
+    return kept

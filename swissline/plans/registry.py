@@ -32,4 +32,4 @@ def oracles() -> dict[str, str]:
 
 
 def _load() -> None:
-    from swissline.plans import catalogue, reports  # noqa: F401
+    from swissline.plans import catalogue, reports, selection  # noqa: F401
