@@ -232,8 +232,8 @@ def similar_groups(docs: DataFrame, shingle: int = 5, threshold: str = "0.8", ti
     rows = materialize(docs.mapInArrow(features, _SETS), "sets")
     kind = ["n", "d1", "d2"]
     classes = materialize(rows.filter("n > 0 and doc_id is not null").groupBy(*kind).agg(F.min("doc_id").alias("v"), F.min(F.when(F.col("tokens").isNotNull(), F.col("doc_id"))).alias("doc_id")), "classes")
-    # one row for each different set that can have a partner
-    known = rows.filter("tokens is not null").join(classes, ["doc_id", *kind]).select("v", *kind, "tokens", "shared", "bits").dropDuplicates(["v", *kind])
+    # one row for each different set that can have a partner; repeats are dropped by the join's keys, which needs no second shuffle
+    known = rows.filter("tokens is not null").join(classes, ["doc_id", *kind]).dropDuplicates(["doc_id", *kind]).select("v", *kind, "tokens", "shared", "bits")
     known = materialize(known, "vertices")
     vertices = known.drop("tokens")
     # of shingles with the same documents one is enough; those of one document are none
@@ -322,7 +322,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, threshold: str = "0.8", ti
                     )
 
         sets = docs.mapInArrow(run, "v long, d1 long, d2 long, items binary")
-        return materialize(sets.join(vertices.join(need, "v").select("v", "d1", "d2"), ["v", "d1", "d2"]).select("v", "items").dropDuplicates(["v", "items"]), "items")
+        return materialize(sets.join(vertices.join(need, "v").select("v", "d1", "d2"), ["v", "d1", "d2"]).dropDuplicates(["v", "d1", "d2"]).select("v", "items"), "items")
 
     def verify(pairs: DataFrame) -> DataFrame:
         sets = sets_of(pairs)
