@@ -14,7 +14,7 @@ def strip_tags(c: Column) -> Column:
 
 
 def links(pages: DataFrame) -> DataFrame:
-    """Number of links and length of each page's visible text."""
+    """Number of double-quoted link targets in each page, and the md5 of its url."""
     return pages.select("page_id", F.size(F.regexp_extract_all("html", F.lit(r'href="([^"]*)"'), 1)).cast("long").alias("n_links"), F.md5("url").alias("url_md5"))
 
 
