@@ -37,4 +37,27 @@ WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text,
   reach(x, y) AS (SELECT x, y FROM both_ways UNION SELECT r.x, e.y FROM reach r JOIN both_ways e ON e.x = r.y)
 SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(doc_id, coalesce(c, doc_id)) AS component_id FROM d LEFT JOIN size USING (doc_id) LEFT JOIN (SELECT x, min(y) AS c FROM reach GROUP BY x) r ON r.x = doc_id"""
 
-ORACLES = {"op3_substring_dedup": SUBSTRING, "op7_suffix_dedup": SUFFIX, "op9_jaccard_groups": JACCARD}
+#: The template's marks are counted by role; texts gain a backslash for each control string in them.
+CHAT = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+  e AS (SELECT *, length(regexp_replace(text, '([<\[]\\*)(/?(?:s>|INST\]|SYS\]|ROLE\]|TEXT\]))', '\1\\\2', 'g')) AS n,
+    length(regexp_replace(role, '([<\[]\\*)(/?(?:s>|INST\]|SYS\]|ROLE\]|TEXT\]))', '\1\\\2', 'g')) AS r FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(3 + sum(n + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 5 WHEN 'system' THEN 13 ELSE 19 + r END) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id"""
+
+#: Every anchor's score with every row, its first five of the same label, and the first three of other labels in each one's range.
+NEGATIVES = """
+WITH e AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+    FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, CAST(list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * b.q[i])) AS BIGINT) AS score
+    FROM e a JOIN e b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+  p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5),
+  n AS (SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.other_id) AS INTEGER) AS rank, s.other_id AS negative_id, positive_score, s.score AS negative_score
+    FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+SELECT * FROM n WHERE rank <= 3"""
+
+ORACLES = {"op3_substring_dedup": SUBSTRING, "op7_suffix_dedup": SUFFIX, "op9_jaccard_groups": JACCARD, "op12_chat_rendering": CHAT, "op13_bit_sliced_negatives": NEGATIVES}

@@ -22,6 +22,8 @@ doc_id, text and source are ignored.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 
 import numpy as np
@@ -36,36 +38,41 @@ _TOKENS = "doc_id long, _source string, _task int, _local long, n long, ids bina
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def encoder(path: str):
-    """text -> uint32 ids, from a byte-level BPE file; the added tokens of the file take their ids wherever they stand in a text."""
-    import json
+#: Longer runs of white space go to tokenizers: tiktoken's pattern engine recurses over them and breaks off the process's stack.
+_LONG_SPACE = re.compile(r"\s{2000}")
 
-    import public_tokenizers
-    import tiktoken
-    from tokenizers import Tokenizer
 
+def byte_vocabulary(path: str) -> tuple[dict[bytes, int], list[dict]]:
+    """Bytes of each entry of a byte-level BPE file, and its added tokens."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    vocab, added = spec["model"]["vocab"], spec.get("added_tokens") or []
     # the byte alphabet of byte-level BPE: printable characters stand for themselves, the others follow from 256 on
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
-    ranks = {bytes(byte_of[c] for c in word): i for word, i in vocab.items() if not (word.startswith("<|") and word.endswith("|>"))}
+    ranks = {bytes(byte_of[c] for c in word): i for word, i in spec["model"]["vocab"].items() if not (word.startswith("<|") and word.endswith("|>"))}
+    return ranks, spec.get("added_tokens") or []
+
+
+def encoder(path: str, special: bool = True):
+    """text -> uint32 ids, from a byte-level BPE file; the added tokens of the file take their ids wherever they stand in a text, or are plain text if not ``special``."""
+    import public_tokenizers
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    ranks, added = byte_vocabulary(path)
     fast = tiktoken.Encoding("byte-level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={t["content"]: t["id"] for t in added})
     slow = Tokenizer.from_file(path)
+    slow.encode_special_tokens = not special
     names = [t["content"] for t in added]
     # tokens that take in what is around them are left to tokenizers
     wide = [t["content"] for t in added if any(t.get(k) for k in ("lstrip", "rstrip", "single_word", "normalized"))]
 
     def encode(text: str) -> np.ndarray:
-        if any(x in text for x in wide):
-            return np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
-        try:
-            if any(x in text for x in names):
-                return np.array(fast.encode(text, allowed_special="all"), np.uint32)
-            return np.array(fast.encode_ordinary(text), np.uint32)
-        except Exception:  # texts its pattern engine gives up on
+        if _LONG_SPACE.search(text) or special and any(x in text for x in wide):
             return np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
+        if special and any(x in text for x in names):
+            return np.array(fast.encode(text, allowed_special="all"), np.uint32)
+        return np.asarray(fast.encode_to_numpy(text, disallowed_special=()), np.uint32)
 
     return encode
 
