@@ -1,14 +1,16 @@
 """Ratings of teams.
 
-Elo and Glicko-2 depend on the order of all matches. They run as a fold over stretches of whole days of about ``stretch`` matches each: a
-stretch is one task that gets its own narrow rows and the state the stretch before has written (a row for each team). The order forbids
-more parallelism; a task never holds more than a stretch, or one day if that has more matches, and the teams.
+Elo and Glicko-2 depend on the order of all matches, but no task ever holds that order. Elo's ratings are the fixed point of running
+sums: each match moves both teams by what their ratings before it say, and a team's rating is its start plus the moves of its earlier
+matches. Starting from any ratings, sums and moves are computed again and again for all matches at once until nothing changes; each
+round settles at least the next match of every team, and in practice about twenty rounds settle all of a stretch of days in which no
+team plays more than some hundred matches. Glicko-2 goes day by day, as its periods do: a day is one join of its matches with the
+state of the teams and one aggregation by team.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -16,17 +18,29 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from swissline.operators.durable import written
+from swissline.operators.durable import stored
 
 # fixed values: K by tier
 TIER_K = {"S": 32.0, "A": 20.0, "B": 14.0, "C": 10.0}
 OTHER_K = 24.0
 
 
+def known(winner: str = "winner") -> Column:
+    """Matches that move ratings: two different teams, one of which has won."""
+    return F.coalesce((F.col("team1") != F.col("team2")) & ((F.col(winner) == F.col("team1")) | (F.col(winner) == F.col("team2"))), F.lit(False))
+
+
+def sides(rows: DataFrame, first: dict[str, Column], second: dict[str, Column], *keep: str) -> DataFrame:
+    """Two rows for each of ``rows``: what is kept, and the columns of either team."""
+    both = F.array(F.struct(*(c.alias(k) for k, c in first.items())), F.struct(*(c.alias(k) for k, c in second.items())))
+    return rows.select(*keep, F.inline(both))
+
+
 def stretches(matches: DataFrame, most: int) -> list[tuple[int, int]]:
-    """First and last day of runs of days with about ``most`` matches. The driver holds a number for each day."""
+    """First and last day of runs of days in which no team has more than ``most`` matches; a day with more is a run of its own. The driver holds a number for each day."""
+    each = sides(matches, {"team": F.col("team1")}, {"team": F.col("team2")}, "day").groupBy("day", "team").count()
     out, n = [], 0
-    for day, count in matches.groupBy("day").count().orderBy("day").collect():
+    for day, count in each.groupBy("day").agg(F.max("count")).orderBy("day").collect():
         if out and n + count <= most:
             out[-1] = out[-1][0], day
             n += count
@@ -36,44 +50,79 @@ def stretches(matches: DataFrame, most: int) -> list[tuple[int, int]]:
     return out
 
 
-def folded(narrow: DataFrame, fold: Callable, outputs: list[str], state: list[str], stretch: int) -> DataFrame:
-    """match_id and outputs from ``fold(state, rows)``, which takes {team: state} and the rows of a stretch in order, and returns rows and the state after them."""
-    kind = narrow.schema["team1"].dataType.simpleString()
-    schema = f"match_id {narrow.schema['match_id'].dataType.simpleString()}, {', '.join(f'{c} double' for c in outputs)}, team {kind}, {', '.join(f'{c} double' for c in state)}"
-
-    def run(rows: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
-        now = {r[0]: r[1:] for r in before[["team", *state]].itertuples(index=False, name=None)}
-        out, now = fold(now, rows.sort_values(["day", "match_id"]))
-        none = [None] * (1 + len(state)), [None] * (1 + len(outputs))
-        both = [(*r, *none[0]) for r in out] + [(*none[1], t, *v) for t, v in now.items()]
-        return pd.DataFrame(both, columns=["match_id", *outputs, "team", *state], dtype=object).astype(dict.fromkeys([*outputs, *state], float))
-
-    spans, found = stretches(narrow, stretch), []
-    state_rows = narrow.sparkSession.createDataFrame([], f"team {kind}, {', '.join(f'{c} double' for c in state)}")
-    keyed = narrow.withColumn("g", F.lit(1))
-    for lo, hi in spans or [(0, 0)]:
-        step = keyed.filter(F.col("day").between(lo, hi)).groupBy("g").cogroup(state_rows.withColumn("g", F.lit(1)).groupBy("g")).applyInPandas(run, schema)
-        if len(spans) > 1:
-            step = written(step)
-        found.append(step.filter("match_id is not null").select("match_id", *outputs))
-        state_rows = step.filter("match_id is null").select("team", *state)
-    return reduce(DataFrame.union, found)
-
-
-def elo(matches: DataFrame, base: float = 1500.0, stretch: int = 2_000_000) -> DataFrame:
-    """Ratings of both teams before each match."""
-
-    def fold(now, rows):
-        out = []
-        for r in rows.itertuples():
-            a, b = now.get(r.team1, (base,))[0], now.get(r.team2, (base,))[0]
-            out.append((r.match_id, a, b))
-            if r.winner in (r.team1, r.team2):
-                move = TIER_K.get(r.tier, OTHER_K) * ((r.winner == r.team1) - 1 / (1 + 10 ** ((b - a) / 400)))
-                now[r.team1], now[r.team2] = (a + move,), (b - move,)
-        return out, now
-
-    return folded(matches.select("match_id", "day", "team1", "team2", "winner", "tier"), fold, ["elo1", "elo2"], ["elo"], stretch)
+def elo_k() -> Column:
+    k = F.lit(OTHER_K)
+    for tier, x in TIER_K.items():
+        k = F.when(F.col("tier") == tier, x).otherwise(k)
+    return k
+
+
+def elo_move(elo1: Column, elo2: Column) -> Column:
+    """What the first team wins, and the second loses, by a match with columns k and s (1 or 0; null moves nothing)."""
+    return F.coalesce(F.col("k") * (F.col("s") - 1 / (1 + F.pow(F.lit(10.0), (elo2 - elo1) / 400))), F.lit(0.0))
+
+
+_MATCH = ("match_id", "day", "team1", "team2", "k", "s", "start1", "start2")
+
+
+def _round():
+    """A function that takes one round: the ratings before each match from the moves that the last ratings give."""
+    move = elo_move(F.col("elo1"), F.col("elo2"))
+    side = lambda n, sign: {"side": F.lit(n), "team": F.col(f"team{n}"), "start": F.col(f"start{n}"), "move": sign * move, "was": F.col(f"elo{n}")}
+    first, second = side(1, F.lit(1.0)), side(2, F.lit(-1.0))
+    before = Window.partitionBy("team").orderBy("day", "match_id").rowsBetween(Window.unboundedPreceding, -1)
+    rating = F.col("start") + F.coalesce(F.sum("move").over(before), F.lit(0.0))
+    of = lambda n: F.max(F.when(F.col("side") == n, F.col("elo"))).alias(f"elo{n}")
+    found = of(1), of(2), F.max(F.abs(F.col("elo") - F.col("was"))).alias("change")
+
+    def run(rows: DataFrame) -> DataFrame:
+        return sides(rows, first, second, *_MATCH).withColumn("elo", rating).groupBy(*_MATCH).agg(*found)
+
+    return run
+
+
+def elo(matches: DataFrame, base: float = 1500.0, most: int = 200, rounds: int = 4, tolerance: float = 1e-9) -> DataFrame:
+    """Ratings of both teams before each match. A match without a known winner moves nothing.
+
+    most: matches of a team in one stretch of days; the ratings after a stretch are where the next one starts. rounds: of each job.
+    """
+    s = F.when(known() & (F.col("winner") == F.col("team1")), 1.0).when(known(), 0.0)
+    narrow = stored(matches.select("match_id", "day", "team1", "team2", elo_k().alias("k"), s.alias("s")), "elo-matches")
+    found, state, again = [], None, _round()
+    for lo, hi in stretches(narrow, most):
+        rows = narrow.filter(F.col("day").between(lo, hi))
+        for n in (1, 2):
+            if state is None:
+                rows = rows.withColumn(f"start{n}", F.lit(base))
+            else:
+                rows = rows.join(state.select(F.col("team").alias(f"team{n}"), F.col("elo").alias(f"start{n}")), f"team{n}", "left").fillna(base, [f"start{n}"])
+        rows = rows.select(*_MATCH, F.col("start1").alias("elo1"), F.col("start2").alias("elo2"))
+        change = math.inf
+        while change > tolerance:
+            for _ in range(rounds):
+                rows = again(rows)
+            rows = stored(rows, "elo")
+            change = rows.agg(F.max("change")).first()[0] or 0.0
+        found.append(rows)
+        after = _after(rows)
+        if state is not None:  # teams that didn't play keep their rating
+            after = after.unionByName(state.join(after, "team", "left_anti"))
+        state = stored(after, "elo-state")
+    empty = narrow.limit(0).select("match_id", F.lit(0.0).alias("elo1"), F.lit(0.0).alias("elo2"))
+    return reduce(DataFrame.union, (r.select("match_id", "elo1", "elo2") for r in found), empty)
+
+
+def _after(rows: DataFrame) -> DataFrame:
+    """Each team's rating after its last match of ``rows``."""
+    move = elo_move(F.col("elo1"), F.col("elo2"))
+    each = sides(rows, {"team": F.col("team1"), "elo": F.col("elo1") + move}, {"team": F.col("team2"), "elo": F.col("elo2") - move}, "day", "match_id")
+    return each.groupBy("team").agg(F.max_by("elo", F.struct("day", "match_id")).alias("elo"))
+
+
+def final_elo(matches: DataFrame, before: DataFrame) -> DataFrame:
+    """Each team's rating after its last match, from the ratings before it. before: match_id, elo1, elo2."""
+    s = F.when(known() & (F.col("winner") == F.col("team1")), 1.0).when(known(), 0.0)
+    return _after(matches.select("match_id", "day", "team1", "team2", elo_k().alias("k"), s.alias("s")).join(before, "match_id"))
 
 
 def margin_weight(difference: Column, gap: Column, alpha: float = 1.0, beta: float = 2.2, gamma: float = 0.001) -> Column:
@@ -113,18 +162,6 @@ def rolling_bradley_terry(matches: DataFrame, ridge: float = 1.0) -> DataFrame:
     return out.fillna(0.0, ["theta1", "theta2"]).select("match_id", "theta1", "theta2", (F.col("theta1") - F.col("theta2")).alias("theta_diff"))
 
 
-def final_elo(matches: DataFrame, before: DataFrame, base: float = 1500.0) -> DataFrame:
-    """Each team's rating after its last match, from the ratings before it. before: match_id, elo1, elo2."""
-    k = F.lit(OTHER_K)
-    for tier, x in TIER_K.items():
-        k = F.when(F.col("tier") == tier, x).otherwise(k)
-    first = F.when(F.col("winner") == F.col("team1"), 1.0).when(F.col("winner") == F.col("team2"), 0.0)
-    move = F.coalesce(k * (first - 1 / (1 + F.pow(F.lit(10.0), (F.col("elo2") - F.col("elo1")) / 400))), F.lit(0.0))
-    after = matches.join(before, "match_id").withColumn("_m", move)
-    side = F.array(F.struct(F.col("team1").alias("team"), (F.col("elo1") + F.col("_m")).alias("elo")), F.struct(F.col("team2").alias("team"), (F.col("elo2") - F.col("_m")).alias("elo")))
-    return after.select("day", "match_id", F.inline(side)).groupBy("team").agg(F.max_by("elo", F.struct("day", "match_id")).alias("elo"))
-
-
 def bradley_terry_by_map(matches: DataFrame, ridge: float = 4.0, pool: tuple[str, ...] = ()) -> DataFrame:
     """Strengths on each map, drawn to the strengths over all maps; a map of the pool without games has those."""
     whole = bradley_terry(matches)
@@ -170,67 +207,128 @@ def fit_pairs(pairs: DataFrame, *keys: str, ridge: float = 1.0, sweeps: int = 20
     return grouped.applyInPandas(fit, f"{kinds}team long, theta double")
 
 
-def _g(phi):
-    return 1 / np.sqrt(1 + 3 * phi * phi / math.pi**2)
+# ---------------------------------------------------------------- Glicko-2
+SCALE, CENTRE = 173.7178, 1500.0
 
 
-def glicko_period(mu, phi, sigma, opponents, tau: float):
-    """One team's new (mu, phi, sigma) on the Glicko-2 scale from (opponent mu, phi, score, weight) of a period."""
-    om, op, s, w = (np.array(x, float) for x in zip(*opponents))
-    g = _g(op)
-    e = 1 / (1 + np.exp(-g * (mu - om)))
-    v = 1 / (w * g * g * e * (1 - e)).sum()
-    gain = (w * g * (s - e)).sum()
-    delta, a = v * gain, math.log(sigma * sigma)
-    f = lambda x: math.exp(x) * (delta**2 - phi**2 - v - math.exp(x)) / (2 * (phi**2 + v + math.exp(x)) ** 2) - (x - a) / tau**2
-    lo = a
-    if delta**2 > phi**2 + v:
-        hi = math.log(delta**2 - phi**2 - v)
-    else:
-        k = 1
-        while f(a - k * tau) < 0:
-            k += 1
-        hi = a - k * tau
-    fl, fh = f(lo), f(hi)
-    while abs(hi - lo) > 1e-6:  # Illinois
-        mid = lo + (lo - hi) * fl / (fh - fl)
-        fm = f(mid)
-        if fm * fh <= 0:
-            lo, fl = hi, fh
-        else:
-            fl /= 2
-        hi, fh = mid, fm
-    sigma = math.exp(lo / 2)
-    wide = math.sqrt(phi * phi + sigma * sigma)
-    phi = 1 / math.sqrt(1 / wide**2 + 1 / v)
-    return mu + phi * phi * gain, phi, sigma
-
-
-def glicko(matches: DataFrame, rd: float = 350.0, sigma: float = 0.06, tau: float = 0.5, scale: float = 173.7178, margin: tuple[float, float, float] | None = None, stretch: int = 2_000_000) -> DataFrame:
-    """Rating, deviation of both teams before each match; a period is a day, idle teams widen each period. margin: alpha, beta and gamma of
-    the weight of a result by its round difference (score1, score2)."""
-
-    def weight(r, a, b):
-        d = abs(r.score1 - r.score2) if margin and r.score1 + r.score2 else 0
-        return margin[0] * math.log1p(d) * margin[1] / (margin[1] + margin[2] * scale * abs(a[0] - b[0])) if d > 0 else 1.0
-
-    def fold(state, rows):
-        out = []
-        for _, day in rows.groupby("day", sort=True):
-            games = {}
-            snap = lambda t: state.get(t, (0.0, rd / scale, sigma))
-            for r in day.itertuples():
-                a, b = snap(r.team1), snap(r.team2)
-                out.append((r.match_id, 1500 + scale * a[0], scale * a[1], 1500 + scale * b[0], scale * b[1]))
-                s, w = 1.0 if r.winner == r.team1 else 0.0, weight(r, a, b)
-                games.setdefault(r.team1, []).append((b[0], b[1], s, w))
-                games.setdefault(r.team2, []).append((a[0], a[1], 1 - s, w))
-            new = {t: glicko_period(*snap(t), g, tau) for t, g in games.items()}
-            for t, (m, p, v) in state.items():
-                if t not in new:
-                    new[t] = m, min(rd / scale, math.sqrt(p * p + v * v)), v
-            state = new
-        return out, state
+def attenuation(phi: Column) -> Column:
+    return 1 / F.sqrt(1 + 3 * phi * phi / F.lit(math.pi**2))
+
 
+def volatility(delta2: Column, phi2: Column, v: Column, sigma: Column, tau: float, steps: int = 48) -> Column:
+    """The new volatility: the zero of the period's equation in the logarithm of the variance, halved in on between two points of which
+    the lower is not below zero and the upper not above it."""
+    a = 2 * F.ln(sigma)
+    far = delta2 - phi2 - v
+    other = F.when(far > 0, F.ln(F.when(far > 0, far))).otherwise(a - tau * math.ceil(max(1.0, tau / 2)))
+
+    def f(x: Column) -> Column:
+        e = F.exp(x)
+        return e * (delta2 - phi2 - v - e) / (2 * (phi2 + v + e) * (phi2 + v + e)) - (x - a) / F.lit(tau**2)
+
+    def halved(at: Column, _: Column) -> Column:
+        mid = (at.lo + at.hi) / 2
+        below = f(mid) >= 0
+        return F.struct(F.when(below, mid).otherwise(at.lo).alias("lo"), F.when(below, at.hi).otherwise(mid).alias("hi"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(F.least(a, other).alias("lo"), F.greatest(a, other).alias("hi")), halved, lambda at: F.exp((at.lo + at.hi) / 4))
+
+
+def contributions(mu: Column, other_mu: Column, other_phi: Column, score: Column, weight: Column) -> tuple[Column, Column]:
+    """What one game adds to a team's precision and to its gain."""
+    g = attenuation(other_phi)
+    e = 1 / (1 + F.exp(-g * (mu - other_mu)))
+    return weight * g * g * e * (1 - e), weight * g * (score - e)
+
+
+def advanced(sums: DataFrame, tau: float = 0.5) -> DataFrame:
+    """``sums`` (mu, phi, sigma before a period, i and d: sums of contributions) with the three after it, on the inner scale; games without
+    weight only widen. Each value is a step of its own: it is computed once however often the next one uses it."""
+    mu, phi, sigma, i, d = (F.col(c) for c in ("mu", "phi", "sigma", "i", "d"))
+    sums = sums.withColumn("_v", F.when(i > 0, 1 / i)).withColumn("_delta", F.col("_v") * d)
+    sums = sums.withColumn("sigma", F.when(i > 0, volatility(F.col("_delta") * F.col("_delta"), phi * phi, F.col("_v"), sigma, tau)).otherwise(sigma))
+    sums = sums.withColumn("_wide", phi * phi + F.col("sigma") * F.col("sigma")).withColumn("_phi2", F.coalesce(1 / (1 / F.col("_wide") + i), F.col("_wide")))
+    return sums.withColumns({"mu": mu + F.when(i > 0, F.col("_phi2") * d).otherwise(0.0), "phi": F.sqrt("_phi2")}).drop("_v", "_delta", "_wide", "_phi2")
+
+
+_STATE = ("mu", "phi", "sigma", "last")
+
+
+def _widened(phi: Column, sigma: Column, idle: Column, most: float) -> Column:
+    """Deviation after ``idle`` periods without a game, never over ``most``."""
+    return F.least(F.lit(most), F.sqrt(phi * phi + sigma * sigma * idle))
+
+
+def glicko_history(matches: DataFrame, rd: float = 350.0, sigma: float = 0.06, tau: float = 0.5, margin: tuple[float, float, float] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(team, last, mu, phi, sigma) after each period in which a team played, on the inner scale, and the periods (day, period).
+
+    A period is a day with matches. Matches without a known winner move nothing. margin: alpha, beta and gamma of the weight of a result by
+    its round difference (score1, score2). The state is written after every day; the driver holds the days.
+    """
     scores = ["score1", "score2"] if margin else []
-    return folded(matches.select("match_id", "day", "team1", "team2", "winner", *scores), fold, ["mu1", "rd1", "mu2", "rd2"], ["mu", "phi", "sigma"], stretch)
+    spark, top = matches.sparkSession, rd / SCALE
+    days = [r[0] for r in matches.select("day").distinct().orderBy("day").collect()]
+    periods = spark.createDataFrame([(d, i) for i, d in enumerate(days)], "day long, period long")
+    narrow = matches.filter(known()).select("day", "team1", "team2", (F.col("winner") == F.col("team1")).cast("double").alias("won"), *scores)
+    narrow = stored(narrow.join(F.broadcast(periods), "day"), "glicko-matches", "period")  # a row for each day
+    kind = narrow.schema["team1"].dataType.simpleString()
+    state = spark.createDataFrame([], f"team {kind}, mu double, phi double, sigma double, last long")
+
+    # columns of a day's step; they are the same every day, so its code is compiled once
+    own = {n: [F.col("team").alias(f"team{n}"), *(F.col(c).alias(f"{c}{n}") for c in _STATE)] for n in (1, 2)}
+    now = {}
+    for n in (1, 2):
+        now[f"mu{n}"], now[f"sigma{n}"] = F.coalesce(F.col(f"mu{n}"), F.lit(0.0)), F.coalesce(F.col(f"sigma{n}"), F.lit(sigma))
+        now[f"phi{n}"] = F.coalesce(_widened(F.col(f"phi{n}"), F.col(f"sigma{n}"), F.col("period") - F.col(f"last{n}") - 1, top), F.lit(top))
+    weight = F.lit(1.0)
+    if margin:
+        weight = margin_weight(round_difference(F.col("score1").cast("double"), F.col("score2").cast("double")), SCALE * (F.col("mu1") - F.col("mu2")), *margin)
+
+    def side(n: int, m: int, score: Column) -> dict[str, Column]:
+        i, d = contributions(F.col(f"mu{n}"), F.col(f"mu{m}"), F.col(f"phi{m}"), score, F.col("weight"))
+        return {"team": F.col(f"team{n}"), "i": i, "d": d}
+
+    first, second = side(1, 2, F.col("won")), side(2, 1, 1 - F.col("won"))
+    kept = F.struct(*_STATE).alias("held")
+    sums = [F.max("held").alias("held"), F.sum("i").alias("i"), F.sum("d").alias("d"), F.max("period").alias("period")]
+    phi = F.coalesce(_widened(F.col("held.phi"), F.col("held.sigma"), F.col("period") - F.col("held.last") - 1, top), F.lit(top))
+    start = [F.col("team"), "period", "held", "i", "d", F.coalesce("held.mu", F.lit(0.0)).alias("mu"), phi.alias("phi"), F.coalesce("held.sigma", F.lit(sigma)).alias("sigma")]
+    result = [F.col("team"), F.col("mu"), F.least("phi", F.lit(top)).alias("phi"), F.col("sigma"), F.col("period").alias("last")]
+    played, idle = F.col("period").isNotNull(), [F.col("team"), *(F.col("held")[c].alias(c) for c in _STATE)]
+
+    log = []
+    for period in range(len(days)):
+        rows = narrow.filter(F.col("period") == period)
+        for n in (1, 2):
+            rows = rows.join(state.select(own[n]), f"team{n}", "left")
+        games = sides(rows.withColumns(now).withColumn("weight", weight), first, second, "period")
+        both = games.unionByName(state.select("team", kept), allowMissingColumns=True).groupBy("team").agg(*sums)
+        state = stored(advanced(both.select(start), tau).select(*(F.when(played, x).otherwise(y).alias(c) for c, x, y in zip(("team", *_STATE), result, idle))), "glicko-state")
+        log.append(state.filter(F.col("last") == period))
+    log = reduce(DataFrame.union, log, state.limit(0))
+    return log.select("team", "last", "mu", "phi", "sigma"), periods
+
+
+def glicko(matches: DataFrame, rd: float = 350.0, sigma: float = 0.06, tau: float = 0.5, margin: tuple[float, float, float] | None = None) -> DataFrame:
+    """Rating and deviation of both teams before each match; idle teams widen each period."""
+    log, periods = glicko_history(matches, rd, sigma, tau, margin)
+    top = rd / SCALE
+    rows = matches.select("match_id", "day", "team1", "team2").join(F.broadcast(periods), "day")  # a row for each day
+    each = sides(rows, {"side": F.lit(1), "team": F.col("team1")}, {"side": F.lit(2), "team": F.col("team2")}, "match_id", "period")
+    # a team's matches and states in one order: a state counts from the period after it
+    line = each.unionByName(log.select("team", (F.col("last") + 1).alias("period"), F.struct("last", "mu", "phi", "sigma").alias("_s")), allowMissingColumns=True)
+    before = Window.partitionBy("team").orderBy("period").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    held = line.withColumn("_s", F.last("_s", ignorenulls=True).over(before)).filter("match_id is not null")
+    mu = CENTRE + SCALE * F.coalesce(F.col("_s.mu"), F.lit(0.0))
+    phi = SCALE * F.coalesce(_widened(F.col("_s.phi"), F.col("_s.sigma"), F.col("period") - F.col("_s.last") - 1, top), F.lit(top))
+    of = lambda n, c: F.max(F.when(F.col("side") == n, F.col(c)))
+    return held.select("match_id", "side", mu.alias("mu"), phi.alias("rd")).groupBy("match_id").agg(of(1, "mu").alias("mu1"), of(1, "rd").alias("rd1"), of(2, "mu").alias("mu2"), of(2, "rd").alias("rd2"))
+
+
+def final_glicko(matches: DataFrame, rd: float = 350.0, sigma: float = 0.06, tau: float = 0.5, margin: tuple[float, float, float] | None = None) -> DataFrame:
+    """team, mu, rd, sigma at the end of the history."""
+    log, periods = glicko_history(matches, rd, sigma, tau, margin)
+    latest = log.groupBy("team").agg(F.max(F.struct("last", "mu", "phi", "sigma")).alias("_s"))
+    end = periods.agg(F.max("period").alias("_end"))
+    phi = _widened(F.col("_s.phi"), F.col("_s.sigma"), F.col("_end") - F.col("_s.last"), rd / SCALE)
+    return latest.join(F.broadcast(end)).select("team", (CENTRE + SCALE * F.col("_s.mu")).alias("mu"), (SCALE * phi).alias("rd"), F.col("_s.sigma").alias("sigma"))  # one row

@@ -170,12 +170,33 @@ add("best_signal", on_matches(lambda m: joins.best_signal(m.selectExpr("team1",
       SELECT *, rank() OVER (PARTITION BY lo, hi ORDER BY k) AS o FROM (SELECT least(team1, team2) AS lo, greatest(team1, team2) AS hi, match_id % 3 AS k, map, CASE WHEN team1 > team2 THEN 1 - x ELSE x END AS v FROM (SELECT *, 1 / odds1 / (1 / odds1 + 1 / odds2) AS x FROM m))) WHERE o = 1 GROUP BY lo, hi""", "p_lo", MATCH_SQL)
 
 # ---------------------------------------------------------------- ratings
-add("elo_pre", on_matches(ratings.elo))
-add("glicko_pre", on_matches(ratings.glicko))
+#: One match after another, with a list of all ratings: for small tables.
+ELO_SQL = LONG_SQL + """, tn AS (SELECT team, row_number() OVER (ORDER BY team) AS n FROM (SELECT DISTINCT team FROM l)),
+  eo AS MATERIALIZED (SELECT row_number() OVER (ORDER BY day, match_id) AS i, match_id, x.n AS a, y.n AS b, CASE tier WHEN 'S' THEN 32.0::DOUBLE WHEN 'A' THEN 20 WHEN 'B' THEN 14 WHEN 'C' THEN 10 ELSE 24 END AS k, CAST(winner = team1 AS DOUBLE) AS s
+    FROM m JOIN tn x ON x.team = team1 JOIN tn y ON y.team = team2),
+  ef(i, match_id, elo1, elo2, r) AS (SELECT 0::BIGINT, NULL::BIGINT, NULL::DOUBLE, NULL::DOUBLE, (SELECT list(1500.0::DOUBLE) FROM tn) UNION ALL
+    SELECT i, match_id, elo1, elo2, list_transform(r, lambda x, j: CASE WHEN j = a THEN x + v WHEN j = b THEN x - v ELSE x END) FROM (SELECT eo.i, eo.match_id, r[a] AS elo1, r[b] AS elo2, k * (s - 1 / (1 + pow(10, (r[b] - r[a]) / 400))) AS v, a, b, r FROM ef JOIN eo ON eo.i = ef.i + 1))"""
+#: One day after another, a row for each team; the volatility by halving. Period k is the state after k days.
+GLICKO_SQL = LONG_SQL + """, pd AS (SELECT day, row_number() OVER (ORDER BY day) AS period FROM (SELECT DISTINCT day FROM m)),
+  gm AS MATERIALIZED (SELECT period, team1 AS team, team2 AS opp, CAST(winner = team1 AS DOUBLE) AS s, score1, score2 FROM m JOIN pd USING (day) UNION ALL SELECT period, team2, team1, CAST(winner = team2 AS DOUBLE), score1, score2 FROM m JOIN pd USING (day)),
+  gf(period, team, mu, phi, sigma, played) AS (SELECT 0::BIGINT, team, 0.0::DOUBLE, 350 / 173.7178::DOUBLE, 0.06::DOUBLE, false FROM (SELECT DISTINCT team FROM l) UNION ALL
+    SELECT period + 1, team, CASE WHEN i > 0 THEN mu + d * p2 ELSE mu END, least(350 / 173.7178::DOUBLE, CASE WHEN i > 0 THEN sqrt(p2) WHEN played THEN sqrt(phi * phi + sigma * sigma) ELSE phi END), CASE WHEN i > 0 THEN sn ELSE sigma END, played OR i > 0
+    FROM (SELECT *, 1 / (1 / (phi * phi + sn * sn) + i) AS p2 FROM (SELECT *, exp((z.lo + z.hi) / 4) AS sn FROM (SELECT *, list_reduce(list_concat([{'lo': least(a, o), 'hi': greatest(a, o)}], list_transform(range(48), lambda q: {'lo': 0.0::DOUBLE, 'hi': 0.0::DOUBLE})), lambda u, q:
+      CASE WHEN exp((u.lo + u.hi) / 2) * (d2 - phi * phi - 1 / i - exp((u.lo + u.hi) / 2)) / (2 * pow(phi * phi + 1 / i + exp((u.lo + u.hi) / 2), 2)) - ((u.lo + u.hi) / 2 - a) / 0.25 >= 0 THEN {'lo': (u.lo + u.hi) / 2, 'hi': u.hi} ELSE {'lo': u.lo, 'hi': (u.lo + u.hi) / 2} END) AS z
+      FROM (SELECT *, 2 * ln(sigma) AS a, d / i * d / i AS d2, CASE WHEN d / i * d / i > phi * phi + 1 / i THEN ln(d / i * d / i - phi * phi - 1 / i) ELSE 2 * ln(sigma) - 0.5 END AS o
+      FROM (SELECT period, team, mu, phi, sigma, played, sum(w * g * g * e * (1 - e)) AS i, sum(w * g * (s - e)) AS d FROM (SELECT *, 1 / (1 + exp(-g * (mu - omu))) AS e FROM (
+        SELECT x.*, y.mu AS omu, gm.s, WEIGHT AS w, 1 / sqrt(1 + 3 * y.phi * y.phi / pow(pi(), 2)) AS g FROM gf x LEFT JOIN gm ON gm.period = x.period + 1 AND gm.team = x.team LEFT JOIN gf y ON y.team = gm.opp)) GROUP BY ALL)))))
+    WHERE period < (SELECT max(period) FROM pd))"""
+GLICKO_PRE = "SELECT match_id, 1500 + 173.7178 * a.mu AS mu1, 173.7178 * a.phi AS rd1, 1500 + 173.7178 * b.mu AS mu2, 173.7178 * b.phi AS rd2 FROM m JOIN pd USING (day) JOIN gf a ON a.period = pd.period - 1 AND a.team = team1 JOIN gf b ON b.period = pd.period - 1 AND b.team = team2"
+MARGIN = "CASE WHEN score1 + score2 <> 0 AND score1 <> score2 THEN ln(1 + abs(score1 - score2)) * 2.2 / (2.2 + 0.001 * 173.7178 * abs(x.mu - y.mu)) ELSE 1 END"
+add("elo_pre", on_matches(ratings.elo), "SELECT match_id, elo1, elo2 FROM ef WHERE i > 0", "elo1 elo2", "RECURSIVE " + ELO_SQL)
+add("elo_final", on_matches(lambda m: ratings.final_elo(m, ratings.elo(m))), "SELECT team, r[n] AS elo FROM tn, (SELECT r FROM ef ORDER BY i DESC LIMIT 1)", "elo", "RECURSIVE " + ELO_SQL)
+add("glicko_pre", on_matches(ratings.glicko), GLICKO_PRE, "mu1 rd1 mu2 rd2", "RECURSIVE " + GLICKO_SQL.replace("WEIGHT", "1"))
+add("glicko_final", on_matches(ratings.final_glicko), "SELECT team, 1500 + 173.7178 * mu AS mu, 173.7178 * phi AS rd, sigma FROM gf WHERE period = (SELECT max(period) FROM pd)", "mu rd sigma", "RECURSIVE " + GLICKO_SQL.replace("WEIGHT", "1"))
 add("bt_pair_counts", on_matches(lambda m: ratings.pair_games(m, "map")), "SELECT map, least(team1, team2) AS lo, greatest(team1, team2) AS hi, count(*) AS games, count_if(winner = least(team1, team2)) AS lo_wins FROM m GROUP BY ALL", "", MATCH_SQL)
 add("bt_theta", on_matches(ratings.bradley_terry))
 add("bt_theta_by_map", on_matches(lambda m: ratings.bradley_terry_by_map(m, 4.0)))
-add("glicko_margin_pre", on_matches(lambda m: ratings.glicko(m, margin=(1.0, 2.2, 0.001))))
+add("glicko_margin_pre", on_matches(lambda m: ratings.glicko(m, margin=(1.0, 2.2, 0.001))), GLICKO_PRE, "mu1 rd1 mu2 rd2", "RECURSIVE " + GLICKO_SQL.replace("WEIGHT", MARGIN))
 add("margin_weights", on_matches(lambda m: m.select("match_id", ratings.margin_weight(ratings.round_difference(F.col("score1"), F.col("score2")), F.col("v1") - F.col("v2")).alias("weight"))), """
     SELECT match_id, CASE WHEN score1 + score2 <> 0 AND score1 <> score2 THEN ln(1 + abs(score1 - score2)) * 2.2 / (2.2 + 0.001 * abs(v1 - v2)) ELSE 1.0 END::DOUBLE AS weight FROM m""", "weight", MATCH_SQL)
 

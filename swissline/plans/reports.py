@@ -179,7 +179,6 @@ add("diebold_mariano_lag3", on_forecasts(lambda f: evaluate.diebold_mariano(f, "
 add("map_prob_from_series", on_forecasts(lambda f: f.selectExpr("match_id", "p * p * (3 - 2 * p) as s3", "pow(p, 3) * (10 - 15 * p + 6 * p * p) as s5").select("match_id", market.map_probability("s3", 3).alias("p3"), market.map_probability("s5", 5).alias("p5"))), "SELECT match_id, p AS p3, p AS p5 FROM f", "p3 p5", F_SQL)
 add("unknown_map_average", on_matches(lambda m: market.unknown_map_average(market.candidate_maps(form.team_profile(long_form(m)), m.select("match_id", "team1", "team2"), POOL), m.select("match_id", F.explode(F.array(*map(F.lit, POOL))).alias("map")).withColumn("p", (F.col("match_id") * 7 + F.length("map")) % 10 / 10.0), weighted=True)))
 add("rolling_bt", on_matches(ratings.rolling_bradley_terry))
-add("elo_final", on_matches(lambda m: ratings.final_elo(m, ratings.elo(m))))
 add("opponent_weighted_winrate", on_matches(lambda m: form.opponent_winrate(long_form(m), ratings.elo(m))))
 
 # ---------------------------------------------------------------- playoff brackets
