@@ -7,7 +7,7 @@ the shared ones put in once more makes these neighbours, and their places give
 the number of tokens before each cut. From the cuts ``transform`` over a
 ``sequence`` builds the groups, and ``zip_with`` the links (the last token of
 either side of a group: tokens aren't empty, so no others end together).
-``aggregate`` counts a group's tokens where a statistic needs it.
+``aggregate`` isn't needed: with growing arrays it would copy them at each step.
 
 Links are kept as one number (A's id times 2**16 plus B's) in an intermediate
 table. Counts of id pairs are one aggregation; they are looked up by a broadcast
@@ -22,6 +22,8 @@ are all best; an empty table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,32 +41,66 @@ def byte_side(path: str):
     """text -> ids of space and text, with the number of bytes of each entry, checked to spell it."""
     ranks, _ = byte_vocabulary(path)
     encode = encoder(path, special=False)
-    size = np.zeros(max(ranks.values()) + 1, np.int64)
-    spelt = {}
+    spelt = [b""] * (max(ranks.values()) + 1)
     for word, i in ranks.items():
-        size[i], spelt[i] = len(word), word
+        spelt[i] = word
+    size = np.array([len(x) for x in spelt], np.int64)
 
     def run(text: str):
         ids = encode(" " + text)
-        return ids, size[ids], b"".join(map(spelt.__getitem__, ids.tolist()))
+        return ids, size[ids], b"".join([spelt[i] for i in ids.tolist()])
 
     return run
 
 
+#: A run of spaces with what follows it, up to the next space.
+_STRETCH = re.compile(r" *[^ ]+| +")
+KEPT, KEPT_CHARS = 1 << 17, 40
+
+
 def piece_side(path: str):
-    """text -> ids of the text, a space before it, with the number of bytes of each piece, and their bytes."""
+    """text -> ids of the text, a space before it, with the number of bytes of each piece, or None where they don't spell it.
+
+    No piece of such a vocabulary has a space after another character (this is checked), so pieces never reach over the start of a run of
+    spaces, and stretches between those are encoded alone and alike wherever they stand; short ones are kept for the next time.
+    """
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    spelt = []
-    for i in range(model.get_piece_size()):
-        piece = model.id_to_piece(i)
-        spelt.append(bytes([int(piece[3:5], 16)]) if model.is_byte(i) else piece.replace("▁", " ").encode())
+    names = [model.id_to_piece(i) for i in range(model.get_piece_size())]
+    spelt = [bytes([int(x[3:5], 16)]) if model.is_byte(i) else x.replace("▁", " ").encode() for i, x in enumerate(names)]
     size = np.array([len(x) for x in spelt], np.int64)
+    apart = not any("▁" in x.lstrip("▁") for x in names)
+    kept: dict[str, list[int] | None] = {}
 
-    def run(text: str):
+    def whole(text: str) -> list[int] | None:
         ids = model.encode(text, num_threads=1)
-        return np.array(ids, np.int64), size[ids], b"".join([spelt[i] for i in ids])
+        return ids if b"".join([spelt[i] for i in ids]) == b" " + text.encode() else None
+
+    def of(stretch: str) -> list[int] | None:
+        ids = whole(stretch[1:])
+        if len(stretch) <= KEPT_CHARS:
+            if len(kept) >= KEPT:
+                kept.clear()
+            kept[stretch] = ids
+        return ids
+
+    def run(text: str):
+        if not apart:
+            ids = whole(text)
+        else:
+            ids, none = [], False
+            for x in _STRETCH.findall(" " + text):
+                part = kept.get(x) or of(x)
+                if part is None:
+                    none = True
+                    break
+                ids += part
+            ids = None if none else ids
+        if ids is None:
+            return None
+        ids = np.array(ids, np.int64)
+        return ids, size[ids]
 
     return run
 
@@ -91,9 +127,9 @@ def tokenised(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
                 if text:
                     want = b" " + text.encode()
                     a_ids, a_size, a_bytes = a_side(text)
-                    b_ids, b_size, b_bytes = b_side(text)
-                    if a_bytes == want and b_bytes == want:
-                        row = a_ids, np.cumsum(a_size), b_ids, np.cumsum(b_size)
+                    b_row = b_side(text)
+                    if a_bytes == want and b_row:
+                        row = a_ids, np.cumsum(a_size), b_row[0], np.cumsum(b_row[1])
                     size += len(want)
                 rows.append(row)
                 if size > 1 << 20:
@@ -106,10 +142,11 @@ def tokenised(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
 
 # ---------------------------------------------------------------- groups and links
 def _cuts(merged: str) -> Column:
-    """Places (from 0) of the shared ends among the ends of one side. merged: that side's ends with the shared ones once more, in order."""
+    """-1, then the places (from 0) of the shared ends among the ends of one side. merged: that side's ends with the shared ones once more, in order."""
     here = F.col(merged)
-    twice = F.filter(F.sequence(F.lit(0), F.size(here) - 2), lambda i: here[i] == here[i + 1])
-    return F.when(F.size(here) > 1, F.transform(twice, lambda i, k: i - k)).otherwise(F.array().cast("array<int>"))
+    twice = F.filter(F.sequence(F.lit(0), F.size(here) - 2), lambda i: F.get(here, i) == F.get(here, i + 1))
+    places = F.when(F.size(here) > 1, F.transform(twice, lambda i, k: i - k)).otherwise(F.array().cast("array<int>"))
+    return F.concat(F.array(F.lit(-1)), places)
 
 
 def aligned(tokens: DataFrame) -> DataFrame:
@@ -119,14 +156,13 @@ def aligned(tokens: DataFrame) -> DataFrame:
     cut = merged.withColumns({"_ca": _cuts("_ma"), "_cb": _cuts("_mb")})
 
     def run_of(ids: str, cuts: str, k: Column) -> Column:
-        """Ids of group k (from 0), joined by commas."""
-        last, before = F.col(cuts)[k], F.when(k > 0, F.col(cuts)[k - 1]).otherwise(-1)
-        alone = F.col(ids)[last].cast("string")
-        return F.when(last - before == 1, alone).otherwise(F.array_join(F.slice(ids, before + 2, last - before).cast("array<string>"), ","))
+        """Ids of group k (from 1), joined by commas."""
+        before, last = F.get(cuts, k - 1), F.get(cuts, k)
+        return F.when(before + 1 == last, F.get(ids, last).cast("string")).otherwise(F.array_join(F.slice(ids, before + 2, last - before).cast("array<string>"), ","))
 
-    number = F.sequence(F.lit(0), F.size("_shared") - 1)
+    number = F.sequence(F.lit(1), F.size("_shared"))
     groups = F.when(F.size("_shared") > 0, F.array_join(F.transform(number, lambda k: F.concat(run_of("a_ids", "_ca", k), F.lit("|"), run_of("b_ids", "_cb", k))), ";")).otherwise("")
-    links = F.zip_with("_ca", "_cb", lambda i, j: F.col("a_ids")[i].cast("long") * 65536 + F.col("b_ids")[j])
+    links = F.zip_with(F.slice("_ca", 2, F.size("_shared")), F.slice("_cb", 2, F.size("_shared")), lambda i, j: F.get("a_ids", i).cast("long") * 65536 + F.get("b_ids", j))
     size = lambda c: F.size(c).cast("long")
     return cut.select("doc_id", size("a_ids").alias("n_a"), size("b_ids").alias("n_b"), size("_shared").alias("n_groups"), size("_shared").alias("n_links"), groups.alias("groups"), links.alias("links"))
 
