@@ -74,7 +74,7 @@ def piece_side(path: str):
     kept: dict[str, list[int] | None] = {}
 
     def whole(text: str) -> list[int] | None:
-        ids = model.encode(text, num_threads=1)
+        ids = model.encode(text, num_threads=1) if text else [model.piece_to_id("▁")]  # the model itself puts no space before nothing
         return ids if b"".join([spelt[i] for i in ids]) == b" " + text.encode() else None
 
     def of(stretch: str) -> list[int] | None:
