@@ -1,19 +1,24 @@
 """Line dedup on content-defined chunks of lines (operator 6).
 
-A rolling hash over the last ``roll`` line hashes ends a chunk where it is
-divisible by ``divisor``; a boundary depends only on the lines just before it,
-so an inserted line shifts no later boundary. Boundaries alone miss passages
-that hold no whole chunk, so every pair of neighbouring lines (blank ones
-between them skipped and included) is a chunk too: any repeated run of two
-lines that aren't blank is covered, wherever it stands. Chunks of two lines or
-more that start earlier elsewhere (smaller doc_id, or earlier in the same
-document, overlaps included) are removed, after their bytes were compared with
-the first chunk of that hash.
+A rolling hash over the hashes of the last ``roll`` lines makes a line a
+boundary, but for one in ``divisor``; it depends on those lines alone, so an
+inserted line shifts no later boundary. Every line begins a chunk that ends with
+the next boundary, and ends one that begins with the last boundary before it:
+what a passage holds up to its last boundary is covered by chunks that begin in
+it, and what comes after its first by chunks that end in it, whatever stands
+around. A passage without a boundary inside stays. Boundaries count within
+``most`` lines; where none comes, the chunk has that many lines. Blank lines are
+passed over, and belong to the chunk around them. Chunks (two lines or more)
+that start earlier elsewhere (smaller doc_id, or earlier in the same document,
+overlaps included) are removed, after their bytes were compared with the first
+chunk of that hash.
 
 Defined cases: null and empty texts have no lines; a line that repeats without
-its neighbours and chunks of blank lines stay; repeated rows (same id, same text) count as one
-document; a null doc_id comes after all others; columns other than doc_id and
-text are ignored.
+its neighbours and blank lines alone stay; very long texts are cut like others,
+no chunk has more than ``most`` lines that aren't blank; of chunks that start in
+the same place each is judged alone; repeated rows (same id, same text) count as
+one document; a null doc_id comes after all others; columns other than doc_id
+and text are ignored.
 """
 
 from __future__ import annotations
@@ -30,8 +35,18 @@ _BYTES, _LINES = Poly(601), Poly(602)
 _ITEM = (np.uint64, np.int64, np.int64, np.uint32, np.uint32, np.uint32, np.uint8)
 
 
-def _chunks(buf, offs, roll, divisor):
-    """Of each chunk and pair of lines, by first line: hash, row, number of first line, end line, first byte, end byte."""
+def boundaries(h: np.ndarray, row: np.ndarray, roll: int, divisor: int) -> np.ndarray:
+    """Which lines are boundaries, from the hashes of lines that aren't blank and their rows. A divisor of 1 gives none."""
+    rolling, scale = np.zeros(len(h), np.uint64), np.uint64(1)
+    for back in range(roll):
+        same = row[back:] == row[: len(row) - back]
+        rolling[back:] += np.where(same, h[: len(h) - back], np.uint64(0)) * scale
+        scale = np.uint64(int(scale) * 0x5851F42D4C957F2D & (1 << 64) - 1)
+    return mix(rolling) % np.uint64(divisor) != 0
+
+
+def _chunks(buf, offs, roll, divisor, most=16):
+    """Of each chunk, by first line: hash, row, number of first line, end line, first byte, end byte."""
     empty = np.diff(offs) == 0
     breaks = np.flatnonzero(buf == 10)
     row_of_break = np.searchsorted(offs, breaks, "right") - 1
@@ -48,31 +63,28 @@ def _chunks(buf, offs, roll, divisor):
     first = np.ones(len(rows), bool)
     first[1:] = last[:-1]
     line = np.arange(len(rows)) - np.maximum.accumulate(np.where(first, np.arange(len(rows)), 0))
-    rolling, scale = np.zeros(len(rows), np.uint64), np.uint64(1)
-    for back in range(roll):
-        rolling[back:] += np.where(line[back:] >= back, h[: len(h) - back], np.uint64(0)) * scale
-        scale = np.uint64(int(scale) * 0x5851F42D4C957F2D & (1 << 64) - 1)
-    end = (mix(rolling) % np.uint64(divisor) == 0) | last
-    to = np.flatnonzero(end) + 1
-    at = np.append(0, to[:-1])
-    several = (to - at >= 2) & (ends[to - 1] - starts[at] > to - at - 1)
-    at, to = at[several], to[several]
     inked = np.zeros(len(buf) + 1, np.int64)
     np.cumsum(~_WS[buf], out=inked[1:])
     full = np.flatnonzero(inked[ends] > inked[starts])
-    one, two = full[:-1], full[1:]
-    near = rows[one] == rows[two]
-    one, two = one[near], two[near]
-    partner = np.full(len(rows), -1)
-    partner[one] = two
-    more = partner[at] != to - 1  # a chunk that is a pair counts once
-    at, to = np.concatenate([at[more], one]), np.concatenate([to[more], two + 1])
-    s = np.argsort(at, kind="stable")
-    at, to = at[s], to[s]
+    n, row = len(full), rows[full]
+    cut, k = boundaries(h[full], row, roll, divisor), np.arange(n)
+    ahead = np.ones(n, bool)  # whether the next line is of the same row
+    ahead[-1:] = False
+    ahead[:-1] = row[1:] == row[:-1]
+    behind = np.append(False, ahead[:-1])[:n]
+    # the ends of a row bound its chunks as well
+    following = np.minimum.accumulate(np.where(cut | ~ahead, k, n)[::-1])[::-1]
+    leading = np.maximum.accumulate(np.where(cut | ~behind, k, -1))
+    begins, ends_at = k[ahead], k[behind]
+    one = np.concatenate([begins, np.maximum(leading[ends_at - 1], ends_at - most + 1)])
+    two = np.concatenate([np.minimum(following[begins + 1], begins + most - 1), ends_at])
+    pairs = np.unique(one * (n + 1) + two)
+    one, two = np.divmod(pairs, n + 1)
+    at, to = full[one], full[two] + 1
     return mix(_LINES.spans(_LINES.prefix(h), at, to)), rows[at], line[at], line[at] + to - at, starts[at], ends[to - 1]
 
 
-def dedup_lines(docs: DataFrame, roll: int = 3, divisor: int = 4, carry: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, roll: int = 2, divisor: int = 4, carry: bool = False) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_text of each row of ``docs`` (doc_id, text); carry: also its other columns, in ``_rest``."""
     docs = keyed(docs, carry)
     total = text_bytes(docs)

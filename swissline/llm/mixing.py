@@ -19,6 +19,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,15 +53,33 @@ def order_key(seed: int = 11):
     return F.xxhash64(F.lit(seed), "doc_id")
 
 
-def in_queues(docs: DataFrame) -> DataFrame:
-    """``docs`` with the rows of each source together, in the order in which ``mix_sources`` takes them; rows that share an id go by text."""
-    keys = (source_key(), order_key(), F.xxhash64("text"))
-    return docs.repartitionByRange(2 * parallelism(docs.sparkSession), *keys).sortWithinPartitions(*keys)
-
-
-def target_rates(docs: DataFrame, smoothing: float = 0.5) -> dict:
-    """By source key, the part of its rows that ``mix_sources`` takes in a unit of time by its default target."""
-    return {s: n ** (smoothing - 1) for s, n in docs.groupBy(source_key().alias("_source")).count().collect()}
+def written_order(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_file`` and ``_place``, by which its rows stand as they were written; rows that come from no file stand by partition."""
+    try:
+        return docs.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_place"))
+    except AnalysisException:
+        return docs.select("*", F.lit("").alias("_file"), F.monotonically_increasing_id().alias("_place"))
+
+
+def in_queues(ordered: DataFrame) -> DataFrame:
+    """The rows of each source together, in the order of ``written_order``."""
+    keys = (source_key(), F.col("_file"), F.col("_place"))
+    return ordered.repartitionByRange(2 * parallelism(ordered.sparkSession), *keys).sortWithinPartitions(*keys)
+
+
+def order_rates(ordered: DataFrame) -> dict:
+    """By source key, the part of its rows that stands before the first source's end, in the order of ``written_order``: how fast the
+    queues empty against each other while all of them have rows. The driver holds a number for each file and source."""
+    rows = ordered.select(source_key().alias("_source"), "_file", "_place")
+    ends = rows.groupBy("_source", "_file").agg(F.max("_place").alias("last"), F.count("*").alias("n"))
+    last: dict[str, tuple] = {}
+    for r in ends.groupBy("_source").agg(F.max(F.struct("_file", "last")).alias("at")).collect():
+        last[r[0]] = tuple(r.at)
+    if not last:
+        return {}
+    file, place = min(last.values())
+    before = (F.col("_file") < file) | ((F.col("_file") == file) & (F.col("_place") <= place))
+    return {r[0]: r.c / r.n for r in rows.groupBy("_source").agg(F.count_if(before).alias("c"), F.count("*").alias("n")).collect()}
 
 
 def mix_sources(docs: DataFrame, weights: dict | None = None, smoothing: float = 0.5, block: int = 32, slots: int = 1024, seed: int = 11) -> DataFrame:

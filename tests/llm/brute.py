@@ -77,3 +77,30 @@ def groups(rows):
                 x, y = find(a), find(b)
                 up[max(x, y)] = min(x, y)
     return {i: (len(sets[i]), find(i)) for i in ids}
+
+
+def line_chunks(own, ends, most=16):
+    """(first, end) of chunks of lines: from each line to the next that ``ends`` tells a boundary, and to each line from the last before it."""
+    full = [i for i, x in enumerate(own) if WORD.search(x)]
+    flags, out = ends([own[i] for i in full]), set()
+    for k in range(len(full) - 1):
+        to = next((j for j in range(k + 1, len(full)) if flags[j]), len(full) - 1)
+        out.add((full[k], full[min(to, k + most - 1)] + 1))
+    for k in range(1, len(full)):
+        since = next((j for j in range(k - 1, -1, -1) if flags[j]), 0)
+        out.add((full[max(since, k - most + 1)], full[k] + 1))
+    return sorted(out)
+
+
+def without_repeated_chunks(rows, ends):
+    """(id, text) -> lines, lines removed, what is left: chunks that start earlier in another place go."""
+    seen, out = set(), {}
+    for null, i, t in keyed(rows):
+        own = t.split("\n") if t else []
+        gone = set()
+        for a, b in line_chunks(own, ends):
+            key = "\n".join(own[a:b])
+            gone |= set(range(a, b)) if key in seen else set()
+            seen.add(key)
+        out[None if null else i, t] = len(own), len(gone), "\n".join(x for k, x in enumerate(own) if k not in gone)
+    return out

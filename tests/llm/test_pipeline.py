@@ -3,14 +3,13 @@
 import sys
 from pathlib import Path
 
-import numpy as np
 import pytest
 
 sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
-from swissline.llm import lines as chunked  # noqa: E402
+from test_llm_operators import ends  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -46,17 +45,7 @@ def test_quality_keeps_clean_documents(stages):
 
 
 def test_lines_near_duplicates_and_mixing(stages):
-    seen, want = set(), {}
-    for i, t in sorted(rows(stages[1])):
-        raw = np.frombuffer(t.encode(), np.uint8)
-        own, gone = t.split("\n"), set()
-        for x, y in zip(*chunked._chunks(raw, np.array([0, len(raw)]), 3, 4)[2:4]):
-            key = "\n".join(own[x:y])
-            gone |= set(range(x, y)) if key in seen else set()
-            seen.add(key)
-        left = "\n".join(x for k, x in enumerate(own) if k not in gone)
-        if left or not gone:
-            want[i] = left
+    want = {k[0]: left for k, (_, gone, left) in brute.without_repeated_chunks(rows(stages[1]), ends).items() if left or not gone}
     assert dict(rows(stages[2])) == want
     groups = brute.groups(rows(stages[2]))
     assert sorted(rows(stages[3])) == sorted((i, t) for i, t in rows(stages[2]) if groups[i][1] == i)
