@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from swissline.llm.common import materialize, parallelism, table
 from swissline.llm.jaccard import similar_groups
 from swissline.llm.lines import dedup_lines
-from swissline.llm.mixing import in_queues, mix_sources, target_rates
+from swissline.llm.mixing import in_queues, mix_sources, order_rates, written_order
 from swissline.llm.packing import pack_documents
 from swissline.llm.quality import judged
 
@@ -45,10 +45,12 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the packed sequences. Files keep no order, so each queue is put into the order of the mixture by its key, and queues empty at the mixture's pace."""
+    """Pieces of the packed sequences. The order in which the rows were written is that of the mixture: it is the order of each queue, and
+    says how fast the queues empty."""
     import public_tokenizers
 
-    return pack_documents(in_queues(docs), public_tokenizers.path("byte_bpe_50k.json"), rates=target_rates(docs))
+    ordered = written_order(docs)
+    return pack_documents(in_queues(ordered), public_tokenizers.path("byte_bpe_50k.json"), rates=order_rates(ordered))
 
 
 STAGES = [("quality_rules", quality), ("line_dedup", lines), ("near_duplicates", near_duplicates), ("source_mixing", mixing), ("packing", packing)]
