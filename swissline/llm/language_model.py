@@ -149,7 +149,9 @@ def score_documents(
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of ``docs`` (doc_id, text)."""
     spark, sc = docs.sparkSession, docs.sparkSession.sparkContext
-    docs = keyed(docs).withColumn("held_out", is_held_out())
+    # a null id stands as the largest; the sign of rid tells them apart
+    rid = F.when(F.col("doc_id").isNull(), F.col("rid").bitwiseOR(F.lit(-(1 << 63)))).otherwise(F.col("rid").bitwiseAND(F.lit(int(NULL_ID))))
+    docs = keyed(docs).withColumn("held_out", is_held_out()).withColumn("rid", rid)
     total = text_bytes(docs)
     buckets, groups = fan_out(spark, total, 2 << 20), fan_out(spark, total, 1 << 20)
 
@@ -348,7 +350,7 @@ def score_documents(
     more, seen = F.coalesce(F.col("more") / F.col("k"), F.lit(0.0)), F.coalesce(F.floor(F.col("known") / F.col("k")), F.lit(0))
     base = F.col("logs") + more - F.col("n_tokens") * F.lit(float(np.log10(n_all + 0.5 * (v_all + 1))))
     return met.select(
-        F.when(F.col("id") != NULL_ID, F.col("id")).alias("doc_id"), "held_out", "n_tokens", (F.col("seen") + seen).cast("long").alias("n_known"),
+        F.when(F.col("rid") >= 0, F.col("id")).alias("doc_id"), "held_out", "n_tokens", (F.col("seen") + seen).cast("long").alias("n_known"),
         F.lit(n_all).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("lp") + more).alias("score"),
     )
 
