@@ -2,9 +2,9 @@
 
 Texts are folded first: lower case, homoglyphs and digit substitutions to the
 letters they stand for, zero-width characters away, punctuation to spaces. The
-lexicon holds whole words and word beginnings with their log odds, the
-``most_terms`` surest of them, learned from at most ``most_labelled`` labelled
-rows (those with the least hash of doc_id, held-out rows left out). At each word only the longest entry counts, and none
+lexicon holds all whole words and word beginnings that are sure to tell, with
+their log odds, learned from at most ``most_labelled`` labelled rows (those with
+the least hash of doc_id, held-out rows left out). At each word only the longest entry counts, and none
 inside an exception phrase: given ones, and pairs of words learned as harmless.
 The sum of weights, its share of the text's length, the largest weight and the
 number of matches give a score by a logistic fit on the same rows.
@@ -100,8 +100,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def learn(docs: DataFrame, labels: DataFrame, most_labelled: int = 20_000, most_terms: int = 2_000, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
-    """Lexicon and fit from labelled rows that are not held out. All that reaches the driver is bounded by the two limits."""
+def learn(docs: DataFrame, labels: DataFrame, most_labelled: int = 20_000, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
+    """Lexicon and fit from labelled rows that are not held out. All that reaches the driver is bounded by that limit: terms and phrases come from so many texts."""
     known = labels.filter("toxic is not null and doc_id is not null").filter(~is_held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled))
     rows = materialize(docs.select("doc_id", "text").join(sample, "doc_id").select("text", "toxic"), "labelled")  # read four times
@@ -134,8 +134,7 @@ def learn(docs: DataFrame, labels: DataFrame, most_labelled: int = 20_000, most_
         .agg(F.coalesce(F.sum(F.when(F.col("toxic") == 1, F.col("n"))), F.lit(0)).alias("a"), F.coalesce(F.sum(F.when(F.col("toxic") == 0, F.col("n"))), F.lit(0)).alias("b"))
         .withColumn("w", F.log((F.col("a") + 0.5) / (bad + 1)) - F.log((F.col("b") + 0.5) / (good + 1)))
         .withColumn("sure", F.col("w") - 2.5 * F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5)))
-        .filter("a >= 3 and sure > 0.5")
-        .orderBy(F.desc("sure"), "term").limit(most_terms)
+        .filter("a >= 3 and sure > 0.5").orderBy("term")
     )
     weights = {r.term: float(r.w) for r in odds.collect()}
 
@@ -157,7 +156,7 @@ def learn(docs: DataFrame, labels: DataFrame, most_labelled: int = 20_000, most_
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out]), pa.array([y for _, y in out], pa.int32())], ["phrase", "toxic"])
 
     harmless = rows.mapInArrow(pairs, "phrase string, toxic int").groupBy("phrase").agg(F.sum("toxic").alias("a"), F.count("toxic").alias("n")).filter("n >= 8 and a * 20 < n")
-    learned = tuple(r[0] for r in harmless.orderBy(F.desc("n"), "phrase").limit(most_terms).collect())
+    learned = tuple(r[0] for r in harmless.orderBy(F.desc("n"), "phrase").collect())
     lexicon = Lexicon(weights, tuple(dict.fromkeys(exceptions + learned)), np.zeros(0))
 
     def measure(batches):
