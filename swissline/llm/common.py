@@ -59,9 +59,9 @@ def keyed(docs: DataFrame, carry: bool = False) -> DataFrame:
     return docs.select(*out, *([F.struct(*(c for c in docs.columns if c != "text")).alias("_rest")] if carry else []))
 
 
-def fan_out(spark: SparkSession, total_bytes: int, per: int, most: int = 1 << 16) -> int:
-    """Number of buckets: one for ``per`` bytes of text, two for each partition at least."""
-    return int(min(most, max(2 * parallelism(spark), total_bytes // per)))
+def fan_out(spark: SparkSession, total_bytes: int, per: int) -> int:
+    """Number of buckets: one for ``per`` bytes of text, two for each partition at least; it grows with the input, so that no bucket does."""
+    return int(max(2 * parallelism(spark), total_bytes // per))
 
 
 # ---------------------------------------------------------------- slices of an Arrow batch

@@ -125,3 +125,18 @@ def test_op8_added_tokens_take_their_ids():
     encode, plain = packing.encoder(path), Tokenizer.from_file(path)
     for t in ("a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n\ny <|endof", "é <|endoftext|>  it's", "none"):
         assert encode(t).tolist() == plain.encode(t, add_special_tokens=False).ids, t
+
+
+def test_op4_keeps_the_largest_id_and_null(spark):
+    from swissline.llm import language_model
+
+    rows = [(2**63 - 1, "a b"), (None, "a b"), (2**63 - 1, "c"), (None, None), (5, "a b a")] * 2
+    got = language_model.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), rounds=1).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens) for r in got) == sorted((i is None, i or 0, len((t or "").split()) + 1) for i, t in rows)
+
+
+def test_buckets_grow_with_the_input(spark):
+    from swissline.llm.common import fan_out
+
+    for size in (1 << 30, 1 << 40, 100 << 40):
+        assert size // fan_out(spark, size, 1 << 20) <= 1 << 20
