@@ -26,13 +26,13 @@ def audit(matches: DataFrame, minimum_rows: int = 8000, minimum_teams: int = 80,
     return reduce(DataFrame.unionByName, gates)
 
 
-def ticket(shares: DataFrame, slots: tuple[tuple[str, str, int], ...] = (("3-0", "p_30", 2), ("0-3", "p_03", 2), ("advance", "p_advance", 6))) -> DataFrame:
-    """Greedy choice, category after category, no team twice. shares: one row a team of a stage."""
+def ticket(shares: DataFrame, slots: tuple[tuple[str, str, int], ...] = (("3-0", "p_30", 2), ("0-3", "p_03", 2), ("advance", "p_advance", 6)), by: tuple[str, ...] = ()) -> DataFrame:
+    """Greedy choice, category after category, no team twice. shares: one row a team of a stage; by: the columns that name a stage, if there are several."""
     left, out = shares, []
     for category, column, n in slots:
-        best = left.withColumn("place", F.row_number().over(Window.orderBy(F.desc(column), "seed_no"))).filter(F.col("place") <= n)
-        out.append(best.select(F.lit(category).alias("category"), "seed_no", F.col(column).alias("p")))
-        left = left.join(best.select("seed_no"), "seed_no", "left_anti")
+        best = left.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(column), "seed_no"))).filter(F.col("place") <= n)
+        out.append(best.select(*by, F.lit(category).alias("category"), "seed_no", F.col(column).alias("p")))
+        left = left.join(best.select(*by, "seed_no"), [*by, "seed_no"], "left_anti")
     return reduce(DataFrame.unionByName, out)
 
 

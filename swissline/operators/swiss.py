@@ -6,7 +6,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -102,6 +102,11 @@ def simulate(spark: SparkSession, strengths: list[float], simulations: int, seed
     return spark.range(simulations).mapInArrow(run, "sim long, seed_no long, wins long, losses long")
 
 
+def edge_probability(first: Column, second: Column) -> Column:
+    """Win probability from two strengths, never below 6 or above 94 per cent."""
+    return F.least(F.greatest(0.5 + (first - second) * 0.28 / 0.35, F.lit(0.06)), F.lit(0.94))
+
+
 def outcome_shares(samples: DataFrame) -> DataFrame:
     share = lambda c: F.avg(c.cast("double"))
     w, n = F.col("wins"), F.col("losses")
@@ -112,7 +117,7 @@ def ticket_hits(samples: DataFrame, ticket: DataFrame, needed: int = 5) -> DataF
     """How often a ticket (category, seed_no) has so many hits, and whether that is enough."""
     w, n = F.col("wins"), F.col("losses")
     hit = F.when(F.col("category") == "3-0", (w == 3) & (n == 0)).when(F.col("category") == "0-3", (n == 3) & (w == 0)).otherwise((w == 3) & (n > 0))
-    hits = samples.join(F.broadcast(ticket), "seed_no").groupBy("sim").agg(F.count_if(hit).alias("hits"))  # a ticket has ten rows
+    hits = samples.join(ticket, "seed_no").groupBy("sim").agg(F.count_if(hit).alias("hits"))
     return hits.groupBy("hits").agg(F.count("*").alias("n")).withColumn("passes", (F.col("hits") >= needed).cast("int"))
 
 

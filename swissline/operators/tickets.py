@@ -20,12 +20,13 @@ def _or(name: str, teams: DataFrame, default: float) -> Column:
     return F.coalesce(F.col(name).cast("double"), F.lit(default)) if name in teams.columns else F.lit(default)
 
 
-def risk_scores(teams: DataFrame, stage: str = "default", upset_limit: int = 15) -> DataFrame:
+def risk_scores(teams: DataFrame, stage: str = "default", upset_limit: int = 15, by: tuple[str, ...] = ()) -> DataFrame:
     """One row a team and category with the factors of its score. teams: seed_no, p_30, p_03, p_advance, and where known rank, bo1_winrate,
-    map_depth, rating, form_score, form_trend, sample_confidence, substitute; what is missing is neutral. One stage has some tens of teams."""
+    map_depth, rating, form_score, form_trend, sample_confidence, substitute; what is missing is neutral. by: the columns that name a stage,
+    if there are several; a stage has some tens of teams."""
     rank = _or("rank", teams, UNRANKED)
     t = teams.select(
-        "seed_no", rank.alias("rank"), (rank - F.min(rank).over(Window.partitionBy())).alias("rank_gap"), _or("bo1_winrate", teams, 0.5).alias("bo1"), _or("map_depth", teams, 0.5).alias("depth"), _or("rating", teams, 1.0).alias("rating"),
+        *by, "seed_no", rank.alias("rank"), (rank - F.min(rank).over(Window.partitionBy(*by))).alias("rank_gap"), _or("bo1_winrate", teams, 0.5).alias("bo1"), _or("map_depth", teams, 0.5).alias("depth"), _or("rating", teams, 1.0).alias("rating"),
         _clip(_or("form_score", teams, 0.0) * 0.12 + _or("form_trend", teams, 0.0) * 0.08, -0.035, 0.035).alias("form"), (1 - _clip(_or("sample_confidence", teams, 1.0), 0.0, 1.0)).alias("unsure"),
         (_or("substitute", teams, 0.0) >= 1).cast("double").alias("sub"), F.explode(F.array(*(F.struct(F.lit(k).alias("category"), F.coalesce(F.col(c), F.lit(0.0)).alias("base")) for k, c, _ in SLOTS))).alias("s"),
     ).select("*", "s.*").drop("s")
@@ -34,7 +35,7 @@ def risk_scores(teams: DataFrame, stage: str = "default", upset_limit: int = 15)
     late = _clip((F.col("rating") - 1) * 0.10 + (UNRANKED - _clip(F.col("rank"), 1, UNRANKED)) / UNRANKED * 0.04, -0.03, 0.06)
     by_stage = {"challengers": early, "opening": early, "legends": late, "elimination": late}.get(stage, F.lit(0.0))
     factors = t.select(
-        "seed_no", "category", "rank", "base", F.when(bottom, 0.0).otherwise(by_stage).alias("stage_adjustment"), F.when(bottom, -F.col("form")).otherwise(F.col("form")).alias("form_adjustment"),
+        *by, "seed_no", "category", "rank", "base", F.when(bottom, 0.0).otherwise(by_stage).alias("stage_adjustment"), F.when(bottom, -F.col("form")).otherwise(F.col("form")).alias("form_adjustment"),
         F.when(~bottom & (F.col("rank_gap") > upset_limit), 0.75).otherwise(1.0).alias("upset_factor"), F.when(bottom, 1 + F.least(F.col("rank"), F.lit(UNRANKED)) / 200).otherwise(1.0).alias("weak_factor"),
         F.when(bottom, F.least(F.lit(1.08), 1 + F.col("unsure") * 0.04 + F.col("sub") * 0.03)).when(kind == "3-0", F.greatest(F.lit(0.84), 1 - F.col("unsure") * 0.12 - F.col("sub") * 0.08))
         .otherwise(F.greatest(F.lit(0.90), 1 - F.col("unsure") * 0.05 - F.col("sub") * 0.04)).alias("availability_factor"),
@@ -43,21 +44,22 @@ def risk_scores(teams: DataFrame, stage: str = "default", upset_limit: int = 15)
     return factors.withColumn("score", (F.col("base") + F.col("stage_adjustment") + F.col("form_adjustment")) * F.col("upset_factor") * F.col("weak_factor") * F.col("availability_factor"))
 
 
-def choose(scores: DataFrame, slots=SLOTS) -> DataFrame:
-    """Greedy by score, category after category, no team twice; ties to the better rank, or to the worse for the bottom."""
+def choose(scores: DataFrame, slots=SLOTS, by: tuple[str, ...] = ()) -> DataFrame:
+    """Greedy by score, category after category, no team twice in a stage; ties to the better rank, or to the worse for the bottom."""
     left, out = scores, []
     for category, _, n in slots:
         rank = F.col("rank").desc() if category == "0-3" else F.col("rank")
-        best = left.filter(F.col("category") == category).withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), rank, "seed_no")).cast("long")).filter(F.col("place") <= n)
-        out.append(best.select("category", "place", "seed_no", "score"))
-        left = left.join(best.select("seed_no"), "seed_no", "left_anti")
+        order = Window.partitionBy(*by).orderBy(F.desc("score"), rank, "seed_no")
+        best = left.filter(F.col("category") == category).withColumn("place", F.row_number().over(order).cast("long")).filter(F.col("place") <= n)
+        out.append(best.select(*by, "category", "place", "seed_no", "score"))
+        left = left.join(best.select(*by, "seed_no"), [*by, "seed_no"], "left_anti")
     return reduce(DataFrame.unionByName, out)
 
 
-def margins(scores: DataFrame, picks: DataFrame) -> DataFrame:
+def margins(scores: DataFrame, picks: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """How far each pick's score is above the best of its category that is picked nowhere."""
-    free = scores.join(picks.select("seed_no"), "seed_no", "left_anti").groupBy("category").agg(F.max("score").alias("next_best"))
-    return picks.select("category", "seed_no", "score").join(free, "category", "left").withColumn("margin", F.col("score") - F.col("next_best"))
+    free = scores.join(picks.select(*by, "seed_no"), [*by, "seed_no"], "left_anti").groupBy(*by, "category").agg(F.max("score").alias("next_best"))
+    return picks.select(*by, "category", "seed_no", "score").join(free, [*by, "category"], "left").withColumn("margin", F.col("score") - F.col("next_best"))
 
 
 def outcomes(shares: DataFrame) -> DataFrame:
@@ -125,11 +127,14 @@ def swap_search(samples: DataFrame, ticket: list[tuple[str, int]], pool: list[tu
     return ticket, best
 
 
-def answer_sheet(picks: DataFrame, slots=SLOTS, least_margin: float = 0.04) -> DataFrame:
+def answer_sheet(picks: DataFrame, slots=SLOTS, least_margin: float = 0.04, by: tuple[str, ...] = ()) -> DataFrame:
     """Each category's picks, its least margin and what is wrong with it: slots, repeated teams, narrow or unknown margins."""
-    repeated = picks.groupBy("seed_no").agg(F.count("*").alias("times"))
+    repeated = picks.groupBy(*by, "seed_no").agg(F.count("*").alias("times"))
     want = picks.sparkSession.createDataFrame([(k, n) for k, _, n in slots], "category string, slots long")
-    each = picks.join(repeated, "seed_no").groupBy("category").agg(F.count("*").alias("picks"), F.sort_array(F.collect_list("seed_no")).alias("_s"), F.min("margin").alias("least_margin"), F.max("times").alias("_t"), F.count_if(F.col("margin").isNull()).alias("_u"))
+    if by:
+        wanted = F.array(*(F.struct(F.lit(k).alias("category"), F.lit(n).cast("long").alias("slots")) for k, _, n in slots))
+        want = picks.select(*by).distinct().select(*by, F.inline(wanted))
+    each = picks.join(repeated, [*by, "seed_no"]).groupBy(*by, "category").agg(F.count("*").alias("picks"), F.sort_array(F.collect_list("seed_no")).alias("_s"), F.min("margin").alias("least_margin"), F.max("times").alias("_t"), F.count_if(F.col("margin").isNull()).alias("_u"))
     n = F.coalesce("picks", F.lit(0))
     faults = F.array(F.when(n != F.col("slots"), "slots"), F.when(F.col("_t") > 1, "repeated"), F.when(F.col("least_margin") < least_margin, "narrow"), F.when(F.col("_u") > 0, "unknown_margin"))
-    return want.join(each, "category", "left").select("category", n.alias("picks"), F.array_join("_s", ",").alias("seeds"), "least_margin", F.array_join(F.array_compact(faults), ",").alias("warnings"))
+    return want.join(each, [*by, "category"], "left").select(*by, "category", n.alias("picks"), F.array_join("_s", ",").alias("seeds"), "least_margin", F.array_join(F.array_compact(faults), ",").alias("warnings"))

@@ -284,9 +284,16 @@ add("standings", on_matches(swiss.standings), "SELECT team, CAST(sum(won) AS BIG
 add("buchholz", on_matches(swiss.buchholz), "SELECT l.team, CAST(sum(net) AS BIGINT) AS buchholz FROM l JOIN (SELECT team AS o, 2 * sum(won) - count(*) AS net FROM l GROUP BY team) ON o = opp GROUP BY l.team", "", LONG_SQL)
 add("record_status", on_matches(lambda m: swiss.standings(in_stages(m), "stage").withColumn("status", swiss.record_status())), "SELECT stage, team, wins, losses, CASE WHEN wins >= 3 THEN 'advanced' WHEN losses >= 3 THEN 'eliminated' ELSE 'alive' END AS status FROM st", "", STAGE_SQL)
 add("checkpoint_status", on_matches(lambda m: stage_picks(m).withColumn("state", swiss.checkpoint()).select("stage", "team", "category", "state")), f"SELECT stage, team, category, {STATE} AS state FROM k", "", PICK_SQL)
-STRENGTHS = [1 - i / 16 for i in range(16)]
-add("swiss_mc", lambda s, d: swiss.outcome_shares(swiss.simulate(s, STRENGTHS, 4_000)))
-add("ticket_distribution", lambda s, d: swiss.ticket_hits(swiss.simulate(s, STRENGTHS, 4_000), s.createDataFrame([("3-0", 0), ("3-0", 1), ("0-3", 14), ("0-3", 15), *(("advance", i) for i in range(2, 8))], "category string, seed_no long")))
+
+
+def _field(m: DataFrame) -> list[float]:
+    """Win shares of the sixteen teams with the most matches: the entrants of a stage, the best first."""
+    busiest = swiss.standings(m).withColumn("n", F.col("wins") + F.col("losses")).orderBy(F.desc("n"), "team").limit(16)
+    return sorted((r[0] for r in busiest.select(F.col("wins") / F.col("n")).collect()), reverse=True)
+
+
+add("swiss_mc", lambda s, d: swiss.outcome_shares(swiss.simulate(s, _field(match_view(s, d)), 4_000)))
+
 
 # ---------------------------------------------------------------- store and sources
 def _versions(m: DataFrame) -> DataFrame:
@@ -317,8 +324,20 @@ add("market_fusion_report", on_forecasts(lambda f: f.withColumn("fused", market.
     SELECT avg(-CASE WHEN label = 1 THEN ln(p) ELSE ln(1 - p) END) AS p, avg(-CASE WHEN label = 1 THEN ln(market) ELSE ln(1 - market) END) AS market, avg(-CASE WHEN label = 1 THEN ln(u) ELSE ln(1 - u) END) AS fused, count(*) AS n
     FROM (SELECT *, 1 / (1 + exp(-(0.3 * ln(p / (1 - p)) + 0.7 * ln(market / (1 - market))))) AS u FROM f)""", "p market fused", F_SQL)
 add("profit_loss", on_matches(lambda m: m.agg(F.sum(F.when(F.col("winner") == F.col("team1"), F.col("odds1") - 1).otherwise(F.lit(-1.0))).alias("profit"), F.count("*").alias("bets"))), "SELECT sum(CASE WHEN winner = team1 THEN odds1 - 1 ELSE -1 END) AS profit, count(*) AS bets FROM m", "profit", MATCH_SQL)
-add("pair_probability_grid", lambda s, d: s.createDataFrame([(i, x) for i, x in enumerate(STRENGTHS)], "a long, x double").join(s.createDataFrame([(i, x) for i, x in enumerate(STRENGTHS)], "b long, y double"), F.col("a") != F.col("b")).select("a", "b", F.least(F.greatest(0.5 + (F.col("x") - F.col("y")) * 0.8, F.lit(0.06)), F.lit(0.94)).alias("p")),
-    "SELECT a, b, least(greatest(0.5 + (b - a) / 16.0::DOUBLE * 0.8, 0.06), 0.94) AS p FROM range(16) s(a), range(16) t(b) WHERE a <> b", "p")
+def _shares_of_stage(m: DataFrame) -> DataFrame:
+    return swiss.standings(in_stages(m), "stage").select("stage", "team", (F.col("wins") / (F.col("wins") + F.col("losses"))).alias("x"))
+
+
+def _met(m: DataFrame) -> DataFrame:
+    """Pairs that meet in a stage, with the probability that their shares of wins give."""
+    pairs = in_stages(m).select("stage", F.least("team1", "team2").alias("a"), F.greatest("team1", "team2").alias("b")).distinct()
+    x, y = (_shares_of_stage(m).select("stage", F.col("team").alias(k), F.col("x").alias(f"x{k}")) for k in "ab")
+    return pairs.join(x, ["stage", "a"]).join(y, ["stage", "b"]).select("stage", "a", "b", swiss.edge_probability(F.col("xa"), F.col("xb")).alias("p"))
+
+
+add("pair_probability_grid", on_matches(_met), """
+    SELECT q.stage, a, b, least(greatest(0.5 + (x.w - y.w) * 0.28 / 0.35, 0.06), 0.94) AS p FROM (SELECT DISTINCT match_id // 60 AS stage, least(team1, team2) AS a, greatest(team1, team2) AS b FROM m) q
+    JOIN sw x ON x.stage = q.stage AND x.team = a JOIN sw y ON y.stage = q.stage AND y.team = b""", "p", STAGE_SQL + ", sw AS (SELECT stage, team, wins / (wins + losses)::DOUBLE AS w FROM st)")
 add("match_types", on_matches(lambda m: m.selectExpr("match_id", "match_id % 4 as wins1", "match_id % 3 as wins2", "(match_id div 5) % 3 as losses1", "(match_id div 7) % 3 as losses2").select("match_id", swiss.match_type().alias("kind"))), """
     SELECT match_id, CASE WHEN match_id % 4 = 2 AND match_id % 3 = 2 THEN 'advancement' WHEN (match_id // 5) % 3 = 2 AND (match_id // 7) % 3 = 2 THEN 'elimination' ELSE 'standard' END AS kind FROM m""", "", MATCH_SQL)
 add("decision_summary", on_forecasts(lambda f: f.groupBy(backtest.pick(0.05).alias("pick")).agg(F.count("*").alias("n"), F.avg(backtest.margin()).alias("margin"))), "SELECT CASE WHEN greatest(p, 1 - p) <= 0.55::DOUBLE THEN 'avoid' WHEN p > 0.5 THEN 'team1' ELSE 'team2' END AS pick, count(*) AS n, avg(abs(p - 0.5)) AS margin FROM f GROUP BY pick", "margin", F_SQL)
@@ -326,15 +345,6 @@ add("forecast_decisions", forecast.decisions)
 
 
 # ---------------------------------------------------------------- readiness and tickets
-def _shares(s: SparkSession) -> DataFrame:
-    return s.range(16).selectExpr("id as seed_no", "((id * 7) % 16) / 16D as p_30", "((id * 5) % 16) / 16D as p_03", "((id * 3) % 16) / 16D as p_advance")
-
-
 add("readiness_audit", on_matches(lambda m: readiness.audit(m, 400, 10, ("map", "tier"), 19_745)), """
     SELECT 'rows' AS name, CAST(count(*) >= 400 AS INT) AS passed, CAST(count(*) AS VARCHAR) AS detail FROM m UNION ALL SELECT 'teams', CAST(count(DISTINCT team) >= 10 AS INT), CAST(count(DISTINCT team) AS VARCHAR) FROM l
     UNION ALL SELECT 'winners', 1, '0' UNION ALL SELECT 'field_map', 1, '0' UNION ALL SELECT 'field_tier', 1, '0' UNION ALL SELECT 'recent', CAST(max(day) >= 19745 AS INT), CAST(max(day) AS VARCHAR) FROM m""", "", LONG_SQL)
-add("greedy_ticket", lambda s, d: readiness.ticket(_shares(s)), """
-    SELECT '3-0' AS category, id AS seed_no, p_30 AS p FROM a UNION ALL SELECT '0-3', id, p_03 FROM b UNION ALL SELECT 'advance', id, p_advance FROM c""", "p",
-    """s AS (SELECT id, ((id * 7) % 16) / 16.0::DOUBLE AS p_30, ((id * 5) % 16) / 16.0::DOUBLE AS p_03, ((id * 3) % 16) / 16.0::DOUBLE AS p_advance FROM range(16) t(id)),
-    a AS (SELECT * FROM s ORDER BY p_30 DESC, id LIMIT 2), b AS (SELECT * FROM s WHERE id NOT IN (SELECT id FROM a) ORDER BY p_03 DESC, id LIMIT 2),
-    c AS (SELECT * FROM s WHERE id NOT IN (SELECT id FROM a) AND id NOT IN (SELECT id FROM b) ORDER BY p_advance DESC, id LIMIT 6)""")

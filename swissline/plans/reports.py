@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from swissline.operators import evaluate, form, joins, market, model, policies, ratings, readiness, splits, swiss, tickets
-from swissline.plans.catalogue import F_SQL, LONG_SQL, LOSS, MATCH_SQL, PICK_SQL, POOL, STATE, add, on_forecasts, on_matches, stage_picks
+from swissline.plans.catalogue import F_SQL, LONG_SQL, LOSS, MATCH_SQL, PICK_SQL, POOL, STAGE_SQL, STATE, add, in_stages, on_forecasts, on_matches, stage_picks
 from swissline.sources import pages, results_api
 from swissline.sources.matches import long_form, match_view, read
 
@@ -70,30 +70,43 @@ add("checkpoint_summary", on_matches(lambda m: policies.checkpoint_summary(press
     FROM (SELECT *, (team * 7 + stage) % 11 / 10.0::DOUBLE AS confidence, (team + stage) % 4 = 0 AS risk FROM z) GROUP BY category""", "confidence risky_broken_rate other_broken_rate", PRESSURE_SQL)
 
 # ---------------------------------------------------------------- tickets
-RANKED = ("id as seed_no", "((id * 7) % 16) / 16D as p_30", "((id * 5) % 16) / 16D as p_03", "((id * 3) % 16) / 16D as p_advance", "cast(1 + (id * 11) % 32 as double) as rank", "((id * 3) % 7) / 7D as bo1_winrate", "((id * 5) % 9) / 9D as map_depth",
-          "((id * 7) % 5 - 2) / 10D as form_score", "((id * 3) % 5 - 2) / 10D as form_trend", "((id * 13) % 16) / 15D as sample_confidence", "cast(id % 6 = 0 as int) as substitute")
+RANKED = ("stage", "team as seed_no", "((team * 7 + stage) % 16) / 16D as p_30", "((team * 5 + stage) % 16) / 16D as p_03", "((team * 3 + stage) % 16) / 16D as p_advance", "cast(1 + (team * 11 + stage) % 32 as double) as rank", "wins / (wins + losses) as bo1_winrate",
+          "((team * 5) % 9) / 9D as map_depth", "((team * 7) % 5 - 2) / 10D as form_score", "((team * 3 + stage) % 5 - 2) / 10D as form_trend", "((team * 13) % 16) / 15D as sample_confidence", "cast(team % 6 = 0 as int) as substitute")
+BY = ("stage",)
 
 
-def ranked_teams(s):
-    return tickets.risk_scores(s.range(16).selectExpr(*RANKED), "challengers")
+def ranked_teams(m: DataFrame) -> DataFrame:
+    """The teams of each stage with what is known of them."""
+    return tickets.risk_scores(swiss.standings(in_stages(m), "stage").selectExpr(*RANKED), "challengers", by=BY)
 
 
-SCORE_SQL = """t AS (SELECT id, ((id * 7) % 16) / 16.0::DOUBLE AS p_30, ((id * 5) % 16) / 16.0::DOUBLE AS p_03, ((id * 3) % 16) / 16.0::DOUBLE AS p_advance, (1 + (id * 11) % 32)::DOUBLE AS rank,
-    greatest(-0.04, least(0.06, (((id * 3) % 7) / 7.0::DOUBLE - 0.5) * 0.1 + (((id * 5) % 9) / 9.0::DOUBLE - 0.5) * 0.08)) AS st, greatest(-0.035, least(0.035, ((id * 7) % 5 - 2) / 10.0::DOUBLE * 0.12 + ((id * 3) % 5 - 2) / 10.0::DOUBLE * 0.08)) AS fo,
-    1 - ((id * 13) % 16) / 15.0::DOUBLE AS un, CAST(id % 6 = 0 AS INT)::DOUBLE AS su FROM range(16) x(id)),
-  v AS (SELECT id AS seed_no, '3-0' AS category, rank, p_30 AS base, (p_30 + st + fo) * CASE WHEN rank - (SELECT min(rank) FROM t) > 15 THEN 0.75 ELSE 1 END * greatest(0.84, 1 - un * 0.12 - su * 0.08) AS score FROM t UNION ALL
-    SELECT id, '0-3', rank, p_03, (p_03 - fo) * (1 + least(rank, 80) / 200) * least(1.08, 1 + un * 0.04 + su * 0.03) FROM t UNION ALL
-    SELECT id, 'advance', rank, p_advance, (p_advance + st + fo) * CASE WHEN rank - (SELECT min(rank) FROM t) > 15 THEN 0.75 ELSE 1 END * greatest(0.9, 1 - un * 0.05 - su * 0.04) FROM t)"""
-TICKET_SQL = SCORE_SQL + """, a AS (SELECT *, row_number() OVER (ORDER BY score DESC, rank, seed_no) AS place FROM v WHERE category = '3-0' QUALIFY place <= 2),
-  b AS (SELECT *, row_number() OVER (ORDER BY score DESC, rank DESC, seed_no) AS place FROM v WHERE category = '0-3' AND seed_no NOT IN (SELECT seed_no FROM a) QUALIFY place <= 2),
-  c AS (SELECT *, row_number() OVER (ORDER BY score DESC, rank, seed_no) AS place FROM v WHERE category = 'advance' AND seed_no NOT IN (SELECT seed_no FROM a) AND seed_no NOT IN (SELECT seed_no FROM b) QUALIFY place <= 6),
+def chosen(m: DataFrame) -> DataFrame:
+    return tickets.margins(ranked_teams(m), tickets.choose(ranked_teams(m), by=BY), BY)
+
+
+SCORE_SQL = STAGE_SQL + """, t AS (SELECT stage, team AS id, ((team * 7 + stage) % 16) / 16.0::DOUBLE AS p_30, ((team * 5 + stage) % 16) / 16.0::DOUBLE AS p_03, ((team * 3 + stage) % 16) / 16.0::DOUBLE AS p_advance, (1 + (team * 11 + stage) % 32)::DOUBLE AS rank,
+    greatest(-0.04, least(0.06, (wins / (wins + losses)::DOUBLE - 0.5) * 0.1 + (((team * 5) % 9) / 9.0::DOUBLE - 0.5) * 0.08)) AS st, greatest(-0.035, least(0.035, ((team * 7) % 5 - 2) / 10.0::DOUBLE * 0.12 + ((team * 3 + stage) % 5 - 2) / 10.0::DOUBLE * 0.08)) AS fo,
+    1 - ((team * 13) % 16) / 15.0::DOUBLE AS un, CAST(team % 6 = 0 AS INT)::DOUBLE AS su FROM st),
+  tg AS (SELECT *, rank - min(rank) OVER (PARTITION BY stage) AS gap FROM t),
+  v AS (SELECT stage, id AS seed_no, '3-0' AS category, rank, p_30 AS base, (p_30 + st + fo) * CASE WHEN gap > 15 THEN 0.75 ELSE 1 END * greatest(0.84, 1 - un * 0.12 - su * 0.08) AS score FROM tg UNION ALL
+    SELECT stage, id, '0-3', rank, p_03, (p_03 - fo) * (1 + least(rank, 80) / 200) * least(1.08, 1 + un * 0.04 + su * 0.03) FROM tg UNION ALL
+    SELECT stage, id, 'advance', rank, p_advance, (p_advance + st + fo) * CASE WHEN gap > 15 THEN 0.75 ELSE 1 END * greatest(0.9, 1 - un * 0.05 - su * 0.04) FROM tg)"""
+TICKET_SQL = SCORE_SQL + """, a AS (SELECT *, row_number() OVER (PARTITION BY stage ORDER BY score DESC, rank, seed_no) AS place FROM v WHERE category = '3-0' QUALIFY place <= 2),
+  b AS (SELECT *, row_number() OVER (PARTITION BY stage ORDER BY score DESC, rank DESC, seed_no) AS place FROM v WHERE category = '0-3' AND (stage, seed_no) NOT IN (SELECT (stage, seed_no) FROM a) QUALIFY place <= 2),
+  c AS (SELECT *, row_number() OVER (PARTITION BY stage ORDER BY score DESC, rank, seed_no) AS place FROM v WHERE category = 'advance' AND (stage, seed_no) NOT IN (SELECT (stage, seed_no) FROM a) AND (stage, seed_no) NOT IN (SELECT (stage, seed_no) FROM b) QUALIFY place <= 6),
   picks AS (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c),
-  mg AS (SELECT category, seed_no, score, next_best, score - next_best AS margin FROM picks LEFT JOIN (SELECT category, max(score) AS next_best FROM v WHERE seed_no NOT IN (SELECT seed_no FROM picks) GROUP BY category) USING (category))"""
-add("ticket_risk_scores", lambda s, d: ranked_teams(s).select("seed_no", "category", "rank", "base", "score"), "SELECT * FROM v", "rank base score", SCORE_SQL)
-add("ticket_by_score", lambda s, d: tickets.choose(ranked_teams(s)), "SELECT category, place, seed_no, score FROM picks", "score", TICKET_SQL)
-add("ticket_margins", lambda s, d: tickets.margins(ranked_teams(s), tickets.choose(ranked_teams(s))), "SELECT * FROM mg", "score next_best margin", TICKET_SQL)
-add("answer_sheet", lambda s, d: tickets.answer_sheet(tickets.margins(ranked_teams(s), tickets.choose(ranked_teams(s)))), """
-    SELECT category, count(*) AS picks, string_agg(seed_no, ',' ORDER BY seed_no) AS seeds, min(margin) AS least_margin, CASE WHEN min(margin) < 0.04 THEN 'narrow' ELSE '' END AS warnings FROM mg GROUP BY category""", "least_margin", TICKET_SQL)
+  mg AS (SELECT stage, category, seed_no, score, next_best, score - next_best AS margin FROM picks LEFT JOIN (SELECT stage, category, max(score) AS next_best FROM v WHERE (stage, seed_no) NOT IN (SELECT (stage, seed_no) FROM picks) GROUP BY stage, category) USING (stage, category))"""
+add("ticket_risk_scores", on_matches(lambda m: ranked_teams(m).select("stage", "seed_no", "category", "rank", "base", "score")), "SELECT * FROM v", "rank base score", SCORE_SQL)
+add("ticket_by_score", on_matches(lambda m: tickets.choose(ranked_teams(m), by=BY)), "SELECT stage, category, place, seed_no, score FROM picks", "score", TICKET_SQL)
+add("ticket_margins", on_matches(chosen), "SELECT * FROM mg", "score next_best margin", TICKET_SQL)
+add("answer_sheet", on_matches(lambda m: tickets.answer_sheet(chosen(m), by=BY)), """
+    SELECT w.stage, w.category, coalesce(picks, 0) AS picks, coalesce(seeds, '') AS seeds, least_margin, array_to_string(list_filter([CASE WHEN coalesce(picks, 0) <> w.n THEN 'slots' END, CASE WHEN least_margin < 0.04 THEN 'narrow' END, CASE WHEN unknown > 0 THEN 'unknown_margin' END], lambda x: x IS NOT NULL), ',') AS warnings
+    FROM (SELECT DISTINCT stage, category, n FROM mg, (VALUES ('3-0', 2), ('0-3', 2), ('advance', 6)) s(category, n)) w LEFT JOIN (SELECT stage, category, count(*) AS picks, string_agg(seed_no, ',' ORDER BY seed_no) AS seeds, min(margin) AS least_margin, count_if(margin IS NULL) AS unknown FROM mg GROUP BY ALL) g
+      ON g.stage = w.stage AND g.category = w.category""".replace("SELECT DISTINCT stage, category, n FROM mg,", "SELECT DISTINCT mg.stage, s.category, n FROM mg,"), "least_margin", TICKET_SQL)
+add("greedy_ticket", on_matches(lambda m: readiness.ticket(swiss.standings(in_stages(m), "stage").selectExpr(*RANKED[:5]), by=BY)), """
+    SELECT stage, '3-0' AS category, id AS seed_no, p_30 AS p FROM ga UNION ALL SELECT stage, '0-3', id, p_03 FROM gb UNION ALL SELECT stage, 'advance', id, p_advance FROM gc""", "p", SCORE_SQL + """,
+    ga AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY stage ORDER BY p_30 DESC, id) <= 2), gb AS (SELECT * FROM t WHERE (stage, id) NOT IN (SELECT (stage, id) FROM ga) QUALIFY row_number() OVER (PARTITION BY stage ORDER BY p_03 DESC, id) <= 2),
+    gc AS (SELECT * FROM t WHERE (stage, id) NOT IN (SELECT (stage, id) FROM ga) AND (stage, id) NOT IN (SELECT (stage, id) FROM gb) QUALIFY row_number() OVER (PARTITION BY stage ORDER BY p_advance DESC, id) <= 6)""")
 
 
 def stage_samples(m: DataFrame) -> DataFrame:
@@ -106,6 +119,8 @@ SAMPLE_SQL = PICK_SQL + """, g AS (SELECT stage AS sim, team AS seed_no, least(w
 add("field_probabilities", on_matches(lambda m: tickets.field(stage_samples(m))), "SELECT seed_no, category, p, n FROM fp", "p", SAMPLE_SQL)
 add("leveraged_reward", on_matches(lambda m: tickets.leveraged_reward(stage_samples(m), stage_picks(m).select(F.col("team").alias("seed_no"), "category").distinct(), 0.5)),
     "SELECT sum(p * pow(1 / greatest(p, 1 / n::DOUBLE), 0.5)) AS reward, count(*) AS picks FROM fp JOIN (SELECT DISTINCT team AS seed_no, category FROM k) USING (seed_no, category)", "reward", SAMPLE_SQL)
+add("ticket_distribution", on_matches(lambda m: swiss.ticket_hits(stage_samples(m), stage_picks(m).select("category", F.col("team").alias("seed_no")).distinct())), """
+    SELECT hits, count(*) AS n, CAST(hits >= 5 AS INT) AS passes FROM (SELECT sim, count_if(CASE category WHEN '3-0' THEN wins = 3 AND losses = 0 WHEN '0-3' THEN losses = 3 AND wins = 0 ELSE wins = 3 AND losses > 0 END) AS hits FROM g JOIN (SELECT DISTINCT category, team FROM k) p ON p.team = g.seed_no GROUP BY sim) GROUP BY hits""", "", SAMPLE_SQL)
 add("most_likely_record", on_matches(lambda m: tickets.outcomes(stage_samples(m).groupBy("seed_no", F.concat_ws("-", "wins", "losses").alias("record")).agg((F.count("*") / 100).alias("p")))), """
     SELECT seed_no, arg_max(record, (p, record)) AS record, max(p) AS p, sum(CASE WHEN record LIKE '3-%' THEN p ELSE 0 END) AS advance, 1 - sum(CASE WHEN record LIKE '3-%' THEN p ELSE 0 END) AS eliminate
     FROM (SELECT seed_no, wins || '-' || losses AS record, count(*) / 100.0::DOUBLE AS p FROM g GROUP BY ALL) GROUP BY seed_no""", "p advance eliminate", SAMPLE_SQL)
