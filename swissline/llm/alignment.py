@@ -5,7 +5,7 @@ byte offsets where tokens end. All else is Spark: ``array_intersect`` of the two
 arrays of ends gives the offsets where both end; sorting an array of ends with
 the shared ones put in once more makes these neighbours, and their places give
 the number of tokens before each cut. From the cuts ``transform`` over a
-``sequence`` builds the groups, and ``zip_with`` the links (the last token of
+``sequence`` and ``zip_with`` build the groups, and ``zip_with`` the links (the last token of
 either side of a group: tokens aren't empty, so no others end together).
 ``aggregate`` isn't needed: with growing arrays it would copy them at each step.
 
@@ -22,8 +22,6 @@ are all best; an empty table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,69 +36,33 @@ SALTS = 64
 
 # ---------------------------------------------------------------- tokenising
 def byte_side(path: str):
-    """text -> ids of space and text, with the number of bytes of each entry, checked to spell it."""
+    """text -> ids of space and text, with the number of bytes of each entry. Every byte has an entry and none is changed, so entries spell
+    the text if they have as many bytes."""
     ranks, _ = byte_vocabulary(path)
     encode = encoder(path, special=False)
-    spelt = [b""] * (max(ranks.values()) + 1)
+    size = np.zeros(max(ranks.values()) + 1, np.int64)
     for word, i in ranks.items():
-        spelt[i] = word
-    size = np.array([len(x) for x in spelt], np.int64)
+        size[i] = len(word)
 
     def run(text: str):
         ids = encode(" " + text)
-        return ids, size[ids], b"".join([spelt[i] for i in ids.tolist()])
+        return ids, size[ids]
 
     return run
 
 
-#: A run of spaces with what follows it, up to the next space.
-_STRETCH = re.compile(r" *[^ ]+| +")
-KEPT, KEPT_CHARS = 1 << 17, 40
-
-
 def piece_side(path: str):
-    """text -> ids of the text, a space before it, with the number of bytes of each piece, or None where they don't spell it.
-
-    No piece of such a vocabulary has a space after another character (this is checked), so pieces never reach over the start of a run of
-    spaces, and stretches between those are encoded alone and alike wherever they stand; short ones are kept for the next time.
-    """
+    """text -> ids of the text, a space before it, with the number of bytes of each piece, and their bytes."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     names = [model.id_to_piece(i) for i in range(model.get_piece_size())]
     spelt = [bytes([int(x[3:5], 16)]) if model.is_byte(i) else x.replace("▁", " ").encode() for i, x in enumerate(names)]
     size = np.array([len(x) for x in spelt], np.int64)
-    apart = not any("▁" in x.lstrip("▁") for x in names)
-    kept: dict[str, list[int] | None] = {}
-
-    def whole(text: str) -> list[int] | None:
-        ids = model.encode(text, num_threads=1) if text else [model.piece_to_id("▁")]  # the model itself puts no space before nothing
-        return ids if b"".join([spelt[i] for i in ids]) == b" " + text.encode() else None
-
-    def of(stretch: str) -> list[int] | None:
-        ids = whole(stretch[1:])
-        if len(stretch) <= KEPT_CHARS:
-            if len(kept) >= KEPT:
-                kept.clear()
-            kept[stretch] = ids
-        return ids
 
     def run(text: str):
-        if not apart:
-            ids = whole(text)
-        else:
-            ids, none = [], False
-            for x in _STRETCH.findall(" " + text):
-                part = kept.get(x) or of(x)
-                if part is None:
-                    none = True
-                    break
-                ids += part
-            ids = None if none else ids
-        if ids is None:
-            return None
-        ids = np.array(ids, np.int64)
-        return ids, size[ids]
+        ids = model.encode(text, num_threads=1)
+        return np.array(ids, np.int64), size[ids], b"".join([spelt[i] for i in ids])
 
     return run
 
@@ -126,10 +88,11 @@ def tokenised(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
                 row = none
                 if text:
                     want = b" " + text.encode()
-                    a_ids, a_size, a_bytes = a_side(text)
-                    b_row = b_side(text)
-                    if a_bytes == want and b_row:
-                        row = a_ids, np.cumsum(a_size), b_row[0], np.cumsum(b_row[1])
+                    a_ids, a_size = a_side(text)
+                    b_ids, b_size, b_bytes = b_side(text)
+                    a_ends = np.cumsum(a_size)
+                    if b_bytes == want and a_ends[-1] == len(want):
+                        row = a_ids, a_ends, b_ids, np.cumsum(b_size)
                     size += len(want)
                 rows.append(row)
                 if size > 1 << 20:
@@ -155,16 +118,23 @@ def aligned(tokens: DataFrame) -> DataFrame:
     merged = both.withColumns({"_ma": F.sort_array(F.concat("a_ends", "_shared")), "_mb": F.sort_array(F.concat("b_ends", "_shared"))})
     cut = merged.withColumns({"_ca": _cuts("_ma"), "_cb": _cuts("_mb")})
 
+    own = lambda cuts, ids: F.transform(F.slice(cuts, 2, F.size("_shared")), lambda i: F.get(ids, i))
+    last = cut.withColumns({"_la": own("_ca", "a_ids"), "_lb": own("_cb", "b_ids")})  # the last ids of each group
+    single = F.zip_with(F.col("_la").cast("array<string>"), F.col("_lb").cast("array<string>"), lambda x, y: F.concat(x, F.lit("|"), y))
+
     def run_of(ids: str, cuts: str, k: Column) -> Column:
-        """Ids of group k (from 1), joined by commas."""
-        before, last = F.get(cuts, k - 1), F.get(cuts, k)
-        return F.when(before + 1 == last, F.get(ids, last).cast("string")).otherwise(F.array_join(F.slice(ids, before + 2, last - before).cast("array<string>"), ","))
+        """Ids of group k (from 0), joined by commas."""
+        return F.array_join(F.slice(ids, F.get(cuts, k) + 2, F.get(cuts, k + 1) - F.get(cuts, k)).cast("array<string>"), ",")
+
+    def group(text: Column, k: Column) -> Column:
+        """Most groups are one token on either side."""
+        alone = F.get("_ca", k + 1) - F.get("_ca", k) + F.get("_cb", k + 1) - F.get("_cb", k) == 2
+        return F.when(alone, text).otherwise(F.concat(run_of("a_ids", "_ca", k), F.lit("|"), run_of("b_ids", "_cb", k)))
 
-    number = F.sequence(F.lit(1), F.size("_shared"))
-    groups = F.when(F.size("_shared") > 0, F.array_join(F.transform(number, lambda k: F.concat(run_of("a_ids", "_ca", k), F.lit("|"), run_of("b_ids", "_cb", k))), ";")).otherwise("")
-    links = F.zip_with(F.slice("_ca", 2, F.size("_shared")), F.slice("_cb", 2, F.size("_shared")), lambda i, j: F.get("a_ids", i).cast("long") * 65536 + F.get("b_ids", j))
+    groups = F.array_join(F.transform(single, group), ";")
+    links = F.zip_with("_la", "_lb", lambda i, j: i.cast("long") * 65536 + j)
     size = lambda c: F.size(c).cast("long")
-    return cut.select("doc_id", size("a_ids").alias("n_a"), size("b_ids").alias("n_b"), size("_shared").alias("n_groups"), size("_shared").alias("n_links"), groups.alias("groups"), links.alias("links"))
+    return last.select("doc_id", size("a_ids").alias("n_a"), size("b_ids").alias("n_b"), size("_shared").alias("n_groups"), size("_shared").alias("n_links"), groups.alias("groups"), links.alias("links"))
 
 
 def pair_counts(links: DataFrame) -> DataFrame:
