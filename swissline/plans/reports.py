@@ -191,6 +191,18 @@ add("paired_bootstrap", on_forecasts(lambda f: evaluate.paired_bootstrap(f, "mat
 add("diebold_mariano_lag3", on_forecasts(lambda f: evaluate.diebold_mariano(f, "match_id", 3)), """
     SELECT n, mean AS mean_difference, mean / sqrt((g0 + 2 * (2.0::DOUBLE / 3 * g1 + 1.0::DOUBLE / 3 * g2)) / n) * sqrt((n - 5 + 6.0::DOUBLE / n) / n) AS statistic FROM (SELECT count(*) AS n, max(mean) AS mean, avg(c * c) AS g0, sum(c * c1) / count(*) AS g1, sum(c * c2) / count(*) AS g2
       FROM (SELECT mean, c, lag(c, 1) OVER (ORDER BY match_id) AS c1, lag(c, 2) OVER (ORDER BY match_id) AS c2 FROM (SELECT match_id, avg(d) OVER () AS mean, d - avg(d) OVER () AS c FROM (SELECT match_id, pow(p - label, 2) - pow(p2 - label, 2) AS d FROM f))))""", "mean_difference statistic", F_SQL)
+#: The continued fraction of the incomplete beta function, 200 terms.
+TAIL_SQL = """tt AS (SELECT id, t, df, df / (df + t * t) AS x0, t * t / (df + t * t) AS y0, df / (df + t * t) < (df / 2 + 1) / (df / 2 + 2.5) AS near FROM tv),
+  tu AS (SELECT *, CASE WHEN near THEN x0 ELSE y0 END AS x, CASE WHEN near THEN y0 ELSE x0 END AS y, CASE WHEN near THEN df / 2 ELSE 0.5 END::DOUBLE AS a, CASE WHEN near THEN 0.5 ELSE df / 2 END::DOUBLE AS b FROM tt),
+  tn AS (SELECT *, list_transform(range(1, 201), lambda k: CASE WHEN k % 2 = 0 THEN (k // 2) * (b - k // 2) * x / ((a + k - 1) * (a + k)) ELSE -(a + k // 2) * (a + b + k // 2) * x / ((a + k // 2 * 2) * (a + k // 2 * 2 + 1)) END) AS terms FROM tu),
+  th AS (SELECT *, list_reduce(list_concat([{'n': 0.0::DOUBLE, 'c': 1.0::DOUBLE, 'd': 0.0::DOUBLE, 'h': 1.0::DOUBLE}], list_transform(terms, lambda v: {'n': v, 'c': 0.0::DOUBLE, 'd': 0.0::DOUBLE, 'h': 0.0::DOUBLE})), lambda s, v:
+    {'n': v.n, 'c': 1 + v.n / s.c, 'd': 1 / (1 + v.n * s.d), 'h': s.h * (1 + v.n / s.c) / (1 + v.n * s.d)}).h AS h FROM tn),
+  tp AS (SELECT id, t, df, CASE WHEN t = 0 THEN 1 WHEN near THEN exp(a * ln(x) + b * ln(y) - (lgamma(a) + lgamma(b) - lgamma(a + b))) / a / h ELSE 1 - exp(a * ln(x) + b * ln(y) - (lgamma(a) + lgamma(b) - lgamma(a + b))) / a / h END AS p FROM th)"""
+add("student_t_tails", on_forecasts(lambda f: f.selectExpr("match_id", "(p - market) * 8 as t", "cast(1 + match_id % 500 as double) as df").select("match_id", "t", "df", evaluate.student_t_tail(F.col("t"), F.col("df")).alias("p"))),
+    "SELECT id AS match_id, t, df, p FROM tp", "t df p", F_SQL + ", tv AS (SELECT match_id AS id, (p - market) * 8 AS t, (1 + match_id % 500)::DOUBLE AS df FROM f), " + TAIL_SQL)
+add("diebold_mariano_p", on_forecasts(lambda f: evaluate.diebold_mariano_test(f, "match_id")), "SELECT n, mean AS mean_difference, t AS statistic, p AS p_value FROM dm JOIN tp ON true", "mean_difference statistic p_value", F_SQL + """,
+  dm AS (SELECT n, mean, mean / sqrt(g / n) * sqrt((n - 1)::DOUBLE / n) AS st FROM (SELECT count(*) AS n, avg(d) AS mean, var_pop(d) AS g FROM (SELECT pow(p - label, 2) - pow(p2 - label, 2) AS d FROM f))),
+  tv AS (SELECT 1 AS id, st AS t, (n - 1)::DOUBLE AS df FROM dm), """ + TAIL_SQL)
 add("map_prob_from_series", on_forecasts(lambda f: f.selectExpr("match_id", "p * p * (3 - 2 * p) as s3", "pow(p, 3) * (10 - 15 * p + 6 * p * p) as s5").select("match_id", market.map_probability("s3", 3).alias("p3"), market.map_probability("s5", 5).alias("p5"))), "SELECT match_id, p AS p3, p AS p5 FROM f", "p3 p5", F_SQL)
 add("unknown_map_average", on_matches(lambda m: market.unknown_map_average(market.candidate_maps(form.team_profile(long_form(m)), m.select("match_id", "team1", "team2"), POOL), m.select("match_id", F.explode(F.array(*map(F.lit, POOL))).alias("map")).withColumn("p", (F.col("match_id") * 7 + F.length("map")) % 10 / 10.0), weighted=True)))
 add("rolling_bt", on_matches(ratings.rolling_bradley_terry))
