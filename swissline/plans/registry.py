@@ -32,4 +32,4 @@ def oracles() -> dict[str, str]:
 
 
 def _load() -> None:
-    from swissline.plans import catalogue, replays, reports, selection  # noqa: F401
+    from swissline.plans import catalogue, models, replays, reports, selection  # noqa: F401
