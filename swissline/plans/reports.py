@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from swissline.operators import evaluate, form, joins, market, model, policies, ratings, readiness, splits, swiss, tickets
 from swissline.plans.catalogue import F_SQL, LONG_SQL, LOSS, MATCH_SQL, PICK_SQL, POOL, STAGE_SQL, STATE, add, in_stages, on_forecasts, on_matches, stage_picks
-from swissline.sources import pages, results_api
+from swissline.sources import pages, results_api, team_pages
 from swissline.sources.matches import long_form, match_view, read
 
 # ---------------------------------------------------------------- policies
@@ -155,6 +155,24 @@ add("service_page_token", on_matches(lambda m: results_api.page_token(service_ro
     "SELECT min(day) * 86400 + 60000 AS ts, (SELECT string_agg(CAST(match_id AS VARCHAR), ',' ORDER BY CAST(match_id AS VARCHAR)) FROM m WHERE day = (SELECT min(day) FROM m)) AS ids FROM m", "", MATCH_SQL)
 
 
+#: A row of a script's array, with brackets and quotes inside its strings.
+SCRIPT_ROW = """concat('{"id": ', match_id, ', name: "a ] \\\\" [', team1, '", \\'map\\': "', map, '", "scores": [', score1, ', ', score2, ']}') as row"""
+SCRIPT_SCHEMA = "id: bigint, name: string, map: string, scores: array<bigint>"
+
+
+def script_pages(m: DataFrame) -> DataFrame:
+    """Pages of twenty matches; one in seven is the firewall's, one has no end."""
+    rows = m.selectExpr("match_id div 20 as page_id", "match_id", SCRIPT_ROW).groupBy("page_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("match_id", "row"))), lambda x: x.row), ", ").alias("all"))
+    head, end = F.when(F.col("page_id") % 7 == 0, "<script src=aliyun_waf>").otherwise("<script>"), F.when(F.col("page_id") % 7 == 1, "").otherwise("]; var more = [1, 2];</script>")
+    return rows.select("page_id", F.concat(head, F.lit("var other = ['x']; window.matches = ["), "all", end).alias("html"))
+
+
+add("script_rows", on_matches(lambda m: team_pages.read_pages(script_pages(m), "window.matches", SCRIPT_SCHEMA).select("page_id", F.inline("rows")).select("page_id", "id", "name", "map", F.get("scores", 0).alias("score1"), F.get("scores", 1).alias("score2"))),
+    """SELECT match_id // 20 AS page_id, match_id AS id, 'a ] " [' || team1 AS name, map, score1, score2 FROM m WHERE match_id // 20 % 7 > 1""", "", MATCH_SQL)
+add("script_page_counts", on_matches(lambda m: team_pages.status_counts(team_pages.read_pages(script_pages(m), "window.matches", SCRIPT_SCHEMA))), """
+    SELECT status, count(DISTINCT page) AS pages, CAST(sum(CASE WHEN status = 'ok' THEN 1 ELSE 0 END) AS BIGINT) AS n_rows FROM (SELECT match_id // 20 AS page, CASE match_id // 20 % 7 WHEN 0 THEN 'blocked' WHEN 1 THEN 'unparsed' ELSE 'ok' END AS status FROM m) GROUP BY status""", "", MATCH_SQL)
+
+
 # ---------------------------------------------------------------- further joins
 def _intel(m: DataFrame) -> DataFrame:
     return m.filter("tier <> 'C'").selectExpr("day", "team2 as team1", "team1 as team2", "case when match_id % 3 = 0 then 'de_Nuke' when match_id % 3 = 1 then 'TBD' end as map", "concat('s', match_id % 4) as source", "(match_id % 10) / 10D as confidence", "cast(match_id as string) as bans1", "cast(-match_id as string) as bans2", "match_id as seq")
