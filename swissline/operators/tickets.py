@@ -30,6 +30,7 @@ def risk_scores(teams: DataFrame, stage: str = "default", upset_limit: int = 15,
         _clip(_or("form_score", teams, 0.0) * 0.12 + _or("form_trend", teams, 0.0) * 0.08, -0.035, 0.035).alias("form"), (1 - _clip(_or("sample_confidence", teams, 1.0), 0.0, 1.0)).alias("unsure"),
         (_or("substitute", teams, 0.0) >= 1).cast("double").alias("sub"), F.explode(F.array(*(F.struct(F.lit(k).alias("category"), F.coalesce(F.col(c), F.lit(0.0)).alias("base")) for k, c, _ in SLOTS))).alias("s"),
     ).select("*", "s.*").drop("s")
+    # fixed values: the weights and bounds of the adjustments and factors below
     kind, bottom = F.col("category"), F.col("category") == "0-3"
     early = _clip((F.col("bo1") - 0.5) * 0.10 + (F.col("depth") - 0.5) * 0.08, -0.04, 0.06)
     late = _clip((F.col("rating") - 1) * 0.10 + (UNRANKED - _clip(F.col("rank"), 1, UNRANKED)) / UNRANKED * 0.04, -0.03, 0.06)

@@ -66,6 +66,7 @@ def parts(html: Column, start: str) -> Column:
     return F.slice(F.split(html, start), 2, 2**31 - 1)
 
 
+# fixed values: the class names and attributes in match_cards, ranking_rows and player_rows are those of the pages
 def match_cards(pages: DataFrame) -> DataFrame:
     """A row for each result card: date, event, tier, teams, scores, winner (the first team at equal scores), best_of, map and link.
     Cards without two different teams or two scores give no row; a null page gives none."""
