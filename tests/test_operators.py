@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -248,3 +249,18 @@ def test_strengths_by_map_are_drawn_to_the_whole(spark):
         mean = sum(whole[t] for t in own) / len(own)
         assert all(abs(own[t] - (whole[t] - mean)) < 1e-3 for t in own)
     assert {r.team for r in near if r["map"] == "unplayed"} == set(whole)
+
+
+def test_fits_keep_places_and_games_alone(monkeypatch):
+    # batches of a group are read one after another, and places don't depend on how they are cut
+    rnd = np.random.default_rng(3)
+    x = rnd.integers(-50, 50, (2, 1000)) * 10**12
+    batches = [pa.RecordBatch.from_arrays([pa.array(a[k : k + 7]) for a in x], ["lo", "hi"]) for k in range(0, 1000, 7)]
+    monkeypatch.setattr(ratings, "CHUNK", 100)
+    places, seen = ratings.Places(), []
+    for lo, hi in ratings._chunks(iter(batches), ["lo", "hi"]):
+        assert len(lo) <= 107
+        seen.append((places.of(lo), places.of(hi)))
+    assert all(a.dtype == np.int32 for pair in seen for a in pair)
+    assert (places.names[np.concatenate([s[0] for s in seen])] == x[0]).all() and (places.names[np.concatenate([s[1] for s in seen])] == x[1]).all()
+    assert len(set(places.names.tolist())) == len(places.names) == len(np.unique(x))
