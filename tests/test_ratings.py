@@ -161,3 +161,12 @@ def test_ratings_do_not_depend_on_partitions(spark):
         found.append([sorted(map(tuple, ratings.elo(m).collect())), sorted(tuple(round(x, 8) for x in r) for r in ratings.glicko(m).collect())])
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert found[0] == found[1]
+
+
+def test_a_round_sends_k_once_and_no_old_rating_unless_asked(spark):
+    m = spark.createDataFrame([(1, 5, 10, 20, 32.0, 1500.0, 1500.0, 1500.0, 1500.0), (2, 6, 20, 10, -32.0, 1500.0, 1500.0, 1500.0, 1500.0), (3, 6, 10, 30, None, 1500.0, 1500.0, 1500.0, 1500.0)], "match_id long, day long, team1 long, team2 long, k double, start1 double, start2 double, elo1 double, elo2 double")
+    plain, last = ratings._round(m, False), ratings._round(m, True)
+    assert plain.columns == m.columns and last.columns == [*m.columns, "change"]
+    got = {r.match_id: r for r in last.collect()}
+    assert (got[1].elo1, got[2].elo1, got[2].elo2, got[3].elo1, got[3].elo2) == (1500, 1484, 1516, 1532, 1500)
+    assert (got[1].change, got[2].change, got[3].change) == (0, 16, 32) and (got[1].k, got[2].k, got[3].k) == (32, -32, None)
