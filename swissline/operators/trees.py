@@ -22,6 +22,8 @@ from swissline.operators.splits import ranked
 
 MOST_THRESHOLDS = 16
 SLOTS = MOST_THRESHOLDS + 1
+MOST_PACKED = 15  # features whose bins fit one number of 64 bits
+CHUNK = 1 << 18  # rows that are looked at together
 
 
 def thresholds(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -122,6 +124,23 @@ def _matrix(b: pa.RecordBatch, k: int) -> np.ndarray:
     return b.column("bins").flatten().to_numpy(zero_copy_only=False).reshape(-1, k).astype(np.int64)
 
 
+def _joined(batches, model: Trees, k: int, target):
+    """Bins, keys, weights and targets of some batches at a time."""
+    waiting, rows = [], 0
+
+    def joined():
+        return tuple(np.concatenate(x) for x in zip(*((_matrix(b, k), b.column("key").to_numpy(), b.column("weight").to_numpy(), target(model, b, k)) for b in waiting)))
+
+    for b in batches:
+        waiting.append(b)
+        rows += b.num_rows
+        if rows >= CHUNK:
+            yield joined()
+            waiting, rows = [], 0
+    if rows:
+        yield joined()
+
+
 _SUMS = "tree int, node int, feature int, bin int, n double, w double, y double"
 
 
@@ -132,18 +151,24 @@ def _level(rows: DataFrame, k: int, model: Trees, trees: range, level: int, draw
     def run(batches):
         sums: dict[tuple, np.ndarray] = {}
         low, width = (1 << level) - 1, 1 << level
-        for b in batches:
-            bins, key, weight, y = _matrix(b, k), b.column("key").to_numpy(), b.column("weight").to_numpy(), target(held.value, b, k)
+        for bins, key, weight, y in _joined(batches, held.value, k, target):
+            # rows of the same bins take the same way through every tree: it is found once for all of them
+            kinds, at_kind = np.unique(bins @ SLOTS ** np.arange(k), return_inverse=True) if k <= MOST_PACKED else (np.arange(len(bins)), np.arange(len(bins)))
+            first = np.zeros(len(kinds), np.int64)
+            first[at_kind] = np.arange(len(bins))
+            bins = bins[first]
             for t in trees:
                 times = draw(key, seed, t)
+                w = times * weight
+                own = [np.bincount(at_kind, x, len(kinds)) for x in (times, w, w * y)]
                 at = held.value.node(t, bins, level) - low
-                use = np.flatnonzero((times > 0) & (at >= 0))
-                w = times[use] * weight[use]
+                use = np.flatnonzero((own[0] > 0) & (at >= 0))
+                own = [x[use] for x in own]
                 for f in range(k):
                     cell = at[use] * SLOTS + bins[use, f]
                     size = width * SLOTS
-                    own = np.stack([np.bincount(cell, x, size) for x in (times[use], w, w * y[use])])
-                    sums[t, f] = sums[t, f] + own if (t, f) in sums else own
+                    added = np.stack([np.bincount(cell, x, size) for x in own])
+                    sums[t, f] = sums[t, f] + added if (t, f) in sums else added
         for (t, f), own in sums.items():
             cell = np.flatnonzero(own[0])
             n = len(cell)

@@ -104,3 +104,11 @@ def test_one_class_and_no_rows(spark, data):
     assert {round(r.p, 5) for r in trees.with_probability(df, one).collect()} == {1.0}
     none = trees.fit_boosting(df.limit(0), X, "id", rounds=2, depth=2)
     assert {r.p for r in trees.with_probability(df, none).collect()} == {0.5}
+
+
+def test_batches_are_looked_at_together():
+    import pyarrow as pa
+
+    rows = [pa.RecordBatch.from_arrays([pa.array([[i % 3, i % 2]], pa.list_(pa.int32())), pa.array([i]), pa.array([2.0]), pa.array([float(i % 2)])], ["bins", "key", "weight", "label"]) for i in range(50)]
+    (bins, key, weight, y), = trees._joined(iter(rows), None, 2, lambda m, b, k: b.column("label").to_numpy())
+    assert bins.tolist() == [[i % 3, i % 2] for i in range(50)] and key.tolist() == list(range(50)) and weight.tolist() == [2.0] * 50 and y.tolist() == [i % 2 for i in range(50)]
