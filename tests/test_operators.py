@@ -264,3 +264,8 @@ def test_fits_keep_places_and_games_alone(monkeypatch):
     assert all(a.dtype == np.int32 for pair in seen for a in pair)
     assert (places.names[np.concatenate([s[0] for s in seen])] == x[0]).all() and (places.names[np.concatenate([s[1] for s in seen])] == x[1]).all()
     assert len(set(places.names.tolist())) == len(places.names) == len(np.unique(x))
+
+
+def test_figures_of_a_card_are_read_once(spark):
+    plan = pages.match_cards(spark.createDataFrame([(1, "<html></html>")], "page_id long, html string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("score-won") == 1 and plan.count("event-name") == 1 and plan.count("team1\\b") == 1
