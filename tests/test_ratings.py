@@ -145,6 +145,15 @@ def test_glicko_published_example(spark):
     assert abs(1500 + 173.7178 * mu - 1464.06) < 0.02 and abs(173.7178 * phi - 151.52) < 0.02 and abs(sigma - 0.05999) < 1e-5
 
 
+def test_certain_games_after_an_infinite_volatility_only_widen(spark):
+    """A game whose outcome is certain has no precision; with an infinite volatility before it both parts of the sum are zero."""
+    assert one_period(spark, 2000.0, 2.0, math.inf, [(0.0, 0.2, 1.0, 1.0)], 0.5) == (2000.0, math.inf, math.inf)
+    mu, phi, sigma = one_period(spark, 2000.0, 2.0, 0.5, [(0.0, 0.2, 1.0, 1.0)], 0.5)
+    assert (mu, sigma) == (2000.0, 0.5) and abs(phi - math.sqrt(4.25)) < 1e-12
+    widths = spark.range(2).select(ratings._widened(F.lit(0.3), F.lit(math.inf), F.col("id"), 2.0).alias("phi"))
+    assert sorted(r.phi for r in widths.collect()) == [0.3, 2.0]
+
+
 def test_large_upsets_raise_volatility_as_published(spark):
     """Both branches of the search for the volatility; games without weight."""
     for phi, tau, games in ((0.3, 0.5, [(3.0, 0.2, 1.0, 1.0)] * 6), (0.3, 1.2, [(3.0, 0.2, 1.0, 1.0)] * 3), (2.0, 0.5, [(0.0, 1.0, 1.0, 1.0)]), (0.5, 3.0, [(-1.0, 0.4, 0.0, 0.5)] * 4)):
