@@ -269,3 +269,15 @@ def test_fits_keep_places_and_games_alone(monkeypatch):
 def test_figures_of_a_card_are_read_once(spark):
     plan = pages.match_cards(spark.createDataFrame([(1, "<html></html>")], "page_id long, html string"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("score-won") == 1 and plan.count("event-name") == 1 and plan.count("team1\\b") == 1
+
+
+def test_tasks_of_ballots_grow_with_them(spark, monkeypatch):
+    from swissline.operators import fusion
+
+    monkeypatch.setattr(fusion, "TASK_ROWS", 10)
+    rows = [(g, b, t, "3-0" if (t + b) % 3 else "0-3") for g in range(4) for b in range(10) for t in range(10)]
+    ballots = spark.createDataFrame(rows + rows[:7], "g long, ballot long, team long, category string")
+    shares = fusion.vote_shares(ballots, "g")
+    assert "hashpartitioning(g#" in (plan := shares._jdf.queryExecution().executedPlan().toString()) and ", 41), REPARTITION_BY_NUM" in plan
+    want = {(g, t, c): sum(r[0] == g and r[2] == t and r[3] in of for r in rows) / 10 for g in range(4) for t in range(10) for c, of in (("3-0", ["3-0"]), ("advance", ["3-0"]), ("0-3", ["0-3"]))}
+    assert {(r.g, r.team, r.category): r.experts for r in shares.collect()} == {k: v for k, v in want.items() if v}
