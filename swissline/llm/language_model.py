@@ -186,7 +186,7 @@ def score_documents(
                 own = slice(lo, lo + 2000)
                 blobs = [codes[2 * a : 2 * b] for a, b in zip(bounds[:-1][own].tolist(), bounds[1:][own].tolist())]
                 yield batch(_CODED, parts[own], [None] * len(blobs), [None] * len(blobs), blobs, ids[own], rids[own], key.view(np.int64)[own], held[own])
-            np.add.at(vector, at[there & learn], 1)
+            vector += np.bincount(at[there & learn], minlength=len(vector))
             tail[at[there]] = g[there]
             rare = np.flatnonzero(~there)
             if len(rare):

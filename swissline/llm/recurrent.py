@@ -149,9 +149,9 @@ def log_probability(m: Model, inputs: np.ndarray, klass: np.ndarray, within: np.
     h = None
     for p, f, keep in windows(bounds, width, max(16, block // busy(bounds, width))):
         h = np.zeros((p.shape[1], m.hidden), np.float32) if h is None else h if keep is None else h[keep]
-        states = np.empty((*p.shape, m.hidden), np.float32)
+        states, x = np.empty((*p.shape, m.hidden), np.float32), m.x[inputs[p]]
         for t in range(len(p)):
-            h = _step(m, m.x[inputs[p[t]]], _reset(h, f[t]))[0]
+            h = _step(m, x[t], _reset(h, f[t]))[0]
             states[t] = h
         flat = p.ravel()
         ok = np.flatnonzero(flat >= 0)
@@ -245,7 +245,7 @@ class Trainer:
         d += m.bc
         large = m.large()
         _exp(d, large)
-        d /= _sums(d)[:, None]
+        d *= (np.float32(1) / _sums(d))[:, None]
         d[np.arange(len(c)), c] -= 1
         g.wc += s.T @ d
         g.bc += np.ones(len(d), np.float32) @ d
@@ -259,7 +259,7 @@ class Trainer:
                 d = own @ m.wi[lo:hi].T
                 d += m.bi[lo:hi]
                 _exp(d, large)
-                d /= _sums(d)[:, None]
+                d *= (np.float32(1) / _sums(d))[:, None]
                 d[np.arange(b - a), word[a:b]] -= 1
                 g.wi[lo:hi] += d.T @ own
                 g.bi[lo:hi] += np.ones(b - a, np.float32) @ d
@@ -268,7 +268,17 @@ class Trainer:
         dstate[live] = ds
         dstate = dstate.reshape(steps, width, k)
         r, z = rz[..., :k], rz[..., k:]
-        to_n, to_r, to_z = (1 - z) * (1 - n_ * n_), hn * r * (1 - r), (before - n_) * z * (1 - z)
+        one = np.float32(1)
+        rest = one - rz  # of both gates
+        to_z = before - n_
+        to_z *= z
+        to_z *= rest[..., k:]
+        to_n = np.square(n_, out=n_)
+        np.subtract(one, to_n, out=to_n)
+        to_n *= rest[..., k:]
+        to_r = np.multiply(hn, r, out=hn)
+        to_r *= rest[..., :k]
+        del rest
         dx, back = np.empty((steps, width, 3 * k), np.float32), np.empty((steps, width, 3 * k), np.float32)
         dh = np.zeros((width, k), np.float32)
         ut = np.ascontiguousarray(m.u.T)

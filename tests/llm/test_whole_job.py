@@ -140,3 +140,22 @@ def test_buckets_grow_with_the_input(spark):
 
     for size in (1 << 30, 1 << 40, 100 << 40):
         assert size // fan_out(spark, size, 1 << 20) <= 1 << 20
+
+
+def test_op4_gates_of_a_window_are_derived_in_place():
+    """No array of a window's size is kept for the gates beside the states' own."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    m = recurrent.Model(8, np.array([0, 4]), 2, 24)
+    m.start(np.ones(3), np.ones(4))
+    n = 16 * 512
+    bounds = np.arange(0, n + 1, 16)
+    p, f, _ = next(recurrent.windows(bounds, 512, 16))
+    args = rng.integers(0, 8, n), rng.integers(0, 3, n).astype(np.int16), rng.integers(0, 4, n), np.zeros((p.shape[1], 24), np.float32)
+    trainer = recurrent.Trainer(m)
+    tracemalloc.start()
+    trainer._gradients(p, f, *args)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 23.5 * 4 * 24 * p.size  # in arrays of the states' size; 24.7 with temporaries
